@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from whisperlake.functions.text import as_col, hex_lower, is_blank, is_lower_hex, trimmed
+from whisperlake.functions.text import as_col, is_blank, is_lower_hex, let, trimmed
 
 # bech32 alphabet and checksum generator.
 ALPHABET = "qpzry9x8gf2tvdw0s3jn54khce6mua7l"
@@ -50,84 +50,92 @@ def _letters(values: Column) -> Column:
 def npub(pubkey: str | Column) -> Column:
     """Text form of a 64-digit hex key. Five hex digits make exactly four 5-bit symbols."""
     padded = F.concat(as_col(pubkey), F.lit("0"))
-    chunks = F.transform(
-        F.sequence(F.lit(0), F.lit(12)),
-        lambda i: F.conv(F.substring(padded, i * 5 + 1, F.lit(5)), 16, 10).cast("bigint"),
-    )
-    data = F.flatten(F.transform(chunks, lambda c: F.array(*[
-        F.shiftright(c, s).bitwiseAND(_long(31)) for s in (15, 10, 5, 0)
-    ])))
-    state = _checksum("npub", F.concat(data, F.array(*[_long(0)] * 6))).bitwiseXOR(_long(1))
-    check = F.array(*[F.shiftright(state, s).bitwiseAND(_long(31)) for s in (25, 20, 15, 10, 5, 0)])
-    return F.concat(F.lit("npub1"), _letters(F.concat(data, check)))
+
+    def symbols_of(i: Column) -> Column:
+        chunk = F.conv(F.substring(padded, i * 5 + 1, F.lit(5)), 16, 10).cast("bigint")
+        return let(chunk, lambda c: F.array(*[F.shiftright(c, s).bitwiseAND(_long(31)) for s in (15, 10, 5, 0)]))
+
+    def text_of(data: Column) -> Column:
+        state = _checksum("npub", F.concat(data, F.array(*[_long(0)] * 6))).bitwiseXOR(_long(1))
+        check = let(state, lambda v: F.array(*[F.shiftright(v, s).bitwiseAND(_long(31)) for s in (25, 20, 15, 10, 5, 0)]))
+        return _letters(F.concat(data, check))
+
+    data = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(12)), symbols_of))
+    return F.concat(F.lit("npub1"), let(data, text_of))
+
+
+def _bytes_of(data: Column) -> Column:
+    """5-bit symbols regrouped to bytes, as hex; null when the bits left over are too many or not zero."""
+    filled = F.concat(data, F.array_repeat(F.lit(0), F.pmod(-F.size(data), F.lit(8))))
+
+    def digits_of(all_symbols: Column) -> Column:
+        # Eight symbols are 40 bits, ten hex digits.
+        groups = F.sequence(F.lit(0), (F.size(all_symbols) / 8).cast("int") - 1)
+        return F.array_join(F.transform(groups, lambda g: F.lpad(F.lower(F.hex(F.aggregate(
+            F.slice(all_symbols, g * 8 + 1, F.lit(8)), _long(0),
+            lambda acc, v: F.shiftleft(acc, 5).bitwiseOR(v.cast("bigint")),
+        ))), 10, "0")), "")
+
+    n_bits = F.size(data) * 5
+    spare = F.pmod(n_bits, F.lit(8))
+    n_digits = ((n_bits - spare) / 4).cast("int")
+    return let(let(filled, digits_of), lambda digits: F.when(
+        (spare < 5) & F.substring(digits, n_digits + 1, F.length(digits)).rlike(r"\A0*\z"),
+        F.substring(digits, F.lit(1), n_digits)))
 
 
 def _decoded_hex(text: Column, prefix: str) -> Column:
     """Data bytes (as hex) of a lower-case bech32 text with this prefix; null when malformed."""
     body = F.substring(text, F.lit(len(prefix) + 2), F.length(text))
-    symbols = _symbols(body)
-    shape_ok = body.rlike(rf"\A[{ALPHABET}]{{6,}}\z") & (F.length(text) <= 5000)
-    data = F.slice(symbols, F.lit(1), F.size(symbols) - 6)
-    n_bits = F.size(data) * 5
-    spare = F.pmod(n_bits, F.lit(8))
-    # Regroup eight symbols (40 bits, ten hex digits) at a time, zero-filled at the end.
-    filled = F.concat(data, F.array_repeat(F.lit(0), F.pmod(-F.size(data), F.lit(8))))
-    groups = F.sequence(F.lit(0), (F.size(filled) / 8).cast("int") - 1)
-    digits = F.array_join(F.transform(groups, lambda g: F.lpad(F.lower(F.hex(F.aggregate(
-        F.slice(filled, g * 8 + 1, F.lit(8)), _long(0), lambda acc, v: F.shiftleft(acc, 5).bitwiseOR(v.cast("bigint")),
-    ))), 10, "0")), "")
-    n_digits = (n_bits - spare) / 4
-    rest = F.substring(digits, n_digits.cast("int") + 1, F.length(digits))
-    padding_ok = (spare < 5) & rest.rlike(r"\A0*\z")
-    return F.when(
-        shape_ok & (F.size(data) > 0) & (_checksum(prefix, symbols) == 1) & padding_ok,
-        F.substring(digits, F.lit(1), n_digits.cast("int")),
-    )
+    shape_ok = body.rlike(rf"\A[{ALPHABET}]{{7,}}\z") & (F.length(text) <= 5000)
+    return F.when(shape_ok, let(_symbols(body), lambda symbols: F.when(
+        _checksum(prefix, symbols) == 1,
+        let(F.slice(symbols, F.lit(1), F.size(symbols) - 6), _bytes_of))))
 
 
 def _profile_key(data: Column) -> Column:
     """First type-0 entry of 32 bytes in a type-length-value list given as hex."""
-    n = (F.length(data) / 2).cast("int")
 
-    def byte_at(i: Column) -> Column:
-        return F.conv(F.substring(data, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
+    def byte_at(d: Column, i: Column) -> Column:
+        return F.conv(F.substring(d, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
+
+    def walk(d: Column) -> Column:
+        n = (F.length(d) / 2).cast("int")
+
+        def step(s: Column, i: Column) -> Column:
+            at_entry = (i == s["next"]) & s["found"].isNull() & (i + 2 <= n)
+            # An entry that does not fit leaves "next" behind the index, which ends the walk.
+            return F.when(at_entry, let(byte_at(d, i + 1), lambda size: F.when(i + 2 + size <= n, F.struct(
+                (i + 2 + size).alias("next"), F.when((byte_at(d, i) == 0) & (size == 32), i + 2).alias("found"),
+            )).otherwise(s))).otherwise(s)
 
-    start = F.struct(F.lit(0).alias("next"), F.lit(None).cast("int").alias("found"))
+        start = F.struct(F.lit(0).alias("next"), F.lit(None).cast("int").alias("found"))
+        found = F.aggregate(F.sequence(F.lit(0), n - 1), start, step, lambda s: s["found"])
+        return F.when(n > 0, F.substring(d, found * 2 + 1, F.lit(64)))
 
-    def step(s: Column, i: Column) -> Column:
-        size = byte_at(i + 1)
-        here = (i == s["next"]) & s["found"].isNull() & (i + 2 <= n)
-        fits = i + 2 + size <= n
-        return F.when(here & fits, F.struct(
-            (i + 2 + size).alias("next"),
-            F.when((byte_at(i) == 0) & (size == 32), i + 2).alias("found"),
-        )).otherwise(F.struct(
-            # Leaving "next" behind the index ends the walk.
-            s["next"].alias("next"), s["found"].alias("found"),
-        ))
+    return let(data, walk)
 
-    found = F.aggregate(F.sequence(F.lit(0), n - 1), start, step)["found"]
-    return F.when(n > 0, F.substring(data, found * 2 + 1, F.lit(64)))
+
+def _parsed(text: Column) -> Column:
+    def by_form(low: Column) -> Column:
+        one_case = (text == low) | (text == F.upper(text))
+        return (
+            F.when(low.startswith("npub1"), F.when(one_case, _decoded_hex(low, "npub")))
+            .when(low.startswith("nprofile1"), F.when(one_case, _profile_key(_decoded_hex(low, "nprofile"))))
+            .otherwise(low)
+        )
+
+    return let(let(F.lower(text), by_form), lambda found: F.when(is_lower_hex(found, 32), found))
 
 
 def parse_public_key(raw: str | Column) -> Column:
     """Hex key from hex, npub or nprofile text with an optional ``nostr:`` prefix; null when invalid."""
-    text = F.regexp_replace(trimmed(raw), r"\A(?i:nostr:)", "")
-    low = F.lower(text)
-    one_case = (text == low) | (text == F.upper(text))
-    as_npub = _decoded_hex(low, "npub")
-    as_profile = _profile_key(_decoded_hex(low, "nprofile"))
-    found = (
-        F.when(low.startswith("npub1"), F.when(one_case, as_npub))
-        .when(low.startswith("nprofile1"), F.when(one_case, as_profile))
-        .otherwise(low)
-    )
-    return F.when(is_lower_hex(found, 32), found)
+    return let(F.regexp_replace(trimmed(raw), r"\A(?i:nostr:)", ""), _parsed)
 
 
 def short_npub(text: str | Column) -> Column:
-    text = as_col(text)
-    return F.concat(F.substring(text, 1, 12), F.lit("…"), F.substring(text, -6, 6))
+    return let(as_col(text), lambda t: F.concat(
+        F.substring(t, F.lit(1), F.lit(12)), F.lit("…"), F.substring(t, F.lit(-6), F.lit(6))))
 
 
 def short_id(pubkey: str | Column) -> Column:
@@ -145,8 +153,3 @@ def avatar_bucket(pubkey: str | Column, n_buckets: int = 10) -> Column:
 
 def initial(name: str | Column) -> Column:
     return F.when(is_blank(name), F.lit("?")).otherwise(F.upper(F.substring(trimmed(name), 1, 1)))
-
-
-__all__ = [
-    "npub", "parse_public_key", "short_npub", "short_id", "display_name", "avatar_bucket", "initial", "hex_lower",
-]

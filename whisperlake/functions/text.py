@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The two-character escapes of JSON.stringify. Backslash comes first so that
@@ -31,6 +32,23 @@ def as_col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` refers to it.
+
+    Columns are expression trees: using one twice writes it twice, and nested uses multiply.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def staged(df: DataFrame, keep: list[str], cols: list[Column]) -> DataFrame:
+    """``keep`` plus ``cols``, computed once per row.
+
+    A filter on a projected column is pushed below the projection with the whole expression
+    copied into it. It is not pushed through a generator, so costly parsing goes behind one.
+    """
+    return df.select(*keep, F.explode(F.array(F.struct(*cols))).alias("_s")).select(*keep, "_s.*")
+
+
 def trimmed(c: str | Column) -> Column:
     """Removes any Unicode white space at both ends (Spark's ``trim`` drops blanks only)."""
     return F.btrim(as_col(c), F.lit(WHITESPACE))

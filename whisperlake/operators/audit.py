@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from whisperlake.functions.text import let
 from whisperlake.schemas import WRAP_JITTER_SECONDS
 
 _SPACE = r"\s+"
@@ -28,11 +29,15 @@ def time_leaks(wraps: DataFrame, rumors: DataFrame, jitter: int = WRAP_JITTER_SE
     return wraps.join(inner, "seal_id").filter(~inside)
 
 
-def _word_runs(words: Column, first: Column | int, n_runs: Column) -> Column:
-    """Hashes of runs of three words, starting at word ``first`` (0-based)."""
-    starts = F.sequence(F.lit(first) if isinstance(first, int) else first, n_runs + first - 1)
-    run = lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(_RUN)])
-    return F.when(n_runs > 0, F.transform(starts, run))
+def _word_runs(text: str, skip: int) -> Column:
+    """Hashes of all runs of three words of a text, without ``skip`` words at either end."""
+
+    def runs(words: Column) -> Column:
+        last = F.size(words) - skip - _RUN
+        run = lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(_RUN)])
+        return F.when(last >= skip, F.transform(F.sequence(F.lit(skip), last), run))
+
+    return let(F.split(text, _SPACE), runs)
 
 
 def plaintext_leaks(contents: DataFrame, known: DataFrame) -> DataFrame:
@@ -46,15 +51,12 @@ def plaintext_leaks(contents: DataFrame, known: DataFrame) -> DataFrame:
     contents: id, content; known: item_id, plaintext.
     """
     known = known.filter(F.length("plaintext") > 0)
-    words = F.split("plaintext", _SPACE)
-    n_inner = F.size(words) - 2
-    by_words = known.filter(F.size(words) >= _MIN_WORDS).select(
-        "item_id", F.element_at(F.array_sort(_word_runs(words, 1, n_inner - _RUN + 1)), 1).alias("key"))
-    content_words = F.split("content", _SPACE)
-    content_runs = contents.select("id", F.explode(F.array_distinct(
-        _word_runs(content_words, 0, F.size(content_words) - _RUN + 1))).alias("key"))
-
-    few = known.filter(F.size(words) < _MIN_WORDS)
+    n_words = F.size(F.split("plaintext", _SPACE))
+    by_words = known.filter(n_words >= _MIN_WORDS).select(
+        "item_id", F.array_min(_word_runs("plaintext", 1)).alias("key"))
+    content_runs = contents.select("id", F.explode(F.array_distinct(_word_runs("content", 0))).alias("key"))
+
+    few = known.filter(n_words < _MIN_WORDS)
     width = F.least(F.lit(_MAX_CHARS), F.call_function(
         "shiftleft", F.lit(1), F.length(F.bin(F.length("plaintext").cast("bigint"))).cast("int") - 1))
     by_chars = few.withColumn("width", width).select(

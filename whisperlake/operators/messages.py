@@ -45,7 +45,6 @@ def apply_message_changes(state: DataFrame, log: DataFrame) -> DataFrame:
     folded = live.groupBy("id").agg(
         F.min(F.when(op.isin("add", "replace"), value)).alias("first"),
         F.max(F.when(op == "update", value)).alias("updated"),
-        F.max(F.when(op == "replace", F.struct("seq"))).isNotNull().alias("was_replaced"),
     ).filter("first is not null")
     # The replacing row itself carries the value at that moment.
     places = live.filter("op = 'replace'").select("id", F.col("seq").alias("place_seq"), "peer", "status")
