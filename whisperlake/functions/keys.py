@@ -16,9 +16,7 @@ def _prefix_state(prefix: str) -> int:
     """Checksum state after the human-readable prefix; constant per prefix, so done once on the driver."""
     state = 1
     for v in [ord(c) >> 5 for c in prefix] + [0] + [ord(c) & 31 for c in prefix]:
-        top, state = state >> 25, ((state & 0x1FFFFFF) << 5) ^ v
-        for bit, g in enumerate(GENERATOR):
-            state ^= g if top >> bit & 1 else 0
+        state = ((state & 0x1FFFFFF) << 5) ^ v ^ _mask(state >> 25)
     return state
 
 
@@ -26,12 +24,18 @@ def _long(v: int) -> Column:
     return F.lit(v).cast("bigint")
 
 
+def _mask(top: int) -> int:
+    out = 0
+    for bit, g in enumerate(GENERATOR):
+        out ^= g if top >> bit & 1 else 0
+    return out
+
+
 def _checksum_step(state: Column, value: Column) -> Column:
-    top = F.shiftright(state, 25)
+    # One lookup by the five top bits instead of five conditional XORs.
+    masks = F.array(*[_long(_mask(top)) for top in range(32)])
     mixed = F.shiftleft(state.bitwiseAND(_long(0x1FFFFFF)), 5).bitwiseXOR(value.cast("bigint"))
-    for bit, g in enumerate(GENERATOR):
-        mixed = mixed.bitwiseXOR(F.shiftright(top, bit).bitwiseAND(_long(1)) * _long(g))
-    return mixed
+    return mixed.bitwiseXOR(F.get(masks, F.shiftright(state, 25).cast("int")))
 
 
 def _checksum(prefix: str, values: Column) -> Column:
@@ -44,7 +48,8 @@ def _symbols(text: Column) -> Column:
 
 
 def _letters(values: Column) -> Column:
-    return F.array_join(F.transform(values, lambda v: F.substring(F.lit(ALPHABET), v.cast("int") + 1, F.lit(1))), "")
+    letters = F.array(*map(F.lit, ALPHABET))
+    return F.array_join(F.transform(values, lambda v: F.get(letters, v.cast("int"))), "")
 
 
 def npub(pubkey: str | Column) -> Column:

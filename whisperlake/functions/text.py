@@ -63,31 +63,47 @@ def _replace_all(c: Column, pairs: list[tuple[str, str]]) -> Column:
 
 
 def json_escape(c: str | Column) -> Column:
-    """Escapes a string the way ``JSON.stringify`` does, without the quotes.
-
-    Most strings hold nothing to escape, and hardly any hold rare control characters,
-    so both replacement chains sit behind a test.
-    """
+    """Escapes a string the way ``JSON.stringify`` does, without the quotes, by replacement alone."""
     c = as_col(c)
     short = _replace_all(c, SHORT_ESCAPES)
-    full = _replace_all(short, LONG_ESCAPES)
-    return (
-        F.when(c.rlike(r"[\x00-\x07\x0b\x0e-\x1f]"), full)
-        .when(c.rlike(r'[\x08-\x0d"\\]'), short)
-        .otherwise(c)
-    )
+    return F.when(c.rlike(r"[\x00-\x07\x0b\x0e-\x1f]"), _replace_all(short, LONG_ESCAPES)).otherwise(short)
+
+
+def _has_long_escape(written: Column) -> Column:
+    return F.contains(written, F.lit("\\u00"))
 
 
 def json_string(c: str | Column) -> Column:
-    return F.concat(F.lit('"'), json_escape(c), F.lit('"'))
+    """A quoted JSON string.
+
+    ``to_json`` is by far the fastest writer, but spells rare control characters with capital
+    hex digits; texts where such an escape shows up (or seems to) are escaped by replacement.
+    """
+    c = as_col(c)
+    written = F.to_json(F.array(c))
+    slow = F.concat(F.lit('"'), json_escape(c), F.lit('"'))
+    return F.when(c.isNotNull(), F.when(_has_long_escape(written), slow).otherwise(
+        F.substring(written, F.lit(2), F.length(written) - 2)))
+
+
+def _slow_string_array(c: Column) -> Column:
+    quoted = lambda x: F.concat(F.lit('"'), json_escape(x), F.lit('"'))
+    return F.concat(F.lit("["), F.array_join(F.transform(c, quoted), ","), F.lit("]"))
 
 
 def json_string_array(c: str | Column) -> Column:
-    return F.concat(F.lit("["), F.array_join(F.transform(as_col(c), json_string), ","), F.lit("]"))
+    """JSON of an array of strings without nulls."""
+    c = as_col(c)
+    written = F.to_json(c)
+    return F.when(_has_long_escape(written), _slow_string_array(c)).otherwise(written)
 
 
 def tags_json(tags: str | Column) -> Column:
-    return F.concat(F.lit("["), F.array_join(F.transform(as_col(tags), json_string_array), ","), F.lit("]"))
+    """JSON of a list of tags without nulls."""
+    tags = as_col(tags)
+    written = F.to_json(tags)
+    slow = F.concat(F.lit("["), F.array_join(F.transform(tags, _slow_string_array), ","), F.lit("]"))
+    return F.when(_has_long_escape(written), slow).otherwise(written)
 
 
 def plain_decimal(c: Column, digits: int) -> Column:

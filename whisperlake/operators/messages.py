@@ -31,33 +31,27 @@ def apply_message_changes(state: DataFrame, log: DataFrame) -> DataFrame:
         F.col("seq") > F.coalesce("removed_at", F.lit(-2))).select(*cols)
 
     seq, op = F.col("seq"), F.col("op")
-    # Seen from the placeholder, a replacement is the moment it disappears.
-    gone = live.filter("op = 'replace'").select("seq", F.lit("gone").alias("op"), F.col("old_id").alias("id"),
-                                                F.col("id").alias("old_id"), "peer", "status")
-    first_gone = gone.groupBy("id").agg(F.min("seq").alias("gone_seq"), F.min_by("old_id", "seq").alias("new_id"))
-    adds = live.filter("op = 'add'").groupBy("id").agg(F.min("seq").alias("add_seq"))
-    replaced = first_gone.join(adds, "id").filter("add_seq < gone_seq")
-    # Replacements that found their placeholder take its place even if the new id exists already.
-    in_place = replaced.select(F.col("new_id").alias("id"), F.col("gone_seq").alias("place_seq"))
-    in_place = in_place.groupBy("id").agg(F.min("place_seq").alias("place_seq"))
-
+    # A replacement concerns two ids: for the old one it is the moment it goes away.
+    sides = F.array_compact(F.array(
+        F.struct("id", op.alias("op"), F.lit(None).cast("string").alias("new_id")),
+        F.when(op == "replace", F.struct(F.col("old_id").alias("id"), F.lit("gone").alias("op"), F.col("id").alias("new_id"))),
+    ))
+    by_id = live.select("seq", "peer", "status", F.explode(sides).alias("s")).select("seq", "peer", "status", "s.*")
     value = F.struct("seq", "peer", "status")
-    folded = live.groupBy("id").agg(
+    per_id = by_id.groupBy("id").agg(
         F.min(F.when(op.isin("add", "replace"), value)).alias("first"),
         F.max(F.when(op == "update", value)).alias("updated"),
-    ).filter("first is not null")
-    # The replacing row itself carries the value at that moment.
-    places = live.filter("op = 'replace'").select("id", F.col("seq").alias("place_seq"), "peer", "status")
-    placed = in_place.join(places, ["id", "place_seq"]).select(
-        "id", F.struct(F.col("place_seq").alias("seq"), "peer", "status").alias("placed"))
-    final = F.greatest(F.col("first"), F.col("placed"), F.when(
-        F.col("updated.seq") > F.col("first.seq"), F.col("updated")))
-    return (
-        folded.join(placed, "id", "left")
-        .join(replaced.select("id"), "id", "left_anti")
-        .withColumn("final", final)
-        .select("id", F.col("final.peer").alias("peer"), F.col("final.status").alias("status"))
+        F.min(F.when(op == "add", seq)).alias("add_seq"),
+        F.min(F.when(op == "gone", F.struct("seq", "peer", "status", "new_id"))).alias("gone"),
     )
+    # A placeholder that existed hands its place to the new id, even if that id exists already.
+    handed = F.coalesce(F.col("add_seq") < F.col("gone.seq"), F.lit(False))
+    own = F.when(~handed & F.col("first").isNotNull(), F.struct(
+        "id", F.greatest("first", F.when(F.col("updated.seq") > F.col("first.seq"), F.col("updated"))).alias("value")))
+    placed = F.when(handed, F.struct(
+        F.col("gone.new_id").alias("id"), F.struct("gone.seq", "gone.peer", "gone.status").alias("value")))
+    rows = per_id.select(F.explode(F.array_compact(F.array(own, placed))).alias("r"))
+    return rows.groupBy("r.id").agg(F.max("r.value").alias("v")).select("id", "v.peer", "v.status")
 
 
 def pending_uploads(files: DataFrame, uploads: DataFrame) -> DataFrame:
