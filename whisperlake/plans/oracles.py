@@ -282,9 +282,9 @@ ORACLES["e5_participants"] = sql(EVENTS, f"""select event_id, array_to_string(li
     list_concat({values('tags', 'p')}, [pubkey]), lambda q: q <> {H('event_id % 150')}))), '|') as others from v_events""")
 ORACLES["e6_relay_urls"] = sql("v_urls", f"""select page_id, {web_ok('u')} as valid, {normal_url('u')} as normal, false as onion from v_urls""")
 ORACLES["e7_media_servers"] = sql("v_urls", f"""select owner, array_to_string(list_filter(seen, lambda q: q is not null), '|') as servers, ok as proxy_ok from (
-    select page_id % 50 as owner, arg_min({web_ok('u')}, page_id) as ok, list(rtrim(u, '/') order by page_id) filter (first_seen) as seen
-    from (select *, {web_ok('u')} and row_number() over (partition by page_id % 50, rtrim(u, '/') order by page_id) = 1 as first_seen from v_urls)
-    group by page_id % 50)""")
+    select page_id // 5 as owner, arg_min({web_ok('u')}, page_id) as ok, list(rtrim(u, '/') order by page_id) filter (first_seen) as seen
+    from (select *, {web_ok('u')} and row_number() over (partition by page_id // 5, rtrim(u, '/') order by page_id) = 1 as first_seen from v_urls)
+    group by page_id // 5)""")
 ORACLES["e8_attachment_from_event"] = sql("v_files", f"""select page_id, readable, case when readable then {web_url('url')} end as url,
     case when readable then coalesce(lower(mime), 'application/octet-stream') end as mime, case when readable then key end as key,
     case when readable then nonce end as nonce, case when readable then x end as encrypted_sha256, cast(null as varchar) as plain_sha256,
@@ -413,7 +413,7 @@ ORACLES["j8_relay_status"] = """select owner, cast(row_number() over (partition
     case s_suppkey % 4 when 0 then '● connected' when 1 then '○ connecting…' else
       case when s_suppkey % 8 = 2 then '✕ no route' else '✕ offline' end end as status,
     s_suppkey % 5 = 0 as is_onion, s_suppkey % 4 = 0 as is_connected
-    from (select s_nationkey as owner, s_suppkey, 'wss://r' || s_suppkey || case when s_suppkey % 5 = 0 then '.onion' else '.example.com' end as url from supplier)"""
+    from (select s_suppkey // 5 as owner, s_suppkey, 'wss://r' || s_suppkey || case when s_suppkey % 5 = 0 then '.onion' else '.example.com' end as url from supplier)"""
 ORACLES["j9_resolve_replies"] = """select a.conv_id || '-' || a.turn as id, case when a.turn > 0 then a.conv_id || '-' || (a.turn - 1) end as reply_to,
     b.role as parent_author, cast(length(b.text) as integer) as parent_chars
     from conversations a left join conversations b on b.conv_id = a.conv_id and b.turn = a.turn - 1"""
@@ -475,8 +475,8 @@ ORACLES["w5_chat_list"] = sql(CHATS, f"""select pubkey, title, {_INITIAL} as ini
 ORACLES["w6_contacts_sorted"] = sql("v_contacts named", """select 'all' as tab, pubkey, title as display_name from named
     union all select 'blocked', pubkey, title from named where is_blocked""")
 ORACLES["w7_top_n_list"] = sql("v_urls", f"""select owner, array_to_string((list(n order by page_id))[1:3], '|') as inbox from (
-    select page_id % 40 as owner, page_id, {normal_url('u')} as n from v_urls where {web_ok('u')}
-    qualify row_number() over (partition by page_id % 40, {normal_url('u')} order by page_id) = 1) group by owner""")
+    select page_id // 8 as owner, page_id, {normal_url('u')} as n from v_urls where {web_ok('u')}
+    qualify row_number() over (partition by page_id // 8, {normal_url('u')} order by page_id) = 1) group by owner""")
 
 ORACLES["x1_merge_relays"] = sql(EVENTS + " v_copies", """select id, relay, arrival from v_copies
     qualify row_number() over (partition by id order by arrival, relay) = 1""")

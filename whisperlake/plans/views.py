@@ -44,17 +44,23 @@ def _by_type(**values) -> Column:
     return out
 
 
-def events(spark: SparkSession, sf: str) -> DataFrame:
+def bare_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Events without their id."""
     e = raw_events(spark, sf)
     tag = lambda *parts: F.array(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
     relay = F.concat(F.lit("wss://Relay"), (F.col("event_id") % 5).cast("string"), F.lit(".example.com/"))
     tags = F.when(F.col("event_type") == "signup", F.array(tag("relay", relay))).otherwise(
         F.array(tag("p", H((F.col("user_id") * 7 + F.col("event_id")) % 150)), tag("k", F.col("k"))))
     kind = _by_type(view=14, click=1059, purchase=15, signup=10050, error=13).cast("int")
-    shaped = e.select(
+    return e.select(
         "event_id", "user_id", H("user_id").alias("pubkey"), "created_at", kind.alias("kind"), tags.alias("tags"),
         F.col("props").alias("content"), F.lit(None).cast("string").alias("sig"))
-    return shaped.withColumn("id", event_id())
+
+
+def events(spark: SparkSession, sf: str) -> DataFrame:
+    """Events with their id, which a real log would have stored: computed once, not per use."""
+    bare = bare_events(spark, sf)
+    return staged(bare, bare.columns, [event_id().alias("id")])
 
 
 def events_bad(spark: SparkSession, sf: str) -> DataFrame:

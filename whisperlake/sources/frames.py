@@ -57,10 +57,19 @@ def _event_struct(v: Column) -> Column:
     return let(let(fields, read), complete)
 
 
-def parse_events(df: DataFrame, json_col: str = "json", keep: list[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """(events, quarantine): rows that are no well-formed event keep their text in quarantine."""
+def read_events(df: DataFrame, json_col: str = "json", keep: list[str] = ()) -> DataFrame:
+    """Adds ``event``: the event struct of a JSON text, or null when it is no well-formed event."""
     event = let(F.try_parse_json(json_col), _event_struct).alias("event")
-    both = staged(df, [*keep, json_col], [event])
+    return staged(df, [*keep, json_col], [event])
+
+
+def parse_events(df: DataFrame, json_col: str = "json", keep: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(events, quarantine): rows that are no well-formed event keep their text in quarantine.
+
+    Each result reads its input on its own; to store both from a large dump, write
+    :func:`read_events` once and split that.
+    """
+    both = read_events(df, json_col, keep)
     return (
         both.filter("event is not null").select(*keep, "event.*"),
         both.filter("event is null").select(*keep, json_col),
