@@ -12,7 +12,8 @@ from whisperlake.schemas import MAX_ATTACHMENT_BYTES
 def read_blobs(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """Files under ``path`` keyed by the SHA-256 of their bytes: url (file name), length, content, sha256.
 
-    The length filter reaches the file listing, so oversized files are never read.
+    The length filter reaches the file listing, so oversized files are never read. Empty files
+    give no row; they are never stored, because an empty file is refused when it is sent.
     """
     files = (
         spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
