@@ -48,7 +48,8 @@ def test_filters_and_columns_reach_the_scan(spark):
     path = work_dir(spark, "events")
     views.events(spark, SMALL).write.parquet(path)
     wanted = EventFilter(kinds=[14], since=1_704_100_000)
-    plan = filter_events(spark.read.parquet(path), wanted).select("id")._jdf.queryExecution().executedPlan().toString()
+    found = filter_events(spark.read.parquet(path), wanted).select("id")
+    plan = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
     pushed = re.search(r"PushedFilters: \[(.*?)\]", plan).group(1)
     assert "EqualTo(kind,14)" in pushed or "In(kind" in pushed
     assert "GreaterThanOrEqual(created_at" in pushed

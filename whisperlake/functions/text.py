@@ -8,19 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The two-character escapes of JSON.stringify. Backslash comes first so that
-# later replacements do not escape the backslashes they add.
-SHORT_ESCAPES = [
-    ("\\", "\\\\"),
-    ('"', '\\"'),
-    ("\b", "\\b"),
-    ("\f", "\\f"),
-    ("\n", "\\n"),
-    ("\r", "\\r"),
-    ("\t", "\\t"),
-]
-_SHORT_CHARS = {raw for raw, _ in SHORT_ESCAPES}
-LONG_ESCAPES = [(chr(i), f"\\u{i:04x}") for i in range(0x20) if chr(i) not in _SHORT_CHARS]
+# Control characters whose escape holds a hex letter; the writer below spells it in capitals.
+LETTERED_ESCAPES = ["0b", "0e", "0f", "1a", "1b", "1c", "1d", "1e", "1f"]
 
 # Code points that count as white space when trimming.
 WHITESPACE = "".join(map(chr, [
@@ -58,52 +47,38 @@ def is_blank(c: str | Column) -> Column:
     return F.coalesce(trimmed(c) == "", F.lit(True))
 
 
-def _replace_all(c: Column, pairs: list[tuple[str, str]]) -> Column:
-    return reduce(lambda acc, p: F.replace(acc, F.lit(p[0]), F.lit(p[1])), pairs, c)
+def _lower_escapes(written: Column) -> Column:
+    """Lower-case hex digits in ``\\u00XX`` escapes, but not in texts that merely look like one.
 
+    An escape starts at a backslash with an even number of backslashes in front of it.
+    """
+    fixed = reduce(lambda acc, code: F.regexp_replace(
+        acc, rf"(?<!\\)((?:\\\\)*)\\u00{code.upper()}", rf"$1\\u00{code}"), LETTERED_ESCAPES, written)
+    return F.when(F.contains(written, F.lit("\\u00")), fixed).otherwise(written)
 
-def json_escape(c: str | Column) -> Column:
-    """Escapes a string the way ``JSON.stringify`` does, without the quotes, by replacement alone."""
-    c = as_col(c)
-    short = _replace_all(c, SHORT_ESCAPES)
-    return F.when(c.rlike(r"[\x00-\x07\x0b\x0e-\x1f]"), _replace_all(short, LONG_ESCAPES)).otherwise(short)
 
+def json_string_array(c: str | Column) -> Column:
+    """JSON of an array of strings without nulls, spelled as ``JSON.stringify`` does."""
+    return _lower_escapes(F.to_json(as_col(c)))
 
-def _has_long_escape(written: Column) -> Column:
-    return F.contains(written, F.lit("\\u00"))
 
+def tags_json(tags: str | Column) -> Column:
+    """JSON of a list of tags without nulls."""
+    return _lower_escapes(F.to_json(as_col(tags)))
 
-def json_string(c: str | Column) -> Column:
-    """A quoted JSON string.
 
-    ``to_json`` is by far the fastest writer, but spells rare control characters with capital
-    hex digits; texts where such an escape shows up (or seems to) are escaped by replacement.
-    """
+def json_string(c: str | Column) -> Column:
+    """A quoted JSON string; null stays null."""
     c = as_col(c)
-    written = F.to_json(F.array(c))
-    slow = F.concat(F.lit('"'), json_escape(c), F.lit('"'))
-    return F.when(c.isNotNull(), F.when(_has_long_escape(written), slow).otherwise(
-        F.substring(written, F.lit(2), F.length(written) - 2)))
+    written = json_string_array(F.array(c))
+    return F.when(c.isNotNull(), F.substring(written, F.lit(2), F.length(written) - 2))
 
 
-def _slow_string_array(c: Column) -> Column:
-    quoted = lambda x: F.concat(F.lit('"'), json_escape(x), F.lit('"'))
-    return F.concat(F.lit("["), F.array_join(F.transform(c, quoted), ","), F.lit("]"))
-
-
-def json_string_array(c: str | Column) -> Column:
-    """JSON of an array of strings without nulls."""
+def json_escape(c: str | Column) -> Column:
+    """Escapes a string the way ``JSON.stringify`` does, without the quotes."""
     c = as_col(c)
-    written = F.to_json(c)
-    return F.when(_has_long_escape(written), _slow_string_array(c)).otherwise(written)
-
-
-def tags_json(tags: str | Column) -> Column:
-    """JSON of a list of tags without nulls."""
-    tags = as_col(tags)
-    written = F.to_json(tags)
-    slow = F.concat(F.lit("["), F.array_join(F.transform(tags, _slow_string_array), ","), F.lit("]"))
-    return F.when(_has_long_escape(written), slow).otherwise(written)
+    written = json_string_array(F.array(c))
+    return F.when(c.isNotNull(), F.substring(written, F.lit(3), F.length(written) - 4))
 
 
 def plain_decimal(c: Column, digits: int) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from whisperlake.functions import keys, labels, media, padding, text, urls
-from whisperlake.functions.events import event_id, event_json, first_tag, participants, tag_values
+from whisperlake.functions.events import event_id, first_tag, participants, tag_values
 from whisperlake.operators import (
     attachments, audit, build, contacts, conversations, delivery, filters, inbox, merge, messages, validation,
 )

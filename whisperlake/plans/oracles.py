@@ -6,11 +6,15 @@ from whisperlake.functions.keys import ALPHABET, GENERATOR, _prefix_state
 from whisperlake.functions.media import (
     EXTENSION_BY_FAMILY, EXTENSION_BY_TYPE, KIND_BY_FAMILY, LABEL_BY_KIND, TYPE_BY_EXTENSION,
 )
-from whisperlake.functions.text import LONG_ESCAPES, SHORT_ESCAPES
 from whisperlake.functions.urls import URL_PATTERN
 from whisperlake.plans.views import DAY, EPOCH, ME, NOW
 
 
+# The two-character escapes of a JSON string, backslash first, then the rest below 0x20.
+SHORT_ESCAPES = [("\\", "\\\\"), ('"', '\\"'), ("\b", "\\b"), ("\f", "\\f"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")]
+LONG_ESCAPES = [(chr(i), f"\\u{i:04x}") for i in range(0x20) if chr(i) not in {raw for raw, _ in SHORT_ESCAPES}]
+
+
 def H(x) -> str:
     return f"sha256(cast(({x}) as varchar))"
 

@@ -26,12 +26,18 @@ def configure_session(spark: SparkSession) -> SparkSession:
     return spark
 
 
+# Folders for sessions without a configured one (tests only), by application.
+_local_roots: dict[str, str] = {}
+
+
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names, or a fresh local one when unset (tests)."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``; a fresh local one where it is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        if app not in _local_roots:
+            _local_roots[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        root = _local_roots[app]
     return root.rstrip("/")
 
 

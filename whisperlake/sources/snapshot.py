@@ -93,10 +93,18 @@ def snapshot_json() -> Column:
         F.col("settings").alias("Settings")))
 
 
-def _path(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+def _publish(spark: SparkSession, body: str, temp: str, final: str) -> None:
+    """Writes a small file aside and renames it over ``final`` in one step."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    fs = jvm.org.apache.hadoop.fs
+    source, target = fs.Path(temp), fs.Path(final)
+    out = source.getFileSystem(conf).create(source, True)
+    out.write(bytearray(body.encode()))
+    out.close()
+    rename = fs.Options.Rename
+    flags = spark.sparkContext._gateway.new_array(rename, 1)
+    flags[0] = rename.OVERWRITE
+    fs.FileContext.getFileContext(source.toUri(), conf).rename(source, target, flags)
 
 
 def write_snapshot(spark: SparkSession, tables: dict[str, DataFrame], path: str) -> str:
@@ -109,15 +117,7 @@ def write_snapshot(spark: SparkSession, tables: dict[str, DataFrame], path: str)
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{path}/versions/{version}/{name}")
     body = json.dumps({"version": version, "tables": sorted(tables)})
-    temp, fs = _path(spark, f"{path}/CURRENT-{version}")
-    out = fs.create(temp, True)
-    out.write(bytearray(body.encode()))
-    out.close()
-    final, _ = _path(spark, f"{path}/CURRENT")
-    # Not every store can rename over an existing file, so fall back to delete and rename.
-    if not fs.rename(temp, final):
-        fs.delete(final, False)
-        fs.rename(temp, final)
+    _publish(spark, body, f"{path}/CURRENT-{version}", f"{path}/CURRENT")
     return version
 
 
