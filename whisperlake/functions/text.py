@@ -8,9 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Control characters whose escape holds a hex letter; the writer below spells it in capitals.
-LETTERED_ESCAPES = ["0b", "0e", "0f", "1a", "1b", "1c", "1d", "1e", "1f"]
-
 # Code points that count as white space when trimming.
 WHITESPACE = "".join(map(chr, [
     *range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
@@ -50,10 +47,11 @@ def is_blank(c: str | Column) -> Column:
 def _lower_escapes(written: Column) -> Column:
     """Lower-case hex digits in ``\\u00XX`` escapes, but not in texts that merely look like one.
 
-    An escape starts at a backslash with an even number of backslashes in front of it.
+    An escape starts at a backslash with an even number of backslashes in front of it. Only
+    control characters are escaped this way, so the digit before the letter is 0 or 1.
     """
-    fixed = reduce(lambda acc, code: F.regexp_replace(
-        acc, rf"(?<!\\)((?:\\\\)*)\\u00{code.upper()}", rf"$1\\u00{code}"), LETTERED_ESCAPES, written)
+    fixed = reduce(lambda acc, letter: F.regexp_replace(
+        acc, rf"(?=\\)(?<!\\)((?:\\\\)*\\u00[01]){letter}", f"$1{letter.lower()}"), "ABCDEF", written)
     return F.when(F.contains(written, F.lit("\\u00")), fixed).otherwise(written)
 
 

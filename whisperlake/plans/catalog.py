@@ -144,8 +144,8 @@ def _(spark, sf):
 def _(spark, sf):
     d = v.table(spark, sf, "documents")
     odd = F.concat("text", F.when(F.col("doc_id") % 4 == 0, "\x01\x1f\x0b\"\\").otherwise(""))
-    escaped = text.json_string(odd)
-    return d.select("doc_id", F.octet_length(escaped).alias("n_bytes"), F.sha2(escaped.cast("binary"), 256).alias("digest"))
+    escaped = text.staged(text.staged(d, ["doc_id"], [odd.alias("odd")]), ["doc_id"], [text.json_string("odd").alias("e")])
+    return escaped.select("doc_id", F.octet_length("e").alias("n_bytes"), F.sha2(F.col("e").cast("binary"), 256).alias("digest"))
 
 
 @query("e3_event_id")
