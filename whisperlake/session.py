@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -26,18 +25,15 @@ def configure_session(spark: SparkSession) -> SparkSession:
     return spark
 
 
-# Folders for sessions without a configured one (tests only), by application.
-_local_roots: dict[str, str] = {}
-
-
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``; a fresh local one where it is unset."""
+    """The shared folder named in ``spark.checkpoint.dir``; where it is unset, one beside the session's tables.
+
+    Both are shared by the driver and all executors. There is no machine-local choice: on a cluster each executor
+    would write to its own disk, and reading back would miss files.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        app = spark.sparkContext.applicationId
-        if app not in _local_roots:
-            _local_roots[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        root = _local_roots[app]
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
     return root.rstrip("/")
 
 
