@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from whisperlake.llm import packing, wavelet
+from whisperlake.llm import packing, quality_model, quality_rules, wavelet
 from whisperlake.session import configure_session, work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +47,16 @@ def _(spark, sf):
     path = work_dir(spark, "token-files")
     wavelet.write_shards(table(spark, sf, "documents"), path)
     return wavelet.read_documents(spark, path)
+
+
+@query("op8_quality_model")
+def _(spark, sf):
+    """Every document's quality score."""
+    return quality_model.score(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op9_quality_rules")
+def _(spark, sf):
+    """Counts, distances and verdict of every document."""
+    docs = table(spark, sf, "documents")
+    return docs.select("doc_id", quality_rules.verdict(docs).alias("v")).select("doc_id", "v.*")
