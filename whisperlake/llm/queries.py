@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from whisperlake.llm import packing, quality_model, quality_rules, wavelet
+from whisperlake.llm import packing, quality_model, quality_rules, simhash, wavelet
 from whisperlake.session import configure_session, work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,9 @@ def _(spark, sf):
     """Counts, distances and verdict of every document."""
     docs = table(spark, sf, "documents")
     return docs.select("doc_id", quality_rules.verdict(docs).alias("v")).select("doc_id", "v.*")
+
+
+@query("op7_simhash")
+def _(spark, sf):
+    """Fingerprint and near-duplicate component of every document."""
+    return simhash.near_duplicates(table(spark, sf, "documents"))
