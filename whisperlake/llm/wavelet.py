@@ -26,7 +26,7 @@ _BLOCK = 512
 _BYTES = _BLOCK // 8
 # A shard ends with the document that brings it to so many ids.
 SHARD_IDS = 2 << 20
-_SLICE = 12 << 20
+_SLICE = 8 << 20
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
