@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from whisperlake.llm import packing, quality_model, quality_rules, simhash, wavelet
+from whisperlake.llm import decontaminate, packing, quality_model, quality_rules, simhash, wavelet
 from whisperlake.session import configure_session, work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,9 @@ def _(spark, sf):
 def _(spark, sf):
     """Fingerprint and near-duplicate component of every document."""
     return simhash.near_duplicates(table(spark, sf, "documents"))
+
+
+@query("op10_decontamination")
+def _(spark, sf):
+    """Benchmark items that leak into documents."""
+    return decontaminate.leaked_items(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
