@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from whisperlake.llm import decontaminate, packing, quality_model, quality_rules, simhash, url_filter, wavelet
+from whisperlake.llm import decontaminate, packing, quality_model, quality_rules, simhash, toxicity, url_filter, wavelet
 from whisperlake.session import configure_session, work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,9 @@ def _(spark, sf):
 def _(spark, sf):
     """Host, path, rule and verdict of every page's URL."""
     return url_filter.judge(table(spark, sf, "pages"))
+
+
+@query("op6_toxicity")
+def _(spark, sf):
+    """Every document's toxicity score."""
+    return toxicity.score(table(spark, sf, "documents"), table(spark, sf, "labels"))
