@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from whisperlake.llm import decontaminate, packing, quality_model, quality_rules, simhash, toxicity, url_filter, wavelet
+from whisperlake.llm import decontaminate, lm_scores, packing, quality_model, quality_rules, simhash, toxicity, url_filter, wavelet
 from whisperlake.session import configure_session, work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,29 @@ def _(spark, sf):
 def _(spark, sf):
     """Every document's toxicity score."""
     return toxicity.score(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op5_lm_scores")
+def _(spark, sf):
+    """Every document's stupid-backoff score under the bigram counts of all documents."""
+    out = lm_scores.score(table(spark, sf, "documents"))
+    return out.withColumn("log_score", F.round("log_score", 3)).withColumn("score", F.round("score", 6))
+
+
+ORACLES["op5_lm_scores"] = r"""
+with w as (
+  select doc_id, [x for x in regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+') if x <> ''] as words
+  from documents),
+p as (select doc_id, unnest(words) as b, unnest(list_concat([null], words[:-2])) as a, len(words) as n from w),
+one as (select b, count(*) as n from p group by b),
+two as (select a, b, count(*) as n from p where a is not null group by a, b),
+total as (select count(*) as n from p),
+s as (
+  select p.doc_id, coalesce(p.a is not null and two.n < 2, false) as given_up,
+    case when two.n >= 2 then ln(two.n / c.n) when p.a is null then ln(one.n / total.n) else ln(0.4) + ln(one.n / total.n) end as log_s
+  from p cross join total join one on one.b = p.b left join one as c on c.b = p.a left join two on two.a = p.a and two.b = p.b)
+select w.doc_id, len(w.words) as n_words, cast(coalesce(g.n_backoff, 0) as bigint) as n_backoff,
+  round(coalesce(g.log_score, 0), 3) as log_score, round(g.log_score / len(w.words), 6) as score
+from w left join (
+  select doc_id, count(*) filter (where given_up) as n_backoff, sum(log_s) as log_score from s group by doc_id) g using (doc_id)"""
