@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from whisperlake.llm import decontaminate, lm_scores, packing, quality_model, quality_rules, simhash, toxicity, url_filter, wavelet
+from whisperlake.llm import decontaminate, line_dedup, lm_scores, packing, quality_model, quality_rules, simhash, toxicity, url_filter, wavelet
 from whisperlake.session import configure_session, work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,9 @@ select w.doc_id, len(w.words) as n_words, cast(coalesce(g.n_backoff, 0) as bigin
   round(coalesce(g.log_score, 0), 3) as log_score, round(g.log_score / len(w.words), 6) as score
 from w left join (
   select doc_id, count(*) filter (where given_up) as n_backoff, sum(log_s) as log_score from s group by doc_id) g using (doc_id)"""
+
+
+@query("op1_line_dedup")
+def _(spark, sf):
+    """Class, links and removal of every line of all documents."""
+    return line_dedup.similar_lines(table(spark, sf, "documents"))
