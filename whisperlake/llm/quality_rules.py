@@ -1,7 +1,7 @@
 """Quality rules: documents whose character classes or common words diverge from every language's own profile go.
 
-For each language, the profile is the sum over all its documents that pass the base rules: the share of each character class, and
-of each common word (the remaining words together are one more share). A document is measured against the language whose common words are nearest, by
+For each language, the profile has the usual share of each character class, and of each common word (the remaining words together
+are one more share), over all its documents that pass the base rules. A document is measured against the language whose common words are nearest, by
 the Jensen-Shannon distance (base 2: 0 for equal, 1 for disjoint distributions). Short texts vary by chance, so the common words are
 measured from ``min_words`` words on, the characters from ``min_chars`` characters on.
 """
@@ -53,48 +53,57 @@ def _word_counts(common: np.ndarray, n_words: np.ndarray, lang: str) -> np.ndarr
     return np.concatenate((own, (n_words - own.sum(axis=1))[:, None]), axis=1)
 
 
+# Steps of a share's square root in the histograms that medians are read from.
+_BINS = 512
 Profiles = dict[str, tuple[np.ndarray, np.ndarray]]
 
 
-def _profile_sums(known: Profiles, limits: Limits):
-    def run(batches):
-        width = len(CLASSES) + len(ALL_COMMON) + 1
-        sums = {lang: np.zeros(width, np.int64) for lang in COMMON}
-        for batch in batches:
-            langs = np.array(batch.column(1).to_pylist(), object)
-            for at, part in slices(texts_of(batch.column(0))):
-                s = statistics(part)
-                row = np.concatenate((s["classes"], s["common"], s["n_words"][:, None]), axis=1)
-                good = judged(s, langs[at:at + len(part)], known, limits)["kept"]
-                for lang, total in sums.items():
-                    total += row[good & (langs[at:at + len(part)] == lang)].sum(axis=0)
-        yield pa.RecordBatch.from_pydict({
-            "lang": [lang for lang in sums for _ in range(width)], "position": list(range(width)) * len(sums),
-            "n": [int(x) for total in sums.values() for x in total]},
-            schema=pa.schema([("lang", pa.string()), ("position", pa.int32()), ("n", pa.int64())]))
+def _shares(s: dict[str, np.ndarray], rows: np.ndarray, lang: str) -> np.ndarray:
+    """Shares of character classes, then of the language's common words and the rest, for some of the texts."""
+    classes, word = s["classes"][rows], _word_counts(s["common"][rows], s["n_words"][rows], lang)
+    return np.concatenate([x / np.maximum(x.sum(axis=1, keepdims=True), 1) for x in (classes, word)], axis=1)
 
-    return run
 
+def _profile_cells(batches):
+    width = {lang: len(CLASSES) + len(ws) + 1 for lang, ws in COMMON.items()}
+    total = {lang: np.zeros(width[lang] * _BINS, np.int64) for lang in COMMON}
+    for batch in batches:
+        langs = np.array(batch.column(1).to_pylist(), object)
+        for at, part in slices(texts_of(batch.column(0))):
+            s = statistics(part)
+            good = ~base_failed(s["n_words"], s["n_repeat_words"])
+            for lang, cells in total.items():
+                rows = np.flatnonzero(good & (langs[at:at + len(part)] == lang))
+                cell = (np.sqrt(_shares(s, rows, lang)) * (_BINS - 1)).round().astype(np.int64) + np.arange(width[lang]) * _BINS
+                cells += np.bincount(cell.ravel(), np.repeat(s["n_words"][rows], width[lang]), len(cells)).astype(np.int64)
+    for lang, cells in total.items():
+        used = np.flatnonzero(cells)
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used), pa.array(cells[used])],
+                                         names=["lang", "cell", "weight"])
 
-def profiles(docs: DataFrame, limits: Limits = Limits(), rounds: int = 2) -> Profiles:
+
+def profiles(docs: DataFrame) -> Profiles:
     """For each supported language in ``docs`` (text, lang): shares of character classes and of common words.
 
-    The tasks add up all documents; what comes to the driver is one number for each language and position. The first round takes
-    all documents that pass the base rules, each later one those that the round before keeps, so that junk doesn't shape a profile.
+    A share is the median over all documents that pass the base rules, weighted by their words, so that junk shapes no profile
+    as long as it is less than half of a language. The tasks add up all documents in histograms of a fixed number of cells, which are what
+    comes to the driver.
     """
     share_package(docs.sparkSession)
-    out: Profiles = {}
-    for _ in range(rounds):
-        sums = docs.select(F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(
-            _profile_sums(out, limits), "lang string, position int, n long")
-        total = {lang: np.zeros(len(CLASSES) + len(ALL_COMMON) + 1, np.int64) for lang in COMMON}
-        for r in sums.groupBy("lang", "position").agg(F.sum("n").alias("n")).collect():
-            total[r.lang][r.position] = r.n
-        out = {}
-        for lang, t in total.items():
-            if t[-1]:
-                classes, word = t[:len(CLASSES)], _word_counts(t[None, len(CLASSES):-1], t[-1:], lang)[0]
-                out[lang] = (classes / classes.sum(), word / word.sum())
+    sums = docs.select(F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(
+        _profile_cells, "lang string, cell long, weight long")
+    found: dict[str, dict[int, int]] = {lang: {} for lang in COMMON}
+    for r in sums.groupBy("lang", "cell").agg(F.sum("weight").alias("weight")).collect():
+        found[r.lang][r.cell] = r.weight
+    out = {}
+    for lang, cells in found.items():
+        if cells:
+            weight = np.zeros((len(CLASSES) + len(COMMON[lang]) + 1) * _BINS)
+            weight[list(cells)] = list(cells.values())
+            below = weight.reshape(-1, _BINS).cumsum(axis=1)
+            share = ((below >= below[:, -1:] / 2).argmax(axis=1) / (_BINS - 1)) ** 2
+            classes, word = share[:len(CLASSES)], share[len(CLASSES):]
+            out[lang] = (classes / classes.sum(), word / word.sum())
     return out
 
 
@@ -134,7 +143,7 @@ def verdict(docs: DataFrame, limits: Limits = Limits()) -> Column:
     rules. With a null ``lang`` the nearest profile decides; a named language without profile is judged by the base rules alone.
     Repeated rows get the same result. Other columns are not read.
     """
-    known = profiles(docs, limits)
+    known = profiles(docs)
 
     def judge(text: pa.Array, lang: pa.Array) -> pa.Array:
         langs = np.array(lang.to_pylist(), object)

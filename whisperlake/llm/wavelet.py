@@ -83,20 +83,23 @@ class WaveletMatrix:
 
     def _rank1(self, level: int, at: np.ndarray) -> np.ndarray:
         """Set bits before each position (0 to n)."""
-        plane, block = self.planes[level], at // _BLOCK
+        plane = self.planes[level] if self.n else np.zeros(1, np.uint8)
+        block = at // _BLOCK
         out = self.blocks[level][block].astype(np.int64)
         byte = at >> 3
         for k in range(_BYTES):
             here = block * _BYTES + k
             use = here < byte
-            out += np.where(use, _POPCOUNT[plane[np.minimum(here, max(len(plane) - 1, 0))]] if len(plane) else 0, 0)
+            out += np.where(use, _POPCOUNT[plane[np.minimum(here, len(plane) - 1)]], 0)
         part = (at & 7).astype(np.int64)
-        tail = np.where(part > 0, plane[np.minimum(byte, max(len(plane) - 1, 0))] >> (8 - np.maximum(part, 1)).astype(np.uint8), 0)
+        tail = np.where(part > 0, plane[np.minimum(byte, len(plane) - 1)] >> (8 - np.maximum(part, 1)).astype(np.uint8), 0)
         return out + _POPCOUNT[tail]
 
     def access(self, at) -> np.ndarray:
         """The ids at positions ``at``."""
-        at = np.atleast_1d(np.asarray(at, np.int64)).copy()
+        at = np.atleast_1d(np.asarray(at, np.int64))
+        if not len(at):
+            return at
         out = np.zeros(len(at), np.int64)
         for level in range(self.levels):
             one = self._bit(level, at).astype(bool)
