@@ -9,12 +9,15 @@ number), stands for all. Classes are joined where the Jaccard similarity of thei
 * what can still follow the shared word in both sets must reach the overlap needed (positional filter);
 * the pairs that are left are verified on the words themselves.
 
-A line goes if an earlier line has an equal or similar set. Rarity comes from a table of counters of fixed size over all documents;
-it only orders the words, and any order gives the same result.
+A line goes if an earlier line has an equal or similar set. Rarity comes from a summary of the frequent words of all documents:
+each task reports the words that it has seen ``_OFTEN`` times or more, and the ``MOST_WORDS`` with the largest sums are kept. All other
+words are rarer than those. The summary only orders the words; any order gives the same result.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -22,12 +25,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from whisperlake.llm.arrays import hashes, mixed, ragged, slices, texts_of, words
-from whisperlake.llm.store import share_package, written
+from whisperlake.llm.store import sent_if_small, share_package, written
 
 # Similarity as a fraction, so that all bounds are whole numbers.
 NUMERATOR, DENOMINATOR = 4, 5
-COUNTERS = 1 << 17
+MOST_WORDS = 1 << 17
+_OFTEN = 4
 _SALT = np.uint64(0xD6E8FEB86659FD93)
+_SLICE = 8 << 20
+
+
+class Frequent(NamedTuple):
+    """Hashes of frequent words, sorted, and their counts."""
+
+    word: np.ndarray
+    count: np.ndarray
+
+    def of(self, value: np.ndarray) -> np.ndarray:
+        """Counts; 0 for a word that is not frequent."""
+        if not len(self.word):
+            return np.zeros(len(value), np.int64)
+        at = np.minimum(np.searchsorted(self.word, value), len(self.word) - 1)
+        return np.where(self.word[at] == value, self.count[at], 0)
 
 
 def needed(n: np.ndarray) -> np.ndarray:
@@ -41,37 +60,34 @@ def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return parts.flatten(), parts.offsets.to_numpy().astype(np.int64)
 
 
-def _slot(value: np.ndarray) -> np.ndarray:
-    return (value % np.uint64(COUNTERS)).astype(np.int64)
-
-
 def _count_words(batches):
-    total = np.zeros(COUNTERS, np.int64)
+    word, n = np.empty(0, np.uint64), np.empty(0, np.int64)
     for batch in batches:
-        for _, part in slices(texts_of(batch.column(0))):
+        for _, part in slices(texts_of(batch.column(0)), _SLICE):
             w = words(pc.ascii_lower(part))
-            if len(w.codes):
-                total += np.bincount(_slot(hashes(w.vocab)), np.bincount(w.codes, minlength=len(w.vocab)), COUNTERS).astype(np.int64)
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["slot", "n"])
+            word = np.concatenate((word, hashes(w.vocab)))
+            word, which = np.unique(word, return_inverse=True)
+            n = np.bincount(which, np.concatenate((n, np.bincount(w.codes, minlength=len(w.vocab))))).astype(np.int64)
+    often = n >= _OFTEN
+    yield pa.RecordBatch.from_arrays([pa.array(word[often].view(np.int64)), pa.array(n[often])], names=["word", "n"])
 
 
-def word_counts(docs: DataFrame) -> np.ndarray:
-    """Occurrences of the words of each slot, over all of ``docs`` (text)."""
-    out = np.zeros(COUNTERS, np.int64)
-    sums = docs.select(F.col("text").cast("string")).mapInArrow(_count_words, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    for r in sums.toLocalIterator():
-        out[r.slot] = r.n
-    return out
+def frequent_words(docs: DataFrame) -> Frequent:
+    """The summary of all of ``docs`` (text)."""
+    seen = docs.select(F.col("text").cast("string")).mapInArrow(_count_words, "word long, n long")
+    top = seen.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(MOST_WORDS).toArrow()
+    word = top.column("word").to_numpy().view(np.uint64)
+    order = np.argsort(word)
+    return Frequent(word[order], top.column("n").to_numpy()[order])
 
 
-def line_sets(lines: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def line_sets(lines: pa.Array, frequent: Frequent) -> tuple[np.ndarray, np.ndarray]:
     """Distinct words of each line as hashes, rare ones first, and where each line begins."""
     w = words(lines)
     if not len(w.codes):
         return np.empty(0, np.uint64), np.zeros(len(lines) + 1, np.int64)
     value = hashes(w.vocab)
-    order = np.lexsort((value, counts[_slot(value)]))
+    order = np.lexsort((value, frequent.of(value)))
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     keys = np.unique(w.owner * np.int64(len(order)) + rank[w.codes])
@@ -93,12 +109,12 @@ def set_keys(value: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out[0], out[1]
 
 
-def _line_rows(counts: np.ndarray):
+def _line_rows(frequent: Frequent):
     def run(batches):
         for batch in batches:
-            for at, part in slices(texts_of(batch.column(1))):
+            for at, part in slices(texts_of(batch.column(1)), _SLICE):
                 lines, first = _split(part)
-                value, starts = line_sets(lines, counts)
+                value, starts = line_sets(lines, frequent)
                 n = np.diff(starts)
                 filled = np.flatnonzero(n)
                 owner = np.repeat(np.arange(len(part)), np.diff(first))[filled]
@@ -117,16 +133,16 @@ def _line_rows(counts: np.ndarray):
     return run
 
 
-def _needed_lines(counts: np.ndarray):
+def _needed_lines(frequent: Frequent):
     """Words of the lines that are asked for: rows (text, lines) to (k1, words)."""
     def run(batches):
         for batch in batches:
-            for at, part in slices(texts_of(batch.column(0))):
+            for at, part in slices(texts_of(batch.column(0)), _SLICE):
                 lines, first = _split(part)
                 asked = batch.column(1).slice(at, len(part))
                 number = np.asarray(asked.value_lengths()).astype(np.int64)
                 which = np.repeat(first[:-1], number) + np.asarray(asked.flatten()).astype(np.int64)
-                value, starts = line_sets(lines.take(pa.array(which)), counts)
+                value, starts = line_sets(lines.take(pa.array(which)), frequent)
                 k1, _ = set_keys(value, starts)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(k1), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(value.view(np.int64)))],
@@ -137,14 +153,21 @@ def _needed_lines(counts: np.ndarray):
 
 def candidates(sets: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) of set names that pass all filters, from ``sets`` (k1, n, prefix)."""
-    rows = sets.select("k1", "n", F.posexplode("prefix").alias("at", "word"))
-    a = rows.toDF("a", "na", "pa", "word")
-    b = rows.toDF("b", "nb", "pb", "word")
-    least, most = F.least("na", "nb"), F.greatest("na", "nb")
+    # Two numbers a row besides the word: the name, and how many words the set has with those left from this one on.
+    rows = sets.select("k1", "n", F.posexplode("prefix").alias("at", "word")).select(
+        "k1", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR((F.col("n") - F.col("at")).cast("long")).alias("size"), "word")
+
+    def side(name: str) -> DataFrame:
+        return rows.toDF(name, f"s{name}", "word")
+
+    a, b = side("a"), side("b")
+    na, nb = F.shiftright("sa", 32), F.shiftright("sb", 32)
+    least, most = F.least(na, nb), F.greatest(na, nb)
     # Overlap of similar sets: at least (na + nb) * s / (1 + s).
-    reach = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))  # with the shared word itself
+    low = F.lit((1 << 32) - 1)
+    reach = F.least(F.col("sa").bitwiseAND(low), F.col("sb").bitwiseAND(low))  # with the shared word itself
     fits = (F.col("a") < F.col("b")) & (least * DENOMINATOR >= most * NUMERATOR) & (
-        reach * (NUMERATOR + DENOMINATOR) >= (F.col("na") + F.col("nb")) * NUMERATOR)
+        reach * (NUMERATOR + DENOMINATOR) >= (na + nb) * NUMERATOR)
     return a.join(b, "word").filter(fits).select("a", "b").distinct()
 
 
@@ -162,16 +185,18 @@ def similar_lines(docs: DataFrame) -> DataFrame:
     """
     share_package(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    counts = word_counts(texts)
-    lines = written(texts.mapInArrow(_line_rows(counts), _LINE_DDL), "lines")
-    first = F.min(_key("doc_id", "line_no")).alias("first")
-    sets = lines.groupBy("k1", "k2").agg(first, F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    frequent = frequent_words(texts)
+    lines = written(texts.mapInArrow(_line_rows(frequent), _LINE_DDL), "lines")
+    sets = written(lines.groupBy("k1", "k2").agg(
+        F.min(_key("doc_id", "line_no")).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "sets")
+    firsts = sets.select("k1", "k2", "first")
     pairs = written(candidates(sets.filter(f"n >= {NUMERATOR}")), "candidates")
-    firsts = lines.groupBy("k1", "k2").agg(first)
     both = pairs.select(F.col("a").alias("k1")).union(pairs.select("b")).distinct()
-    asked = firsts.join(both, "k1").groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_set("first.line_no").alias("lines"))
-    found = texts.join(asked, texts.doc_id.eqNullSafe(asked.doc_id)).select("text", "lines")
-    token = found.mapInArrow(_needed_lines(counts), "k1 long, words array<long>").dropDuplicates(["k1"])
+    asked = written(firsts.join(both, "k1").groupBy(F.col("first.doc_id").alias("doc_id")).agg(
+        F.collect_set("first.line_no").alias("lines")), "asked-lines")
+    few = sent_if_small(asked, 24 + 4 * F.size("lines"))
+    found = texts.join(few, texts.doc_id.eqNullSafe(few.doc_id)).select("text", "lines")
+    token = found.mapInArrow(_needed_lines(frequent), "k1 long, words array<long>").dropDuplicates(["k1"])
     checked = pairs.join(token.toDF("a", "wa"), "a").join(token.toDF("b", "wb"), "b")
     shared = F.size(F.array_intersect("wa", "wb"))
     similar = checked.filter(shared * (NUMERATOR + DENOMINATOR) >= (F.size("wa") + F.size("wb")) * NUMERATOR).select("a", "b")
@@ -193,11 +218,12 @@ def remove_lines(docs: DataFrame) -> DataFrame:
     Documents that lose nothing keep their text as it is, also a null one.
     """
     found = written(similar_lines(docs), "line-decisions")
-    gone = found.groupBy(F.col("doc_id").alias("__id")).agg(
+    gone = written(found.groupBy(F.col("doc_id").alias("__id")).agg(
         F.collect_set(F.when(F.col("removed"), F.col("line_no"))).alias("__gone"), F.count(F.when(~F.col("removed"), 1)).alias("__left")
-    ).filter(F.size("__gone") > 0)
+    ).filter(F.size("__gone") > 0), "removed-lines")
     # eqNullSafe is an equi-join; documents without losses have no partner.
-    both = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__id")), "left").filter("__gone is null or __left > 0")
+    few = sent_if_small(gone, 32 + 4 * F.size("__gone"))
+    both = docs.join(few, docs["doc_id"].eqNullSafe(F.col("__id")), "left").filter("__gone is null or __left > 0")
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("__gone"), i))
     text = F.when(F.col("__gone").isNull(), docs["text"]).otherwise(F.array_join(kept, "\n"))
     return both.withColumn("text", text).select(docs.columns)

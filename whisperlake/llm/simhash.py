@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from whisperlake.llm.arrays import slices, texts_of
 from whisperlake.llm.components import components
-from whisperlake.llm.store import share_package, written
+from whisperlake.llm.store import sent_if_small, share_package, written
 
 SHINGLE = 4
 SEED = 42
@@ -167,8 +167,9 @@ def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     others by name and stay.
     """
     found = written(near_duplicates(docs, distance), "components")
-    out = found.filter("doc_id != component_id").select("doc_id").distinct()
-    again = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    out = written(found.filter("doc_id != component_id").select("doc_id").distinct(), "near-copies")
+    again = written(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated-ids")
+    out, again = sent_if_small(out, 16), sent_if_small(again, 16)
     kept = docs.join(out, "doc_id", "left_anti")
     repeated = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.join(again, "doc_id", "left_anti").unionByName(repeated).select(docs.columns)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from whisperlake.session import work_dir
 
@@ -26,3 +27,13 @@ def share_package(spark: SparkSession) -> None:
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+
+
+# Largest table, in bytes, that is sent to all executors instead of shuffling the other side of a join.
+BROADCAST_BYTES = 32 << 20
+
+
+def sent_if_small(table: DataFrame, row_bytes: Column | int) -> DataFrame:
+    """``table`` (stored) with a broadcast hint if its measured size allows, else as it is: then the join shuffles both sides."""
+    size = table.agg(F.sum(row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes))).first()[0] or 0
+    return F.broadcast(table) if size <= BROADCAST_BYTES else table
