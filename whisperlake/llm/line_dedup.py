@@ -7,6 +7,7 @@ number), stands for all. Classes are joined where the Jaccard similarity of thei
   sets that are similar enough share one of these (prefix filter);
 * the sizes of similar sets differ by a quarter at most (length filter);
 * what can still follow the shared word in both sets must reach the overlap needed (positional filter);
+* a word of only one of the sets flips one of 64 parity bits, so similar sets differ in few of these bits (bitmap filter);
 * the pairs that are left are verified on the words themselves.
 
 A line goes if an earlier line has an equal or similar set. Rarity comes from a summary of the frequent words of all documents:
@@ -96,8 +97,8 @@ def line_sets(lines: pa.Array, frequent: Frequent) -> tuple[np.ndarray, np.ndarr
 
 
 _LINE = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("n", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()),
-                   ("prefix", pa.list_(pa.int32()))])
-_LINE_DDL = "doc_id long, line_no int, n int, k1 long, k2 long, prefix array<int>"
+                   ("parity", pa.int64()), ("prefix", pa.list_(pa.int32()))])
+_LINE_DDL = "doc_id long, line_no int, n int, k1 long, k2 long, parity long, prefix array<int>"
 
 
 def set_keys(value: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,12 +123,15 @@ def _line_rows(frequent: Frequent):
                 # Sets of fewer words are only similar to equal ones.
                 join = n[filled] >= NUMERATOR
                 length = np.where(join, n[filled] - needed(n[filled]) + 1, 0)
+                bits = np.uint64(1) << (value >> np.uint64(58))
+                parity = np.bitwise_xor.reduceat(bits, starts[:-1][filled]) if len(filled) else bits
                 prefix = value[ragged(starts[:-1][filled], length)]
                 ends = np.concatenate(([0], np.cumsum(length))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(at, len(part)).take(pa.array(owner)), pa.array((filled - first[owner]).astype(np.int32)),
                     pa.array(n[filled].astype(np.int32)), pa.array(k1[filled]), pa.array(k2[filled]),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array((prefix >> np.uint64(32)).astype(np.uint32).view(np.int32)))],
+                    pa.array(parity.view(np.int64)),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array((prefix & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))],
                     schema=_LINE)
 
     return run
@@ -152,13 +156,13 @@ def _needed_lines(frequent: Frequent):
 
 
 def candidates(sets: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of set names that pass all filters, from ``sets`` (k1, n, prefix)."""
-    # Two numbers a row besides the word: the name, and how many words the set has with those left from this one on.
-    rows = sets.select("k1", "n", F.posexplode("prefix").alias("at", "word")).select(
-        "k1", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR((F.col("n") - F.col("at")).cast("long")).alias("size"), "word")
+    """Distinct pairs (a, b) of set names that pass all filters, from ``sets`` (k1, n, parity, prefix)."""
+    # Three numbers a row besides the word: the name, the parity, and how many words the set has with those left from this one on.
+    rows = sets.select("k1", "n", "parity", F.posexplode("prefix").alias("at", "word")).select(
+        "k1", "parity", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR((F.col("n") - F.col("at")).cast("long")).alias("size"), "word")
 
     def side(name: str) -> DataFrame:
-        return rows.toDF(name, f"s{name}", "word")
+        return rows.toDF(name, f"p{name}", f"s{name}", "word")
 
     a, b = side("a"), side("b")
     na, nb = F.shiftright("sa", 32), F.shiftright("sb", 32)
@@ -167,7 +171,9 @@ def candidates(sets: DataFrame) -> DataFrame:
     low = F.lit((1 << 32) - 1)
     reach = F.least(F.col("sa").bitwiseAND(low), F.col("sb").bitwiseAND(low))  # with the shared word itself
     fits = (F.col("a") < F.col("b")) & (least * DENOMINATOR >= most * NUMERATOR) & (
-        reach * (NUMERATOR + DENOMINATOR) >= (na + nb) * NUMERATOR)
+        reach * (NUMERATOR + DENOMINATOR) >= (na + nb) * NUMERATOR) & (
+        # The symmetric difference of similar sets: at most (na + nb) * (1 - s) / (1 + s).
+        F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) * (NUMERATOR + DENOMINATOR) <= (na + nb) * (DENOMINATOR - NUMERATOR))
     return a.join(b, "word").filter(fits).select("a", "b").distinct()
 
 
@@ -188,7 +194,8 @@ def similar_lines(docs: DataFrame) -> DataFrame:
     frequent = frequent_words(texts)
     lines = written(texts.mapInArrow(_line_rows(frequent), _LINE_DDL), "lines")
     sets = written(lines.groupBy("k1", "k2").agg(
-        F.min(_key("doc_id", "line_no")).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "sets")
+        F.min(_key("doc_id", "line_no")).alias("first"), F.first("n").alias("n"), F.first("parity").alias("parity"),
+        F.first("prefix").alias("prefix")), "sets")
     firsts = sets.select("k1", "k2", "first")
     pairs = written(candidates(sets.filter(f"n >= {NUMERATOR}")), "candidates")
     both = pairs.select(F.col("a").alias("k1")).union(pairs.select("b")).distinct()
