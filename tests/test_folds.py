@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from whisperlake.operators import attachments, audit, conversations, delivery, inbox, merge
 from whisperlake.operators.contacts import apply_contact_changes, latest_inbox_list
-from whisperlake.operators.filters import EventFilter, filter_events, match_subscriptions
+from whisperlake.operators.filters import EventFilter, filter_events, match_all_subscriptions, match_subscriptions
 from whisperlake.operators.messages import apply_message_changes
 
 
@@ -246,9 +246,21 @@ def test_subscription_matching_equals_single_filters(spark):
     e = spark.createDataFrame(events, "id string, pubkey string, created_at long, kind int, tags array<array<string>>, content string, sig string")
     s = spark.createDataFrame(subs, "sub_id string, filter_no int, ids array<string>, authors array<string>, kinds array<int>, "
                                     "tags map<string,array<string>>, since long, until long, lim int")
-    want = {(f"s{n // 2}", r.id) for n, f in enumerate(filters) for r in filter_events(e, f).select("id").collect()}
+    want = {(f"s{n // 2}", r.id) for n, f in enumerate(filters) if f != EventFilter() for r in filter_events(e, f).select("id").collect()}
     got = match_subscriptions(e, s).collect()
     assert {(r.sub_id, r.id) for r in got} == want and len(got) == len(want)
+    assert [r.sub_id for r in match_all_subscriptions(s).collect()] == ["s0"]
+    assert match_subscriptions(e.limit(0), s).count() == 0
+
+
+def test_unknown_tag_values_match_nothing(spark):
+    e = spark.createDataFrame([("e", "k", 5, 1, [["a", "x"], ["b", "y"]])], "id string, pubkey string, created_at long, kind int, tags array<array<string>>")
+    none = [None] * 3
+    subs = [("null in list", *none, {"a": ["x"], "b": ["z", None]}, None, None), ("null list", *none, {"a": ["x"], "b": None}, None, None),
+            ("hit", *none, {"a": ["x"], "b": ["y", None]}, None, None), ("old", *none, None, None, 3), ("open", *none, None, 4, None)]
+    s = spark.createDataFrame(subs, "sub_id string, ids array<string>, authors array<string>, kinds array<int>, "
+                                    "tags map<string,array<string>>, since long, until long")
+    assert {r.sub_id for r in match_subscriptions(e, s).collect()} == {"hit", "open"}
 
 
 def test_plain_text_search_equals_contains(spark):
@@ -282,6 +294,8 @@ def test_relay_changes_need_one_relay(spark):
         ("wss://a", "kept"), ("wss://b", "removed"), ("wss://c", "added")}
     with pytest.raises(Exception, match="at least one relay"):
         merge.relay_changes(old, new.filter("url = 'junk'")).collect()
+    with pytest.raises(Exception, match="at least one relay"):
+        merge.relay_changes(new.filter("url = 'junk'"), new.filter("url = 'junk'")).collect()
 
 
 def test_upload_outcomes(spark):

@@ -86,6 +86,15 @@ def test_requests(spark):
     assert first.select(frames.subscription_json()).first()[0] == f'["REQ","s",{flt.to_json()}]'
 
 
+def test_malformed_requests_never_widen(spark):
+    bad = {"kinds": ['{"kinds":"14"}', '{"kinds":[1.7]}', '{"kinds":[99999999999]}'], "ids": ['{"ids":[1]}'], "authors": ['{"authors":{}}'],
+           "tags": ['{"#e":"z"}', '{"#e":["z",null]}'], "filter": ["7", '"x"'], "since": ['{"since":"1"}'], "until": ['{"until":1.5}'], "limit": ['{"limit":[]}']}
+    text = [f'["REQ","s",{{"kinds":[1]}},{x}]' for xs in bad.values() for x in xs]
+    assert frames.parse_subscriptions(lines(spark, text)).count() == len(text)
+    got = frames.quarantined_subscriptions(lines(spark, text)).collect()
+    assert [(r.filter_no, r.problem) for r in got] == [(1, k) for k, xs in bad.items() for _ in xs]
+
+
 @pytest.mark.parametrize("body", [
     '{"Settings":{"Relays":["wss://relay.example"],"ProxyUrl":null}}', '{"Settings":{"Relays":null,"MediaServers":null}}',
     '{"Settings":null}', "{}"])

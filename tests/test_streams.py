@@ -7,6 +7,7 @@ import time
 from conftest import SMALL
 from pyspark.sql import functions as F
 
+from whisperlake.functions.events import event_id
 from whisperlake.operators import delivery, inbox
 from whisperlake.plans import views
 from whisperlake.session import work_dir
@@ -17,6 +18,7 @@ from whisperlake.streaming import inbox as stream_inbox
 
 COPY = "id string, arrival long"
 DAY = 86_400
+AUTHOR = "ab" * 32
 
 
 def write(spark, rows, schema, path):
@@ -34,15 +36,19 @@ def run(df, path):
 
 
 def test_dedup_over_batches(spark):
+    """Repeats go however late they are; a first copy stays, even one far behind all others."""
     path = work_dir(spark, "dedup")
-    for rows in ([("a", 0), ("b", 10)], [("a", DAY), ("c", DAY)], [("d", 5 * DAY)], [("f", 5 * DAY)], [("e", 6 * DAY), ("a", 6 * DAY)]):
+    for rows in ([("a", 0), ("b", 10), ("a", 0)], [("a", DAY), ("c", DAY)], [("d", 50 * DAY)], [("f", 50 * DAY)], [("e", 1), ("a", 60 * DAY)]):
         write(spark, [(i, views.EPOCH + t) for i, t in rows], COPY, f"{path}/in")
-    source = feed.stream_events(spark, f"{path}/in", spark.read.parquet(f"{path}/in").schema, files_per_batch=1)
-    run(dedup.stream_dedup(source).select("id", "arrival"), path)
-    got = sorted((r.id, r.arrival - views.EPOCH) for r in spark.read.parquet(f"{path}/out").collect())
-    # The repeat within the horizon is dropped; the one after it passes, its state being gone.
-    # (State goes at the end of the batch after the one that moved the watermark.)
-    assert got == [("a", 0), ("a", 6 * DAY), ("b", 10), ("c", DAY), ("d", 5 * DAY), ("e", 6 * DAY), ("f", 5 * DAY)]
+    source = lambda: feed.stream_events(spark, f"{path}/in", spark.read.parquet(f"{path}/in").schema, files_per_batch=1)
+    dedup.stream_dedup(source(), f"{path}/out", f"{path}/cp").awaitTermination()
+    ids = lambda: sorted((r.id, r.arrival - views.EPOCH) for r in dedup.deduplicated(spark, f"{path}/out").collect())
+    first = [("a", 0), ("b", 10), ("c", DAY), ("d", 50 * DAY), ("e", 1), ("f", 50 * DAY)]
+    assert ids() == first
+    # The stream goes on where it stopped.
+    write(spark, [("c", views.EPOCH), ("g", views.EPOCH)], COPY, f"{path}/in")
+    dedup.stream_dedup(source(), f"{path}/out", f"{path}/cp").awaitTermination()
+    assert ids() == first + [("g", 0)]
 
 
 def test_feed_continues_where_it_stopped(spark):
@@ -59,9 +65,9 @@ def test_inbox_stream_equals_batch_and_ignores_repeats(spark):
     path = work_dir(spark, "inbox")
     wraps, seals, rumors = views.layers(spark, SMALL)
     processed = spark.createDataFrame([], "id string")
-    log = views.block_log(spark, SMALL)
+    log = views.owner_block_log(spark, SMALL)
     early = wraps.filter("event_id < 600")
-    for part in (early, early.filter("event_id % 2 = 0"), wraps.filter("event_id >= 500")):
+    for part in (early, early.filter("event_id % 2 = 0"), wraps.filter("event_id >= 500"), views.repeated(wraps)):
         part.coalesce(1).write.mode("append").parquet(f"{path}/in")
     changes = []
     source = feed.stream_events(spark, f"{path}/in", spark.read.parquet(f"{path}/in").schema, files_per_batch=1)
@@ -70,27 +76,61 @@ def test_inbox_stream_equals_batch_and_ignores_repeats(spark):
         on_change=lambda df, n: changes.append((n, df.count()))).awaitTermination()
     batch = inbox.fold_inbox(wraps, seals, rumors, processed, log)
     pick = lambda df: sorted(map(tuple, df.select("owner", "id", "peer", "status", "text").collect()))
-    assert pick(stream_inbox.current_messages(spark, f"{path}/store")) == pick(batch)
-    people = lambda df: {(r.owner, r.pubkey) for r in df.collect()}
-    assert people(stream_inbox.current_contacts(spark, f"{path}/store")) == people(inbox.implied_contacts(batch))
-    assert [n for n, _ in changes] == [0, 1, 2]
+    assert pick(stream_inbox.current_messages(spark, f"{path}/store")) == pick(batch.messages)
+    people = lambda df: sorted((r.owner, r.pubkey) for r in df.collect())
+    assert people(stream_inbox.current_contacts(spark, f"{path}/store")) == people(inbox.implied_contacts(batch.messages))
+    assert [n for n, _ in changes] == [0, 1, 2, 3] and changes[1][1] == changes[3][1] == 0
+    assert spark.read.parquet(f"{path}/store/handled").count() == batch.handled.count() == wraps.count()
+
+
+def chain(spark, wraps):
+    """Wraps (id, owner, arrival), all of one author and sealing one rumor each, with what they hold."""
+    rows = [(w, "p", 1059, True, f"s{w}", o, t) for w, o, t in wraps]
+    w = spark.createDataFrame(rows, "id string, pubkey string, kind int, wrap_ok boolean, seal_id string, owner string, arrival long")
+    inner = w.select("seal_id", "owner").distinct()
+    rumors = inner.select(
+        "seal_id", F.lit(AUTHOR).alias("pubkey"), F.lit(5).cast("long").alias("created_at"), F.lit(14).alias("kind"),
+        F.array(F.array(F.lit("p"), F.col("owner"))).alias("tags"), F.concat(F.lit("hi "), "seal_id").alias("content"))
+    seals = inner.select(F.col("seal_id").alias("id"), F.lit(13).alias("kind"), F.lit(AUTHOR).alias("pubkey"),
+                         F.lit(0).alias("n_tags"), F.lit(True).alias("seal_ok"))
+    return w, seals, rumors.withColumn("id", event_id())
+
+
+def test_what_arrives_while_blocked_is_lost(spark):
+    log = spark.createDataFrame([("o", AUTHOR, 10, True), ("o", AUTHOR, 20, False)], "owner string, peer string, changed_at long, blocked boolean")
+    none = spark.createDataFrame([], "id string")
+    # The same wrap again after unblocking brings nothing; another owner's inbox knows no block.
+    got = inbox.fold_inbox(*chain(spark, [("w1", "o", 15), ("w1", "o", 25), ("w2", "q", 15), ("w3", "o", 9)]), none, log)
+    assert {(r.owner, r.text) for r in got.messages.collect()} == {("q", "hi sw2"), ("o", "hi sw3")}
+    assert {(r.owner, r.id) for r in got.handled.collect()} == {("o", "w1"), ("q", "w2"), ("o", "w3")}
+    stored = got.messages.filter("owner = 'o'").select("owner", "id")
+    again = inbox.fold_inbox(*chain(spark, [("w2", "q", 15), ("w3", "o", 9)]), none, log, stored)
+    assert {r.owner for r in again.messages.collect()} == {"q"}
+    done = spark.createDataFrame([("q", "w2")], "owner string, id string")
+    left = inbox.fold_inbox(*chain(spark, [("w2", "q", 15), ("w2", "o", 30)]), none, log).handled
+    assert left.count() == 2
+    assert {r.owner for r in inbox.fold_inbox(*chain(spark, [("w2", "q", 15), ("w2", "o", 30)]), done, log).handled.collect()} == {"o"}
 
 
 def test_delivery_stream_equals_batch(spark):
+    """Sends and answers in any order, the oldest send last, two attempts of some messages."""
     path = work_dir(spark, "delivery")
-    sent = [(m, r, 1, 1000 * m) for m in range(1, 20) for r in range(3)]
+    sent = [(m, r, 1, 1000 * m) for m in range(1, 20) for r in range(3)] + [(m, r, 2, 1000 * m + 300) for m in (3, 8) for r in range(2)]
     acks = [(m, r, (m + r) % 3 == 0, "auth-required: x" if r == 1 else "blocked", 1000 * m + d)
-            for m in range(1, 20) for r, d in ((0, 5), (1, 1), (1, 29), (2, 31))]
-    end = 10**9
-    for rows in (sent[:30], sent[30:], [(-1, 0, 1, end)]):
-        write(spark, rows, "message_id long, relay int, attempt int, sent_at long", f"{path}/sent")
-    for rows in (acks[:40], acks[40:], [(-1, 0, True, "", end)]):
-        write(spark, rows, "message_id long, relay int, ack_ok boolean, ack_text string, acked_at long", f"{path}/acks")
-    read = lambda n: feed.stream_events(spark, f"{path}/{n}", spark.read.parquet(f"{path}/{n}").schema, files_per_batch=1)
-    emitted = stream_delivery.stream_match_acks(read("sent"), read("acks"), lateness="1 day")
-    run(emitted, path)
-    rows = spark.read.schema(emitted.schema).parquet(f"{path}/out").filter("message_id > 0")
-    got = {r.message_id: (r.relays_accepted, r.n_closed) for r in stream_delivery.delivered(rows).collect()}
-    matched = delivery.match_acks(spark.read.parquet(f"{path}/sent"), spark.read.parquet(f"{path}/acks")).filter("message_id > 0")
-    want = matched.groupBy("message_id").agg(F.count_if("accepted").alias("a"), F.count("*").alias("n")).collect()
-    assert got == {r.message_id: (r.a, r.n) for r in want}
+            for m in range(1, 20) for r, d in ((0, 5), (1, 1), (1, 29), (2, 31), (0, 305))]
+    publishes = spark.createDataFrame(sent, "message_id long, relay long, attempt int, sent_at long")
+    answers = spark.createDataFrame(acks, "message_id long, relay long, ack_ok boolean, ack_text string, acked_at long")
+    rows = [tuple(r) for r in stream_delivery.delivery_log(publishes, answers).collect()]
+    rows.reverse()
+    for i in range(5):
+        write(spark, rows[i::5], stream_delivery._LOG, f"{path}/in")
+    source = feed.stream_events(spark, f"{path}/in", spark.read.parquet(f"{path}/in").schema, files_per_batch=1)
+    stream_delivery.stream_delivery(source, f"{path}/store", f"{path}/cp").awaitTermination()
+    matched = delivery.match_acks(publishes, answers)
+    outcome = F.when(F.col("accepted"), "accepted").when(F.col("acked_at").isNotNull(), "rejected").otherwise("pending")
+    attempts = matched.withColumn("outcome", outcome)
+    messages = publishes.select("message_id").distinct()
+    for as_of in (0, 10_010, 1_000_000):
+        got = {r.message_id: (r.relays_accepted, r.status) for r in stream_delivery.delivery_states(spark, f"{path}/store", as_of).collect()}
+        want = delivery.delivery_status(messages, attempts, as_of).collect()
+        assert got == {r.message_id: (r.relays_accepted, r.status) for r in want}

@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 from whisperlake.functions.events import tag_values
 from whisperlake.schemas import KIND_GIFT_WRAP
 
-# Catch-all subscriptions meet every event, so their side of the join is spread over this many keys.
-CATCH_ALL_SALTS = 64
+_DAY = 86_400
 
 
 @dataclass(frozen=True)
@@ -96,8 +95,12 @@ def lookup_keys(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     return df.join(keys.select(column), column, "left_semi")
 
 
-def _routes(salts: int) -> Column:
-    """The join keys of one subscription filter, taken from its most selective part."""
+def _day(at: Column | str) -> Column:
+    return F.floor((F.col(at) if isinstance(at, str) else at) / _DAY).cast("bigint")
+
+
+def _routes(salts: int, first_day: Column, last_day: Column) -> Column:
+    """The join keys of one subscription filter, taken from its most selective part; none for a filter without any part."""
 
     def keys(route: Column | str, values: Column) -> Column:
         name = F.lit(route) if isinstance(route, str) else route
@@ -110,40 +113,55 @@ def _routes(salts: int) -> Column:
             lambda s: F.struct(F.lit(route).alias("route"), v.cast("string").alias("key"), s.alias("salt")))))
 
     tag = F.array_min(F.map_keys("tags"))
+    low = F.greatest(_day(F.coalesce("since", first_day * _DAY)), first_day)
+    high = F.least(_day(F.coalesce("until", last_day * _DAY)), last_day)
     return (
         F.when(F.col("ids").isNotNull(), keys("id", F.col("ids")))
         .when(F.coalesce(F.size("tags"), F.lit(0)) > 0,
               keys(F.concat(F.lit("#"), tag), F.element_at(F.col("tags"), tag)))
         .when(F.col("authors").isNotNull(), keys("author", F.col("authors")))
         .when(F.col("kinds").isNotNull(), salted("kind", F.col("kinds")))
-        .otherwise(salted("any", F.array(F.lit(""))))
+        .when((F.col("since").isNotNull() | F.col("until").isNotNull()) & (low <= high), keys("day", F.sequence(low, high)))
     )
 
 
-def match_subscriptions(events: DataFrame, subs: DataFrame, salts: int = CATCH_ALL_SALTS) -> DataFrame:
+def match_all_subscriptions(subs: DataFrame) -> DataFrame:
+    """Subscriptions with a filter without any part: they match every event, so no pairs are made for such a filter."""
+    free = F.coalesce(F.size("tags"), F.lit(0)) <= 0
+    for c in ("ids", "authors", "kinds", "since", "until"):
+        free = free & F.col(c).isNull()
+    return subs.filter(free).select("sub_id").distinct()
+
+
+def match_subscriptions(events: DataFrame, subs: DataFrame, salts: int | None = None) -> DataFrame:
     """One row (sub_id, id) for every event that some filter of a subscription matches.
 
-    Each filter is joined on exactly one of its parts (ids, a tag, authors, kinds, or
-    nothing), the rest is tested on the pair. Keys with few values (kind, catch-all) are
-    salted so that one kind holding most of the log still spreads over ``salts`` tasks.
+    Each filter is joined on exactly one of its parts: ids, a tag, authors, kinds, or the days that it is open; the rest is
+    tested on the pair. Filters without any part are left to :func:`match_all_subscriptions`. Kinds, which are few, are salted
+    so that one kind holding most of the log still spreads over ``salts`` tasks (default: the session's shuffle partitions).
     """
-    sides = subs.select(
+    salts = salts or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    days = events.agg(F.min("created_at").alias("a"), F.max("created_at").alias("b"))
+    bounds = [_day(days.select(c).scalar()).alias(f"day_{c}") for c in ("a", "b")]
+    sides = subs.select("*", *bounds).select(
         "sub_id", *[F.col(c).alias(f"f_{c}") for c in ("ids", "authors", "kinds", "tags", "since", "until")],
-        F.explode(_routes(salts)).alias("k"),
+        F.explode(_routes(salts, F.col("day_a"), F.col("day_b"))).alias("k"),
     ).select("*", "k.route", "k.key", "k.salt").drop("k")
-    used = sides.agg(F.collect_set("route").alias("used")).scalar()
+    # Only of the four fixed routes is it asked whether they are in use; tag names come from users and are joined.
+    fixed_names = ("id", "author", "kind", "day")
+    used = sides.filter(F.col("route").isin(*fixed_names)).agg(F.collect_set("route").alias("used")).scalar()
 
     salt = F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")
     fixed = F.array(*[
         F.struct(F.lit(r).alias("route"), v.cast("string").alias("key"), s.alias("salt"))
         for r, v, s in (
             ("id", F.col("id"), F.lit(0)), ("author", F.col("pubkey"), F.lit(0)),
-            ("kind", F.col("kind"), salt), ("any", F.lit(""), salt),
+            ("kind", F.col("kind"), salt), ("day", _day("created_at"), F.lit(0)),
         )
     ])
     tagged = F.transform(F.filter("tags", lambda t: F.size(t) >= 2), lambda t: F.struct(
         F.concat(F.lit("#"), F.get(t, F.lit(0))).alias("route"), F.get(t, F.lit(1)).alias("key"), F.lit(0).alias("salt")))
-    wanted = F.filter(F.array_distinct(F.concat(fixed, tagged)), lambda k: F.array_contains(F.col("used"), k["route"]))
+    wanted = F.array_distinct(F.concat(F.filter(fixed, lambda k: F.array_contains(F.col("used"), k["route"])), tagged))
     keyed = (
         events.select("id", "pubkey", "created_at", "kind", "tags", used.alias("used"))
         .withColumn("k", F.explode(wanted))
@@ -157,8 +175,9 @@ def match_subscriptions(events: DataFrame, subs: DataFrame, salts: int = CATCH_A
         allowed("f_ids", "id") & allowed("f_authors", "pubkey") & allowed("f_kinds", "kind")
         & (F.col("created_at") >= F.coalesce("f_since", F.col("created_at")))
         & (F.col("created_at") <= F.coalesce("f_until", F.col("created_at")))
-        & F.coalesce(F.forall(F.map_entries("f_tags"), lambda e: F.arrays_overlap(
-            tag_values("tags", e["key"]), e["value"])), F.lit(True))
+        # An unknown overlap (a null list, or nulls in it) is no match.
+        & (F.col("f_tags").isNull() | F.forall(F.map_entries("f_tags"), lambda e: F.coalesce(F.arrays_overlap(
+            tag_values("tags", e["key"]), e["value"]), F.lit(False))))
     )
     pairs = keyed.join(sides, ["route", "key", "salt"]).filter(rest)
     return pairs.select("sub_id", "id").distinct()

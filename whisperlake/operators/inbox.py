@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from whisperlake.functions.events import first_tag, has_valid_id, participants
 from whisperlake.functions.media import attachment_label
 from whisperlake.functions.text import as_col
-from whisperlake.operators.merge import unprocessed
 from whisperlake.operators.ordered import with_neighbour
 from whisperlake.operators.validation import chat_payloads
 from whisperlake.schemas import KIND_GIFT_WRAP, KIND_SEAL, RECEIVED, SENT
@@ -64,13 +65,15 @@ def block_intervals(block_log: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def drop_blocked(
-    messages: DataFrame, block_log: DataFrame, arrival: str | Column = "created_at", keys: tuple[str, ...] = ("peer",)
+    messages: DataFrame, block_log: DataFrame, arrival: str | Column = "created_at", keys: tuple[str, ...] | None = None
 ) -> DataFrame:
     """Drops incoming messages that arrived while their author was blocked.
 
     What arrives while blocked stays lost after unblocking, so this looks at the log, not at
-    today's flag. Outgoing messages are never dropped.
+    today's flag. Outgoing messages are never dropped. Where messages have an ``owner``, a block
+    is that owner's alone, and the log must name the owner too; ``keys`` overrides this.
     """
+    keys = keys or (("owner", "peer") if "owner" in messages.columns else ("peer",))
     spans = block_intervals(block_log, list(keys)).withColumnsRenamed({k: f"b_{k}" for k in keys})
     at = as_col(arrival)
     hit = (F.col("status") == RECEIVED) & (at >= F.col("blocked_from")) & (
@@ -103,20 +106,42 @@ def rumors_to_messages(rumors: DataFrame, me: str | Column = "owner") -> DataFra
     )
 
 
+class Fold(NamedTuple):
+    """What a batch of wraps comes to: new ``messages``, and all wraps ``handled`` (owner, id), opened or not."""
+
+    messages: DataFrame
+    handled: DataFrame
+
+
+def first_arrivals(wraps: DataFrame) -> DataFrame:
+    """The earliest copy of each wrap in each inbox: later copies are never looked at."""
+    first = F.min_by(F.struct(*wraps.columns), F.struct("arrival", "id"))
+    return wraps.groupBy("owner", "id").agg(first.alias("w")).select("w.*")
+
+
 def fold_inbox(
     wraps: DataFrame, seals: DataFrame, rumors: DataFrame, processed: DataFrame, block_log: DataFrame,
-    block_keys: tuple[str, ...] = ("peer",),
-) -> DataFrame:
+    stored: DataFrame | None = None, block_keys: tuple[str, ...] | None = None,
+) -> Fold:
     """New messages of many inboxes: one row per (owner, id), the earliest arrival kept.
 
-    wraps also carry ``owner`` (whose inbox) and ``arrival``. The contacts these messages
-    imply follow from :func:`implied_contacts`.
+    wraps also carry ``owner`` (whose inbox) and ``arrival``. A wrap counts as handled before anything
+    else happens to it, so what its first copy came to (refused, or lost while the author was blocked)
+    is final. ``processed`` has id, and owner where ids are kept per owner. ``stored`` (owner, id)
+    are messages that exist; they are not added again. The contacts the messages imply follow from
+    :func:`implied_contacts`.
     """
-    new = unprocessed(wraps, processed)
-    good = authenticate_layers(new, seals, rumors).filter("reason is null").drop("reason")
+    known = ["owner", "id"] if "owner" in processed.columns else ["id"]
+    new = first_arrivals(wraps).join(processed.select(*known), known, "left_anti")
+    # Layers are cut down to this batch before anything is hashed.
+    asked = new.select("seal_id").distinct()
+    here = seals.join(asked, seals["id"] == asked["seal_id"], "left_semi")
+    good = authenticate_layers(new, here, rumors.join(asked, "seal_id", "left_semi")).filter("reason is null").drop("reason")
     kept = drop_blocked(rumors_to_messages(good), block_log, "arrival", block_keys)
+    if stored is not None:
+        kept = kept.join(stored.select("owner", "id"), ["owner", "id"], "left_anti").select(kept.columns)
     first = F.min_by(F.struct(*kept.columns), F.struct("arrival", "wrap_id"))
-    return kept.groupBy("owner", "id").agg(first.alias("m")).select("m.*")
+    return Fold(kept.groupBy("owner", "id").agg(first.alias("m")).select("m.*"), new.select("owner", "id"))
 
 
 def implied_contacts(messages: DataFrame) -> DataFrame:

@@ -113,7 +113,7 @@ def _(spark, sf):
     raw = spark.read.parquet(f"{sf}/events.parquet").schema
     e = feed.stream_events(spark, sf, raw, glob="events.parquet")
     path = work_dir(spark, "feed")
-    shaped = e.select("event_id", v.H("user_id").alias("pubkey"),
+    shaped = e.select("event_id", v.H("user_id").alias("pubkey"), "event_type", "props",
                       F.unix_seconds(F.col("ts").cast("timestamp")).alias("created_at"))
     shaped.writeStream.format("parquet").option("checkpointLocation", f"{path}/cp").trigger(
         availableNow=True).start(f"{path}/out").awaitTermination()
@@ -127,7 +127,16 @@ def _(spark, sf):
     return s.select(
         "sub_id", F.col("filter_no").cast("int").alias("filter_no"), F.col("ids").isNull().alias("any_id"),
         joined(F.transform("kinds", lambda k: k.cast("string"))).alias("kinds"),
-        joined(F.try_element_at("tags", F.lit("p"))).alias("p_values"), "since", "until", "lim")
+        joined("authors").alias("authors"), joined(F.try_element_at("tags", F.lit("p"))).alias("p_values"),
+        F.size(F.try_element_at("tags", F.lit("k"))).alias("n_k"), "since", "until", "lim")
+
+
+@query("s8_quarantined_subscriptions")
+def _(spark, sf):
+    lines = v.broken_subs(spark, sf)
+    bad = frames.quarantined_subscriptions(lines).select("sub_id", F.col("filter_no").cast("int"), "problem")
+    good = frames.parse_subscriptions(lines).select("sub_id", F.col("filter_no").cast("int"), F.lit("none").alias("problem"))
+    return bad.unionByName(good)
 
 
 # --- expressions -------------------------------------------------------------------------
@@ -375,6 +384,11 @@ def _(spark, sf):
     return filters.match_subscriptions(v.events(spark, sf), s)
 
 
+@query("j1_match_all")
+def _(spark, sf):
+    return filters.match_all_subscriptions(v.subs(v.table(spark, sf, "nation"), "n_nationkey"))
+
+
 @query("j2_authenticate_layers")
 def _(spark, sf):
     checked = inbox.authenticate_layers(*v.layers(spark, sf))
@@ -632,16 +646,28 @@ def _processed(spark, sf):
     return v.table(spark, sf, "events").filter("event_id % 11 = 0").select(v.H(F.col("event_id") + 3_000_000).alias("id"))
 
 
+def _fold(spark, sf):
+    """Every wrap twice, some processed before, some messages stored already, blocks of some owners."""
+    wraps, seals, rumors = v.layers(spark, sf)
+    stored = v.events(spark, sf).filter("event_id % 13 = 0").select(
+        v.H((F.col("user_id") * 7 + F.col("event_id")) % 150).alias("owner"), "id")
+    return inbox.fold_inbox(
+        wraps.union(v.repeated(wraps)), seals, rumors, _processed(spark, sf), v.owner_block_log(spark, sf), stored)
+
+
 @query("c3_fold_inbox")
 def _(spark, sf):
-    m = inbox.fold_inbox(*v.layers(spark, sf), _processed(spark, sf), v.block_log(spark, sf))
-    return m.select("owner", "id", "peer", "author", "text", "created_at", "status", "reply_to")
+    return _fold(spark, sf).messages.select("owner", "id", "peer", "author", "text", "created_at", "status", "reply_to")
+
+
+@query("c3_handled")
+def _(spark, sf):
+    return _fold(spark, sf).handled
 
 
 @query("c3_implied_contacts")
 def _(spark, sf):
-    m = inbox.fold_inbox(*v.layers(spark, sf), _processed(spark, sf), v.block_log(spark, sf))
-    return inbox.implied_contacts(m)
+    return inbox.implied_contacts(_fold(spark, sf).messages)
 
 
 @query("c4_pending_uploads")
@@ -664,17 +690,23 @@ def _(spark, sf):
 # --- streams -----------------------------------------------------------------------------
 
 
-def _run(writer, path: str) -> None:
-    writer.option("checkpointLocation", f"{path}/cp").trigger(availableNow=True).start(f"{path}/out").awaitTermination()
+def _slices(rows: DataFrame, number: Column, n: int, path: str) -> DataFrame:
+    """Writes ``rows`` to ``path`` in ``n`` appends by ``number``, so that a stream sees them one after another."""
+    for i in range(n):
+        rows.filter(number == i).write.mode("append").parquet(path)
+    spark = rows.sparkSession
+    return feed.stream_events(spark, path, spark.read.parquet(path).schema, files_per_batch=4)
 
 
 @query("t1_stream_dedup")
 def _(spark, sf):
+    """Copies relay by relay; one event in fifty comes long after newer ones, with its first copy."""
     path = work_dir(spark, "dedup")
-    v.copies(spark, sf).select("id", "relay", "arrival").write.parquet(f"{path}/in")
-    source = feed.stream_events(spark, f"{path}/in", spark.read.parquet(f"{path}/in").schema)
-    _run(dedup.stream_dedup(source).select("id").writeStream.format("parquet"), path)
-    return spark.read.schema("id string").parquet(f"{path}/out")
+    copies = v.copies(spark, sf)
+    number = F.when(F.col("event_id") % 50 == 7, 3).otherwise(F.col("relay"))
+    source = _slices(copies, number, 4, f"{path}/in").select("id", "relay", "arrival")
+    dedup.stream_dedup(source, f"{path}/out", f"{path}/cp").awaitTermination()
+    return dedup.deduplicated(spark, f"{path}/out").select("id")
 
 
 @query("t2_catch_up_bound")
@@ -690,38 +722,29 @@ def _(spark, sf):
 
 @query("t3_stream_inbox")
 def _(spark, sf):
+    """Wraps in four slices: all of them, then all of them again, four days later."""
     path = work_dir(spark, "inbox")
     wraps, seals, rumors = v.layers(spark, sf)
-    # Delivered twice, in two files: the second copy must change nothing.
-    again = wraps.withColumn("arrival", F.col("arrival") + 40)
-    wraps.coalesce(1).write.parquet(f"{path}/in")
-    again.coalesce(1).write.mode("append").parquet(f"{path}/in")
-    source = feed.stream_events(spark, f"{path}/in", spark.read.parquet(f"{path}/in").schema, files_per_batch=1)
+    again = v.repeated(wraps)
+    half = (F.col("arrival") > v.EPOCH + 15 * v.DAY).cast("int")
+    both = wraps.withColumn("slice", half).union(again.withColumn("slice", half + 2))
+    source = _slices(both, F.col("slice"), 4, f"{path}/in").drop("slice")
     stream_inbox.stream_inbox(
-        source, lambda _: (seals, rumors), _processed(spark, sf), v.block_log(spark, sf), f"{path}/store", f"{path}/cp",
+        source, lambda _: (seals, rumors), _processed(spark, sf), v.owner_block_log(spark, sf), f"{path}/store", f"{path}/cp",
     ).awaitTermination()
     return stream_inbox.current_messages(spark, f"{path}/store").select("owner", "id", "peer", "text", "status")
 
 
 @query("t4_stream_delivery")
 def _(spark, sf):
+    """Sends and answers in four slices that follow neither their times nor each other."""
     path = work_dir(spark, "delivery")
     publishes = v.attempts(spark, sf).select("message_id", "relay", "attempt", "sent_at")
-    answers = v.acks(spark, sf)
-    # A last row far in the future moves the watermark past every timeout.
-    end = spark.range(1).select(F.lit(-1).cast("bigint").alias("message_id"), F.lit(-1).cast("bigint").alias("relay"))
-    publishes.coalesce(1).write.parquet(f"{path}/sent")
-    answers.coalesce(1).write.parquet(f"{path}/acks")
-    end.withColumn("attempt", F.lit(1)).withColumn("sent_at", F.lit(4_000_000_000).cast("bigint")).coalesce(1).write.mode(
-        "append").parquet(f"{path}/sent")
-    end.select("message_id", "relay", F.lit(True).alias("ack_ok"), F.lit("").alias("ack_text"),
-               F.lit(4_000_000_000).cast("bigint").alias("acked_at")).coalesce(1).write.mode("append").parquet(f"{path}/acks")
-    read = lambda name: feed.stream_events(
-        spark, f"{path}/{name}", spark.read.parquet(f"{path}/{name}").schema, files_per_batch=1)
-    emitted = stream_delivery.stream_match_acks(read("sent"), read("acks"))
-    _run(emitted.writeStream.format("parquet"), path)
-    rows = spark.read.schema(emitted.schema).parquet(f"{path}/out").filter("message_id >= 0")
-    return stream_delivery.delivered(rows)
+    rows = stream_delivery.delivery_log(publishes, v.acks(spark, sf))
+    at = F.coalesce("sent_at", "acked_at")
+    source = _slices(rows, F.pmod(-F.floor(at / (200 * v.DAY)), F.lit(4)), 4, f"{path}/in")
+    stream_delivery.stream_delivery(source, f"{path}/store", f"{path}/cp").awaitTermination()
+    return stream_delivery.delivery_states(spark, f"{path}/store", v.MID_SHIPPING)
 
 
 @query("t5_first_answer")

@@ -7,7 +7,7 @@ from whisperlake.functions.media import (
     EXTENSION_BY_FAMILY, EXTENSION_BY_TYPE, KIND_BY_FAMILY, LABEL_BY_KIND, TYPE_BY_EXTENSION,
 )
 from whisperlake.functions.urls import URL_PATTERN
-from whisperlake.plans.views import DAY, EPOCH, ME, NOW
+from whisperlake.plans.views import DAY, EPOCH, ME, MID_SHIPPING, NOW
 
 
 # The two-character escapes of a JSON string, backslash first, then the rest below 0x20.
@@ -186,8 +186,12 @@ VIEWS: dict[str, str] = {
     "folded": f"""select *, case when pubkey = owner then 'Sent' else 'Received' end as status,
         case when pubkey = owner then list_filter(p, lambda q: q <> owner)[1] else pubkey end as peer
         from p_values where reason = 'ok' and kind = 14 and content <> '' and event_id % 11 <> 0""",
-    "v_inbox": """select f.* from folded f where peer is not null and not exists (select 1 from spans s
-        where s.peer = f.peer and f.status = 'Received' and f.arrival >= s.a and (s.b is null or f.arrival < s.b))""",
+    "owner_spans": f"""select distinct {H('(user_id * 7 + event_id) % 150')} as owner, {H('user_id')} as peer, {EPOCH} + (user_id % 10) * {DAY} as a,
+        case when user_id % 2 = 0 then {EPOCH} + (user_id % 10) * {DAY} + 3 * {DAY} end as b
+        from events where (user_id * 7 + event_id) % 150 % 2 = 0""",
+    # Only the first copy of a wrap counts, so the repeats have no place here.
+    "v_inbox": """select f.* from folded f where peer is not null and not exists (select 1 from owner_spans s
+        where s.owner = f.owner and s.peer = f.peer and f.status = 'Received' and f.arrival >= s.a and (s.b is null or f.arrival < s.b))""",
     "newest": "select *, row_number() over (partition by peer order by created_at desc, seq) as rn from v_messages",
     "unread": f"""select m.peer, count(*) as unread_count from v_messages m join v_contacts c on c.pubkey = m.peer
         where m.status = 'Received' and m.created_at > c.last_read_at group by m.peer""",
@@ -263,12 +267,18 @@ ORACLES["s5_snapshot_round_trip"] = sql("raw v_messages v_contacts", """
     select 'message' as part, id as key, created_at as at_time from v_messages
     union all select 'contact', pubkey, last_read_at from v_contacts""").replace("at_time", '"at"')
 ORACLES["s6_address_blobs"] = sql("v_blobs", "select url, sha256(content) as sha256, cast(strlen(content) as bigint) as length from v_blobs")
-ORACLES["s7_stream_events"] = sql("raw", f"select event_id, {H('user_id')} as pubkey, created_at from raw")
+ORACLES["s7_stream_events"] = sql("raw", f"select event_id, {H('user_id')} as pubkey, event_type, props, created_at from raw")
 _KINDS = "[14, 1059, 15, 10050, 13]"
 ORACLES["s8_parse_subscriptions"] = f"""select 's' || c_custkey as sub_id, 0 as filter_no, true as any_id,
     case when c_custkey % 4 = 0 then null when c_custkey % 20 = 19 then '' else cast({_KINDS}[c_custkey % 5 + 1] as varchar) end as kinds,
     case when c_custkey % 3 <> 0 then {H('c_custkey')} || '|' || {H('c_custkey + 20')} end as p_values,
-    case when c_custkey % 5 <> 0 then {EPOCH} + (c_custkey % 20) * {DAY} end as since, cast(null as bigint) as until, 5 as lim from customer"""
+    case when c_custkey % 6 = 5 then {H('c_custkey')} || '|' || {H('c_custkey + 5')} end as authors,
+    case when c_custkey % 9 = 4 then 61 end as n_k,
+    case when c_custkey % 5 <> 0 then {EPOCH} + (c_custkey % 20) * {DAY} end as since,
+    case when c_custkey % 7 = 3 then {EPOCH} + (c_custkey % 20 + 12) * {DAY} end as until, 5 as lim from customer"""
+ORACLES["s8_quarantined_subscriptions"] = """select 's' || c_custkey as sub_id, cast(0 as integer) as filter_no,
+    ['kinds', 'kinds', 'ids', 'tags', 'since', 'filter', 'none'][c_custkey % 7 + 1] as problem from customer
+    union all select 's' || c_custkey, 1, 'none' from customer where c_custkey % 7 = 4"""
 
 ORACLES["e1_tag_values"] = sql("raw", f"""select event_id,
     case when event_type = 'signup' then '' else {H('(user_id * 7 + event_id) % 150')} end as p,
@@ -393,7 +403,12 @@ ORACLES["f10_find"] = f"""select 'm7' as id from events where event_id = 7
 ORACLES["j1_match_subscriptions"] = sql(EVENTS, f"""select 's' || n_nationkey as sub_id, e.id from nation n, v_events e
     where (n_nationkey % 4 = 0 or (n_nationkey % 20 <> 19 and e.kind = {_KINDS}[n_nationkey % 5 + 1]))
       and (n_nationkey % 3 = 0 or (e.kind <> 10050 and (e.user_id * 7 + e.event_id) % 150 in (n_nationkey, n_nationkey + 20)))
-      and (n_nationkey % 5 = 0 or e.created_at >= {EPOCH} + (n_nationkey % 20) * {DAY})""")
+      and (n_nationkey % 5 = 0 or e.created_at >= {EPOCH} + (n_nationkey % 20) * {DAY})
+      and (n_nationkey % 7 <> 3 or e.created_at <= {EPOCH} + (n_nationkey % 20 + 12) * {DAY})
+      and (n_nationkey % 6 <> 5 or e.user_id in (n_nationkey, n_nationkey + 5))
+      and (n_nationkey % 9 <> 4 or cast(regexp_extract(e.content, '"k": *([0-9]+)', 1) as integer) <= 60)
+      and n_nationkey <> 0""")
+ORACLES["j1_match_all"] = "select 's0' as sub_id"
 ORACLES["j2_authenticate_layers"] = sql(EVENTS + " v_layers", "select wrap_id, reason, case when reason = 'ok' then id end as rumor_id from v_layers")
 ORACLES["j3_conversations"] = sql(CHATS, "select pubkey, id as last_id, created_at as last_at, unread_count from chats")
 ORACLES["j4_drop_blocked"] = sql("raw v_messages spans", """select id, peer, status from v_messages m where status <> 'Received' or not exists (
@@ -514,10 +529,11 @@ ORACLES["c2_apply_message_changes"] = f"""with rows as (select l_orderkey as k,
     select 'm' || k || '-' || s as id, {H('s')} as peer, case when k % 2 = 0 then 'Sent' else 'Sending' end as status from rows where s % 50 <> 0
     union all select 'm' || k || '-' || rows.s, {H('rows.s')}, 'Received' from rows join last_removal d on d.s = rows.s
       where k % 5 = 0 and (k * 1000 + (rows.s % 200) * 5) * 10 + 5 > d.r"""
-_FOLD = EVENTS + " v_layers p_values folded spans v_inbox"
+_FOLD = EVENTS + " v_layers p_values folded owner_spans v_inbox"
 ORACLES["c3_fold_inbox"] = sql(_FOLD, """select owner, id, peer, pubkey as author, content as text, created_at, status,
-    cast(null as varchar) as reply_to from v_inbox""")
-ORACLES["c3_implied_contacts"] = sql(_FOLD, """select owner, peer as pubkey, status = 'Received' as is_request from v_inbox
+    cast(null as varchar) as reply_to from v_inbox where event_id % 13 <> 0""")
+ORACLES["c3_handled"] = f"""select {H('(user_id * 7 + event_id) % 150')} as owner, {H('event_id + 3000000')} as id from events where event_id % 11 <> 0"""
+ORACLES["c3_implied_contacts"] = sql(_FOLD, """select owner, peer as pubkey, status = 'Received' as is_request from v_inbox where event_id % 13 <> 0
     qualify row_number() over (partition by owner, peer order by arrival, id) = 1""")
 ORACLES["c4_pending_uploads"] = sql("v_uploads v_outcomes v_uploaded", f"""select 'upload-' || file as old_id,
     case when url is null then 'upload-' || file else {event_hash()} end as id, created_at, case when url is null then 'Failed' else 'Sending' end as status from (
@@ -533,8 +549,10 @@ ORACLES["t2_catch_up_bound"] = sql(EVENTS, f"""select e.pubkey, count(*) as n_wr
       select c_custkey, case when c_custkey % 6 <> 0 then {EPOCH} + (c_custkey * 7919) % 2592000 - 176400 end as since from customer) c
     on c.c_custkey = e.user_id where e.kind = 1059 and (since is null or e.created_at >= since) group by e.pubkey""")
 ORACLES["t3_stream_inbox"] = sql(_FOLD, "select owner, id, peer, content as text, status from v_inbox")
-ORACLES["t4_stream_delivery"] = sql("v_attempts answered matched v_matched", """select message_id, count(*) filter (accepted) as relays_accepted,
-    count(*) as n_closed from v_matched group by message_id""")
+ORACLES["t4_stream_delivery"] = sql("v_attempts answered matched v_matched", f"""select message_id, count(*) filter (accepted) as relays_accepted,
+    count(acked_at) as n_answered, count(*) as n_targets, case when bool_or(accepted) then 'Sent'
+      when coalesce(max(sent_at) filter (acked_at is null), 0) + 30 > {MID_SHIPPING} then 'Sending' else 'Failed' end as status
+    from v_matched group by message_id""")
 ORACLES["t5_first_answer"] = sql(EVENTS + " v_copies", """, heard as (
       select pubkey as q, id, (event_id * 37 + relay * 911) % 12000 as t, relay, user_id,
         least(case when user_id % 9 <> relay then (user_id * 53 + relay * 2000) % 11000 else 8000 end, 8000) as fin from v_copies),

@@ -13,6 +13,8 @@ from whisperlake.session import configure_session
 EPOCH = 1_704_067_200
 DAY = 86_400
 NOW = 1_706_659_200
+# A moment at which some of the line items are still to be shipped.
+MID_SHIPPING = 820_454_400
 ME = -1
 
 
@@ -83,11 +85,25 @@ def subs(keys: DataFrame, key: str) -> DataFrame:
     none = F.lit(None)
     return keys.select(
         F.concat(F.lit("s"), s.cast("string")).alias("sub_id"), F.lit(0).alias("filter_no"),
-        none.cast("array<string>").alias("ids"), none.cast("array<string>").alias("authors"),
+        none.cast("array<string>").alias("ids"), F.when(s % 6 == 5, F.array(H(s), H(s + 5))).alias("authors"),
         F.when(s % 4 == 0, none).when(s % 20 == 19, F.array().cast("array<int>"))
         .otherwise(F.array(F.get(kinds, (s % 5).cast("int")))).alias("kinds"),
-        F.when(s % 3 != 0, F.create_map(F.lit("p"), values)).alias("tags"),
-        F.when(s % 5 != 0, EPOCH + s % 20 * DAY).alias("since"), none.cast("bigint").alias("until"), F.lit(5).alias("lim"))
+        F.when(s % 9 == 4, F.create_map(F.lit("p"), values, F.lit("k"), F.transform(
+            F.sequence(F.lit(0), F.lit(60)), lambda i: i.cast("string"))))
+        .when(s % 3 != 0, F.create_map(F.lit("p"), values)).alias("tags"),
+        F.when(s % 5 != 0, EPOCH + s % 20 * DAY).alias("since"),
+        F.when(s % 7 == 3, EPOCH + (s % 20 + 12) * DAY).alias("until"), F.lit(5).alias("lim"))
+
+
+def broken_subs(spark: SparkSession, sf: str) -> DataFrame:
+    """REQ lines (``value``) of which most have one malformed part."""
+    n = F.col("c_custkey")
+    part = (
+        F.when(n % 7 == 0, '{"kinds":"14"}').when(n % 7 == 1, '{"kinds":[14,1.7]}').when(n % 7 == 2, '{"ids":[1]}')
+        .when(n % 7 == 3, '{"#p":["x",null]}').when(n % 7 == 4, '{"since":"1"},{"kinds":[14]}').when(n % 7 == 5, "7")
+        .otherwise('{"kinds":[14],"authors":null}'))
+    return table(spark, sf, "customer").select(F.concat(
+        F.lit('["REQ","s'), n.cast("string"), F.lit('",'), part, F.lit("]")).alias("value"))
 
 
 def layers(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -110,6 +126,20 @@ def layers(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFram
     return wraps, seals, rumors
 
 
+def repeated(wraps: DataFrame) -> DataFrame:
+    """Each wrap once more, four days later: after any block that its first copy met."""
+    return wraps.withColumn("arrival", F.col("arrival") + 4 * DAY)
+
+
+def owner_block_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Blocks of every second owner against the authors that write to them; the other owners block nobody."""
+    owner = (F.col("user_id") * 7 + F.col("event_id")) % 150
+    pairs = table(spark, sf, "events").select(owner.alias("owner_no"), "user_id").distinct().filter("owner_no % 2 = 0")
+    log = block_log(spark, sf)
+    return pairs.select(H("owner_no").alias("owner"), H("user_id").alias("peer")).join(log, "peer").select(
+        "owner", "peer", "changed_at", "blocked")
+
+
 def messages(spark: SparkSession, sf: str) -> DataFrame:
     e = raw_events(spark, sf)
     status = _by_type(view=RECEIVED, click=RECEIVED, purchase=SENT, error=FAILED, signup=SENDING)

@@ -150,8 +150,12 @@ def split_frames(typed: DataFrame, keep: list[str] = ()) -> dict[str, DataFrame]
     }
 
 
-def parse_subscriptions(lines: DataFrame) -> DataFrame:
-    """REQ frames (``value``) to one row per (sub_id, filter_no); an absent part is null (no constraint)."""
+def typed_subscriptions(lines: DataFrame) -> DataFrame:
+    """REQ frames (``value``) to one row per filter with ``problem``: null, or the first part that is malformed.
+
+    A part of the wrong type never reads as "no constraint", which would widen the filter: such a filter has no place among
+    the others. An absent or JSON-null part is no constraint.
+    """
     read = lines.select(F.try_parse_json("value").alias("v"))
     frames = read.select(
         _text(_field(F.col("v"), "$[0]")).alias("verb"), _text(_field(F.col("v"), "$[1]")).alias("sub_id"),
@@ -160,7 +164,23 @@ def parse_subscriptions(lines: DataFrame) -> DataFrame:
     filters = frames.select(
         "sub_id", F.posexplode(F.slice("items", F.lit(3), F.greatest(F.size("items") - 2, F.lit(0)))).alias("filter_no", "f"))
     keys = F.try_variant_get("f", "$", "map<string,variant>")
-    tag_parts = F.map_filter(keys, lambda k, _: k.startswith("#"))
+    tag_parts = F.map_filter(keys, lambda k, v: k.startswith("#") & ~F.is_variant_null(v))
+    part = lambda name: _field(F.col("f"), f"$.{name}")
+    given = lambda name: part(name).isNotNull() & ~F.is_variant_null(part(name))
+
+    def listing(v: Column, item: str) -> Column:
+        return _type(v).isin(f"ARRAY<{item}>", "ARRAY<VOID>") & F.coalesce(~F.exists(
+            F.try_variant_get(v, "$", "array<variant>"), F.is_variant_null), F.lit(False))
+
+    bad = lambda ok: ~F.coalesce(ok, F.lit(False))
+    kinds_fit = ~F.exists(F.try_variant_get(part("kinds"), "$", "array<bigint>"), lambda k: ~k.between(-2**31, 2**31 - 1))
+    problem = F.when(bad(_type(F.col("f")).startswith("OBJECT")), "filter")
+    for name in ("ids", "authors"):
+        problem = problem.when(given(name) & bad(listing(part(name), "STRING")), name)
+    problem = problem.when(given("kinds") & bad(listing(part("kinds"), "BIGINT") & kinds_fit), "kinds")
+    problem = problem.when(F.exists(F.map_values(tag_parts), lambda v: bad(listing(v, "STRING"))), "tags")
+    for name, kind in (("since", "bigint"), ("until", "bigint"), ("limit", "int")):
+        problem = problem.when(given(name) & _whole(part(name), kind).isNull(), name)
     tags = F.transform_values(
         F.transform_keys(tag_parts, lambda k, _: F.substring(k, F.lit(2), F.length(k))),
         lambda _, v: F.try_variant_get(v, "$", "array<string>"))
@@ -168,7 +188,18 @@ def parse_subscriptions(lines: DataFrame) -> DataFrame:
     return filters.withColumn("tags", tags).select(
         "sub_id", "filter_no", get("ids", "array<string>").alias("ids"), get("authors", "array<string>").alias("authors"),
         get("kinds", "array<int>").alias("kinds"), F.when(F.size("tags") > 0, F.col("tags")).alias("tags"),
-        get("since", "bigint").alias("since"), get("until", "bigint").alias("until"), get("limit", "int").alias("lim"))
+        get("since", "bigint").alias("since"), get("until", "bigint").alias("until"), get("limit", "int").alias("lim"),
+        problem.alias("problem"), F.to_json("f").alias("source"))
+
+
+def parse_subscriptions(lines: DataFrame) -> DataFrame:
+    """REQ frames (``value``) to one row per well-formed (sub_id, filter_no); an absent part is null (no constraint)."""
+    return typed_subscriptions(lines).filter("problem is null").drop("problem", "source")
+
+
+def quarantined_subscriptions(lines: DataFrame) -> DataFrame:
+    """The filters that :func:`parse_subscriptions` leaves out, with the malformed part as ``problem`` and their JSON as ``source``."""
+    return typed_subscriptions(lines).filter("problem is not null").select("sub_id", "filter_no", "problem", "source")
 
 
 def subscription_json(sub_id: str | Column = "sub_id") -> Column:

@@ -1,18 +1,29 @@
-"""Bounded-memory removal of repeated events."""
+"""Removal of repeated events from a stream, exact over its whole life."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
 
-from whisperlake.schemas import CATCH_UP_SECONDS
+from whisperlake.streaming import log
 
 
-def stream_dedup(events: DataFrame, arrival: str = "arrival", horizon: int = CATCH_UP_SECONDS) -> DataFrame:
-    """Drops repeats of an id that arrive within ``horizon`` seconds of its first copy.
+def stream_dedup(events: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Appends every event whose id was not seen before to ``path``: each id exactly once, however late its first copy comes.
 
-    State older than the horizon is evicted. A repeat that comes later still passes; adding
-    messages by id absorbs it. ``arrival`` is a unix time column.
+    A batch drops repeats within itself and those of earlier batches, whose ids are read from the parts that the batch
+    touches. A batch that runs again after a failure replaces its own rows. ``trigger`` is passed to the stream
+    (default: the stored part, then stop).
     """
-    timed = events.withColumn("event_time", F.timestamp_seconds(arrival))
-    return timed.withWatermark("event_time", f"{horizon} seconds").dropDuplicatesWithinWatermark(["id"])
+    def add(batch: DataFrame, batch_id: int) -> None:
+        fresh = batch.dropDuplicates(["id"])
+        seen = log.before(batch.sparkSession, path, batch_id, "id string", batch, ["id"])
+        log.append(fresh.join(seen, "id", "left_anti").select(batch.columns), path, batch_id, ["id"])
+
+    return events.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(
+        **(trigger or {"availableNow": True})).start()
+
+
+def deduplicated(spark: SparkSession, path: str) -> DataFrame:
+    """What :func:`stream_dedup` has let through so far."""
+    return log.everything(spark, path).drop("batch")

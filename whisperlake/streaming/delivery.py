@@ -1,42 +1,66 @@
-"""Acknowledgement matching as a stream-stream join."""
+"""Delivery states as a stream: acknowledgements matched, and states kept, message by message."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from whisperlake.operators.delivery import DUPLICATE, rank_acks
-from whisperlake.schemas import PUBLISH_TIMEOUT_SECONDS
+from whisperlake.operators.delivery import match_acks
+from whisperlake.schemas import FAILED, PUBLISH_TIMEOUT_SECONDS, SENDING, SENT
+from whisperlake.streaming import log
 
+_LOG = ("message_id long, relay long, attempt int, sent_at long, ack_ok boolean, ack_text string, acked_at long")
 
-def stream_match_acks(
-    publishes: DataFrame, acks: DataFrame, timeout: int = PUBLISH_TIMEOUT_SECONDS, lateness: str = "1 minute"
-) -> DataFrame:
-    """Every publish with each of its answers within ``timeout`` seconds, or once without answer.
 
-    Answered publishes are emitted at once; silent ones when the watermark has passed their
-    timeout. State on both sides is bounded by the watermarks and the interval.
-    """
-    left = publishes.withColumn("sent_time", F.timestamp_seconds("sent_at")).withWatermark("sent_time", lateness)
-    right = (
-        acks.withColumn("ack_time", F.timestamp_seconds("acked_at")).withWatermark("ack_time", lateness)
-        .withColumnsRenamed({"message_id": "a_message_id", "relay": "a_relay"})
-    )
-    condition = F.expr(
-        "message_id = a_message_id and relay = a_relay and ack_time >= sent_time "
-        f"and ack_time <= sent_time + interval {timeout} seconds"
-    )
-    return left.join(right, condition, "left_outer").drop("a_message_id", "a_relay", "sent_time", "ack_time")
-
-
-def delivered(emitted: DataFrame) -> DataFrame:
-    """Per message the accepting relays so far; counts only ever rise as more rows are emitted."""
+def delivery_log(publishes: DataFrame, acks: DataFrame) -> DataFrame:
+    """Sends and answers as one table or stream: ``attempt`` is null in answers."""
+    return publishes.select("message_id", "relay", "attempt", "sent_at").unionByName(
+        acks.select("message_id", "relay", "ack_ok", "ack_text", "acked_at"), allowMissingColumns=True)
+
+
+def _summary(history: DataFrame, timeout: int) -> DataFrame:
+    """Per message, of its latest attempt: relays that accepted and that answered, its targets, and the last send without answer."""
     keys = ["message_id", "relay", "attempt"]
-    decided = rank_acks(emitted.filter("acked_at is not null"), keys)
-    accepted = F.coalesce(F.col("ack.ack_ok") | F.col("ack.ack_text").startswith(DUPLICATE), F.lit(False))
-    targets = emitted.select(*keys).distinct()
-    per_relay = targets.join(decided, keys, "left").withColumn("accepted", accepted)
-    per_attempt = per_relay.groupBy("message_id", "attempt").agg(
-        F.count_if("accepted").alias("n_accepted"), F.count(F.lit(1)).alias("n_closed"))
-    return per_attempt.groupBy("message_id").agg(
-        F.max_by("n_accepted", "attempt").alias("relays_accepted"), F.max_by("n_closed", "attempt").alias("n_closed"))
+    sends = history.filter("attempt is not null").groupBy(*keys).agg(F.min("sent_at").alias("sent_at"))
+    answers = history.filter("attempt is null").select("message_id", "relay", "ack_ok", "ack_text", "acked_at")
+    pairs = match_acks(sends, answers, timeout)
+    per_attempt = pairs.groupBy("message_id", "attempt").agg(
+        F.count_if("accepted").alias("n_accepted"), F.count("acked_at").alias("n_answered"), F.count(F.lit(1)).alias("n_targets"),
+        F.max(F.when(F.col("acked_at").isNull(), F.col("sent_at"))).alias("silent_since"))
+    latest = F.max_by(F.struct("n_accepted", "n_answered", "n_targets", "silent_since"), "attempt")
+    return per_attempt.groupBy("message_id").agg(latest.alias("l")).select("message_id", "l.*")
+
+
+def stream_delivery(
+    rows: DataFrame, path: str, checkpoint: str, timeout: int = PUBLISH_TIMEOUT_SECONDS, trigger: dict | None = None
+) -> StreamingQuery:
+    """Keeps the state of every message of a stream of :func:`delivery_log` rows, in any order and however late.
+
+    A batch appends its rows and matches again the messages that it touches, from all that was ever said about them. Nothing
+    is dropped for its age, so the states are those of the batch form at any time. A batch that runs again replaces its rows.
+    """
+    def fold(batch: DataFrame, batch_id: int) -> None:
+        spark, keys = batch.sparkSession, ["message_id"]
+        now = log.append(batch.select(*[c.split()[0] for c in _LOG.split(", ")]), f"{path}/log", batch_id, keys)
+        touched = now.select("message_id").distinct()
+        old = log.before(spark, f"{path}/log", batch_id, _LOG, touched, keys)
+        history = now.unionByName(old.join(touched, "message_id", "left_semi"))
+        log.append(_summary(history, timeout), f"{path}/states", batch_id)
+
+    return rows.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(
+        **(trigger or {"availableNow": True})).start()
+
+
+def delivery_states(spark: SparkSession, path: str, as_of: int, timeout: int = PUBLISH_TIMEOUT_SECONDS) -> DataFrame:
+    """State of every message by its latest attempt, at the time ``as_of``.
+
+    Sent once a relay accepted; Failed when every target has answered or run out of time and none accepted; else Sending.
+    ``relays_accepted`` only rises within an attempt; ``n_answered`` of its ``n_targets`` relays have answered in time.
+    """
+    rows = log.everything(spark, f"{path}/states")
+    fields = F.struct(*[c for c in rows.columns if c not in ("message_id", "batch")])
+    last = rows.groupBy("message_id").agg(F.max_by(fields, "batch").alias("s")).select("message_id", "s.*")
+    waiting = F.coalesce(F.col("silent_since") + timeout > as_of, F.lit(False))
+    status = F.when(F.col("n_accepted") > 0, SENT).when(waiting, SENDING).otherwise(FAILED)
+    return last.select("message_id", F.col("n_accepted").alias("relays_accepted"), "n_answered", "n_targets", status.alias("status"))

@@ -9,45 +9,54 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from whisperlake.operators.inbox import fold_inbox, implied_contacts
+from whisperlake.streaming import log
+
+_KEY = "owner string, id string"
 
 
 def stream_inbox(
     wraps: DataFrame, layers: Callable[[DataFrame], tuple[DataFrame, DataFrame]], processed: DataFrame,
     block_log: DataFrame, path: str, checkpoint: str, on_change: Callable[[DataFrame, int], None] | None = None,
+    trigger: dict | None = None, block_keys: tuple[str, ...] | None = None,
 ) -> StreamingQuery:
-    """Folds a stream of wraps into ``path`` until the stored part is used up.
+    """Folds a stream of wraps into ``path``: tables of handled wraps, messages and contacts.
 
-    ``layers`` gives the opened (seals, rumors) for a batch of wraps. Each batch overwrites its
-    own folder, so a batch that runs again after a lost executor or driver leaves the same
-    rows, and a wrap that is delivered again adds nothing to :func:`current_messages`.
-    ``on_change`` receives the added messages of every batch.
+    ``layers`` gives the opened (seals, rumors) for a batch of wraps. A wrap is handled once in the life of the stream: its id
+    is kept, per owner, with the batch that saw it first, and messages and contacts that exist are not added again.
+    Each batch overwrites its own folders, so one that runs again after a lost executor or driver leaves the same rows.
+    ``on_change`` receives the added messages of every batch. ``trigger`` is passed to the stream (default: the stored part, then
+    stop; a processing time keeps it going).
     """
-
     def fold(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        seals, rumors = layers(batch)
-        messages = fold_inbox(batch, seals, rumors, processed, block_log)
-        target = f"{path}/messages/batch={batch_id}"
-        messages.write.mode("overwrite").parquet(target)
-        added = spark.read.schema(messages.schema).parquet(target)
-        implied_contacts(added).write.mode("overwrite").parquet(f"{path}/contacts/batch={batch_id}")
+        batch = batch.persist()
+        try:
+            keys = ["owner", "id"]
+            seals, rumors = layers(batch)
+            handled = log.before(spark, f"{path}/handled", batch_id, _KEY, batch, keys)
+            own = processed.select(*[c for c in keys if c in processed.columns])
+            todo = batch.join(own, own.columns, "left_anti").select(batch.columns)
+            stored = log.before(spark, f"{path}/messages", batch_id, _KEY)
+            found = fold_inbox(todo, seals, rumors, handled, block_log, stored, block_keys)
+            added = log.append(found.messages, f"{path}/messages", batch_id)
+            people = implied_contacts(added)
+            there = log.before(spark, f"{path}/contacts", batch_id, "owner string, pubkey string")
+            log.append(people.join(there, ["owner", "pubkey"], "left_anti").select(people.columns), f"{path}/contacts", batch_id)
+            log.append(found.handled, f"{path}/handled", batch_id, keys)
+        finally:
+            batch.unpersist()
         if on_change is not None:
             on_change(added.withColumn("change", F.lit("added")), batch_id)
 
-    return (
-        wraps.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
+    return wraps.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(
+        **(trigger or {"availableNow": True})).start()
 
 
 def current_messages(spark: SparkSession, path: str) -> DataFrame:
-    """Message table of :func:`stream_inbox`: the first batch that brought an id wins."""
-    rows = spark.read.parquet(f"{path}/messages")
-    fields = [c for c in rows.columns if c != "batch"]
-    return rows.groupBy("owner", "id").agg(F.min_by(F.struct(*fields), "batch").alias("m")).select("m.*")
+    """Message table of :func:`stream_inbox`: one row per (owner, id)."""
+    return log.everything(spark, f"{path}/messages").drop("batch")
 
 
 def current_contacts(spark: SparkSession, path: str) -> DataFrame:
     """Contacts implied so far; the batch that created one fixes its request flag."""
-    rows = spark.read.parquet(f"{path}/contacts")
-    return rows.groupBy("owner", "pubkey").agg(F.min_by("is_request", "batch").alias("is_request"))
+    return log.everything(spark, f"{path}/contacts").drop("batch")
