@@ -33,7 +33,7 @@ NUMERATOR, DENOMINATOR = 4, 5
 MOST_WORDS = 1 << 17
 _OFTEN = 4
 _SALT = np.uint64(0xD6E8FEB86659FD93)
-_SLICE = 8 << 20
+_SLICE = 4 << 20
 
 
 class Frequent(NamedTuple):

@@ -18,11 +18,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+# Bytes of rows that a Python worker gets at a time. Spark's default is eight times as much, several copies of which
+# may be in use at once in each worker and its executor.
+_BATCH_BYTES = 8 << 20
+
+
 def share_package(spark: SparkSession) -> None:
-    """Lets Python workers import this package when the driver found it by its own search path only.
+    """Prepares a session for this package's Python workers: bounded batches, and a search path on which they find it.
 
-    On a cluster the package is installed, or shipped with ``--py-files``; there this changes nothing.
+    The path is the driver's own. On a cluster the package is installed, or shipped with ``--py-files``; there it changes nothing.
     """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(_BATCH_BYTES))
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):
