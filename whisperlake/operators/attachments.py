@@ -75,8 +75,10 @@ def blob_locations(attachments: DataFrame, servers: str | Column) -> DataFrame:
 
 
 def verify_blobs(blobs: DataFrame, max_bytes: int = MAX_ATTACHMENT_BYTES + DOWNLOAD_SLACK_BYTES) -> DataFrame:
-    """Adds ``verdict``: ok, too large, or tampered. Oversized bytes are never hashed."""
+    """Adds ``verdict``: ok, too large, or tampered. Oversized bytes are never hashed; of these a ``length`` is enough."""
     n = F.octet_length("content")
+    if "length" in blobs.columns:
+        n = F.coalesce("length", n)
     return blobs.withColumn(
         "verdict",
         F.when(n > max_bytes, "too large")

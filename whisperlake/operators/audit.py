@@ -7,17 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from whisperlake.functions.text import let
 from whisperlake.schemas import WRAP_JITTER_SECONDS
 
-_SPACE = r"\s+"
-# Plain texts with fewer words than this have no run of inner words to look up.
-_MIN_WORDS = 5
-_RUN = 3
-_MAX_CHARS = 64
-# Bloom filter size: parts of 512 words of 64 bits.
-_PARTS = 256
-_WORDS = 512
+# Texts are looked up by runs of so many characters; a shorter text is one run of its own length.
+RUN_CHARS = 12
 
 
 def known_signers(wraps: DataFrame, identities: DataFrame) -> DataFrame:
@@ -32,98 +25,35 @@ def time_leaks(wraps: DataFrame, rumors: DataFrame, jitter: int = WRAP_JITTER_SE
     return wraps.join(inner, "seal_id").filter(~inside)
 
 
-def _word_runs(text: str, skip: int) -> Column:
-    """Hashes of all runs of three words of a text, without ``skip`` words at either end."""
-
-    def runs(words: Column) -> Column:
-        last = F.size(words) - skip - _RUN
-        run = lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(_RUN)])
-        return F.when(last >= skip, F.transform(F.sequence(F.lit(skip), last), run))
-
-    return let(F.split(text, _SPACE), runs)
-
-
-def _char_runs(content: str, widths: str) -> Column:
-    """Hashes of all runs of characters of the given widths."""
-
-    def runs(chars: Column) -> Column:
-        return F.flatten(F.transform(F.filter(widths, lambda w: w <= F.size(chars)), lambda w: F.transform(
-            F.sequence(F.lit(1), F.size(chars) - w + 1),
-            lambda i: F.xxhash64(w, F.array_join(F.slice(chars, i, w), "")))))
-
-    # Without short plain texts there are no widths, and the text is not taken apart.
-    return F.when(F.size(widths) > 0, let(F.split(content, ""), runs))
-
-
-def _address(hashed: Column) -> tuple[Column, Column, Column]:
-    """Part, word in the part and bit in the word for a hash."""
-    p = hashed.bitwiseAND(F.lit(_PARTS * _WORDS * 64 - 1).cast("bigint"))
-    word = F.shiftright(p, 6)
-    return (
-        F.shiftright(word, 9).cast("int"), word.bitwiseAND(F.lit(_WORDS - 1).cast("bigint")).cast("int"),
-        p.bitwiseAND(F.lit(63).cast("bigint")).cast("int"),
-    )
-
-
-def _hashes(key: Column) -> list[Column]:
-    return [key, F.xxhash64(key)]
-
-
-def _dense(entries: str, size: int, empty: Column) -> Column:
-    return let(F.map_from_entries(F.collect_list(F.struct("i", entries))), lambda m: F.transform(
-        F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at(m, i), empty)))
-
-
-def _key_bits(keys: DataFrame) -> Column:
-    """Bloom filter of ``key`` as an array of arrays of 64-bit words: one megabyte, however many keys there are."""
-    part, word, bit = _address(F.col("h"))
-    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)
-    words = (
-        keys.select(F.explode(F.array(*_hashes(F.col("key")))).alias("h"))
-        .groupBy(part.alias("part"), word.alias("i")).agg(F.bit_or(one).alias("bits"))
-    )
-    parts = words.groupBy(F.col("part").alias("i")).agg(_dense("bits", _WORDS, F.lit(0).cast("bigint")).alias("words"))
-    return parts.agg(_dense("words", _PARTS, F.array().cast("array<bigint>")).alias("b")).scalar()
-
-
-def _may_hold(bits: Column, key: Column) -> Column:
-    """False only for keys that are certainly not in the filter."""
-    found = F.lit(True)
-    for h in _hashes(key):
-        part, word, bit = _address(h)
-        shifted = F.call_function("shiftright", F.get(F.get(bits, part), word), bit)
-        found = found & F.coalesce(shifted.bitwiseAND(F.lit(1).cast("bigint")) == 1, F.lit(False))
-    return found
+def _runs(text: str, widths: str | Column) -> Column:
+    """Hashes of the different runs of characters of a text, at any position, of each of the widths."""
+    return F.array_distinct(F.flatten(F.transform(widths, lambda w: F.transform(
+        # A look-ahead finds runs that overlap, in one pass over the text.
+        F.regexp_extract_all(text, F.concat(F.lit("(?s)(?=(.{"), w.cast("string"), F.lit("}))")), F.lit(1)),
+        lambda run: F.xxhash64(w, run)))))
 
 
 def plaintext_leaks(contents: DataFrame, known: DataFrame) -> DataFrame:
     """Pairs (id, item_id) where a content holds a known plain text as a substring.
 
-    Words strictly inside a plain text must appear as whole words in any content that holds
-    it, so one run of three inner words per plain text is looked up by an equi-join, and
-    only pairs that meet there are compared. Texts with too few words are looked up by their
-    first characters instead, in power-of-two lengths. No pair is formed without a shared key,
-    and a fixed-size Bloom filter of the wanted keys keeps almost all contents out of the shuffle.
+    Whatever holds a text holds all its runs of characters, so each text is looked up by one of them: the one that the fewest known texts
+    share. Only (id, key) pairs take part in that equi-join, whose other side Spark sends around if it is small; whole texts
+    are fetched by id for the pairs that met, and compared. No pair is formed without a shared key.
 
-    contents: id, content; known: item_id, plaintext.
+    contents: id, content; known: item_id, plaintext. Empty plain texts are left out.
     """
-    known = known.filter(F.length("plaintext") > 0).select("item_id", "plaintext")
-    n_words = F.size(F.split("plaintext", _SPACE))
-    by_words = known.filter(n_words >= _MIN_WORDS).withColumn("key", F.array_min(_word_runs("plaintext", 1)))
-    power = F.call_function("shiftleft", F.lit(1), F.length(F.bin(F.length("plaintext").cast("bigint"))).cast("int") - 1)
-    few = known.filter(n_words < _MIN_WORDS).withColumn("width", F.least(F.lit(_MAX_CHARS), power))
-    by_chars = few.withColumn("key", F.xxhash64("width", F.substring("plaintext", F.lit(1), F.col("width"))))
-    anchors = by_words.unionByName(by_chars.drop("width"))
-    # At most seven widths exist.
-    widths = few.agg(F.array_sort(F.collect_set("width")).alias("w")).scalar()
-
-    runs = contents.select("id", "content", widths.alias("widths")).select("id", "content", F.array_distinct(F.concat(
-        F.coalesce(_word_runs("content", 0), F.array().cast("array<bigint>")),
-        F.coalesce(_char_runs("content", "widths"), F.array().cast("array<bigint>")))).alias("runs"))
-    wanted = runs.select("id", "content", F.explode("runs").alias("key")).filter(
-        _may_hold(_key_bits(anchors.select("key")), F.col("key")))
-    met = wanted.join(anchors, "key").filter(F.col("content").contains(F.col("plaintext")))
-    return met.select("id", "item_id").distinct()
+    known = known.filter(F.length("plaintext") > 0).select(
+        "item_id", "plaintext", F.least(F.length("plaintext"), F.lit(RUN_CHARS)).alias("width"))
+    own = known.select("item_id", F.explode(_runs("plaintext", F.array("width"))).alias("key"))
+    shared = own.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    anchors = own.join(shared, "key").groupBy("item_id").agg(F.min(F.struct("n", "key")).alias("a")).select("item_id", "a.key")
+    # At most RUN_CHARS widths exist.
+    widths = known.agg(F.collect_set("width").alias("w")).scalar()
+    keys = contents.select("id", "content", widths.alias("widths")).select("id", F.explode(_runs("content", "widths")).alias("key"))
+    met = keys.join(anchors, "key").select("id", "item_id").distinct()
+    pairs = met.join(known.select("item_id", "plaintext"), "item_id")
+    held = pairs.join(contents.select("id", "content"), "id").filter(F.col("content").contains(F.col("plaintext")))
+    return held.select("id", "item_id").distinct()
 
 
 def leak_audit(

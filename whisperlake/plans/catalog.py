@@ -14,7 +14,7 @@ from whisperlake.operators import (
 )
 from whisperlake.operators.filters import EventFilter
 from whisperlake.plans import views as v
-from whisperlake.sources import feed, frames, snapshot
+from whisperlake.sources import blobs, feed, frames, snapshot
 from whisperlake.session import configure_session, work_dir
 from whisperlake.streaming import dedup
 from whisperlake.streaming import delivery as stream_delivery
@@ -89,6 +89,33 @@ def _(spark, sf):
     return rows.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("s4_snapshot_files")
+def _(spark, sf):
+    """Customers as the stored history of their nation: one file for each, with all five sections."""
+    c = v.table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey")
+    n, k = F.col("c_custkey"), F.col("c_nationkey")
+    contact = F.struct(F.col("c_name").alias("Name"), (n % 3 == 0).alias("IsBlocked"))
+    message = F.struct(
+        F.concat(F.lit("m"), n.cast("string")).alias("Id"), v.H(n).alias("PeerPubKey"), F.col("c_name").alias("Text"),
+        (v.EPOCH + n).alias("CreatedAt"), F.lit("Received").alias("Status"))
+    per = c.groupBy("c_nationkey").agg(
+        F.map_from_entries(F.collect_list(F.struct(v.H(n), contact))).alias("Contacts"), F.collect_list(message).alias("Messages"),
+        F.collect_list(F.when(n % 7 == 0, v.H(n + 1))).alias("ProcessedWrapIds"))
+    settings = F.when(k % 2 == 0, F.struct(F.array(F.lit("wss://relay.example")).alias("Relays")))
+    files = per.select("c_nationkey", F.to_json(F.struct(
+        "Contacts", "Messages", "ProcessedWrapIds", F.when(k % 3 == 0, k).alias("LastSyncAt"), settings.alias("Settings"))).alias("value"))
+    path = work_dir(spark, "histories")
+    files.write.partitionBy("c_nationkey").text(path)
+    t = snapshot.read_snapshot(spark, path)
+    row = lambda part, *values: t[part].select(
+        F.lit(part).alias("part"), F.concat_ws("|", *values).alias("value"))
+    rows = row("contacts", "pubkey", "name", F.col("is_blocked").cast("string")).unionByName(
+        row("messages", "id", "peer", "text", F.col("created_at").cast("string"))).unionByName(row("processed", "id")).unionByName(
+        row("settings", joined("relays", ","), joined("media_servers", ","))).unionByName(
+        row("last_sync", F.col("last_sync_at").cast("string")))
+    return rows.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("s5_snapshot_round_trip")
 def _(spark, sf):
     path = work_dir(spark, "store")
@@ -107,6 +134,15 @@ def _(spark, sf):
     return stored.select("url", "sha256", F.octet_length("content").cast("bigint").alias("length"))
 
 
+@query("s6_read_blobs")
+def _(spark, sf):
+    """Benchmark items as files, one each, read back as blobs."""
+    path = work_dir(spark, "blob-files")
+    v.table(spark, sf, "benchmark").select("item_id", "text").write.partitionBy("item_id").text(path)
+    stored = blobs.read_blobs(spark, path, "*.txt")
+    return stored.select(F.regexp_extract("url", "item_id=([0-9]+)", 1).cast("bigint").alias("item_id"), "length", "sha256")
+
+
 @query("s7_stream_events")
 def _(spark, sf):
     """The stored part of the feed, run as a stream over the event table."""

@@ -263,6 +263,13 @@ ORACLES["s4_read_snapshot"] = f"""select part, value, count(*) as n from (
     union all select 'settings', case when c_custkey % 4 = 1 then 'wss://relay.example' else {_RELAYS} end || '|' ||
       case when c_custkey % 4 = 2 then 'https://m.example' else {_SERVERS} end from customer
     union all select 'last sync', cast(case when c_custkey % 5 = 0 then c_custkey else 0 end as varchar) from customer) group by part, value"""
+ORACLES["s4_snapshot_files"] = f"""select part, value, count(*) as n from (
+    select 'contacts' as part, {H('c_custkey')} || '|' || c_name || '|' || case when c_custkey % 3 = 0 then 'true' else 'false' end as value from customer
+    union all select 'messages', 'm' || c_custkey || '|' || {H('c_custkey')} || '|' || c_name || '|' || ({EPOCH} + c_custkey) from customer
+    union all select 'processed', {H('c_custkey + 1')} from customer where c_custkey % 7 = 0
+    union all select 'settings', case when k % 2 = 0 then 'wss://relay.example' else {_RELAYS} end || '|' || {_SERVERS} from (select distinct c_nationkey as k from customer)
+    union all select 'last_sync', cast(case when k % 3 = 0 then k else 0 end as varchar) from (select distinct c_nationkey as k from customer)) group by part, value"""
+ORACLES["s6_read_blobs"] = """select item_id, cast(strlen(text) + 1 as bigint) as length, sha256(text || chr(10)) as sha256 from benchmark"""
 ORACLES["s5_snapshot_round_trip"] = sql("raw v_messages v_contacts", """
     select 'message' as part, id as key, created_at as at_time from v_messages
     union all select 'contact', pubkey, last_read_at from v_contacts""").replace("at_time", '"at"')

@@ -12,11 +12,11 @@ from whisperlake.schemas import MAX_ATTACHMENT_BYTES
 def read_blobs(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """Files under ``path`` keyed by the SHA-256 of their bytes: url (file name), length, content, sha256.
 
-    The length filter reaches the file listing, so oversized files are never read. Empty files
-    give no row; they are never stored, because an empty file is refused when it is sent.
+    The length filter reaches the file listing, so oversized files are never read: they are rows with their length and neither content nor
+    hash. Empty files give no row; they are never stored, because an empty file is refused when it is sent.
     """
-    files = (
-        spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-        .filter(F.col("length") <= MAX_ATTACHMENT_BYTES + DOWNLOAD_SLACK_BYTES)
-    )
-    return address_blobs(files.select(F.col("path").alias("url"), "length", "content"))
+    most = MAX_ATTACHMENT_BYTES + DOWNLOAD_SLACK_BYTES
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+    fit = files.filter(F.col("length") <= most).select(F.col("path").alias("url"), "length", "content")
+    large = files.filter(F.col("length") > most).select(F.col("path").alias("url"), "length", F.lit(None).cast("binary").alias("content"))
+    return address_blobs(fit.unionByName(large))

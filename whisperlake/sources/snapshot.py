@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,46 +85,37 @@ def snapshot_tables(files: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def snapshot_json() -> Column:
-    """One owner's snapshot as JSON from columns contacts, messages, processed, last_sync_at, settings."""
-    return F.to_json(F.struct(
-        F.col("contacts").alias("Contacts"), F.col("messages").alias("Messages"),
-        F.col("processed").alias("ProcessedWrapIds"), F.col("last_sync_at").alias("LastSyncAt"),
-        F.col("settings").alias("Settings")))
+def write_snapshot(spark: SparkSession, tables: dict[str, DataFrame], path: str) -> int:
+    """Writes all tables as one new version; readers take it from the moment its manifest is there.
 
+    A version has folders of its own, never written again. Its manifest, the last thing written, is a one-row table whose success marker
+    appears when it is complete; nothing is renamed or replaced, so this holds on object stores too. There is one writer at a time.
+    """
+    version = max(_versions(spark, path), default=0) + 1
+    name = uuid.uuid4().hex
+    for table, df in tables.items():
+        df.write.parquet(f"{path}/versions/{name}/{table}")
+    manifest = spark.createDataFrame([(version, name, sorted(tables))], "version long, folder string, tables array<string>")
+    manifest.coalesce(1).write.mode("append").parquet(f"{path}/manifests")
+    return version
 
-def _publish(spark: SparkSession, body: str, temp: str, final: str) -> None:
-    """Writes a small file aside and renames it over ``final`` in one step."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    fs = jvm.org.apache.hadoop.fs
-    source, target = fs.Path(temp), fs.Path(final)
-    out = source.getFileSystem(conf).create(source, True)
-    out.write(bytearray(body.encode()))
-    out.close()
-    rename = fs.Options.Rename
-    flags = spark.sparkContext._gateway.new_array(rename, 1)
-    flags[0] = rename.OVERWRITE
-    fs.FileContext.getFileContext(source.toUri(), conf).rename(source, target, flags)
 
+def _manifests(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("version long, folder string, tables array<string>").parquet(f"{path}/manifests")
 
-def write_snapshot(spark: SparkSession, tables: dict[str, DataFrame], path: str) -> str:
-    """Writes all tables as one new version; readers switch to it at once when its pointer appears.
 
-    Every version has its own folder. The pointer (a small file listing the version) is
-    written aside and renamed, so a reader sees the old or the new snapshot, never a mix.
-    """
-    version = uuid.uuid4().hex
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/versions/{version}/{name}")
-    body = json.dumps({"version": version, "tables": sorted(tables)})
-    _publish(spark, body, f"{path}/CURRENT-{version}", f"{path}/CURRENT")
-    return version
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """The newest version, or nothing before the first one."""
+    try:
+        top = _manifests(spark, path).agg(F.max("version")).first()[0]
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return []
+    return [] if top is None else [top]
 
 
 def load_snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The tables of the current version."""
-    pointer = json.loads(spark.read.text(f"{path}/CURRENT", wholetext=True).first()[0])
-    root = f"{path}/versions/{pointer['version']}"
-    return {name: spark.read.parquet(f"{root}/{name}") for name in pointer["tables"]}
-
-
+    """The tables of the newest version."""
+    pointer = _manifests(spark, path).orderBy(F.desc("version")).first()
+    return {name: spark.read.parquet(f"{path}/versions/{pointer.folder}/{name}") for name in pointer.tables}
