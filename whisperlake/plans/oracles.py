@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-from whisperlake.functions.keys import ALPHABET, GENERATOR, _prefix_state
-from whisperlake.functions.media import (
-    EXTENSION_BY_FAMILY, EXTENSION_BY_TYPE, KIND_BY_FAMILY, LABEL_BY_KIND, TYPE_BY_EXTENSION,
-)
-from whisperlake.functions.urls import URL_PATTERN
 from whisperlake.plans.views import DAY, EPOCH, ME, MID_SHIPPING, NOW
 
 
@@ -58,7 +53,20 @@ def values(tags: str, name: str) -> str:
 
 
 def part(x: str, group: int) -> str:
-    return f"regexp_extract({x}, {quote(URL_PATTERN)}, {group})"
+    """A piece of a URL, cut off by its separators one after another: scheme, user with @, host, port, path, ?query, #fragment."""
+    def tail(text: str, sign: str) -> str:
+        return f"case when strpos({text}, '{sign}') > 0 then substr({text}, strpos({text}, '{sign}')) else '' end"
+
+    rest = f"(case when strpos({x}, '://') > 0 then substr({x}, strpos({x}, '://') + 3) else '' end)"
+    plain = f"split_part({rest}, '#', 1)"
+    place = f"split_part({plain}, '?', 1)"
+    who = f"split_part({place}, '/', 1)"
+    host = f"(case when strpos({who}, '@') > 0 then substr({who}, strpos({who}, '@') + 1) else {who} end)"
+    return "(" + {
+        1: f"case when strpos({x}, '://') > 0 then split_part({x}, '://', 1) else '' end",
+        2: f"case when strpos({who}, '@') > 0 then substr({who}, 1, strpos({who}, '@')) else '' end",
+        3: f"split_part({host}, ':', 1)", 4: f"split_part({host}, ':', 2)", 5: tail(place, "/"), 6: tail(plain, "?"), 7: tail(rest, "#"),
+    }[group] + ")"
 
 
 def web_ok(x: str, schemes: str = "'http', 'https'") -> str:
@@ -87,6 +95,12 @@ def web_url(x: str) -> str:
     )
 
 
+# bech32 alphabet, checksum generator, and the checksum's state behind "npub1".
+ALPHABET = "qpzry9x8gf2tvdw0s3jn54khce6mua7l"
+GENERATOR = (996825010, 642813549, 513874426, 1027748829, 705979059)
+NPUB_STATE = 393457147
+
+
 def npub(x: str) -> str:
     """Text form of a hex key, three hex digits around every 5-bit group."""
     digit = lambda i: f"(instr('0123456789abcdef', substr({x} || '000', {i}, 1)) - 1)"
@@ -100,7 +114,7 @@ def npub(x: str) -> str:
             out = f"xor({out}, (({state} >> {25 + bit}) & 1) * {g})"
         return out
 
-    full = f"list_concat([cast({_prefix_state('npub')} as bigint)], {data}, [cast(0 as bigint), 0, 0, 0, 0, 0])"
+    full = f"list_concat([cast({NPUB_STATE} as bigint)], {data}, [cast(0 as bigint), 0, 0, 0, 0, 0])"
     state = f"xor(list_reduce({full}, lambda a, b: {step('a', 'b')}), 1)"
     check = f"list_transform([25, 20, 15, 10, 5, 0], lambda s: (({state}) >> s) & 31)"
     letters = lambda v: f"array_to_string(list_transform({v}, lambda q: substr('{ALPHABET}', cast(q as integer) + 1, 1)), '')"
@@ -111,10 +125,6 @@ def day(x: str) -> str:
     return f"cast(make_timestamp(cast({x} as bigint) * 1000000) as date)"
 
 
-def _lookup(table: dict[str, str], key: str) -> str:
-    return f"(case {key} " + " ".join(f"when {quote(k)} then {quote(v)}" for k, v in table.items()) + " end)"
-
-
 BLANKS = "' ' || chr(9) || chr(10) || chr(13)"
 RECEIVED = "'Received'"
 
@@ -313,12 +323,13 @@ ORACLES["e8_attachment_from_event"] = sql("v_files", f"""select page_id, readabl
     case when readable then cast(duration as double) end as duration_seconds,
     case when readable then array_to_string(fallbacks, '|') end as fallbacks from v_files""")
 ORACLES["e9_attachment_to_tags"] = sql("v_files file_tags", f"select page_id, {tags_text('tags')} as tags from file_tags")
-_KIND = f"coalesce({_lookup(KIND_BY_FAMILY, chr(39).join(['lower(split_part(mime, ', '/', ', 1))']))}, 'File')"
-ORACLES["e10_attachment_kind"] = sql("v_files", f"select page_id, {_KIND} as kind, {_lookup(LABEL_BY_KIND, _KIND)} as label from v_files")
-_FAMILY_EXT = f"{_lookup(EXTENSION_BY_FAMILY, chr(39).join(['split_part(mime, ', '/', ', 1) || ', '/', '']))}"
-ORACLES["e11_media_types"] = sql("v_files", f"""select page_id,
-    {_lookup(TYPE_BY_EXTENSION, "(case when page_id % 3 = 0 then '.m4a' else '.html' end)")} as from_name,
-    coalesce({_lookup(EXTENSION_BY_TYPE, 'mime')}, {_FAMILY_EXT}, '.bin') as extension,
+ORACLES["e10_attachment_kind"] = sql("v_files", """select page_id,
+    case when mime ilike 'image/%' then 'Image' when mime ilike 'video/%' then 'Video' when mime ilike 'audio/%' then 'Audio' else 'File' end as kind,
+    case when mime ilike 'image/%' then '📷 Photo' when mime ilike 'video/%' then '🎥 Video' when mime ilike 'audio/%' then '🎤 Audio'
+      else '📎 File' end as label from v_files""")
+ORACLES["e11_media_types"] = sql("v_files", """select page_id,
+    case when page_id % 3 = 0 then 'audio/mp4' end as from_name,
+    case mime when 'image/jpeg' then '.jpg' when 'video/mp4' then '.mp4' when 'audio/mp4' then '.m4a' else '.bin' end as extension,
     'application/octet-stream' || case when mime is null then '' else '|' || mime end
       || case when mime = 'audio/mp4' then '|audio/mpeg|video/mp4' else '' end as labels
     from (select page_id, lower(mime) as mime from v_files)""")
