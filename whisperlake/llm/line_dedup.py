@@ -34,6 +34,9 @@ MOST_WORDS = 1 << 17
 _OFTEN = 4
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 _SLICE = 4 << 20
+# Buckets of pairs for each shuffle partition of the session, and words of a bucket that are compared at a time.
+_BUCKETS = 4
+_VERIFIED = 1 << 20
 
 
 class Frequent(NamedTuple):
@@ -137,26 +140,57 @@ def _line_rows(frequent: Frequent):
     return run
 
 
-def _needed_lines(frequent: Frequent):
-    """Words of the lines that are asked for: rows (text, lines) to (k1, words)."""
+def _asked_lines(frequent: Frequent):
+    """Words of the lines that are asked for: rows (text, lines with the buckets that want them) to (bucket, k1, words)."""
     def run(batches):
         for batch in batches:
             for at, part in slices(texts_of(batch.column(0)), _SLICE):
                 lines, first = _split(part)
                 asked = batch.column(1).slice(at, len(part))
                 number = np.asarray(asked.value_lengths()).astype(np.int64)
-                which = np.repeat(first[:-1], number) + np.asarray(asked.flatten()).astype(np.int64)
+                rows = asked.flatten()
+                which = np.repeat(first[:-1], number) + np.asarray(rows.field("line_no")).astype(np.int64)
                 value, starts = line_sets(lines.take(pa.array(which)), frequent)
                 k1, _ = set_keys(value, starts)
+                buckets = rows.field("buckets")
+                times = np.asarray(buckets.value_lengths()).astype(np.int64)
+                copy = np.repeat(np.arange(len(which)), times)
+                length = np.diff(starts)[copy]
+                ends = np.concatenate(([0], np.cumsum(length))).astype(np.int32)
+                found = value[ragged(starts[:-1][copy], length)].view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(k1), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(value.view(np.int64)))],
-                    names=["k1", "words"])
+                    [buckets.flatten(), pa.array(k1[copy]), pa.ListArray.from_arrays(pa.array(ends), pa.array(found))],
+                    names=["bucket", "k1", "words"])
 
     return run
 
 
+def _verify(sets: pa.Table, pairs: pa.Table) -> pa.Table:
+    """The pairs of one bucket that are similar."""
+    names, place = np.unique(sets.column("k1").to_numpy(), return_index=True)
+    lists = sets.column("words").combine_chunks()
+    starts, length = lists.offsets.to_numpy().astype(np.int64), np.asarray(lists.value_lengths()).astype(np.int64)
+    word = lists.values.to_numpy()
+    a, b = pairs.column("a").to_numpy(), pairs.column("b").to_numpy()
+    ia, ib = place[np.searchsorted(names, a)], place[np.searchsorted(names, b)]
+    keep = np.zeros(len(a), bool)
+    at, size = 0, np.cumsum(length[ia] + length[ib])
+    while at < len(a):  # some pairs at a time
+        stop = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + _VERIFIED, side="right")))
+        one, two = ia[at:stop], ib[at:stop]
+        pair = np.concatenate((np.repeat(np.arange(stop - at), length[one]), np.repeat(np.arange(stop - at), length[two])))
+        words_of = word[np.concatenate((ragged(starts[one], length[one]), ragged(starts[two], length[two])))]
+        # A word that both sets have stands twice.
+        order = np.lexsort((words_of, pair))
+        twice = (np.diff(words_of[order]) == 0) & (np.diff(pair[order]) == 0)
+        shared = np.bincount(pair[order][1:][twice], minlength=stop - at)
+        keep[at:stop] = shared * (NUMERATOR + DENOMINATOR) >= (length[one] + length[two]) * NUMERATOR
+        at = stop
+    return pa.table({"a": a[keep], "b": b[keep]})
+
+
 def candidates(sets: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of set names that pass all filters, from ``sets`` (k1, n, parity, prefix)."""
+    """Pairs (a, b) of set names that pass all filters, from ``sets`` (k1, n, parity, prefix), each once with a ``word`` they share."""
     # Three numbers a row besides the word: the name, the parity, and how many words the set has with those left from this one on.
     rows = sets.select("k1", "n", "parity", F.posexplode("prefix").alias("at", "word")).select(
         "k1", "parity", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR((F.col("n") - F.col("at")).cast("long")).alias("size"), "word")
@@ -174,7 +208,7 @@ def candidates(sets: DataFrame) -> DataFrame:
         reach * (NUMERATOR + DENOMINATOR) >= (na + nb) * NUMERATOR) & (
         # The symmetric difference of similar sets: at most (na + nb) * (1 - s) / (1 + s).
         F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) * (NUMERATOR + DENOMINATOR) <= (na + nb) * (DENOMINATOR - NUMERATOR))
-    return a.join(b, "word").filter(fits).select("a", "b").distinct()
+    return a.join(b, "word").filter(fits).groupBy("a", "b").agg(F.min("word").alias("word"))
 
 
 def _key(doc: str, line: str):
@@ -197,16 +231,18 @@ def similar_lines(docs: DataFrame) -> DataFrame:
         F.min(_key("doc_id", "line_no")).alias("first"), F.first("n").alias("n"), F.first("parity").alias("parity"),
         F.first("prefix").alias("prefix")), "sets")
     firsts = sets.select("k1", "k2", "first")
-    pairs = written(candidates(sets.filter(f"n >= {NUMERATOR}")), "candidates")
-    both = pairs.select(F.col("a").alias("k1")).union(pairs.select("b")).distinct()
+    # Pairs are verified in buckets by a word that both sets share, so near copies meet in few of them.
+    buckets = _BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bucket = F.pmod(F.xxhash64("word"), F.lit(buckets)).cast("int").alias("bucket")
+    pairs = written(candidates(sets.filter(f"n >= {NUMERATOR}")).select("a", "b", bucket), "candidates")
+    both = pairs.select(F.col("a").alias("k1"), "bucket").union(pairs.select("b", "bucket")).groupBy("k1").agg(
+        F.collect_set("bucket").alias("buckets"))
     asked = written(firsts.join(both, "k1").groupBy(F.col("first.doc_id").alias("doc_id")).agg(
-        F.collect_set("first.line_no").alias("lines")), "asked-lines")
-    few = sent_if_small(asked, 24 + 4 * F.size("lines"))
+        F.collect_set(F.struct(F.col("first.line_no").alias("line_no"), "buckets")).alias("lines")), "asked-lines")
+    few = sent_if_small(asked, 24 + 24 * F.size("lines"))
     found = texts.join(few, texts.doc_id.eqNullSafe(few.doc_id)).select("text", "lines")
-    token = found.mapInArrow(_needed_lines(frequent), "k1 long, words array<long>").dropDuplicates(["k1"])
-    checked = pairs.join(token.toDF("a", "wa"), "a").join(token.toDF("b", "wb"), "b")
-    shared = F.size(F.array_intersect("wa", "wb"))
-    similar = checked.filter(shared * (NUMERATOR + DENOMINATOR) >= (F.size("wa") + F.size("wb")) * NUMERATOR).select("a", "b")
+    token = found.mapInArrow(_asked_lines(frequent), "bucket int, k1 long, words array<long>")
+    similar = token.groupBy("bucket").cogroup(pairs.groupBy("bucket")).applyInArrow(_verify, "a long, b long")
     similar = written(similar, "similar-lines")
     ends = similar.union(similar.select("b", "a")).toDF("k1", "other")
     links = ends.join(firsts.select(F.col("k1").alias("other"), "first"), "other").groupBy("k1").agg(
