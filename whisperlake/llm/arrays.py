@@ -46,6 +46,20 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, pa.
         at = stop
 
 
+def gathered(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Table]:
+    """Consecutive batches put together until they have ``limit`` bytes: larger slices repeat more words."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= limit:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def drop_empty(codes: np.ndarray, starts: np.ndarray, empty: int) -> tuple[np.ndarray, np.ndarray]:
     """Without the code ``empty`` (negative: there is none)."""
     if empty < 0:

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from whisperlake.llm.arrays import ragged, slices, texts_of
+from whisperlake.llm.arrays import gathered, ragged, slices, texts_of
 from whisperlake.llm.store import share_package, written
 from whisperlake.llm.tokens import encoder, with_end
 
@@ -28,7 +28,7 @@ from whisperlake.llm.tokens import encoder, with_end
 _TOGETHER = 16
 # A sequence id holds the task or group above, the bin below.
 _BIN_BITS = 40
-_SLICE = 8 << 20
+_SLICE = 12 << 20
 
 _FIELDS = [
     ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()),
@@ -100,8 +100,8 @@ def _tokenise(file: str, end_id: int, capacity: int, slack: int):
         worker = TaskContext.get().partitionId()
         encode = encoder(file).encode
         waiting, bins = _SCHEMA.empty_table(), 0
-        for batch in batches:
-            texts, doc_ids = texts_of(batch.column(1)), batch.column(0)
+        for table in gathered(batches, _SLICE):
+            texts, doc_ids = texts_of(table.column(1)), table.column(0).combine_chunks()
             for at, part in slices(texts, _SLICE):
                 t = with_end(encode(part), end_id)
                 new = _pieces(doc_ids.slice(at, len(part)), t.ids, t.starts, capacity, slack, worker)

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from whisperlake.llm.arrays import slices, texts_of
+from whisperlake.llm.arrays import gathered, slices, texts_of
 from whisperlake.llm.store import share_package
 from whisperlake.llm.tokens import encoder, with_end
 
@@ -26,7 +26,7 @@ _BLOCK = 512
 _BYTES = _BLOCK // 8
 # A shard ends with the document that brings it to so many ids.
 SHARD_IDS = 2 << 20
-_SLICE = 8 << 20
+_SLICE = 12 << 20
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -196,8 +196,8 @@ def _to_shards(file: str, end_id: int, shard_ids: int):
             ids.clear(), docs.clear(), sizes.clear()
             return row
 
-        for batch in batches:
-            texts, doc_ids = texts_of(batch.column(1)), batch.column(0)
+        for table in gathered(batches, _SLICE):
+            texts, doc_ids = texts_of(table.column(1)), table.column(0).combine_chunks()
             for at, some in slices(texts, _SLICE):
                 t = with_end(e.encode(some), end_id)
                 names, number = doc_ids.slice(at, len(some)).to_pylist(), np.diff(t.starts)
