@@ -9,7 +9,7 @@ from whisperlake.functions.keys import avatar_bucket, display_name, initial
 from whisperlake.functions.labels import day_label, day_of, time_label
 from whisperlake.functions.text import is_blank, trimmed
 from whisperlake.operators.delivery import delivery_tick
-from whisperlake.operators.ordered import with_neighbour, with_running_sum
+from whisperlake.operators.ordered import in_buckets, with_neighbour, with_running_sum
 from whisperlake.schemas import FAILED, GROUP_GAP_SECONDS, RECEIVED
 
 # Rows of one peer are ordered within an hour at a time.
@@ -97,9 +97,12 @@ def timeline(messages: DataFrame, peer: str | None = None, gap: int = GROUP_GAP_
     A group ends on a new day, a change of direction, or a pause longer than ``gap`` seconds.
     """
     rows = messages if peer is None else messages.filter(F.col("peer") == peer)
-    rows = rows.withColumn("is_outgoing", F.col("status") != RECEIVED)
-    near = with_neighbour(
-        rows, ["peer"], _BUCKET(), ["created_at", "id"], ["created_at", "is_outgoing"], prefix="prev_")
+    return _marked(rows, gap).drop("_bucket")
+
+
+def _marked(rows: DataFrame, gap: int) -> DataFrame:
+    rows = in_buckets(rows.withColumn("is_outgoing", F.col("status") != RECEIVED), _BUCKET())
+    near = with_neighbour(rows, ["peer"], ["created_at", "id"], ["created_at", "is_outgoing"], prefix="prev_")
     first = F.col("prev_created_at").isNull()
     new_day = first | (day_of("created_at") != day_of("prev_created_at"))
     pause = F.col("created_at") - F.col("prev_created_at") > gap
@@ -110,15 +113,19 @@ def timeline(messages: DataFrame, peer: str | None = None, gap: int = GROUP_GAP_
     )
 
 
+def _numbered(marked: DataFrame) -> DataFrame:
+    return with_running_sum(marked, ["peer"], ["created_at", "id"], F.col("starts_group"), "group_no")
+
+
 def with_group_numbers(marked: DataFrame) -> DataFrame:
     """Numbers the groups of a :func:`timeline` from 1 per peer."""
-    return with_running_sum(
-        marked, ["peer"], _BUCKET(), ["created_at", "id"], F.col("starts_group"), "group_no")
+    return _numbered(in_buckets(marked, _BUCKET())).drop("_bucket")
 
 
 def message_groups(messages: DataFrame, gap: int = GROUP_GAP_SECONDS) -> DataFrame:
     """One row per group: its size, time span and direction."""
-    numbered = with_group_numbers(timeline(messages, gap=gap))
+    # Only what the groups need is dealt out, and once for both steps.
+    numbered = _numbered(_marked(messages.select("peer", "id", "created_at", "status"), gap))
     return numbered.groupBy("peer", "group_no").agg(
         F.count(F.lit(1)).alias("n_messages"), F.min("created_at").alias("first_at"),
         F.max("created_at").alias("last_at"), F.bool_or("is_outgoing").alias("is_outgoing"),

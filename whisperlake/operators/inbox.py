@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from whisperlake.functions.events import first_tag, has_valid_id, participants
 from whisperlake.functions.media import attachment_label
 from whisperlake.functions.text import as_col
-from whisperlake.operators.ordered import with_neighbour
+from whisperlake.operators.ordered import in_buckets, with_neighbour
 from whisperlake.operators.validation import chat_payloads
 from whisperlake.schemas import KIND_GIFT_WRAP, KIND_SEAL, RECEIVED, SENT
 
@@ -56,10 +56,8 @@ def authenticate_layers(wraps: DataFrame, seals: DataFrame, rumors: DataFrame) -
 def block_intervals(block_log: DataFrame, keys: list[str]) -> DataFrame:
     """Blocked stretches [blocked_from, blocked_until) per key; the last one may be open (null end)."""
     log = block_log.groupBy(*keys, "changed_at").agg(F.bool_or("blocked").alias("blocked"))
-    spans = with_neighbour(
-        log, keys, F.floor(F.col("changed_at") / _LOG_BUCKET_SECONDS), ["changed_at"], ["changed_at"],
-        prefix="next_", following=True,
-    )
+    log = in_buckets(log, F.floor(F.col("changed_at") / _LOG_BUCKET_SECONDS))
+    spans = with_neighbour(log, keys, ["changed_at"], ["changed_at"], prefix="next_", following=True)
     return spans.filter("blocked").select(
         *keys, F.col("changed_at").alias("blocked_from"), F.col("next_changed_at").alias("blocked_until"))
 

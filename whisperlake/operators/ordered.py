@@ -16,17 +16,22 @@ def _order(order: list[str], descending: bool) -> list[Column]:
     return [F.col(c).desc() if descending else F.col(c).asc() for c in order]
 
 
+def in_buckets(df: DataFrame, bucket: Column) -> DataFrame:
+    """``df`` with the column ``_bucket``, which the functions here share: rows are then dealt by (keys, bucket) once for all of them."""
+    return df.withColumn("_bucket", bucket)
+
+
 def with_neighbour(
-    df: DataFrame, keys: list[str], bucket: Column, order: list[str], values: list[str],
-    prefix: str, following: bool = False,
+    df: DataFrame, keys: list[str], order: list[str], values: list[str], prefix: str, following: bool = False,
 ) -> DataFrame:
-    """Adds ``<prefix><value>`` of the row before (or after) in ``order`` within ``keys``; null at the edge."""
-    split = df.withColumn("_bucket", bucket)
+    """Adds ``<prefix><value>`` of the row before (or after) in ``order`` within ``keys``; null at the edge.
+
+    The last row of each bucket, which the next bucket needs, is read off the same ordered rows. ``_bucket`` stays.
+    """
     near = Window.partitionBy(*keys, "_bucket").orderBy(*_order(order, following))
-    local = split.withColumn("_near", F.lag(F.struct(*values)).over(near))
+    local = df.withColumn("_near", F.lag(F.struct(*values)).over(near)).withColumn("_last", F.lead(F.lit(True)).over(near).isNull())
 
-    edge = F.min_by if following else F.max_by
-    edges = split.groupBy(*keys, "_bucket").agg(edge(F.struct(*values), F.struct(*order)).alias("_edge"))
+    edges = local.filter("_last").select(*keys, "_bucket", F.struct(*values).alias("_edge"))
     far = Window.partitionBy(*keys).orderBy(*_order(["_bucket"], following))
     carried = edges.select(*keys, "_bucket", F.lag("_edge").over(far).alias("_far"))
 
@@ -35,17 +40,15 @@ def with_neighbour(
     return joined.select(*df.columns, *[found[v].alias(f"{prefix}{v}") for v in values])
 
 
-def with_running_sum(
-    df: DataFrame, keys: list[str], bucket: Column, order: list[str], value: Column, name: str
-) -> DataFrame:
-    """Adds the running sum of ``value`` in ``order`` within ``keys``, the row itself included."""
-    split = df.withColumn("_bucket", bucket).withColumn("_value", value.cast("bigint"))
-    near = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = split.withColumn("_near", F.sum("_value").over(near))
+def with_running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """Adds the running sum of ``value`` in ``order`` within ``keys``, the row itself included. ``_bucket`` stays."""
+    near = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    local = df.withColumn("_near", F.sum(value.cast("bigint")).over(near.rowsBetween(Window.unboundedPreceding, 0))).withColumn(
+        "_last", F.lead(F.lit(True)).over(near).isNull())
 
-    sums = split.groupBy(*keys, "_bucket").agg(F.sum("_value").alias("_sum"))
+    # The last row of a bucket has the bucket's sum.
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(*keys, "_bucket", F.sum("_sum").over(before).alias("_far"))
+    offsets = local.filter("_last").select(*keys, "_bucket", F.sum("_near").over(before).alias("_far"))
 
     joined = local.join(offsets, [*keys, "_bucket"], "left")
     return joined.select(*df.columns, (F.col("_near") + F.coalesce("_far", F.lit(0))).alias(name))
