@@ -59,6 +59,7 @@ def chat_list(contacts: DataFrame, messages: DataFrame, now: int | Column, order
         (~is_blank("name")).alias("has_name"), avatar_bucket("pubkey").alias("bucket"),
         F.coalesce(
             F.regexp_replace(last("text"), r"\r\n|[\r\n\x0c\x{85}\x{2028}\x{2029}]", " "),
+            # The texts shown for a chat without messages.
             F.when(F.col("is_request"), "Message request").otherwise("Tap to start chatting"),
         ).alias("preview"),
         F.coalesce(time_label(last("created_at"), now), F.lit("")).alias("time"),

@@ -97,6 +97,7 @@ def delivery_ticks(states: DataFrame) -> DataFrame:
 
 def connection_summary(relays: DataFrame, via_proxy: bool = False) -> DataFrame:
     """One row: connected and configured relays, offline flag and text."""
+    # The texts of the connection line.
     proxy = " via Tor" if via_proxy else ""
     n = F.col("connected").cast("string")
     return relays.agg(
@@ -115,6 +116,7 @@ def relay_status(settings: DataFrame, live: DataFrame) -> DataFrame:
     live: owner, url, state (connected, connecting, disconnected), last_error.
     """
     configured = settings.select("owner", F.posexplode("relays").alias("pos", "url"))
+    # The texts of a relay's state.
     text = (
         F.when(F.col("state") == "connected", "● connected")
         .when(F.col("state") == "connecting", "○ connecting…")

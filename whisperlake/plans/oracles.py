@@ -416,7 +416,7 @@ ORACLES["f8_validate_files"] = """select page_id, n_bytes, case when n_bytes = 0
 ORACLES["f9_failed_messages"] = """select 'm' || event_id as id, case when event_id % 6 = 0 then 'upload' else 'publish' end as retry
     from events where event_type = 'error'"""
 ORACLES["f10_find"] = f"""select 'm7' as id from events where event_id = 7
-    union all select {H('c_custkey')} from customer where c_custkey in (select o_custkey from orders where o_orderstatus = 'P')"""
+    union all select {H('c_custkey')} from customer where c_custkey in (select o_custkey from orders)"""
 
 ORACLES["j1_match_subscriptions"] = sql(EVENTS, f"""select 's' || n_nationkey as sub_id, e.id from nation n, v_events e
     where (n_nationkey % 4 = 0 or (n_nationkey % 20 <> 19 and e.kind = {_KINDS}[n_nationkey % 5 + 1]))
@@ -480,7 +480,7 @@ ORACLES["a6_connection_summary"] = """select connected, total, connected = 0 as
     case when connected = 0 then 'Connecting…' else 'Connected to ' || connected || ' of ' || total || ' relays' end as text
     from (select count(*) filter (s_acctbal > 0) as connected, count(*) as total from supplier)"""
 ORACLES["a7_sync_high_water"] = sql("raw", f"""select coalesce(a.sub_id, b.sub_id) as sub_id, greatest(a.t, b.t) as last_sync_at from
-    (select 'u' || user_id as sub_id, max(created_at) as t from raw where event_type = 'error' group by user_id) a full join
+    (select 'u' || user_id as sub_id, max(created_at) as t from raw group by user_id) a full join
     (select 'u' || c_custkey as sub_id, {EPOCH} + (c_custkey * 86000) % 2600000 as t from customer) b on a.sub_id = b.sub_id""")
 ORACLES["a8_plaintext_leaks"] = "select doc_id as id, item_id from documents d join benchmark b on contains(d.text, b.text)"
 ORACLES["a8_leak_audit"] = f"""select 'signed by a known identity' as "check", count(*) as n from events
