@@ -190,7 +190,8 @@ def _verify(sets: pa.Table, pairs: pa.Table) -> pa.Table:
 
 
 def candidates(sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of set names that pass all filters, from ``sets`` (k1, n, parity, prefix), each once with a ``word`` they share."""
+    """Pairs (a, b) of set names that pass all filters, from ``sets`` (k1, n, parity, prefix), each once with the rarest
+    ``word`` that both index."""
     # Three numbers a row besides the word: the name, the parity, and how many words the set has with those left from this one on.
     rows = sets.select("k1", "n", "parity", F.posexplode("prefix").alias("at", "word")).select(
         "k1", "parity", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR((F.col("n") - F.col("at")).cast("long")).alias("size"), "word")
@@ -203,12 +204,16 @@ def candidates(sets: DataFrame) -> DataFrame:
     least, most = F.least(na, nb), F.greatest(na, nb)
     # Overlap of similar sets: at least (na + nb) * s / (1 + s).
     low = F.lit((1 << 32) - 1)
+    # Near copies share their rarest words, so these gather a group's pairs in few places. Position above, word below.
+    behind = na + nb - F.col("sa").bitwiseAND(low) - F.col("sb").bitwiseAND(low)
+    rarest = F.shiftleft(behind, 32).bitwiseOR(F.col("word").cast("long").bitwiseAND(low))
     reach = F.least(F.col("sa").bitwiseAND(low), F.col("sb").bitwiseAND(low))  # with the shared word itself
     fits = (F.col("a") < F.col("b")) & (least * DENOMINATOR >= most * NUMERATOR) & (
         reach * (NUMERATOR + DENOMINATOR) >= (na + nb) * NUMERATOR) & (
         # The symmetric difference of similar sets: at most (na + nb) * (1 - s) / (1 + s).
         F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) * (NUMERATOR + DENOMINATOR) <= (na + nb) * (DENOMINATOR - NUMERATOR))
-    return a.join(b, "word").filter(fits).groupBy("a", "b").agg(F.min("word").alias("word"))
+    return a.join(b, "word").filter(fits).groupBy("a", "b").agg(F.min(rarest).alias("rarest")).select(
+        "a", "b", F.col("rarest").bitwiseAND(low).alias("word"))
 
 
 def _key(doc: str, line: str):
