@@ -20,6 +20,8 @@ _INDEX = {w: i for i, w in enumerate(ALL_COMMON)}
 
 CLASSES = ["lower", "upper", "digit", "blank", "newline", "mark", "symbol", "other", "beyond_ascii"]
 SYMBOLS = "#*$%&|<>"
+# Texts are taken in slices of so many bytes: some arrays here have several numbers for each byte.
+SLICE = 2 << 20
 _WINDOW = 3
 
 

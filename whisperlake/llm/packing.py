@@ -28,7 +28,7 @@ from whisperlake.llm.tokens import encoder, with_end
 _TOGETHER = 16
 # A sequence id holds the task or group above, the bin below.
 _BIN_BITS = 40
-_SLICE = 12 << 20
+_SLICE = 6 << 20
 
 _FIELDS = [
     ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()),

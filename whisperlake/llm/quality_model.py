@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from whisperlake.llm.arrays import slices, texts_of
 from whisperlake.llm.boosted import Trees, fit
-from whisperlake.llm.doc_stats import ALL_COMMON, CLASSES, COMMON, statistics
+from whisperlake.llm.doc_stats import ALL_COMMON, CLASSES, COMMON, SLICE, statistics
 from whisperlake.llm.store import share_package, written
 
 FEATURES = [*(f"{c}_share" for c in CLASSES), "log_words", "word_length", "words_per_line", "dup_line_share", "repeat_share",
@@ -31,7 +31,7 @@ def features(texts: pa.Array) -> np.ndarray:
 
 def _feature_rows(batches):
     for batch in batches:
-        for at, part in slices(texts_of(batch.column(1))):
+        for at, part in slices(texts_of(batch.column(1)), SLICE):
             x = features(part).astype(np.float64)
             values = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), values], names=["doc_id", "x"])

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from whisperlake.llm.arrays import slices, texts_of
-from whisperlake.llm.doc_stats import ALL_COMMON, CLASSES, COMMON, statistics
+from whisperlake.llm.doc_stats import ALL_COMMON, CLASSES, COMMON, SLICE, statistics
 from whisperlake.llm.store import share_package
 
 
@@ -69,7 +69,7 @@ def _profile_cells(batches):
     total = {lang: np.zeros(width[lang] * _BINS, np.int64) for lang in COMMON}
     for batch in batches:
         langs = np.array(batch.column(1).to_pylist(), object)
-        for at, part in slices(texts_of(batch.column(0))):
+        for at, part in slices(texts_of(batch.column(0)), SLICE):
             s = statistics(part)
             good = ~base_failed(s["n_words"], s["n_repeat_words"])
             for lang, cells in total.items():
@@ -147,7 +147,7 @@ def verdict(docs: DataFrame, limits: Limits = Limits()) -> Column:
 
     def judge(text: pa.Array, lang: pa.Array) -> pa.Array:
         langs = np.array(lang.to_pylist(), object)
-        parts = [judged(statistics(t), langs[at:at + len(t)], known, limits) for at, t in slices(texts_of(text))]
+        parts = [judged(statistics(t), langs[at:at + len(t)], known, limits) for at, t in slices(texts_of(text), SLICE)]
         fields = [pa.array(np.concatenate([p[k] for p in parts]) if parts else [], kind) for k, kind in _RESULT]
         return pa.StructArray.from_arrays(fields, names=[k for k, _ in _RESULT])
 

@@ -22,7 +22,7 @@ _MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 _SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _NEXT_TO_SPACE = f"( {_SPACE})|({_SPACE} )"
 # Pieces whose ids a worker keeps between slices.
-CACHED = 400_000
+CACHED = 250_000
 # Words that are encoded as one text.
 JOINED = 200
 
