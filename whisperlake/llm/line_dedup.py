@@ -1,7 +1,7 @@
 """Line de-duplication by an exact set-similarity join.
 
-A line is the set of its words (A-Z lower-cased). Lines with equal sets are one class, of which the first line, by (doc_id, line
-number), stands for all. Classes are joined where the Jaccard similarity of their sets is ``4 / 5`` or more:
+A line is the set of its words (A-Z lower-cased). Lines with equal sets are one class, of which the first line, by (doc_id, hash of the
+text, line number), stands for all: ids may be null or repeated, so a text is named by both. Classes are joined where the Jaccard similarity of their sets is ``4 / 5`` or more:
 
 * words are ordered from rare to frequent, and a set of n words is indexed under its first n - ceil(4 n / 5) + 1 words only, as
   sets that are similar enough share one of these (prefix filter);
@@ -22,7 +22,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from whisperlake.llm.arrays import hashes, mixed, ragged, slices, texts_of, words
@@ -99,9 +99,9 @@ def line_sets(lines: pa.Array, frequent: Frequent) -> tuple[np.ndarray, np.ndarr
     return value[order[keys % len(order)]], starts
 
 
-_LINE = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("n", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()),
+_LINE = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("line_no", pa.int32()), ("n", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()),
                    ("parity", pa.int64()), ("prefix", pa.list_(pa.int32()))])
-_LINE_DDL = "doc_id long, line_no int, n int, k1 long, k2 long, parity long, prefix array<int>"
+_LINE_DDL = "doc_id long, text_key long, line_no int, n int, k1 long, k2 long, parity long, prefix array<int>"
 
 
 def set_keys(value: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +131,7 @@ def _line_rows(frequent: Frequent):
                 prefix = value[ragged(starts[:-1][filled], length)]
                 ends = np.concatenate(([0], np.cumsum(length))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(at, len(part)).take(pa.array(owner)), pa.array((filled - first[owner]).astype(np.int32)),
+                    *(batch.column(c).slice(at, len(part)).take(pa.array(owner)) for c in (0, 2)), pa.array((filled - first[owner]).astype(np.int32)),
                     pa.array(n[filled].astype(np.int32)), pa.array(k1[filled]), pa.array(k2[filled]),
                     pa.array(parity.view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array((prefix & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))],
@@ -216,8 +216,13 @@ def candidates(sets: DataFrame) -> DataFrame:
         "a", "b", F.col("rarest").bitwiseAND(low).alias("word"))
 
 
-def _key(doc: str, line: str):
-    return F.struct(F.col(doc).alias("doc_id"), F.col(line).alias("line_no"))
+def _text_key(text: Column) -> Column:
+    """With the doc_id, the name of a text."""
+    return F.xxhash64(text.cast("string"))
+
+
+def _key() -> Column:
+    return F.struct("doc_id", "text_key", "line_no")
 
 
 def similar_lines(docs: DataFrame) -> DataFrame:
@@ -226,14 +231,20 @@ def similar_lines(docs: DataFrame) -> DataFrame:
     ``removed`` (an earlier line has an equal or similar set).
 
     Lines end at ``\\n``. Lines without words, and null or empty texts, give no row and are never removed. Null doc_ids come before
-    all others; rows that repeat a doc_id are told apart by nothing, so equal lines with one number count as one line. An empty table gives no rows.
+    all others; of equal ids the text with the smaller hash comes first. Rows with equal id and text are one text, whose lines are
+    reported for each row. An empty table gives no rows.
     """
+    return _decided(docs).drop("text_key")
+
+
+def _decided(docs: DataFrame) -> DataFrame:
+    """``similar_lines`` with ``text_key``."""
     share_package(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _text_key(F.col("text")).alias("text_key"))
     frequent = frequent_words(texts)
     lines = written(texts.mapInArrow(_line_rows(frequent), _LINE_DDL), "lines")
     sets = written(lines.groupBy("k1", "k2").agg(
-        F.min(_key("doc_id", "line_no")).alias("first"), F.first("n").alias("n"), F.first("parity").alias("parity"),
+        F.min(_key()).alias("first"), F.first("n").alias("n"), F.first("parity").alias("parity"),
         F.first("prefix").alias("prefix")), "sets")
     firsts = sets.select("k1", "k2", "first")
     # Pairs are verified in buckets by a word that both sets share, so near copies meet in few of them.
@@ -242,10 +253,10 @@ def similar_lines(docs: DataFrame) -> DataFrame:
     pairs = written(candidates(sets.filter(f"n >= {NUMERATOR}")).select("a", "b", bucket), "candidates")
     both = pairs.select(F.col("a").alias("k1"), "bucket").union(pairs.select("b", "bucket")).groupBy("k1").agg(
         F.collect_set("bucket").alias("buckets"))
-    asked = written(firsts.join(both, "k1").groupBy(F.col("first.doc_id").alias("doc_id")).agg(
+    asked = written(firsts.join(both, "k1").groupBy("first.doc_id", "first.text_key").agg(
         F.collect_set(F.struct(F.col("first.line_no").alias("line_no"), "buckets")).alias("lines")), "asked-lines")
-    few = sent_if_small(asked, 24 + 24 * F.size("lines"))
-    found = texts.join(few, texts.doc_id.eqNullSafe(few.doc_id)).select("text", "lines")
+    few = sent_if_small(asked, 32 + 24 * F.size("lines"))
+    found = texts.join(few, texts.doc_id.eqNullSafe(few.doc_id) & (texts.text_key == few.text_key)).select("text", "lines")
     token = found.mapInArrow(_asked_lines(frequent), "bucket int, k1 long, words array<long>")
     similar = token.groupBy("bucket").cogroup(pairs.groupBy("bucket")).applyInArrow(_verify, "a long, b long")
     similar = written(similar, "similar-lines")
@@ -253,11 +264,11 @@ def similar_lines(docs: DataFrame) -> DataFrame:
     links = ends.join(firsts.select(F.col("k1").alias("other"), "first"), "other").groupBy("k1").agg(
         F.count(F.lit(1)).alias("n_links"), F.min("first").alias("linked"))
     classes = firsts.join(links, "k1", "left")
-    out = lines.select("doc_id", "line_no", "k1", "k2").join(classes, ["k1", "k2"])
+    out = lines.select("doc_id", "text_key", "line_no", "k1", "k2").join(classes, ["k1", "k2"])
     top = F.when(F.col("linked") < F.col("first"), F.col("linked")).otherwise(F.col("first"))
     return out.select(
-        "doc_id", "line_no", top.getField("doc_id").alias("class_doc_id"), top.getField("line_no").alias("class_line_no"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"), (top < _key("doc_id", "line_no")).alias("removed"))
+        "doc_id", "text_key", "line_no", top.getField("doc_id").alias("class_doc_id"), top.getField("line_no").alias("class_line_no"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"), (top < _key()).alias("removed"))
 
 
 def remove_lines(docs: DataFrame) -> DataFrame:
@@ -265,13 +276,14 @@ def remove_lines(docs: DataFrame) -> DataFrame:
 
     Documents that lose nothing keep their text as it is, also a null one.
     """
-    found = written(similar_lines(docs), "line-decisions")
-    gone = written(found.groupBy(F.col("doc_id").alias("__id")).agg(
+    found = written(_decided(docs), "line-decisions")
+    gone = written(found.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(
         F.collect_set(F.when(F.col("removed"), F.col("line_no"))).alias("__gone"), F.count(F.when(~F.col("removed"), 1)).alias("__left")
     ).filter(F.size("__gone") > 0), "removed-lines")
     # eqNullSafe is an equi-join; documents without losses have no partner.
-    few = sent_if_small(gone, 32 + 4 * F.size("__gone"))
-    both = docs.join(few, docs["doc_id"].eqNullSafe(F.col("__id")), "left").filter("__gone is null or __left > 0")
+    few = sent_if_small(gone, 40 + 4 * F.size("__gone"))
+    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (_text_key(docs["text"]) == F.col("__key"))
+    both = docs.join(few, same, "left").filter("__gone is null or __left > 0")
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("__gone"), i))
     text = F.when(F.col("__gone").isNull(), docs["text"]).otherwise(F.array_join(kept, "\n"))
     return both.withColumn("text", text).select(docs.columns)

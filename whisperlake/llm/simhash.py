@@ -149,6 +149,11 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     fingerprint zero and are linked like any other. Null doc_ids stay; they never name a component (a component of
     them alone has a null id). Repeated rows and equal texts share a fingerprint, hence a component. An empty table gives no rows.
     """
+    return _rooted(docs, distance).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _rooted(docs: DataFrame, distance: int) -> DataFrame:
+    """doc_id, fp, the ``root`` of its component and ``component_id`` for every row of ``docs``."""
     share_package(docs.sparkSession)
     marked = written(docs.select(F.col("doc_id").cast("long"), fingerprint(F.col("text")).alias("fp")), "fingerprints")
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("first_doc"))
@@ -156,20 +161,25 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select(
         "fp", "first_doc", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    by_fp = rooted.join(named, "root").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    by_fp = rooted.join(named, "root").select("fp", "root", "component_id")
+    return marked.join(by_fp, "fp").select("doc_id", "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest doc_id.
 
-    Rows that repeat a doc_id are one document, of which one row stays. Rows without a doc_id can't be told apart from
-    others by name and stay.
+    Rows that repeat a doc_id are told apart by their fingerprints; of rows with equal id and fingerprint one stays. Rows without
+    a doc_id can't be told apart from others by name and stay.
     """
-    found = written(near_duplicates(docs, distance), "components")
-    out = written(found.filter("doc_id != component_id").select("doc_id").distinct(), "near-copies")
-    again = written(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated-ids")
-    out, again = sent_if_small(out, 16), sent_if_small(again, 16)
-    kept = docs.join(out, "doc_id", "left_anti")
-    repeated = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").unionByName(repeated).select(docs.columns)
+    found = written(_rooted(docs, distance).filter("doc_id is not null").groupBy("doc_id", "fp", "root").agg(
+        F.count(F.lit(1)).alias("n")), "components")
+    best = found.groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("best"))
+    ranked = found.join(best, "root").select(
+        "n", F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"), (F.struct("doc_id", "fp") == F.col("best")).alias("stays"))
+    out = written(ranked.filter("not stays").drop("n", "stays"), "near-copies")
+    again = written(ranked.filter("stays and n > 1").drop("n", "stays"), "repeated-ids")
+    out, again = sent_if_small(out, 24), sent_if_small(again, 24)
+    named = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__fp": fingerprint(F.col("text"))})
+    kept = named.join(out, ["__id", "__fp"], "left_anti")
+    repeated = kept.join(again, ["__id", "__fp"], "left_semi").dropDuplicates(["__id", "__fp"])
+    return kept.join(again, ["__id", "__fp"], "left_anti").unionByName(repeated).select(docs.columns)
