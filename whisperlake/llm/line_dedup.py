@@ -36,6 +36,8 @@ _SALT = np.uint64(0xD6E8FEB86659FD93)
 _SLICE = 4 << 20
 # Buckets of pairs for each shuffle partition of the session, and words of a bucket that are compared at a time.
 _BUCKETS = 4
+# Pairs of a bucket from which on it is dealt over several tasks.
+_BUCKET_PAIRS = 1 << 18
 _VERIFIED = 1 << 20
 
 
@@ -225,6 +227,21 @@ def _key() -> Column:
     return F.struct("doc_id", "text_key", "line_no")
 
 
+def in_buckets(pairs: DataFrame, buckets: int, limit: int = _BUCKET_PAIRS) -> DataFrame:
+    """``pairs`` (a, b, word; stored) as (a, b, bucket): one bucket for a word, or, beyond about ``limit`` pairs, several by ``a``.
+
+    A group of near copies has its pairs in one word's bucket, which grows with the square of the group; a part of one grows with it.
+    """
+    bucket = F.pmod(F.xxhash64("word"), F.lit(buckets)).cast("int")
+    # At most ``buckets`` rows.
+    sizes = {r.bucket: r.n for r in pairs.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).collect()}
+    if sizes:
+        parts = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, -(-n // limit))))
+        part = F.pmod(F.xxhash64("a"), F.coalesce(parts[bucket], F.lit(1))).cast("int")
+        bucket = bucket + part * F.lit(buckets)
+    return pairs.select("a", "b", bucket.alias("bucket"))
+
+
 def similar_lines(docs: DataFrame) -> DataFrame:
     """One row for each line with a word of ``docs`` (doc_id, text; nothing else is read): doc_id, ``line_no`` (from 0),
     ``class_doc_id`` and ``class_line_no`` (the first line with an equal or similar set), ``n_links`` (different sets similar to its own) and
@@ -249,8 +266,7 @@ def _decided(docs: DataFrame) -> DataFrame:
     firsts = sets.select("k1", "k2", "first")
     # Pairs are verified in buckets by a word that both sets share, so near copies meet in few of them.
     buckets = _BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bucket = F.pmod(F.xxhash64("word"), F.lit(buckets)).cast("int").alias("bucket")
-    pairs = written(candidates(sets.filter(f"n >= {NUMERATOR}")).select("a", "b", bucket), "candidates")
+    pairs = in_buckets(written(candidates(sets.filter(f"n >= {NUMERATOR}")), "candidates"), buckets)
     both = pairs.select(F.col("a").alias("k1"), "bucket").union(pairs.select("b", "bucket")).groupBy("k1").agg(
         F.collect_set("bucket").alias("buckets"))
     asked = written(firsts.join(both, "k1").groupBy("first.doc_id", "first.text_key").agg(
