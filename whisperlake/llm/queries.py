@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from whisperlake.llm import decontaminate, line_dedup, lm_scores, packing, quality_model, quality_rules, simhash, toxicity, url_filter, wavelet
+from whisperlake.llm import (
+    decontaminate, line_dedup, lm_scores, packing, periodic, quality_model, quality_rules, simhash, toxicity, url_filter, wavelet,
+)
 from whisperlake.session import configure_session, work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +118,10 @@ from w left join (
 def _(spark, sf):
     """Class, links and removal of every line of all documents."""
     return line_dedup.similar_lines(table(spark, sf, "documents"))
+
+
+@query("op13_periodic_runs")
+def _(spark, sf):
+    """Periodic runs of words of every document, and the text without their repeats."""
+    out = periodic.periodic_runs(table(spark, sf, "documents"), plant=True, digests=True)
+    return out.withColumnsRenamed({"runs": "runs_sha256", "collapsed": "collapsed_sha256"})
