@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from whisperlake.llm import (
-    decontaminate, line_dedup, lm_scores, packing, periodic, quality_model, quality_rules, simhash, toxicity, url_filter, wavelet,
+    clustering, decontaminate, line_dedup, lm_scores, packing, periodic, quality_model, quality_rules, simhash,
+    toxicity, url_filter, wavelet,
 )
 from whisperlake.session import configure_session, work_dir
 
@@ -125,3 +126,38 @@ def _(spark, sf):
     """Periodic runs of words of every document, and the text without their repeats."""
     out = periodic.periodic_runs(table(spark, sf, "documents"), plant=True, digests=True)
     return out.withColumnsRenamed({"runs": "runs_sha256", "collapsed": "collapsed_sha256"})
+
+
+@query("op12_centroid_clusters")
+def _(spark, sf):
+    """Cluster and distance of every vector after five rounds."""
+    return clustering.clusters(table(spark, sf, "embeddings"))
+
+
+def _cluster_sql(rounds: int) -> str:
+    """One assignment and one move a round; ids are unique in the test tables."""
+    steps = [r"""
+with kept as materialized (
+  select vec_id, [cast(floor(256 * cast(x as double)) as bigint) for x in embedding] as v from embeddings
+  where len(embedding) = 64 and len([x for x in embedding if x is not null and isfinite(cast(x as double))]) = 64),
+p as materialized (select vec_id, unnest(range(64)) as i, unnest(v) as x from kept),
+c0 as materialized (
+  select c, unnest(range(64)) as i, unnest(v) as x from (
+    select row_number() over (order by sha256('2:' || vec_id)) - 1 as c, v from kept order by c limit 40))"""]
+    for t in range(rounds + 1):
+        steps.append(f"""
+d{t} as (select p.vec_id, c.c, sum((p.x - c.x) * (p.x - c.x)) as d from p join c{t} as c on c.i = p.i group by p.vec_id, c.c),
+a{t} as materialized (select vec_id, c, d from d{t} qualify row_number() over (partition by vec_id order by d, c) = 1)""")
+        if t < rounds:
+            steps.append(f"""
+s{t} as (select c, i, sum(x) as s, count(*) as n from a{t} join p using (vec_id) group by c, i),
+c{t + 1} as materialized (
+  select c.c, c.i, case when s.n is null then c.x else cast((s.s - ((s.s % s.n) + s.n) % s.n) // s.n as bigint) end as x
+  from c{t} as c left join s{t} as s on s.c = c.c and s.i = c.i)""")
+    return ",".join(steps) + f"""
+select a.vec_id, cast(a.c as integer) as cluster, cast(a.d as bigint) as distance,
+  cast(sum(a.d) over (partition by a.c) as bigint) as cluster_inertia, cast(sum(a.d) over () as bigint) as inertia, h.centroid_sha256
+from a{rounds} as a join (select c, sha256(string_agg(cast(x as varchar), ',' order by i)) as centroid_sha256 from c{rounds} group by c) as h using (c)"""
+
+
+ORACLES["op12_centroid_clusters"] = _cluster_sql(5)
