@@ -19,7 +19,6 @@ Everything is one pass over the texts; a slice of texts, or one long text, is wo
 
 from __future__ import annotations
 
-import hashlib
 from typing import NamedTuple
 
 import numpy as np
@@ -232,8 +231,8 @@ _FIELDS = [("n_runs", pa.int64()), ("start", pa.int64()), ("length", pa.int64())
 _RESULT = "n_runs long, start long, length long, period long, exponent_milli long, runs string, collapsed string"
 
 
-def described(w: Words, digests: bool) -> list[pa.Array]:
-    """The columns of ``_FIELDS`` for some texts; with ``digests`` the two texts as SHA-256."""
+def described(w: Words) -> list[pa.Array]:
+    """The columns of ``_FIELDS`` for some texts."""
     found = runs(w.codes, w.starts)
     size = len(w.starts) - 1
     number = np.bincount(found.text, minlength=size)
@@ -251,10 +250,7 @@ def described(w: Words, digests: bool) -> list[pa.Array]:
     rows = list(map("%d,%d,%d\n".__mod__, zip(begin.tolist(), length.tolist(), found.period.tolist())))
     told = ["".join(rows[a:b]) for a, b in zip(edge, edge[1:])]
     kept = _joined(w, ~covered(found, len(w.codes)))
-    if digests:
-        told = [hashlib.sha256(x.encode()).hexdigest() for x in told]
-        kept = [hashlib.sha256(x.as_buffer() or b"").hexdigest() for x in kept]
-    return [pa.array(number), *columns, pa.array(told, pa.large_string()), pa.array(kept, pa.large_string())]
+    return [pa.array(number), *columns, pa.array(told, pa.large_string()), kept]
 
 
 def planted(w: Words, seeds: np.ndarray) -> Words:
@@ -266,7 +262,6 @@ def planted(w: Words, seeds: np.ndarray) -> Words:
         return w
     n, g = n[some], seeds[some] // 10
     a = g % n
-    # 1 + floor((n - a) / (3 + g % 8)).
     p = 1 + (n - a) // (3 + g % 8)
     to = ragged(w.starts[:-1][some] + a, n - a)
     first = np.repeat(w.starts[:-1][some] + a, n - a)
@@ -275,7 +270,7 @@ def planted(w: Words, seeds: np.ndarray) -> Words:
     return Words(codes, w.starts, w.vocab)
 
 
-def _search(plant: bool, digests: bool):
+def _search(plant: bool):
     def run(batches):
         for batch in batches:
             for at, part in slices(texts_of(batch.column(1)), _SLICE):
@@ -283,22 +278,21 @@ def _search(plant: bool, digests: bool):
                 if plant:
                     w = planted(w, pc.fill_null(batch.column(2).slice(at, len(part)), 1).to_numpy(zero_copy_only=False))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(part)), *described(w, digests)], schema=pa.schema([("doc_id", pa.int64()), *_FIELDS]))
+                    [batch.column(0).slice(at, len(part)), *described(w)], schema=pa.schema([("doc_id", pa.int64()), *_FIELDS]))
 
     return run
 
 
-def periodic_runs(docs: DataFrame, plant: bool = False, digests: bool = False) -> DataFrame:
+def periodic_runs(docs: DataFrame, plant: bool = False) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text; nothing else is read), in words ``[^\\x20\\x09-\\x0D]+`` numbered from 0: doc_id, ``n_runs``;
     ``start``, ``length``, ``period`` and ``exponent_milli`` (1000 * length // period) of the run with the greatest length / period (ties: smallest
     start, then period; null without runs); ``runs`` (each run as ``start,length,period`` and a line feed, by start and period) and
     ``collapsed`` (the words that no run holds after its first period, joined by one space).
 
-    ``plant`` first gives the texts with crc32(doc_id) % 10 = 0 a periodic tail (see ``planted``), never those without a doc_id. ``digests``:
-    the last two columns are SHA-256 in hex. Null and empty texts have no words and no runs; ids may be null or repeated; equal
-    rows give equal rows; an empty table gives no rows.
+    ``plant`` first gives the texts with crc32(doc_id) % 10 = 0 a periodic tail (see ``planted``), never those without a doc_id.
+    Null and empty texts have no words and no runs; ids may be null or repeated; equal rows give equal rows; an empty table gives no rows.
     """
     share_package(docs.sparkSession)
     doc_id = F.col("doc_id").cast("long")
     rows = docs.select(doc_id, F.col("text").cast("string"), F.crc32(doc_id.cast("string").cast("binary")).alias("seed"))
-    return rows.mapInArrow(_search(plant, digests), f"doc_id long, {_RESULT}")
+    return rows.mapInArrow(_search(plant), f"doc_id long, {_RESULT}")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from whisperlake.llm import (
     clustering, decontaminate, line_dedup, lm_scores, packing, periodic, quality_model, quality_rules, simhash,
-    toxicity, url_filter, wavelet,
+    substring_dedup, toxicity, url_filter, wavelet,
 )
 from whisperlake.session import configure_session, work_dir
 
@@ -124,8 +124,8 @@ def _(spark, sf):
 @query("op13_periodic_runs")
 def _(spark, sf):
     """Periodic runs of words of every document, and the text without their repeats."""
-    out = periodic.periodic_runs(table(spark, sf, "documents"), plant=True, digests=True)
-    return out.withColumnsRenamed({"runs": "runs_sha256", "collapsed": "collapsed_sha256"})
+    out = periodic.periodic_runs(table(spark, sf, "documents"), plant=True)
+    return out.select("*", *(F.sha2(c, 256).alias(f"{c}_sha256") for c in ("runs", "collapsed"))).drop("runs", "collapsed")
 
 
 @query("op12_centroid_clusters")
@@ -161,3 +161,29 @@ from a{rounds} as a join (select c, sha256(string_agg(cast(x as varchar), ',' or
 
 
 ORACLES["op12_centroid_clusters"] = _cluster_sql(5)
+
+
+@query("op11_substring_dedup")
+def _(spark, sf):
+    """Words of every document that lie in repeated passages, and a digest of the others."""
+    out = substring_dedup.repeated_passages(table(spark, sf, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+# Windows by hashes of 1, 2, 4, ..., 32 words and the three words behind them.
+ORACLES["op11_substring_dedup"] = (
+    r"""
+with w as (
+  select row_number() over () as r, doc_id, [x for x in regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> ''] as words from documents),
+h1 as (select r, unnest(range(len(words))) as i, unnest(words) as word, md5(unnest(words)) as h, len(words) as n from w)"""
+    + "".join(f""",
+h{2 * k} as (select * exclude (h{k if k > 1 else ''}), md5(h{k if k > 1 else ''} || lead(h{k if k > 1 else ''}, {k}, '') over (partition by r order by i)) as h{2 * k}{', h' if k == 1 else ''} from h{k})"""
+              for k in (1, 2, 4, 8, 16)) + """,
+g as (select r, i, word, case when i + 35 <= n then md5(h32 || lead(h, 32) over p || lead(h, 33) over p || lead(h, 34) over p) end as g
+  from h32 window p as (partition by r order by i)),
+t as (select g from g where g is not null group by g having count(*) > 1),
+c as (select r, i, word, max(cast(t.g is not null as int)) over (partition by r order by i rows between 34 preceding and current row) = 1 as gone
+  from g left join t using (g))
+select w.doc_id, len(w.words) as n_words, coalesce(k.n_removed, 0) as n_removed, sha256(coalesce(k.kept, '')) as kept_sha256
+from w left join (
+  select r, count(*) filter (where gone) as n_removed, string_agg(word, ' ' order by i) filter (where not gone) as kept from c group by r) as k using (r)""")
