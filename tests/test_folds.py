@@ -279,6 +279,32 @@ def test_plain_text_search_equals_contains(spark):
     assert {(r.id, r.item_id) for r in got} == want and len(got) == len(want)
 
 
+def test_plain_text_search_at_all_lengths(spark):
+    """Texts just below, at and above each size class, cut out of contents of one letter, of few letters and beyond the basic plane."""
+    rng = random.Random(12)
+    contents = [(0, "a" * 90), (1, "".join(rng.choice("ab") for _ in range(300))), (2, "".join(rng.choice("é𝒳x\n") for _ in range(200))), (3, ""), (4, None)]
+    known = [(1000 * i + 10 * n + k, contents[i][1][a:a + n]) for i in range(3) for n in (1, 2, 3, 4, 7, 8, 9, 15, 16, 17, 31, 32, 33, 64)
+             for k, a in enumerate((0, 5, 20))]
+    known += [(9000 + n, "b" + "a" * n) for n in range(40)]
+    want = {(i, k) for i, c in contents for k, t in known if t in (c or "")}
+    got = audit.plaintext_leaks(
+        spark.createDataFrame(contents, "id long, content string"), spark.createDataFrame(known, "item_id long, plaintext string")).collect()
+    assert {(r.id, r.item_id) for r in got} == want and len(got) == len(want)
+
+
+def test_contents_are_looked_up_by_few_keys(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    long = spark.createDataFrame([("x" * 40,), ("y" * 500,)], "plaintext string")
+    characters = docs.agg(F.sum(F.length("content"))).first()[0]
+    keys = audit.content_keys(docs, long)
+    assert 0.1 * characters < keys.count() < 0.25 * characters
+    # A short text adds keys of its own class and leaves the others as they are.
+    both = audit.content_keys(docs, long.union(spark.createDataFrame([("ab",)], "plaintext string")))
+    assert keys.exceptAll(both).isEmpty()
+    pairs = docs.select("id", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit("(?s)(?=(..))"), F.lit(1)))))
+    assert both.count() - keys.count() == pairs.count()
+
+
 def test_merge_keeps_the_earliest_copy(spark):
     rows = [("a", 1, 5), ("a", 2, 3), ("b", 1, 1)]
     df = spark.createDataFrame(rows, "id string, relay int, arrival int")

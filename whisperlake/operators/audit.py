@@ -3,14 +3,25 @@
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from whisperlake.functions.text import let
 from whisperlake.schemas import WRAP_JITTER_SECONDS
 
-# Texts are looked up by runs of so many characters; a shorter text is one run of its own length.
-RUN_CHARS = 12
+
+class SizeClass(NamedTuple):
+    """Texts of at least ``least`` characters are looked up by a run of ``run`` characters out of ``window`` neighbouring ones."""
+
+    least: int
+    run: int
+    window: int
+
+
+# One class for each power of two up to the longest; within it a run and its neighbours fit into the shortest text.
+SIZE_CLASSES = [SizeClass(32, 25, 8), SizeClass(16, 9, 8), SizeClass(8, 5, 4), SizeClass(4, 3, 2), SizeClass(3, 3, 1), SizeClass(2, 2, 1), SizeClass(1, 1, 1)]
 
 
 def known_signers(wraps: DataFrame, identities: DataFrame) -> DataFrame:
@@ -25,33 +36,56 @@ def time_leaks(wraps: DataFrame, rumors: DataFrame, jitter: int = WRAP_JITTER_SE
     return wraps.join(inner, "seal_id").filter(~inside)
 
 
-def _runs(text: str, widths: str | Column) -> Column:
-    """Hashes of the different runs of characters of a text, at any position, of each of the widths."""
-    return F.array_distinct(F.flatten(F.transform(widths, lambda w: F.transform(
-        # A look-ahead finds runs that overlap, in one pass over the text.
-        F.regexp_extract_all(text, F.concat(F.lit("(?s)(?=(.{"), w.cast("string"), F.lit("}))")), F.lit(1)),
-        lambda run: F.xxhash64(w, run)))))
+def _minima(text: Column, c: SizeClass) -> Column:
+    """Hashes of the runs that are smallest in some window of neighbouring runs of a text."""
+    # A look-ahead finds runs that overlap, in one pass over the text.
+    runs = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{c.run}}}))"), F.lit(1))
+    hashes = F.transform(runs, lambda run: F.xxhash64(F.lit(c.least), run))
+    if c.window == 1:
+        return F.array_distinct(hashes)
+
+    def smallest(h: Column) -> Column:
+        # Beyond the end there is null, which ``least`` skips; windows that are cut off there are left out.
+        near = F.transform(h, lambda x, i: F.least(x, *(F.get(h, i + j) for j in range(1, c.window))))
+        return F.slice(near, F.lit(1), F.greatest(F.size(h) - c.window + 1, F.lit(0)))
+
+    return F.array_distinct(let(hashes, smallest))
+
+
+def _class_of(length: Column) -> Column:
+    return F.coalesce(*(F.when(length >= c.least, c.least) for c in SIZE_CLASSES))
+
+
+def content_keys(contents: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows (id, key): what ``contents`` (id, content) are looked up by, in the size classes that occur in ``known`` (plaintext).
+
+    In each window of neighbouring runs of characters only the smallest hash counts, so a long content gives about two keys for nine characters.
+    """
+    # At most one row for each size class.
+    used = known.filter(F.length("plaintext") > 0).agg(F.collect_set(_class_of(F.length("plaintext"))).alias("used")).scalar()
+    keys = F.flatten(F.array(*(
+        F.when(F.array_contains("used", c.least), _minima(F.col("content"), c)).otherwise(F.array().cast("array<bigint>")) for c in SIZE_CLASSES)))
+    return contents.select("id", "content", used.alias("used")).select("id", F.explode(keys).alias("key"))
 
 
 def plaintext_leaks(contents: DataFrame, known: DataFrame) -> DataFrame:
     """Pairs (id, item_id) where a content holds a known plain text as a substring.
 
-    Whatever holds a text holds all its runs of characters, so each text is looked up by one of them: the one that the fewest known texts
+    Whatever holds a text holds all windows of neighbouring runs of its characters, and thus the smallest run of each: one that the text has
+    chosen is among those that the content has chosen. Each text is looked up by one of its own: the one that the fewest known texts
     share. Only (id, key) pairs take part in that equi-join, whose other side Spark sends around if it is small; whole texts
     are fetched by id for the pairs that met, and compared. No pair is formed without a shared key.
 
     contents: id, content; known: item_id, plaintext. Empty plain texts are left out.
     """
-    known = known.filter(F.length("plaintext") > 0).select(
-        "item_id", "plaintext", F.least(F.length("plaintext"), F.lit(RUN_CHARS)).alias("width"))
-    own = known.select("item_id", F.explode(_runs("plaintext", F.array("width"))).alias("key"))
+    known = known.filter(F.length("plaintext") > 0).select("item_id", "plaintext")
+    size = _class_of(F.length("plaintext"))
+    chosen = F.coalesce(*(F.when(size == c.least, _minima(F.col("plaintext"), c)) for c in SIZE_CLASSES))
+    own = known.select("item_id", F.explode(chosen).alias("key"))
     shared = own.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     anchors = own.join(shared, "key").groupBy("item_id").agg(F.min(F.struct("n", "key")).alias("a")).select("item_id", "a.key")
-    # At most RUN_CHARS widths exist.
-    widths = known.agg(F.collect_set("width").alias("w")).scalar()
-    keys = contents.select("id", "content", widths.alias("widths")).select("id", F.explode(_runs("content", "widths")).alias("key"))
-    met = keys.join(anchors, "key").select("id", "item_id").distinct()
-    pairs = met.join(known.select("item_id", "plaintext"), "item_id")
+    met = content_keys(contents, known).join(anchors, "key").select("id", "item_id").distinct()
+    pairs = met.join(known, "item_id")
     held = pairs.join(contents.select("id", "content"), "id").filter(F.col("content").contains(F.col("plaintext")))
     return held.select("id", "item_id").distinct()
 

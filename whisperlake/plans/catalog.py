@@ -565,6 +565,11 @@ def _(spark, sf):
     return merge.sync_high_water(done, users)
 
 
+def _contents(spark, sf):
+    # The test table is one small file with one row group; it is dealt out as a stored log would be.
+    return v.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")).repartition("id")
+
+
 @query("a8_leak_audit")
 def _(spark, sf):
     wraps, _, rumors = v.layers(spark, sf)
@@ -572,14 +577,14 @@ def _(spark, sf):
                              .otherwise(F.col("created_at"))).withColumn(
         "pubkey", F.when(F.col("event_id") % 97 == 0, v.H(F.col("event_id") % 150)).otherwise(F.col("pubkey")))
     identities = v.table(spark, sf, "customer").select(v.H("c_custkey").alias("pubkey"))
-    contents = v.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    contents = _contents(spark, sf)
     known = v.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("plaintext"))
     return audit.leak_audit(wraps, rumors, identities, contents, known)
 
 
 @query("a8_plaintext_leaks")
 def _(spark, sf):
-    contents = v.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    contents = _contents(spark, sf)
     known = v.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("plaintext"))
     return audit.plaintext_leaks(contents, known)
 
