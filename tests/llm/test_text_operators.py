@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from whisperlake.llm import (
     arrays, boosted, decontaminate, doc_stats, line_dedup, lm_scores, packing, quality_model, quality_rules, simhash, tokens,
@@ -66,13 +67,20 @@ def lowered(text):
 
 @pytest.mark.parametrize("file", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_tokens_equal_plain_encoding(file):
+    """Against an untouched tokenizer, with its special marks alone, between words and within them."""
     rng = random.Random(1)
-    signs = list("abABİßΣσ1२é😀가 \n\t\r\x0b\x1c\x85\xa0\u3000\u180e.,'!|<>") + ["  ", " 's", "'LL", "<|endoftext|>", "e\u0301", "word", "Word."]
+    signs = list("abABİßΣσ1२é😀가 \n\t\r\x0b\x1c\x85\xa0\u3000\u180e.,'!|<>") + ["  ", " 's", "'LL", "e\u0301", "word", "Word.", "ÿ!", "Zz?)", "<|ENDOFTEXT|>"]
     texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(30))) for _ in range(4000)]
+    marks = ["<|endoftext|>", "<|startoftext|>"]
+    texts += ["".join(rng.choice(signs + marks) for _ in range(rng.randrange(12))) for _ in range(2000)]
+    texts += [a + m + b for m in marks for a in ("", "a", "a ", "A\n") for b in ("", "b", " b", m)]
+    plain = Tokenizer.from_file(tokens.path_of(file))
     e = tokens.Encoder(file)
+    want = [x.ids for x in plain.encode_batch(texts, add_special_tokens=False)]
     for _ in range(2):  # the second time from memory
-        got, want = e.encode(arrays.texts_of(pa.array(texts))), e.plain(texts)
+        got = e.encode(arrays.texts_of(pa.array(texts)))
         assert [got.ids[a:b].tolist() for a, b in zip(got.starts, got.starts[1:])] == want
+    assert e.encode(arrays.texts_of(pa.array([], pa.string()))).ids.tolist() == []
 
 
 def plain_ids(file, end, rows):

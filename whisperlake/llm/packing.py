@@ -21,14 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from whisperlake.llm.arrays import gathered, ragged, slices, texts_of
-from whisperlake.llm.store import share_package, written
+from whisperlake.llm.store import share_package, tidy, written
 from whisperlake.llm.tokens import encoder, with_end
 
 # Tasks whose open bins are filled on together; it bounds a group to so many times the open pieces of one task.
 _TOGETHER = 16
 # A sequence id holds the task or group above, the bin below.
 _BIN_BITS = 40
-_SLICE = 6 << 20
+_SLICE = 8 << 20
 
 _FIELDS = [
     ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()),
@@ -152,7 +152,7 @@ def pack(docs: DataFrame, file: str = "word_bpe_49k.json", end_id: int = 2, capa
     """
     share_package(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    pieces = written(texts.mapInArrow(_tokenise(file, end_id, capacity, slack), _DDL), "pieces")
+    pieces = written(texts.mapInArrow(tidy(_tokenise(file, end_id, capacity, slack)), _DDL), "pieces")
     done = pieces.filter("sequence_id is not null")
     group = F.floor(F.col("worker") / _TOGETHER).cast("long").alias("fill_group")
     rest = pieces.filter("sequence_id is null").groupBy(group).applyInArrow(_fill_on(capacity), _DDL)

@@ -7,6 +7,7 @@ a cut might not be safe are encoded whole. ``tests/llm`` compares with plain enc
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 from itertools import chain
 from typing import NamedTuple
@@ -21,8 +22,11 @@ from whisperlake.llm.arrays import coded, ragged, words
 _MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 _SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _NEXT_TO_SPACE = f"( {_SPACE})|({_SPACE} )"
-# Pieces whose ids a worker keeps between slices.
-CACHED = 250_000
+# Letters that Unicode normal forms or lower-casing may join with what follows.
+_NOT_PLAIN = r"[^\x00-\x{24f}]|\x{130}"
+# About so many bytes of pieces with their ids are kept by a worker between slices, and what each takes besides its text and ids.
+KEPT_BYTES = 96 << 20
+_ENTRY = 190
 # Words that are encoded as one text.
 JOINED = 200
 
@@ -53,10 +57,13 @@ class Encoder:
     def __init__(self, file: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path_of(file))
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.as_it_is, self.tokenizer = (Tokenizer.from_file(path_of(file)) for _ in range(2))
+        # Only whole texts go to the first; pieces of others may hold such marks in lower case, which are ordinary text.
+        self.tokenizer.encode_special_tokens = True
+        self.added = "|".join(re.escape(t.content) for t in self.as_it_is.get_added_tokens_decoder().values())
         self.byte_level = self.tokenizer.normalizer is None
         self.known: dict[str, bytes] = {}
+        self.room = KEPT_BYTES
         names = self.tokenizer.get_vocab(with_added_tokens=True)
         # Where a word of letters begins (byte level: its token holds the space) or ends, by id.
         self.edge = np.zeros(max(names.values()) + 1, bool)
@@ -96,8 +103,10 @@ class Encoder:
         new = [p for p, f in zip(pieces, found) if f is None]
         flat, lengths = self.fresh(new)
         raw, ends = flat.tobytes(), (np.cumsum(lengths) * 4).tolist()
-        room = max(0, CACHED - len(self.known))
-        for p, a, b in zip(new[:room], [0, *ends], ends):
+        for p, a, b in zip(new, [0, *ends], ends):
+            self.room -= len(p) + b - a + _ENTRY
+            if self.room < 0:
+                break
             self.known[p] = raw[a:b]
         missing = np.fromiter((f is None for f in found), bool, len(found))
         kept = [f for f in found if f is not None]
@@ -110,58 +119,62 @@ class Encoder:
         return np.concatenate((flat, np.frombuffer(b"".join(kept), np.uint32))), place, size
 
     def encode(self, texts: pa.Array) -> Ids:
-        """Ids of whole texts (no nulls)."""
+        """Ids of whole texts (no nulls), as the file's own tokenizer gives them."""
+        whole = np.zeros(len(texts), bool)
+        if self.added:  # marks such as <|endoftext|> are one token each where a text holds them
+            whole |= pc.match_substring_regex(texts, self.added).to_numpy(zero_copy_only=False)
+        if self.byte_level:
+            whole |= pc.match_substring_regex(texts, _NEXT_TO_SPACE).to_numpy(zero_copy_only=False)
+        if not whole.any():
+            return self._cut(texts)
+        some = self._cut(texts.filter(pa.array(~whole)))
+        rest = [e.ids for e in self.as_it_is.encode_batch_fast(texts.filter(pa.array(whole)).to_pylist(), add_special_tokens=False)]
+        size = np.empty(len(texts), np.int64)
+        size[~whole], size[whole] = np.diff(some.starts), [len(x) for x in rest]
+        starts = np.concatenate(([0], np.cumsum(size)))
+        out = np.empty(starts[-1], np.uint32)
+        out[ragged(starts[:-1][~whole], size[~whole])] = some.ids
+        out[ragged(starts[:-1][whole], size[whole])] = _flat(rest)
+        return Ids(out, starts)
+
+    def _cut(self, texts: pa.Array) -> Ids:
+        """Ids of texts that may be cut at spaces."""
         if not self.byte_level:
             # The file's own normaliser lower-cases; doing so for A-Z beforehand leaves fewer distinct words.
             w = words(pc.ascii_lower(texts))
-            return self._joined(w.codes, w.starts, w.vocab, [""] * len(w.vocab))
-        risky = pc.match_substring_regex(texts, _NEXT_TO_SPACE).to_numpy(zero_copy_only=False)
+            return self._joined(w.codes, w.starts, w.vocab, len(w.vocab), "")
         w = coded(pc.split_pattern(texts, " "))
         # The first piece of a text has no space before it: it gets a code of its own.
         heads = w.vocab.take(pa.array(w.codes[w.starts[:-1]])).dictionary_encode()
         codes = w.codes.copy()
         codes[w.starts[:-1]] = len(w.vocab) + heads.indices.to_numpy(zero_copy_only=False)
-        vocab = pa.concat_arrays([w.vocab, heads.dictionary])
-        before = [" "] * len(w.vocab) + [""] * len(heads.dictionary)
-        if not risky.any():
-            return self._joined(codes, w.starts, vocab, before)
-        lengths = np.diff(w.starts)
-        safe = np.flatnonzero(~risky)
-        sub = np.concatenate(([0], np.cumsum(lengths[safe])))
-        some = self._joined(codes[ragged(w.starts[:-1][safe], lengths[safe])], sub, vocab, before)
-        whole = self.plain(texts.filter(pa.array(risky)).to_pylist())
-        size = np.empty(len(texts), np.int64)
-        size[safe] = np.diff(some.starts)
-        size[risky] = [len(x) for x in whole]
-        starts = np.concatenate(([0], np.cumsum(size)))
-        out = np.empty(starts[-1], np.uint32)
-        out[ragged(starts[:-1][safe], size[safe])] = some.ids
-        out[ragged(starts[:-1][risky], size[risky])] = _flat(whole)
-        return Ids(out, starts)
+        return self._joined(codes, w.starts, pa.concat_arrays([w.vocab, heads.dictionary]), len(w.vocab), " ")
 
-    def _joined(self, codes: np.ndarray, starts: np.ndarray, vocab: pa.Array, before: list[str]) -> Ids:
-        """Ids of texts given as pieces; ``before`` is what stands before each distinct piece (a space or nothing)."""
-        used = np.unique(codes)
+    def _joined(self, codes: np.ndarray, starts: np.ndarray, vocab: pa.Array, spaced: int, space: str) -> Ids:
+        """Ids of texts given as pieces; ``space`` stands before the first ``spaced`` of the distinct pieces."""
+        used = np.flatnonzero(np.bincount(codes, minlength=len(vocab)))
         renumber = np.zeros(len(vocab) + 1, np.int64)
         renumber[used] = np.arange(len(used))
-        index: dict[str, int] = {}
-        number = index.setdefault
-        left, right = [-1] * len(used), [-1] * len(used)
-        for i, (word, space) in enumerate(zip(vocab.take(pa.array(used)).to_pylist(), (before[u] for u in used.tolist()))):
-            letters = word.rstrip(_MARKS)
-            if len(letters) < len(word) and letters and letters.isalpha() and max(letters) < "\u0250" and "\u0130" not in letters:
-                left[i] = number(space + letters, len(index))
-                right[i] = number(word[len(letters):], len(index))
-            elif word or space:
-                left[i] = number(space + word, len(index))
-        flat, place, size = self.units(list(index))
-        # Two units for each piece, without those that are missing.
-        both = np.array((left, right), np.int64).T[renumber[codes]].ravel()
-        keep = both >= 0
-        units, unit_starts = both[keep], np.concatenate(([0], np.cumsum(keep)))[starts * 2]
-        lengths = size[units]
-        ids = flat[ragged(place[units], lengths)]
-        return Ids(ids, np.concatenate(([0], np.cumsum(lengths)))[unit_starts])
+        piece = vocab.take(pa.array(used)).cast(pa.large_string())
+        before = pa.array(np.array(["", space])[(used < spaced).astype(int)], pa.large_string())
+        # A word of plain letters and the marks behind it are two units.
+        letters = pc.utf8_rtrim(piece, _MARKS)
+        two = pc.and_(pc.and_(pc.utf8_is_alpha(letters), pc.less(pc.binary_length(letters), pc.binary_length(piece))),
+                      pc.invert(pc.match_substring_regex(letters, _NOT_PLAIN)))
+        left = pc.binary_join_element_wise(before, pc.if_else(two, letters, piece), pa.scalar("", pa.large_string()))
+        right = pc.replace_substring_regex(piece.filter(two), r"^\pL+", "")
+        units = pa.chunked_array([left, right]).combine_chunks().dictionary_encode()
+        number = units.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        flat, place, size = self.units(units.dictionary.to_pylist())
+        both = np.full((len(used), 2), -1)
+        both[:, 0] = number[:len(used)]
+        both[two.to_numpy(zero_copy_only=False), 1] = number[len(used):]
+        both = both[renumber[codes]].ravel()
+        # Nothing stands for a missing second unit, nor for an empty one.
+        size, place = np.append(size, 0), np.append(place, 0)
+        lengths = size[both]
+        ids = flat[ragged(place[both], lengths)]
+        return Ids(ids, np.concatenate(([0], np.cumsum(lengths)))[starts * 2])
 
 
 @lru_cache(maxsize=4)

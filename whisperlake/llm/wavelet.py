@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from whisperlake.llm.arrays import gathered, slices, texts_of
-from whisperlake.llm.store import share_package
+from whisperlake.llm.store import share_package, tidy
 from whisperlake.llm.tokens import encoder, with_end
 
 _BLOCK = 512
@@ -242,7 +242,7 @@ def write_shards(docs: DataFrame, path: str, file: str = "byte_bpe_50k.json", en
     share_package(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     ordered = texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(_to_shards(file, end_id, shard_ids), _SHARD_DDL).write.parquet(path)
+    ordered.mapInArrow(tidy(_to_shards(file, end_id, shard_ids)), _SHARD_DDL).write.parquet(path)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
