@@ -2,8 +2,11 @@
 
 import glob
 import os
+import random
 import time
 
+import pytest
+
 from conftest import SMALL
 from pyspark.sql import functions as F
 
@@ -15,6 +18,8 @@ from whisperlake.sources import feed
 from whisperlake.streaming import dedup
 from whisperlake.streaming import delivery as stream_delivery
 from whisperlake.streaming import inbox as stream_inbox
+from whisperlake.streaming import log as table
+from whisperlake.streaming import messages as stream_messages
 
 COPY = "id string, arrival long"
 DAY = 86_400
@@ -80,7 +85,7 @@ def test_inbox_stream_equals_batch_and_ignores_repeats(spark):
     people = lambda df: sorted((r.owner, r.pubkey) for r in df.collect())
     assert people(stream_inbox.current_contacts(spark, f"{path}/store")) == people(inbox.implied_contacts(batch.messages))
     assert [n for n, _ in changes] == [0, 1, 2, 3] and changes[1][1] == changes[3][1] == 0
-    assert spark.read.parquet(f"{path}/store/handled").count() == batch.handled.count() == wraps.count()
+    assert table.everything(spark, f"{path}/store/handled").count() == batch.handled.count() == wraps.count()
 
 
 def chain(spark, wraps):
@@ -134,3 +139,133 @@ def test_delivery_stream_equals_batch(spark):
         got = {r.message_id: (r.relays_accepted, r.status) for r in stream_delivery.delivery_states(spark, f"{path}/store", as_of).collect()}
         want = delivery.delivery_status(messages, attempts, as_of).collect()
         assert got == {r.message_id: (r.relays_accepted, r.status) for r in want}
+
+
+class Cut:
+    """A session that fails when the manifest is about to be written."""
+
+    def __init__(self, spark):
+        self.spark = spark
+
+    def __getattr__(self, name):
+        return getattr(self.spark, name)
+
+    def createDataFrame(self, *_):  # noqa: N802
+        raise RuntimeError("lost")
+
+
+def test_fifty_batches_read_about_as_many_rows_each(spark, monkeypatch):
+    """Each batch brings new keys and asks for a few: what it reads doesn't follow what is stored. A merge that is cut off loses nothing."""
+    monkeypatch.setattr(table, "PART_ROWS", 4)
+    path, schema, keys = work_dir(spark, "keyed"), "id long, v long", ["id"]
+    read, size, asked = [], 30, 4
+    for n in range(50):
+        if n in (9, 30):
+            with pytest.raises(RuntimeError):
+                for k in range(n, n + 9):  # one of them is due
+                    table.settle(Cut(spark), path, k, schema, keys)
+        table.settle(spark, path, n, schema, keys)
+        old = [(7 * n + i) % (size * n) for i in range(asked)] if n else []
+        touched = spark.createDataFrame([(i,) for i in old + [size * n]], "id long")
+        found = table.before(spark, path, n, schema, touched, keys).collect()
+        assert set(old) <= {r.id for r in found} <= set(range(size * n))
+        assert len({r.id for r in found}) == len(found)
+        read.append(len(found))
+        rows = spark.createDataFrame([(size * n + i, i) for i in range(size)], schema).coalesce(1)
+        table.append(rows, path, n)
+        if n == 25:  # a batch that runs again
+            table.append(rows, path, n)
+    fresh = size * (table.FRESH + 1)
+    assert max(read[40:]) <= fresh + 120 and max(read[10:20]) > fresh // 2
+    everything = table.everything(spark, path).collect()
+    assert sorted(r.id for r in everything) == list(range(50 * size))
+    assert {r.id: r.batch for r in everything} == {i: i // size for i in range(50 * size)}
+
+
+def test_merges_keep_the_newest_row(spark):
+    path, schema = work_dir(spark, "newest"), "id long, v long"
+    for n in range(20):
+        table.settle(spark, path, n, schema, ["id"], newest=True)
+        table.append(spark.createDataFrame([(i, n) for i in range(n % 3, 30, 3)], schema).coalesce(1), path, n)
+    rows = table.everything(spark, path).collect()
+    assert len(rows) < 30 + 10 * 2 * table.FRESH
+    newest = {}
+    for r in sorted(rows, key=lambda r: r.batch):
+        newest[r.id] = r.v
+    assert newest == {i: max(n for n in range(20) if n % 3 == i % 3) for i in range(30)}
+
+
+MESSAGE = "seq long, op string, id string, old_id string, peer string, status string"
+
+
+def message_batches(rng, n, size):
+    seq, live = 0, 0
+    for _ in range(n):
+        rows = []
+        for _ in range(size):
+            i, peer = rng.randrange(40), f"p{rng.randrange(4)}"
+            op = rng.choice(["add", "add", "add", "update", "update", "replace", "remove"] if rng.random() < 0.6 else ["add", "update", "replace"])
+            # A message belongs to one peer for good.
+            peer = f"p{i % 4}"
+            ident, old = (f"m{i}", None) if op != "replace" else (f"m{i}", f"u{i}")
+            if op == "add" and rng.random() < 0.5:
+                ident = f"u{i}"
+            rows.append((seq, op, None if op == "remove" else ident, old, peer, f"s{seq}"))
+            seq += 1
+        live += len(rows)
+        yield rows
+
+
+def test_message_stream_equals_the_fold(spark, monkeypatch):
+    from whisperlake.operators.messages import apply_message_changes
+
+    monkeypatch.setattr(table, "FRESH", 3)
+    rng = random.Random(21)
+    path, done, feed_rows = work_dir(spark, "messages"), [], {}
+    collect = lambda df, n: feed_rows.setdefault(n, []).append(sorted(map(tuple, df.collect()), key=str))
+    state = {}
+    for n, rows in enumerate(message_batches(rng, 9, 14)):
+        batch = spark.createDataFrame(rows, MESSAGE)
+        for _ in range(2 if n in (4, 7) else 1):  # a batch that runs again
+            stream_messages.apply_batch(batch, n, f"{path}/store", collect)
+        old = spark.createDataFrame([(i, p, s) for i, (p, s) in state.items()], "id string, peer string, status string")
+        after = {r.id: (r.peer, r.status) for r in apply_message_changes(old, batch).collect()}
+        got = {r.id: (r.peer, r.status) for r in stream_messages.stored_messages(spark, f"{path}/store").collect()}
+        assert got == after, n
+        # The feed brings a copy of the table up to date.
+        copy = dict(state)
+        for i, change, old_id, peer, status in sorted(feed_rows[n][0], key=lambda r: r[0] is not None):
+            if i is None:
+                copy = {k: v for k, v in copy.items() if v[0] != peer}
+            elif change == "removed":
+                copy.pop(i, None)
+            else:
+                copy.pop(old_id, None)
+                copy[i] = (peer, status)
+        assert copy == after, n
+        state = after
+        done += rows
+    assert all(a == b for rows in feed_rows.values() for a in rows for b in rows)
+    kinds = {c for rows in feed_rows.values() for _, c, *_ in rows[0]}
+    assert kinds == {"added", "updated", "replaced", "removed"}
+    assert [len(feed_rows[n]) for n in (3, 4, 7)] == [1, 2, 2]
+
+
+def test_new_wrap_of_a_stored_message_still_implies_its_contact(spark):
+    log = spark.createDataFrame([], "owner string, peer string, changed_at long, blocked boolean")
+    none = spark.createDataFrame([], "id string")
+    first = inbox.fold_inbox(*chain(spark, [("w1", "o", 15)]), none, log)
+    stored = first.messages.select("owner", "id")
+    again = inbox.fold_inbox(*chain(spark, [("w1", "o", 25)]), none, log, stored)
+    assert again.messages.count() == 0 and [(r.owner, r.pubkey) for r in again.contacts.collect()] == [("o", AUTHOR)]
+
+
+def test_delivery_feed(spark):
+    path, seen = work_dir(spark, "delivery-feed"), []
+    for rows in ([(1, 0, 1, 100, None, None, None), (2, 0, 1, 100, None, None, None)], [(1, 0, None, None, True, "", 105)], [(2, 0, 1, 100, None, None, None)]):
+        write(spark, rows, stream_delivery._LOG, f"{path}/in")
+    source = feed.stream_events(spark, f"{path}/in", spark.read.parquet(f"{path}/in").schema, files_per_batch=1)
+    stream_delivery.stream_delivery(
+        source, f"{path}/store", f"{path}/cp", on_change=lambda df, n: seen.append(sorted((r.message_id, r.change, r.n_accepted) for r in df.collect()))
+    ).awaitTermination()
+    assert seen == [[(1, "added", 0), (2, "added", 0)], [(1, "updated", 1)], []]

@@ -105,10 +105,11 @@ def rumors_to_messages(rumors: DataFrame, me: str | Column = "owner") -> DataFra
 
 
 class Fold(NamedTuple):
-    """What a batch of wraps comes to: new ``messages``, and all wraps ``handled`` (owner, id), opened or not."""
+    """What a batch of wraps comes to: new ``messages``, all wraps ``handled`` (owner, id), opened or not, and the ``contacts`` that must exist."""
 
     messages: DataFrame
     handled: DataFrame
+    contacts: DataFrame
 
 
 def first_arrivals(wraps: DataFrame) -> DataFrame:
@@ -126,8 +127,7 @@ def fold_inbox(
     wraps also carry ``owner`` (whose inbox) and ``arrival``. A wrap counts as handled before anything
     else happens to it, so what its first copy came to (refused, or lost while the author was blocked)
     is final. ``processed`` has id, and owner where ids are kept per owner. ``stored`` (owner, id)
-    are messages that exist; they are not added again. The contacts the messages imply follow from
-    :func:`implied_contacts`.
+    are messages that exist; they are not added again, but imply their contacts (:func:`implied_contacts`) like any other.
     """
     known = ["owner", "id"] if "owner" in processed.columns else ["id"]
     new = first_arrivals(wraps).join(processed.select(*known), known, "left_anti")
@@ -136,10 +136,11 @@ def fold_inbox(
     here = seals.join(asked, seals["id"] == asked["seal_id"], "left_semi")
     good = authenticate_layers(new, here, rumors.join(asked, "seal_id", "left_semi")).filter("reason is null").drop("reason")
     kept = drop_blocked(rumors_to_messages(good), block_log, "arrival", block_keys)
+    contacts = implied_contacts(kept)
     if stored is not None:
         kept = kept.join(stored.select("owner", "id"), ["owner", "id"], "left_anti").select(kept.columns)
     first = F.min_by(F.struct(*kept.columns), F.struct("arrival", "wrap_id"))
-    return Fold(kept.groupBy("owner", "id").agg(first.alias("m")).select("m.*"), new.select("owner", "id"))
+    return Fold(kept.groupBy("owner", "id").agg(first.alias("m")).select("m.*"), new.select("owner", "id"), contacts)
 
 
 def implied_contacts(messages: DataFrame) -> DataFrame:

@@ -33,25 +33,18 @@ def apply_message_changes(state: DataFrame, log: DataFrame) -> DataFrame:
     seq, op = F.col("seq"), F.col("op")
     # A replacement concerns two ids: for the old one it is the moment it goes away.
     sides = F.array_compact(F.array(
-        F.struct("id", op.alias("op"), F.lit(None).cast("string").alias("new_id")),
-        F.when(op == "replace", F.struct(F.col("old_id").alias("id"), F.lit("gone").alias("op"), F.col("id").alias("new_id"))),
-    ))
-    by_id = live.select("seq", "peer", "status", F.explode(sides).alias("s")).select("seq", "peer", "status", "s.*")
-    value = F.struct("seq", "peer", "status")
-    per_id = by_id.groupBy("id").agg(
-        F.min(F.when(op.isin("add", "replace"), value)).alias("first"),
-        F.max(F.when(op == "update", value)).alias("updated"),
-        F.min(F.when(op == "add", seq)).alias("add_seq"),
-        F.min(F.when(op == "gone", F.struct("seq", "peer", "status", "new_id"))).alias("gone"),
-    )
+        F.struct("id", op.alias("op")), F.when(op == "replace", F.struct(F.col("old_id").alias("id"), F.lit("gone").alias("op")))))
+    # Only numbers are aggregated; rows are fetched once it is known which count.
+    at = lambda agg, *ops: agg(F.when(op.isin(*ops), seq))
+    per_id = live.select("seq", F.explode(sides).alias("s")).select("seq", "s.*").groupBy("id").agg(
+        at(F.min, "add", "replace").alias("first"), at(F.max, "update").alias("updated"), at(F.min, "add").alias("added"), at(F.min, "gone").alias("gone"))
     # A placeholder that existed hands its place to the new id, even if that id exists already.
-    handed = F.coalesce(F.col("add_seq") < F.col("gone.seq"), F.lit(False))
-    own = F.when(~handed & F.col("first").isNotNull(), F.struct(
-        "id", F.greatest("first", F.when(F.col("updated.seq") > F.col("first.seq"), F.col("updated"))).alias("value")))
-    placed = F.when(handed, F.struct(
-        F.col("gone.new_id").alias("id"), F.struct("gone.seq", "gone.peer", "gone.status").alias("value")))
-    rows = per_id.select(F.explode(F.array_compact(F.array(own, placed))).alias("r"))
-    return rows.groupBy("r.id").agg(F.max("r.value").alias("v")).select("id", "v.peer", "v.status")
+    handed = F.coalesce(F.col("added") < F.col("gone"), F.lit(False))
+    own = per_id.filter(~handed & F.col("first").isNotNull()).select("id", F.greatest("first", "updated").alias("seq"))
+    moves = per_id.filter(handed).select(F.col("id").alias("old_id"), F.col("gone").alias("seq"))
+    placed = live.filter("op = 'replace'").select("old_id", "seq", "id").join(moves, ["old_id", "seq"]).select("id", "seq")
+    last = own.unionByName(placed).groupBy("id").agg(F.max("seq").alias("seq"))
+    return live.select("id", "seq", "peer", "status").join(last, ["id", "seq"]).select("id", "peer", "status")
 
 
 def pending_uploads(files: DataFrame, uploads: DataFrame) -> DataFrame:

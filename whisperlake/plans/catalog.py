@@ -19,6 +19,7 @@ from whisperlake.session import configure_session, work_dir
 from whisperlake.streaming import dedup
 from whisperlake.streaming import delivery as stream_delivery
 from whisperlake.streaming import inbox as stream_inbox
+from whisperlake.streaming import messages as stream_messages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -775,6 +776,18 @@ def _(spark, sf):
     return stream_inbox.current_messages(spark, f"{path}/store").select("owner", "id", "peer", "text", "status")
 
 
+@query("t3_stream_messages")
+def _(spark, sf):
+    """The change log of c2 in four slices, as a stream."""
+    path = work_dir(spark, "messages")
+    rows = v.message_log(spark, sf)
+    number = F.floor(F.col("seq") * 4 / (rows.agg(F.max("seq")).scalar() + 1))
+    # As many files for a slice as a batch takes: batches follow the order of the log.
+    source = _slices(rows.repartition(4), number, 4, f"{path}/in")
+    stream_messages.stream_messages(source, f"{path}/store", f"{path}/cp").awaitTermination()
+    return stream_messages.stored_messages(spark, f"{path}/store")
+
+
 @query("t4_stream_delivery")
 def _(spark, sf):
     """Sends and answers in four slices that follow neither their times nor each other."""

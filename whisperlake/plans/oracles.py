@@ -566,6 +566,7 @@ ORACLES["t1_stream_dedup"] = sql(EVENTS, "select id from v_events")
 ORACLES["t2_catch_up_bound"] = sql(EVENTS, f"""select e.pubkey, count(*) as n_wraps, min(since) as since from v_events e join (
       select c_custkey, case when c_custkey % 6 <> 0 then {EPOCH} + (c_custkey * 7919) % 2592000 - 176400 end as since from customer) c
     on c.c_custkey = e.user_id where e.kind = 1059 and (since is null or e.created_at >= since) group by e.pubkey""")
+ORACLES["t3_stream_messages"] = ORACLES["c2_apply_message_changes"]
 ORACLES["t3_stream_inbox"] = sql(_FOLD, "select owner, id, peer, content as text, status from v_inbox")
 ORACLES["t4_stream_delivery"] = sql("v_attempts answered matched v_matched", f"""select message_id, count(*) filter (accepted) as relays_accepted,
     count(acked_at) as n_answered, count(*) as n_targets, case when bool_or(accepted) then 'Sent'

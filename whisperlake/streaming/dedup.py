@@ -15,10 +15,14 @@ def stream_dedup(events: DataFrame, path: str, checkpoint: str, trigger: dict |
     touches. A batch that runs again after a failure replaces its own rows. ``trigger`` is passed to the stream
     (default: the stored part, then stop).
     """
+    schema = ", ".join(f"`{n}` {t}" for n, t in events.dtypes)
+
     def add(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        log.settle(spark, path, batch_id, schema, ["id"])
         fresh = batch.dropDuplicates(["id"])
-        seen = log.before(batch.sparkSession, path, batch_id, "id string", batch, ["id"])
-        log.append(fresh.join(seen, "id", "left_anti").select(batch.columns), path, batch_id, ["id"])
+        seen = log.before(spark, path, batch_id, "id string", batch, ["id"])
+        log.append(fresh.join(seen, "id", "left_anti").select(batch.columns), path, batch_id)
 
     return events.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(
         **(trigger or {"availableNow": True})).start()

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from whisperlake.operators.changes import row_changes
 from whisperlake.operators.delivery import match_acks
 from whisperlake.schemas import FAILED, PUBLISH_TIMEOUT_SECONDS, SENDING, SENT
 from whisperlake.streaming import log
 
 _LOG = ("message_id long, relay long, attempt int, sent_at long, ack_ok boolean, ack_text string, acked_at long")
+_STATE = "message_id long, n_accepted long, n_answered long, n_targets long, silent_since long"
 
 
 def delivery_log(publishes: DataFrame, acks: DataFrame) -> DataFrame:
@@ -33,34 +37,44 @@ def _summary(history: DataFrame, timeout: int) -> DataFrame:
 
 
 def stream_delivery(
-    rows: DataFrame, path: str, checkpoint: str, timeout: int = PUBLISH_TIMEOUT_SECONDS, trigger: dict | None = None
+    rows: DataFrame, path: str, checkpoint: str, timeout: int = PUBLISH_TIMEOUT_SECONDS, trigger: dict | None = None,
+    on_change: Callable[[DataFrame, int], None] | None = None,
 ) -> StreamingQuery:
     """Keeps the state of every message of a stream of :func:`delivery_log` rows, in any order and however late.
 
     A batch appends its rows and matches again the messages that it touches, from all that was ever said about them. Nothing
     is dropped for its age, so the states are those of the batch form at any time. A batch that runs again replaces its rows.
+    ``on_change`` receives the states that a batch added or updated, with ``change``.
     """
     def fold(batch: DataFrame, batch_id: int) -> None:
         spark, keys = batch.sparkSession, ["message_id"]
-        now = log.append(batch.select(*[c.split()[0] for c in _LOG.split(", ")]), f"{path}/log", batch_id, keys)
+        log.settle(spark, f"{path}/log", batch_id, _LOG, keys)
+        log.settle(spark, f"{path}/states", batch_id, _STATE, keys, newest=True)
+        now = log.append(batch.select(*[c.split()[0] for c in _LOG.split(", ")]), f"{path}/log", batch_id)
         touched = now.select("message_id").distinct()
-        old = log.before(spark, f"{path}/log", batch_id, _LOG, touched, keys)
+        old = log.before(spark, f"{path}/log", batch_id, _LOG, touched, keys).drop("batch")
         history = now.unionByName(old.join(touched, "message_id", "left_semi"))
-        log.append(_summary(history, timeout), f"{path}/states", batch_id)
+        states = log.append(_summary(history, timeout), f"{path}/states", batch_id)
+        if on_change is not None:
+            earlier = log.before(spark, f"{path}/states", batch_id, _STATE, touched, keys).join(states.select("message_id"), "message_id", "left_semi")
+            on_change(row_changes(_last(earlier), states, keys).drop("old_id"), batch_id)
 
     return rows.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(
         **(trigger or {"availableNow": True})).start()
 
 
+def _last(rows: DataFrame) -> DataFrame:
+    fields = F.struct(*[c for c in rows.columns if c not in ("message_id", "batch")])
+    return rows.groupBy("message_id").agg(F.max_by(fields, "batch").alias("s")).select("message_id", "s.*")
+
+
 def delivery_states(spark: SparkSession, path: str, as_of: int, timeout: int = PUBLISH_TIMEOUT_SECONDS) -> DataFrame:
     """State of every message by its latest attempt, at the time ``as_of``.
 
     Sent once a relay accepted; Failed when every target has answered or run out of time and none accepted; else Sending.
     ``relays_accepted`` only rises within an attempt; ``n_answered`` of its ``n_targets`` relays have answered in time.
     """
-    rows = log.everything(spark, f"{path}/states")
-    fields = F.struct(*[c for c in rows.columns if c not in ("message_id", "batch")])
-    last = rows.groupBy("message_id").agg(F.max_by(fields, "batch").alias("s")).select("message_id", "s.*")
+    last = _last(log.everything(spark, f"{path}/states", _STATE))
     waiting = F.coalesce(F.col("silent_since") + timeout > as_of, F.lit(False))
     status = F.when(F.col("n_accepted") > 0, SENT).when(waiting, SENDING).otherwise(FAILED)
     return last.select("message_id", F.col("n_accepted").alias("relays_accepted"), "n_answered", "n_targets", status.alias("status"))

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from whisperlake.operators.inbox import fold_inbox, implied_contacts
+from whisperlake.operators.changes import ADDED
+from whisperlake.operators.inbox import fold_inbox
 from whisperlake.streaming import log
 
 _KEY = "owner string, id string"
+_CONTACT = "owner string, pubkey string, is_request boolean"
 
 
 def stream_inbox(
@@ -23,7 +25,8 @@ def stream_inbox(
 
     ``layers`` gives the opened (seals, rumors) for a batch of wraps. A wrap is handled once in the life of the stream: its id
     is kept, per owner, with the batch that saw it first, and messages and contacts that exist are not added again.
-    Each batch overwrites its own folders, so one that runs again after a lost executor or driver leaves the same rows.
+    Each batch overwrites its own folders, so one that runs again after a lost executor or driver leaves the same rows. It reads only
+    the parts of the three tables that its own keys fall into.
     ``on_change`` receives the added messages of every batch. ``trigger`` is passed to the stream (default: the stored part, then
     stop; a processing time keeps it going).
     """
@@ -31,22 +34,28 @@ def stream_inbox(
         spark = batch.sparkSession
         batch = batch.persist()
         try:
-            keys = ["owner", "id"]
+            keys, person = ["owner", "id"], ["owner", "pubkey"]
             seals, rumors = layers(batch)
-            handled = log.before(spark, f"{path}/handled", batch_id, _KEY, batch, keys)
             own = processed.select(*[c for c in keys if c in processed.columns])
             todo = batch.join(own, own.columns, "left_anti").select(batch.columns)
-            stored = log.before(spark, f"{path}/messages", batch_id, _KEY)
+            for table, schema, by in (("handled", _KEY, keys), ("contacts", _CONTACT, person)):
+                log.settle(spark, f"{path}/{table}", batch_id, schema, by)
+            handled = log.before(spark, f"{path}/handled", batch_id, _KEY, batch, keys).drop("batch")
+            # The messages that the batch can bring, by the rumors that its wraps hold.
+            asked = batch.select("owner", "seal_id").join(rumors.select("seal_id", "id"), "seal_id").select(*keys)
+            stored = log.before(spark, f"{path}/message-ids", batch_id, _KEY, asked, keys)
             found = fold_inbox(todo, seals, rumors, handled, block_log, stored, block_keys)
             added = log.append(found.messages, f"{path}/messages", batch_id)
-            people = implied_contacts(added)
-            there = log.before(spark, f"{path}/contacts", batch_id, "owner string, pubkey string")
-            log.append(people.join(there, ["owner", "pubkey"], "left_anti").select(people.columns), f"{path}/contacts", batch_id)
-            log.append(found.handled, f"{path}/handled", batch_id, keys)
+            log.settle(spark, f"{path}/message-ids", batch_id, _KEY, keys)
+            log.append(added.select(*keys), f"{path}/message-ids", batch_id)
+            people = found.contacts
+            there = log.before(spark, f"{path}/contacts", batch_id, "owner string, pubkey string", people, person)
+            log.append(people.join(there, person, "left_anti").select(people.columns), f"{path}/contacts", batch_id)
+            log.append(found.handled, f"{path}/handled", batch_id)
         finally:
             batch.unpersist()
         if on_change is not None:
-            on_change(added.withColumn("change", F.lit("added")), batch_id)
+            on_change(added.withColumn("change", F.lit(ADDED)), batch_id)
 
     return wraps.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(
         **(trigger or {"availableNow": True})).start()
