@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from whisperlake.operators import conversations, inbox
+from whisperlake.operators import conversations, inbox, ordered
 from whisperlake.session import work_dir
 
 N = 300_000
@@ -67,13 +67,55 @@ def test_hot_peer_is_split_in_the_block_log_join(spark, tables, small_thresholds
     assert kept.count() == N - lost
 
 
-def test_timeline_spreads_a_hot_peer(spark, tables):
-    """Window partitions are (peer, hour), so the largest holds a small part of the hot peer."""
+def test_timeline_spreads_a_hot_peer(spark, tables, monkeypatch):
+    """Window partitions are (peer, range), so the largest holds a small part of the hot peer."""
+    monkeypatch.setattr(ordered, "BUCKET_ROWS", 2000)
     marked = conversations.timeline(tables[0])
     plan = marked._jdf.queryExecution().executedPlan().toString()
     assert "_bucket" in plan
-    largest = tables[0].groupBy("peer", F.floor(F.col("created_at") / 3600)).count().agg(F.max("count")).first()[0]
-    assert largest < N / 100
+    sizes = ordered.in_range_buckets(tables[0], ["peer"], "created_at", "id").groupBy("peer", "_bucket").count().collect()
+    assert max(r["count"] for r in sizes) < 4000 and sum(r.peer == "hot" for r in sizes) > 40
+    assert {r._bucket for r in sizes if r.peer != "hot"} == {0}
     groups = conversations.with_group_numbers(marked)
     top = groups.filter("peer = 'hot'").agg(F.max("group_no"), F.sum(F.col("starts_group").cast("int"))).first()
     assert top[0] == top[1]
+
+
+def test_hot_hour_is_split_by_rows(spark, monkeypatch):
+    """Half of a peer's rows lie within one hour, many of them within one second; the result is that of one window over the whole peer."""
+    monkeypatch.setattr(ordered, "BUCKET_ROWS", 1000)
+    i = F.col("id")
+    at = F.when(i % 2 == 0, 1_704_067_200 + F.when(i % 6 == 0, 77).otherwise(i * 13 % 3600)).otherwise(1_704_067_200 + i * 9973 % (30 * 86_400))
+    rows = spark.range(40_000).select(
+        F.sha2(i.cast("string"), 256).alias("id"), F.when(i % 4 == 3, "q").otherwise("hot").alias("peer"), at.alias("created_at"),
+        F.when(F.xxhash64(i) % 4 == 0, "Sent").otherwise("Received").alias("status"))
+    path = work_dir(spark, "hour")
+    rows.unionByName(spark.createDataFrame([("x", "hot", None, "Sent")], "id string, peer string, created_at long, status string")).write.parquet(path)
+    rows = spark.read.parquet(path)
+    sizes = ordered.in_range_buckets(rows, ["peer"], "created_at", "id").filter("peer = 'hot'").groupBy("_bucket").count().collect()
+    assert len(sizes) > 20 and max(r["count"] for r in sizes) <= 2 * sum(r["count"] for r in sizes) / len(sizes)
+    got = {r.id: (r.new_day, r.starts_group, r.group_no) for r in conversations.with_group_numbers(conversations.timeline(rows)).collect()}
+    monkeypatch.setattr(ordered, "BUCKET_ROWS", 1 << 30)
+    whole = conversations.with_group_numbers(conversations.timeline(rows))
+    assert got == {r.id: (r.new_day, r.starts_group, r.group_no) for r in whole.collect()}
+
+
+def test_restless_block_log_is_swept(spark, monkeypatch):
+    """A key with thousands of changes: no message is compared with its stretches, and the result is the same."""
+    i = F.col("id")
+    log = spark.range(9000).select(
+        F.when(i % 3 == 0, "calm").otherwise("hot").alias("peer"), F.when(i % 3 == 0, i % 7 * 1000).otherwise(i * 7 % 20_000 + i % 2).alias("changed_at"),
+        (F.xxhash64(i) % 2 == 0).alias("blocked"))
+    messages = spark.range(20_000).select(
+        i, F.element_at(F.array(*map(F.lit, ("calm", "hot", "none"))), (i % 3 + 1).cast("int")).alias("peer"), (i * 31 % 21_000).alias("created_at"),
+        F.when(i % 5 == 0, "Sent").otherwise("Received").alias("status"))
+    messages = messages.unionByName(spark.createDataFrame(
+        [(-1, None, 5, "Received"), (-2, "hot", None, "Received")], "id long, peer string, created_at long, status string"))
+    compared = []
+    outside = inbox._outside
+    monkeypatch.setattr(inbox, "_outside", lambda m, spans, *a: compared.append(spans) or outside(m, spans, *a))
+    got = sorted(r.id for r in inbox.drop_blocked(messages, log).collect())
+    assert {r.peer for r in compared[0].collect()} == {"calm"}
+    monkeypatch.setattr(inbox, "MOST_CHANGES", 1 << 30)
+    assert got == sorted(r.id for r in inbox.drop_blocked(messages, log).collect())
+    assert {-1, -2} < set(got) and len(got) < 20_000

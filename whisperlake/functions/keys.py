@@ -47,26 +47,69 @@ def _symbols(text: Column) -> Column:
     return F.transform(F.split(text, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
 
 
-def _letters(values: Column) -> Column:
-    letters = F.array(*map(F.lit, ALPHABET))
-    return F.array_join(F.transform(values, lambda v: F.get(letters, v.cast("int"))), "")
+# A key of 32 bytes: so many symbols, which are dealt with twelve at a time (60 bits, 15 hex digits).
+_KEY_SYMBOLS = 52
+_GROUP = 12
+# Digits of base 32 as ``conv`` writes them, in the order of the alphabet.
+_BASE32 = "0123456789abcdefghijklmnopqrstuv"
+
+
+def _key_table(prefix: str) -> tuple[int, list[int]]:
+    """The checksum of a key's symbols as a map that is linear over GF(2): a constant, and what each value at each position adds (XOR)."""
+    def run(values: list[int]) -> int:
+        state = _prefix_state(prefix)
+        for v in [*values, *[0] * 6]:
+            state = ((state & 0x1FFFFFF) << 5) ^ v ^ _mask(state >> 25)
+        return state ^ 1
+
+    zero = [0] * _KEY_SYMBOLS
+    constant = run(zero)
+    return constant, [run([*zero[:i], v, *zero[i + 1:]]) ^ constant for i in range(_KEY_SYMBOLS) for v in range(32)]
+
+
+def _key_checksum(prefix: str, groups: list[Column]) -> Column:
+    """The 30 bits of the checksum from a key's symbols, given as numbers of up to twelve."""
+    constant, table = _key_table(prefix)
+    listed = F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")  # one constant
+
+    def added(known: Column) -> Column:
+        def step(state: Column, i: Column) -> Column:
+            group = F.get(known, F.call_function("div", i, F.lit(_GROUP)).cast("int"))
+            symbol = F.call_function("shiftright", group, (_GROUP - 1 - i % _GROUP) * 5).bitwiseAND(_long(31))
+            return state.bitwiseXOR(F.get(listed, i * 32 + symbol.cast("int")))
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(_KEY_SYMBOLS - 1)), _long(constant), step)
+
+    short = 5 * (-_KEY_SYMBOLS % _GROUP)
+    return let(F.array(*groups[:-1], F.shiftleft(groups[-1], short)), added)
+
+
+def _slices(text: Column, total: int, size: int) -> list[Column]:
+    return [F.substring(text, at + 1, min(size, total - at)) for at in range(0, total, size)]
 
 
 def npub(pubkey: str | Column) -> Column:
-    """Text form of a 64-digit hex key. Five hex digits make exactly four 5-bit symbols."""
-    padded = F.concat(as_col(pubkey), F.lit("0"))
+    """Text form of a 64-digit hex key. Fifteen hex digits make exactly twelve 5-bit symbols."""
+    digits = _slices(F.concat(as_col(pubkey), F.lit("0")), 65, 15)
+    symbols = [F.lpad(F.lower(F.conv(d, 16, 32)), n, "0") for d, n in zip(digits, (12, 12, 12, 12, 4))]
+    check = _key_checksum("npub", [F.conv(d, 16, 10).cast("bigint") for d in digits])
+    ending = F.lpad(F.lower(F.conv(check.cast("string"), 10, 32)), 6, "0")
+    return F.concat(F.lit("npub1"), F.translate(F.concat(*symbols, ending), _BASE32, ALPHABET))
+
 
-    def symbols_of(i: Column) -> Column:
-        chunk = F.conv(F.substring(padded, i * 5 + 1, F.lit(5)), 16, 10).cast("bigint")
-        return let(chunk, lambda c: F.array(*[F.shiftright(c, s).bitwiseAND(_long(31)) for s in (15, 10, 5, 0)]))
+def _npub_hex(text: Column) -> Column:
+    """The 64 digits of a lower-case npub text; null when malformed. The same map as in :func:`npub`."""
 
-    def text_of(data: Column) -> Column:
-        state = _checksum("npub", F.concat(data, F.array(*[_long(0)] * 6))).bitwiseXOR(_long(1))
-        check = let(state, lambda v: F.array(*[F.shiftright(v, s).bitwiseAND(_long(31)) for s in (25, 20, 15, 10, 5, 0)]))
-        return _letters(F.concat(data, check))
+    def read(body: Column) -> Column:
+        symbols = _slices(body, _KEY_SYMBOLS, _GROUP)
+        digits = F.concat(*(F.lpad(F.lower(F.conv(s, 32, 16)), n, "0") for s, n in zip(symbols, (15, 15, 15, 15, 5))))
+        check = F.conv(F.substring(body, 53, 6), 32, 10).cast("bigint")
+        good = _key_checksum("npub", [F.conv(s, 32, 10).cast("bigint") for s in symbols]) == check
+        # The last symbol has four bits to spare, which are zero.
+        return F.when(good, let(digits, lambda d: F.when(d.endswith("0"), F.substring(d, 1, 64))))
 
-    data = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(12)), symbols_of))
-    return F.concat(F.lit("npub1"), let(data, text_of))
+    shape_ok = text.rlike(rf"\Anpub1[{ALPHABET}]{{58}}\z")
+    return F.when(shape_ok, let(F.translate(F.substring(text, 6, 58), ALPHABET, _BASE32), read))
 
 
 def _bytes_of(data: Column) -> Column:
@@ -125,7 +168,7 @@ def _parsed(text: Column) -> Column:
     def by_form(low: Column) -> Column:
         one_case = (text == low) | (text == F.upper(text))
         return (
-            F.when(low.startswith("npub1"), F.when(one_case, _decoded_hex(low, "npub")))
+            F.when(low.startswith("npub1"), F.when(one_case, _npub_hex(low)))
             .when(low.startswith("nprofile1"), F.when(one_case, _profile_key(_decoded_hex(low, "nprofile"))))
             .otherwise(low)
         )

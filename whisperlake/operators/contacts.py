@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from whisperlake.functions.events import tag_values
 from whisperlake.functions.keys import npub, parse_public_key
-from whisperlake.functions.text import is_blank, trimmed
+from whisperlake.functions.text import is_blank, staged, trimmed
 from whisperlake.functions.urls import RELAY_SCHEMES, relay_url_list
 from whisperlake.schemas import INBOX_CACHE_SECONDS, INBOX_RELAY_COUNT, KIND_INBOX_LIST
 
@@ -19,7 +19,7 @@ CHANGING = ("unblock", "mark_read")
 def import_contacts(raw: DataFrame, me: str | Column) -> tuple[DataFrame, DataFrame]:
     """Parses a list of key texts (``raw``): (accepted: pubkey, npub), (rejected: raw, reason)."""
     me = F.lit(me) if isinstance(me, str) else me
-    parsed = raw.withColumn("pubkey", parse_public_key("raw")).withColumn(
+    parsed = staged(raw, raw.columns, [parse_public_key("raw").alias("pubkey")]).withColumn(
         "reason", F.when(F.col("pubkey").isNull(), "invalid key").when(F.col("pubkey") == me, "own key"))
     accepted = parsed.filter("reason is null").select("pubkey").distinct().withColumn("npub", npub("pubkey"))
     return accepted, parsed.filter("reason is not null").select("raw", "reason")

@@ -9,11 +9,13 @@ from whisperlake.functions.keys import avatar_bucket, display_name, initial
 from whisperlake.functions.labels import day_label, day_of, time_label
 from whisperlake.functions.text import is_blank, trimmed
 from whisperlake.operators.delivery import delivery_tick
-from whisperlake.operators.ordered import in_buckets, with_neighbour, with_running_sum
+from whisperlake.operators.ordered import in_range_buckets, with_neighbour, with_running_sum
 from whisperlake.schemas import FAILED, GROUP_GAP_SECONDS, RECEIVED
 
-# Rows of one peer are ordered within an hour at a time.
-_BUCKET = lambda: F.floor(F.col("created_at") / 3600)
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows of a peer with many are ordered in ranges of about equal size."""
+    return in_range_buckets(rows, ["peer"], "created_at", "id")
 
 
 def last_message(messages: DataFrame) -> DataFrame:
@@ -102,7 +104,7 @@ def timeline(messages: DataFrame, peer: str | None = None, gap: int = GROUP_GAP_
 
 
 def _marked(rows: DataFrame, gap: int) -> DataFrame:
-    rows = in_buckets(rows.withColumn("is_outgoing", F.col("status") != RECEIVED), _BUCKET())
+    rows = _dealt(rows.withColumn("is_outgoing", F.col("status") != RECEIVED))
     near = with_neighbour(rows, ["peer"], ["created_at", "id"], ["created_at", "is_outgoing"], prefix="prev_")
     first = F.col("prev_created_at").isNull()
     new_day = first | (day_of("created_at") != day_of("prev_created_at"))
@@ -120,7 +122,7 @@ def _numbered(marked: DataFrame) -> DataFrame:
 
 def with_group_numbers(marked: DataFrame) -> DataFrame:
     """Numbers the groups of a :func:`timeline` from 1 per peer."""
-    return _numbered(in_buckets(marked, _BUCKET())).drop("_bucket")
+    return _numbered(_dealt(marked)).drop("_bucket")
 
 
 def message_groups(messages: DataFrame, gap: int = GROUP_GAP_SECONDS) -> DataFrame:

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from whisperlake.functions.events import first_tag, has_valid_id, participants
 from whisperlake.functions.media import attachment_label
 from whisperlake.functions.text import as_col
-from whisperlake.operators.ordered import in_buckets, with_neighbour
+from whisperlake.operators.ordered import in_buckets, with_last, with_neighbour
 from whisperlake.operators.validation import chat_payloads
 from whisperlake.schemas import KIND_GIFT_WRAP, KIND_SEAL, RECEIVED, SENT
 
 _LOG_BUCKET_SECONDS = 30 * 86_400
+# Changes of one key's block state that messages are compared with one by one.
+MOST_CHANGES = 64
 
 
 def authenticate_layers(wraps: DataFrame, seals: DataFrame, rumors: DataFrame) -> DataFrame:
@@ -70,10 +72,23 @@ def drop_blocked(
     What arrives while blocked stays lost after unblocking, so this looks at the log, not at
     today's flag. Outgoing messages are never dropped. Where messages have an ``owner``, a block
     is that owner's alone, and the log must name the owner too; ``keys`` overrides this.
+
+    A message is compared with the blocked stretches of its key. Keys with more than ``MOST_CHANGES`` changes, of which the log is asked first, go through one
+    ordered pass over changes and messages instead, so that no message meets more than half as many stretches.
     """
-    keys = keys or (("owner", "peer") if "owner" in messages.columns else ("peer",))
-    spans = block_intervals(block_log, list(keys)).withColumnsRenamed({k: f"b_{k}" for k in keys})
+    keys = list(keys or (("owner", "peer") if "owner" in messages.columns else ("peer",)))
     at = as_col(arrival)
+    restless = block_log.groupBy(*keys).agg(F.countDistinct("changed_at").alias("n")).filter(F.col("n") > MOST_CHANGES).select(*keys)
+    if restless.isEmpty():
+        return _outside(messages, block_intervals(block_log, keys), at, keys)
+    calm = _outside(messages.join(restless, keys, "left_anti"), block_intervals(block_log.join(restless, keys, "left_anti"), keys), at, keys)
+    swept = _swept(messages.join(restless, keys, "left_semi"), block_log.join(restless, keys, "left_semi"), at, keys)
+    return calm.select(messages.columns).unionByName(swept.select(messages.columns))
+
+
+def _outside(messages: DataFrame, spans: DataFrame, at: Column, keys: list[str]) -> DataFrame:
+    """Messages without those received within one of the stretches of their key."""
+    spans = spans.withColumnsRenamed({k: f"b_{k}" for k in keys})
     hit = (F.col("status") == RECEIVED) & (at >= F.col("blocked_from")) & (
         F.col("blocked_until").isNull() | (at < F.col("blocked_until")))
     for k in keys:
@@ -81,6 +96,17 @@ def drop_blocked(
     return messages.join(spans, hit, "left_anti")
 
 
+def _swept(messages: DataFrame, block_log: DataFrame, at: Column, keys: list[str]) -> DataFrame:
+    """The same by order: the last change at or before a message's time says whether it is lost."""
+    log = block_log.groupBy(*keys, "changed_at").agg(F.bool_or("blocked").alias("_blocked"))
+    row = F.struct(*messages.columns).alias("_row")
+    both = messages.select(*keys, at.alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast("boolean").alias("_blocked"), row).unionByName(
+        log.select(*keys, F.col("changed_at").alias("_at"), F.lit(0).alias("_kind"), "_blocked"), allowMissingColumns=True)
+    state = with_last(in_buckets(both, F.floor(F.col("_at") / 3600)), keys, ["_at", "_kind"], "_blocked", "_state")
+    lost = (F.col("_row.status") == RECEIVED) & F.coalesce("_state", F.lit(False))
+    return state.filter((F.col("_kind") == 1) & ~F.coalesce(lost, F.lit(False))).select("_row.*")
+
+
 def drop_blocked_now(messages: DataFrame, contacts: DataFrame) -> DataFrame:
     """Snapshot form: drops incoming messages of contacts that are blocked today."""
     blocked = contacts.filter("is_blocked").select(F.col("pubkey").alias("b_peer"))
