@@ -11,6 +11,8 @@ lie: nothing is shuffled, and a passage that very many documents hold is as chea
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -19,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from whisperlake.llm.arrays import Words, drop_empty, hashes, ragged, slices, texts_of, windows, words
-from whisperlake.llm.store import share_package
+from whisperlake.llm.store import share_package, written
 
 LEAST = 4
 COVERAGE = 0.5
@@ -167,24 +169,22 @@ _LEAK_DDL = "array<struct<item_id: long, item_words: long, matched: long, tiles:
 
 
 def leak_columns(benchmark: DataFrame, text: Column, least: int = LEAST, coverage: float = COVERAGE,
-                 block_chars: int = BLOCK_CHARS) -> list[Column]:
-    """One array column for each block of ``benchmark`` (item_id, text): the items that leak into ``text``.
+                 block_chars: int = BLOCK_CHARS) -> Iterator[Column]:
+    """One array column for each block of ``benchmark`` (item_id, text): the items that leak into ``text``. They are made one at a time.
 
     Items of fewer than ``least`` words can't be told from chance and match nothing. Null texts are empty; repeated rows of the
     benchmark count once. Building the columns reads the benchmark, block by block.
     """
     share_package(benchmark.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    items = items.distinct()
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = 1 + chars // block_chars
-    out = []
     for b in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b)
-        rows = sorted({(r.item_id, r.text) for r in part.collect()}, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
+        rows = sorted(((r.item_id, r.text) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
         index = index_of([r[0] for r in rows], [r[1] for r in rows], least)
-
-        out.append(_leak_udf(index, coverage)(text.cast("string")))
-    return out
+        yield _leak_udf(index, coverage)(text.cast("string"))
 
 
 def _leak_udf(index: Index, coverage: float):
@@ -200,13 +200,18 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
     Null and empty texts leak nothing; null ids stay null; each repeated row is reported; no other column is read.
     """
-    found = leak_columns(benchmark, F.col("text"), **options)
-    rows = docs.select(F.col("doc_id").cast("long"), F.explode(F.concat(*found)).alias("l")).select("doc_id", "l.*")
+    # Written block by block, so that no plan and no task holds more than one block of the benchmark.
+    parts = [written(docs.select(F.col("doc_id").cast("long"), F.explode(c).alias("l")).select("doc_id", "l.*"), "leaks")
+             for c in leak_columns(benchmark, F.col("text"), **options)]
+    rows = reduce(DataFrame.unionByName, parts)
     return rows.withColumn("coverage", F.col("matched") / F.col("item_words"))
 
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` into which no item leaks, with all their columns."""
+    # The last block's filter is left to whoever reads the result; what the others leave is written.
+    left = None
     for c in leak_columns(benchmark, F.col("text"), **options):
-        docs = docs.filter(F.size(c) == 0)
-    return docs
+        docs = docs if left is None else written(left, "without-leaks")
+        left = docs.filter(F.size(c) == 0)
+    return left

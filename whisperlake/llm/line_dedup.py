@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from whisperlake.llm.arrays import hashes, mixed, ragged, slices, texts_of, words
-from whisperlake.llm.store import sent_if_small, share_package, written
+from whisperlake.llm.store import sent_if_small, share_package, tidy, unused, written
 
 # Similarity as a fraction, so that all bounds are whole numbers.
 NUMERATOR, DENOMINATOR = 4, 5
@@ -80,8 +80,16 @@ def _count_words(batches):
 
 def frequent_words(docs: DataFrame) -> Frequent:
     """The summary of all of ``docs`` (text)."""
-    seen = docs.select(F.col("text").cast("string")).mapInArrow(_count_words, "word long, n long")
-    top = seen.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(MOST_WORDS).toArrow()
+    seen = docs.select(F.col("text").cast("string")).mapInArrow(tidy(_count_words), "word long, n long")
+    total = written(seen.groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+    # Counts are sorted from a bound on: the largest eighth of a power of two that MOST_WORDS words reach (a few hundred rows).
+    size = F.floor(F.log2("n") * 8)
+    least, reached = 0, 0
+    for r in sorted(total.groupBy(size.alias("size")).count().collect(), key=lambda r: -r["size"]):
+        least, reached = r["size"], reached + r["count"]
+        if reached >= MOST_WORDS:
+            break
+    top = total.filter(size >= least).orderBy(F.desc("n"), "word").limit(MOST_WORDS).toArrow()
     word = top.column("word").to_numpy().view(np.uint64)
     order = np.argsort(word)
     return Frequent(word[order], top.column("n").to_numpy()[order])
@@ -259,7 +267,7 @@ def _decided(docs: DataFrame) -> DataFrame:
     share_package(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _text_key(F.col("text")).alias("text_key"))
     frequent = frequent_words(texts)
-    lines = written(texts.mapInArrow(_line_rows(frequent), _LINE_DDL), "lines")
+    lines = written(texts.mapInArrow(tidy(_line_rows(frequent)), _LINE_DDL), "lines")
     sets = written(lines.groupBy("k1", "k2").agg(
         F.min(_key()).alias("first"), F.first("n").alias("n"), F.first("parity").alias("parity"),
         F.first("prefix").alias("prefix")), "sets")
@@ -273,7 +281,7 @@ def _decided(docs: DataFrame) -> DataFrame:
         F.collect_set(F.struct(F.col("first.line_no").alias("line_no"), "buckets")).alias("lines")), "asked-lines")
     few = sent_if_small(asked, 32 + 24 * F.size("lines"))
     found = texts.join(few, texts.doc_id.eqNullSafe(few.doc_id) & (texts.text_key == few.text_key)).select("text", "lines")
-    token = found.mapInArrow(_asked_lines(frequent), "bucket int, k1 long, words array<long>")
+    token = found.mapInArrow(tidy(_asked_lines(frequent)), "bucket int, k1 long, words array<long>")
     similar = token.groupBy("bucket").cogroup(pairs.groupBy("bucket")).applyInArrow(_verify, "a long, b long")
     similar = written(similar, "similar-lines")
     ends = similar.union(similar.select("b", "a")).toDF("k1", "other")
@@ -293,13 +301,15 @@ def remove_lines(docs: DataFrame) -> DataFrame:
     Documents that lose nothing keep their text as it is, also a null one.
     """
     found = written(_decided(docs), "line-decisions")
-    gone = written(found.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(
-        F.collect_set(F.when(F.col("removed"), F.col("line_no"))).alias("__gone"), F.count(F.when(~F.col("removed"), 1)).alias("__left")
-    ).filter(F.size("__gone") > 0), "removed-lines")
+    loss = unused("loss", docs)
+    gone = written(found.groupBy("doc_id", "text_key").agg(
+        F.collect_set(F.when(F.col("removed"), F.col("line_no"))).alias("gone"), F.count(F.when(~F.col("removed"), 1)).alias("left")
+    ).filter(F.size("gone") > 0).select(F.struct("*").alias(loss)), "removed-lines")
     # eqNullSafe is an equi-join; documents without losses have no partner.
-    few = sent_if_small(gone, 40 + 4 * F.size("__gone"))
-    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (_text_key(docs["text"]) == F.col("__key"))
-    both = docs.join(few, same, "left").filter("__gone is null or __left > 0")
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("__gone"), i))
-    text = F.when(F.col("__gone").isNull(), docs["text"]).otherwise(F.array_join(kept, "\n"))
+    lost = F.col(loss)
+    few = sent_if_small(gone, 40 + 4 * F.size(lost["gone"]))
+    same = docs["doc_id"].eqNullSafe(lost["doc_id"]) & (_text_key(docs["text"]) == lost["text_key"])
+    both = docs.join(few, same, "left").filter(lost.isNull() | (lost["left"] > 0))
+    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(lost["gone"], i))
+    text = F.when(lost.isNull(), docs["text"]).otherwise(F.array_join(kept, "\n"))
     return both.withColumn("text", text).select(docs.columns)

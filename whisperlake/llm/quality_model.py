@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from whisperlake.llm.arrays import slices, texts_of
 from whisperlake.llm.boosted import Trees, fit
 from whisperlake.llm.doc_stats import ALL_COMMON, CLASSES, COMMON, SLICE, statistics
-from whisperlake.llm.store import share_package, written
+from whisperlake.llm.store import drawn, share_package, written
 
 FEATURES = [*(f"{c}_share" for c in CLASSES), "log_words", "word_length", "words_per_line", "dup_line_share", "repeat_share",
             "distinct_share", "common_share", "top_common_share"]
@@ -49,7 +49,7 @@ def training_sample(rows: DataFrame, labels: DataFrame, label: str, most: int) -
     """
     known = labels.filter(F.col(label).isNotNull() & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.max(F.col(label).cast("int")).alias("label"))
-    return rows.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return drawn(rows.join(known, "doc_id"), most, "doc_id")
 
 
 def train(rows: DataFrame, labels: DataFrame, most: int = 20_000) -> Trees:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from whisperlake.llm.arrays import slices, texts_of
 from whisperlake.llm.doc_stats import ALL_COMMON, CLASSES, COMMON, SLICE, statistics
-from whisperlake.llm.store import share_package
+from whisperlake.llm.store import share_package, unused
 
 
 @dataclass(frozen=True)
@@ -156,5 +156,6 @@ def verdict(docs: DataFrame, limits: Limits = Limits()) -> Column:
 
 def apply_rules(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The rows of ``docs`` (at least text, lang) that are kept, with all their columns."""
-    judged = docs.select("*", verdict(docs, limits).alias("__verdict"))
-    return judged.filter("__verdict.kept").drop("__verdict")
+    name = unused("verdict", docs)
+    judged = docs.select("*", verdict(docs, limits).alias(name))
+    return judged.filter(F.col(name)["kept"]).drop(name)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from whisperlake.llm.arrays import slices, texts_of
 from whisperlake.llm.components import components
-from whisperlake.llm.store import sent_if_small, share_package, written
+from whisperlake.llm.store import sent_if_small, share_package, unused, written
 
 SHINGLE = 4
 SEED = 42
@@ -174,12 +174,12 @@ def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     found = written(_rooted(docs, distance).filter("doc_id is not null").groupBy("doc_id", "fp", "root").agg(
         F.count(F.lit(1)).alias("n")), "components")
     best = found.groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("best"))
-    ranked = found.join(best, "root").select(
-        "n", F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"), (F.struct("doc_id", "fp") == F.col("best")).alias("stays"))
+    name = unused("text_name", docs)
+    ranked = found.join(best, "root").select("n", F.struct("doc_id", "fp").alias(name), (F.struct("doc_id", "fp") == F.col("best")).alias("stays"))
     out = written(ranked.filter("not stays").drop("n", "stays"), "near-copies")
     again = written(ranked.filter("stays and n > 1").drop("n", "stays"), "repeated-ids")
     out, again = sent_if_small(out, 24), sent_if_small(again, 24)
-    named = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__fp": fingerprint(F.col("text"))})
-    kept = named.join(out, ["__id", "__fp"], "left_anti")
-    repeated = kept.join(again, ["__id", "__fp"], "left_semi").dropDuplicates(["__id", "__fp"])
-    return kept.join(again, ["__id", "__fp"], "left_anti").unionByName(repeated).select(docs.columns)
+    own = F.struct(F.col("doc_id").cast("long").alias("doc_id"), fingerprint(F.col("text")).alias("fp"))
+    kept = docs.withColumn(name, F.when(F.col("doc_id").isNotNull(), own)).join(out, name, "left_anti")
+    repeated = kept.join(again, name, "left_semi").dropDuplicates([name])
+    return kept.join(again, name, "left_anti").unionByName(repeated).select(docs.columns)

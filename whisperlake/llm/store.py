@@ -60,6 +60,28 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return held
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """``name``, with marks behind it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def drawn(rows: DataFrame, most: int, *key: str) -> DataFrame:
+    """At most ``most`` of ``rows``, those with the smallest hashes of the first of the columns ``key`` (ties by all of them).
+
+    Their number is counted first, and only hashes under a bound that about a quarter more than ``most`` rows pass are sorted: all tasks
+    together send little more than the result.
+    """
+    value = F.xxhash64(key[0])
+    n = rows.count()
+    enough = 5 * most // 4 + 100
+    if n > 2 * enough:
+        rows = rows.filter(value < F.lit((1 << 64) * enough // n - (1 << 63)))
+    return rows.orderBy(value, *key).limit(most)
+
+
 # Largest table, in bytes, that is sent to all executors instead of shuffling the other side of a join.
 BROADCAST_BYTES = 32 << 20
 

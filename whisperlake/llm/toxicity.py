@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from whisperlake.llm.arrays import Words, hashes, slices, texts_of, words
 from whisperlake.llm.quality_model import held_out
-from whisperlake.llm.store import share_package, written
+from whisperlake.llm.store import drawn, share_package, written
 
 # Identity terms by kind (fixed values); a term is exchanged for the others of its line.
 IDENTITY = (
@@ -123,8 +123,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 16_000, width: int = 4
     """
     known = labels.filter(F.col("toxic").isNotNull() & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.max(F.col("toxic").cast("int")).alias("label"))
-    drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(drawn), "doc_id").select("label", "text")
+    chosen = drawn(known, most, "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").select("label", "text")
     sample = written(texts.mapInArrow(_word_rows, "label int, words array<long>"), "labelled-words")
     n, bad = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
     if not n:
