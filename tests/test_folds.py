@@ -6,7 +6,8 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from whisperlake.operators import attachments, audit, conversations, delivery, inbox, merge
+from whisperlake.functions.events import with_event_id
+from whisperlake.operators import attachments, audit, conversations, delivery, filters, inbox, merge, validation
 from whisperlake.operators.contacts import apply_contact_changes, latest_inbox_list
 from whisperlake.operators.filters import EventFilter, filter_events, match_all_subscriptions, match_subscriptions
 from whisperlake.operators.messages import apply_message_changes
@@ -263,6 +264,49 @@ def test_unknown_tag_values_match_nothing(spark):
     assert {r.sub_id for r in match_subscriptions(e, s).collect()} == {"hit", "open"}
 
 
+def test_long_times_are_few_stretches(spark):
+    rng = random.Random(5)
+    pairs = [(19_000, 19_000 + 20 * 365), (0, 0), (5, 4), (7, 8), (19_716, 19_746), (1, 32_766)]
+    pairs += [(a, a + rng.choice([0, 1, 2, 5, 30, 400])) for a in (rng.randrange(25_000) for _ in range(80))]
+    rows = spark.createDataFrame(pairs, "a long, b long").select("a", "b", filters.dyadic_days(F.col("a"), F.col("b")).alias("s")).collect()
+    for r in rows:
+        days = [d for level, key in r.s for d in range(key << level, (key + 1) << level)]
+        assert sorted(days) == list(range(r.a, r.b + 1)), (r.a, r.b)
+        assert len(r.s) <= 30
+    assert max(len(r.s) for r in rows) > 5
+
+
+def test_hot_kinds_are_salted_and_times_matched(spark):
+    """One kind holds most events; filters by kind alone, by time alone, and of kinds that don't occur."""
+    i = F.col("n")
+    e = spark.range(3000).toDF("n").select(
+        F.concat(F.lit("e"), i.cast("string")).alias("id"), F.lit("p").alias("pubkey"), (1_700_000_000 + i * 40_000).alias("created_at"),
+        F.when(i % 10 == 0, (i % 7).cast("int")).otherwise(42).alias("kind"), F.array().cast("array<array<string>>").alias("tags"))
+    part = "sub_id string, ids array<string>, authors array<string>, kinds array<int>, tags map<string,array<string>>, since long, until long"
+    subs = [("hot", None, None, [42], None, None, None), ("rare", None, None, [3, 99], None, None, None), ("never", None, None, [99], None, None, None),
+            ("from", None, None, None, None, 1_750_000_000, None), ("to", None, None, None, None, None, 1_700_100_000),
+            ("both", None, None, None, None, 1_710_000_000, 1_760_000_001), ("none", None, None, None, None, 5, 6)]
+    got = match_subscriptions(e, spark.createDataFrame(subs, part), salts=8).collect()
+    rows = e.collect()
+    want = {(s[0], r.id) for s in subs for r in rows if (s[3] is None or r.kind in s[3]) and (s[5] or 0) <= r.created_at <= (s[6] or 1 << 60)}
+    assert {(r.sub_id, r.id) for r in got} == want and len(got) == len(want)
+
+
+def test_acceptance_by_table_equals_the_literal_form(spark):
+    e = with_event_id(spark.range(60).select(
+        F.sha2((F.col("id") % 3).cast("string"), 256).alias("pubkey"), (F.col("id") * 10).alias("created_at"), (F.col("id") % 4).cast("int").alias("kind"),
+        F.array(F.array(F.lit("p"), (F.col("id") % 5).cast("string"))).alias("tags"), F.lit("x").alias("content"),
+        F.element_at(F.array(*map(F.lit, ["a", "b", "c", "d"])), (F.col("id") % 4 + 1).cast("int")).alias("sub_id"),
+        F.when(F.col("id") % 7 != 0, F.repeat(F.lit("ab"), 64)).alias("sig"), (F.col("id") % 5 != 0).alias("sig_ok")))
+    e = e.withColumn("id", F.when(F.col("created_at") % 110 == 0, F.lit("00" * 32)).otherwise(F.col("id")))
+    wanted = {"a": [EventFilter(kinds=[0], since=100), EventFilter(tags={"p": ["1"]})], "b": [EventFilter(until=300)], "c": [EventFilter(kinds=[])]}
+    rows = [(s, f.ids, f.authors, f.kinds, f.tags, f.since, f.until) for s, fs in wanted.items() for f in fs]
+    table = spark.createDataFrame(rows + [(None, None, None, None, None, None, None)],
+                                  "sub_id string, ids array<string>, authors array<string>, kinds array<int>, tags map<string,array<string>>, since long, until long")
+    both = [sorted((r.created_at, r.reason) for r in validation.accept_events(e, s).collect()) for s in (wanted, table)]
+    assert both[0] == both[1] and len({r for _, r in both[0]}) == 5
+
+
 def test_plain_text_search_equals_contains(spark):
     rng = random.Random(11)
     words = ["ab", "abc", "b", "ca", "cab", "ba  c", "x\ny"]

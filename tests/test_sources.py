@@ -137,6 +137,29 @@ def test_snapshot_versions(spark):
     assert old.count() == 3 and snapshot.load_snapshot(spark, path)["a"].count() == 5
 
 
+def test_writers_side_by_side(spark, monkeypatch):
+    """A second writer takes its number after both have seen the same newest version: neither is lost, and the later number is read."""
+    path = work_dir(spark, "writers")
+    snapshot.write_snapshot(spark, {"a": spark.range(1)}, path)
+    seen = snapshot._versions
+    inner = []
+
+    def interleaved(*args):
+        found = seen(*args)
+        if not inner:
+            inner.append(None)
+            inner[0] = snapshot.write_snapshot(spark, {"a": spark.range(7)}, path)
+        return found
+
+    monkeypatch.setattr(snapshot, "_versions", interleaved)
+    outer = snapshot.write_snapshot(spark, {"a": spark.range(9)}, path)
+    assert (inner[0], outer) == (2, 3)
+    rows = snapshot._manifests(spark, path).collect()
+    assert sorted(r.version for r in rows) == [1, 2, 3] and snapshot.load_snapshot(spark, path)["a"].count() == 9
+    sizes = {r.version: spark.read.parquet(f"{path}/versions/{r.folder}/a").count() for r in rows}
+    assert sizes == {1: 1, 2: 7, 3: 9}
+
+
 def test_blob_files(spark):
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     os.makedirs(f"{folder}/deep")

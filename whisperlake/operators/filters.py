@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -99,7 +100,40 @@ def _day(at: Column | str) -> Column:
     return F.floor((F.col(at) if isinstance(at, str) else at) / _DAY).cast("bigint")
 
 
-def _routes(salts: int, first_day: Column, last_day: Column) -> Column:
+# Levels of dyadic stretches of days: one of level k is 2^k days long and begins at a multiple of that. Together they reach over 89 years.
+_LEVELS = 15
+
+
+def dyadic_days(low: Column, high: Column) -> Column:
+    """The days from ``low`` to ``high`` as few stretches (level, key): at most two of each level, whatever the length.
+
+    Going up, an odd first stretch and an even last one are taken; what is left between them is made of whole stretches of the next level.
+    """
+    def stretch(level: Column, key: Column) -> Column:
+        return F.struct(level.alias("level"), key.cast("bigint").alias("key"))
+
+    def step(s: Column, level: Column) -> Column:
+        low, high = s["low"], s["high"]
+        top = level == _LEVELS - 1
+        left = F.when((low <= high) & ~top & (low % 2 != 0), stretch(level, low))
+        right = F.when((low <= high) & ~top & (high % 2 == 0) & ((low % 2 == 0) | (low < high)), stretch(level, high))
+        rest = F.when((low <= high) & top, F.transform(F.sequence(low, high), lambda k: stretch(level, k)))
+        found = F.concat(s["found"], F.array_compact(F.array(left, right)), F.coalesce(rest, F.array().cast(_STRETCHES)))
+        after = low + F.when(left.isNotNull(), 1).otherwise(0)
+        ahead = high - F.when(right.isNotNull(), 1).otherwise(0)
+        # Nothing left stays nothing: halving 5 to 4 would make it 2 to 2.
+        return F.struct(
+            F.when(after <= ahead, F.floor(after / 2)).otherwise(1).cast("bigint").alias("low"),
+            F.when(after <= ahead, F.floor(ahead / 2)).otherwise(0).cast("bigint").alias("high"), found.alias("found"))
+
+    start = F.struct(low.cast("bigint").alias("low"), high.cast("bigint").alias("high"), F.array().cast(_STRETCHES).alias("found"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(_LEVELS - 1)), start, step, lambda s: s["found"])
+
+
+_STRETCHES = "array<struct<level:int,key:bigint>>"
+
+
+def _routes(salts: Column, first_day: Column, last_day: Column) -> Column:
     """The join keys of one subscription filter, taken from its most selective part; none for a filter without any part."""
 
     def keys(route: Column | str, values: Column) -> Column:
@@ -109,7 +143,7 @@ def _routes(salts: int, first_day: Column, last_day: Column) -> Column:
 
     def salted(route: str, values: Column) -> Column:
         return F.flatten(F.transform(F.array_distinct(values), lambda v: F.transform(
-            F.sequence(F.lit(0), F.lit(salts - 1)),
+            F.sequence(F.lit(0), _salts_of(salts, v) - 1),
             lambda s: F.struct(F.lit(route).alias("route"), v.cast("string").alias("key"), s.alias("salt")))))
 
     tag = F.array_min(F.map_keys("tags"))
@@ -121,7 +155,28 @@ def _routes(salts: int, first_day: Column, last_day: Column) -> Column:
               keys(F.concat(F.lit("#"), tag), F.element_at(F.col("tags"), tag)))
         .when(F.col("authors").isNotNull(), keys("author", F.col("authors")))
         .when(F.col("kinds").isNotNull(), salted("kind", F.col("kinds")))
-        .when((F.col("since").isNotNull() | F.col("until").isNotNull()) & (low <= high), keys("day", F.sequence(low, high)))
+        .when((F.col("since").isNotNull() | F.col("until").isNotNull()) & (low <= high), F.transform(
+            dyadic_days(low, high), lambda d: F.struct(
+                F.concat(F.lit("day"), d["level"].cast("string")).alias("route"), d["key"].cast("string").alias("key"), F.lit(0).alias("salt"))))
+    )
+
+
+def _salts_of(salts: Column, kind: Column) -> Column:
+    return F.coalesce(F.try_element_at(salts, kind.cast("int")), F.lit(1))
+
+
+def row_matches(part: Callable[[str], Column]) -> Column:
+    """Whether an event matches a filter that is a row: ``part`` gives its ids, authors, kinds, tags, since and until (null: no constraint)."""
+    def allowed(listing: str, value: str) -> Column:
+        return part(listing).isNull() | F.array_contains(part(listing), F.col(value))
+
+    return (
+        allowed("ids", "id") & allowed("authors", "pubkey") & allowed("kinds", "kind")
+        & (F.col("created_at") >= F.coalesce(part("since"), F.col("created_at")))
+        & (F.col("created_at") <= F.coalesce(part("until"), F.col("created_at")))
+        # An unknown overlap (a null list, or nulls in it) is no match.
+        & (part("tags").isNull() | F.forall(F.map_entries(part("tags")), lambda e: F.coalesce(F.arrays_overlap(
+            tag_values("tags", e["key"]), e["value"]), F.lit(False))))
     )
 
 
@@ -136,48 +191,43 @@ def match_all_subscriptions(subs: DataFrame) -> DataFrame:
 def match_subscriptions(events: DataFrame, subs: DataFrame, salts: int | None = None) -> DataFrame:
     """One row (sub_id, id) for every event that some filter of a subscription matches.
 
-    Each filter is joined on exactly one of its parts: ids, a tag, authors, kinds, or the days that it is open; the rest is
-    tested on the pair. Filters without any part are left to :func:`match_all_subscriptions`. Kinds, which are few, are salted
-    so that one kind holding most of the log still spreads over ``salts`` tasks (default: the session's shuffle partitions).
+    Each filter is joined on exactly one of its parts: ids, a tag, authors, kinds, or the time that it is open; the rest is
+    tested on the pair. Filters without any part are left to :func:`match_all_subscriptions`. Times are dyadic stretches of days, so a filter that is
+    open for years has no more keys than some dozen, and an event one for each level in use. Kinds that hold more than their share of the log are salted, each
+    by its measured part of ``salts`` (default: the session's shuffle partitions); subscriptions to others stay one row.
     """
     salts = salts or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    days = events.agg(F.min("created_at").alias("a"), F.max("created_at").alias("b"))
+    days = events.agg(F.min("created_at").alias("a"), F.max("created_at").alias("b"), F.count(F.lit(1)).alias("n"))
     bounds = [_day(days.select(c).scalar()).alias(f"day_{c}") for c in ("a", "b")]
+    # Fewer than ``salts`` kinds can have more than that part of all events.
+    share = F.col("n") * salts / days.select("n").scalar()
+    hot = events.groupBy(F.col("kind").cast("int").alias("kind")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("kind").isNotNull() & (share > 1)).agg(
+        F.map_from_entries(F.collect_list(F.struct("kind", F.ceil(share).cast("int").alias("salts")))).alias("m")).scalar()
+    bounds.append(hot.alias("hot"))
     sides = subs.select("*", *bounds).select(
         "sub_id", *[F.col(c).alias(f"f_{c}") for c in ("ids", "authors", "kinds", "tags", "since", "until")],
-        F.explode(_routes(salts, F.col("day_a"), F.col("day_b"))).alias("k"),
+        F.explode(_routes(F.col("hot"), F.col("day_a"), F.col("day_b"))).alias("k"),
     ).select("*", "k.route", "k.key", "k.salt").drop("k")
-    # Only of the four fixed routes is it asked whether they are in use; tag names come from users and are joined.
-    fixed_names = ("id", "author", "kind", "day")
+    # Only of the fixed routes is it asked whether they are in use; tag names come from users and are joined.
+    fixed_names = ("id", "author", "kind", *(f"day{k}" for k in range(_LEVELS)))
     used = sides.filter(F.col("route").isin(*fixed_names)).agg(F.collect_set("route").alias("used")).scalar()
 
-    salt = F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")
+    salt = F.pmod(F.xxhash64("id"), _salts_of(F.col("hot"), F.col("kind"))).cast("int")
     fixed = F.array(*[
         F.struct(F.lit(r).alias("route"), v.cast("string").alias("key"), s.alias("salt"))
         for r, v, s in (
             ("id", F.col("id"), F.lit(0)), ("author", F.col("pubkey"), F.lit(0)),
-            ("kind", F.col("kind"), salt), ("day", _day("created_at"), F.lit(0)),
+            ("kind", F.col("kind"), salt), *((f"day{k}", F.floor(_day("created_at") / (1 << k)), F.lit(0)) for k in range(_LEVELS)),
         )
     ])
     tagged = F.transform(F.filter("tags", lambda t: F.size(t) >= 2), lambda t: F.struct(
         F.concat(F.lit("#"), F.get(t, F.lit(0))).alias("route"), F.get(t, F.lit(1)).alias("key"), F.lit(0).alias("salt")))
     wanted = F.array_distinct(F.concat(F.filter(fixed, lambda k: F.array_contains(F.col("used"), k["route"])), tagged))
     keyed = (
-        events.select("id", "pubkey", "created_at", "kind", "tags", used.alias("used"))
+        events.select("id", "pubkey", "created_at", "kind", "tags", used.alias("used"), hot.alias("hot"))
         .withColumn("k", F.explode(wanted))
         .select("id", "pubkey", "created_at", "kind", "tags", "k.route", "k.key", "k.salt")
     )
 
-    def allowed(listing: str, value: str) -> Column:
-        return F.col(listing).isNull() | F.array_contains(listing, F.col(value))
-
-    rest = (
-        allowed("f_ids", "id") & allowed("f_authors", "pubkey") & allowed("f_kinds", "kind")
-        & (F.col("created_at") >= F.coalesce("f_since", F.col("created_at")))
-        & (F.col("created_at") <= F.coalesce("f_until", F.col("created_at")))
-        # An unknown overlap (a null list, or nulls in it) is no match.
-        & (F.col("f_tags").isNull() | F.forall(F.map_entries("f_tags"), lambda e: F.coalesce(F.arrays_overlap(
-            tag_values("tags", e["key"]), e["value"]), F.lit(False))))
-    )
-    pairs = keyed.join(sides, ["route", "key", "salt"]).filter(rest)
+    pairs = keyed.join(sides, ["route", "key", "salt"]).filter(row_matches(lambda part: F.col(f"f_{part}")))
     return pairs.select("sub_id", "id").distinct()

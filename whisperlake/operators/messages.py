@@ -83,7 +83,10 @@ def reply_target(tags: str | Column = "tags") -> Column:
 
 
 def resolve_replies(messages: DataFrame) -> DataFrame:
-    """Adds the parent's author and text where the parent is known."""
+    """Adds the parent's author and text where the parent is known. Messages without a parent each have a key of their own in the join, so they don't meet in one task."""
     parents = messages.select(
-        F.col("id").alias("reply_to"), F.col("author").alias("parent_author"), F.col("text").alias("parent_text"))
-    return messages.withColumn("reply_to", reply_target()).join(parents, "reply_to", "left")
+        F.col("id").alias("_parent"), F.col("author").alias("parent_author"), F.col("text").alias("parent_text"))
+    replies = messages.withColumn("reply_to", reply_target())
+    key = F.coalesce("reply_to", F.concat(F.lit("\0"), F.col("id")))
+    found = replies.withColumn("_key", key).join(parents, F.col("_key") == F.col("_parent"), "left").drop("_key", "_parent")
+    return found.select("reply_to", *[c for c in found.columns if c != "reply_to"])

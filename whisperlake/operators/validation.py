@@ -9,7 +9,7 @@ from whisperlake.functions.events import event_json, has_valid_id
 from whisperlake.functions.padding import payload_text_length
 from whisperlake.functions.text import is_lower_hex, trimmed
 from whisperlake.operators.attachments import attachment_from_event
-from whisperlake.operators.filters import EventFilter, any_matches
+from whisperlake.operators.filters import EventFilter, any_matches, row_matches
 from whisperlake.schemas import FAILED, KIND_CHAT, KIND_FILE, MAX_ATTACHMENT_BYTES, MAX_PLAINTEXT_BYTES
 
 
@@ -17,6 +17,16 @@ def valid_event_ids(events: DataFrame) -> DataFrame:
     return events.filter(has_valid_id())
 
 
+def _first_failing(known: Column, asked: Column) -> Column:
+    signed = is_lower_hex("sig", 64) & F.coalesce(F.col("sig_ok"), F.lit(False))
+    return (
+        F.when(~known, "unknown subscription")
+        .when(~F.coalesce(asked, F.lit(False)), "not asked for")
+        .when(~has_valid_id(), "bad id")
+        .when(~signed, "bad signature")
+    )
+
+
 def refusal_reason(subscriptions: dict[str, list[EventFilter]]) -> Column:
     """Why an event is not accepted (null = accepted), cheapest test first.
 
@@ -26,18 +36,24 @@ def refusal_reason(subscriptions: dict[str, list[EventFilter]]) -> Column:
     for sub_id, filters in subscriptions.items():
         asked = asked | ((F.col("sub_id") == sub_id) & any_matches(filters))
     known = F.coalesce(F.col("sub_id").isin(list(subscriptions)), F.lit(False))
-    signed = is_lower_hex("sig", 64) & F.coalesce(F.col("sig_ok"), F.lit(False))
-    return (
-        F.when(~known, "unknown subscription")
-        .when(~F.coalesce(asked, F.lit(False)), "not asked for")
-        .when(~has_valid_id(), "bad id")
-        .when(~signed, "bad signature")
-    )
+    return _first_failing(known, asked)
 
 
-def accept_events(events: DataFrame, subscriptions: dict[str, list[EventFilter]]) -> DataFrame:
-    """Adds ``reason``: null for events to keep, else the first failing test."""
-    return events.withColumn("reason", refusal_reason(subscriptions))
+def accept_events(events: DataFrame, subscriptions: dict[str, list[EventFilter]] | DataFrame) -> DataFrame:
+    """Adds ``reason``: null for events to keep, else the first failing test.
+
+    ``subscriptions`` are a few filters by sub_id, or a table of any size with one row for each filter (sub_id, ids, authors, kinds, tags, since, until; null:
+    no constraint). An event names its subscription, so it meets that one's filters only: they are gathered in one row, which the join
+    with the events, on sub_id, brings to each of them; a hot subscription's events can be split.
+    """
+    if isinstance(subscriptions, dict):
+        return events.withColumn("reason", refusal_reason(subscriptions))
+    parts = ["ids", "authors", "kinds", "tags", "since", "until"]
+    # A subscription has few filters: what one request can hold.
+    listed = subscriptions.filter("sub_id is not null").groupBy(F.col("sub_id").alias("_sub")).agg(F.collect_list(F.struct(*parts)).alias("_filters"))
+    met = events.join(listed, events["sub_id"] == listed["_sub"], "left")
+    asked = F.exists("_filters", lambda f: F.coalesce(row_matches(lambda part: f[part]), F.lit(False)))
+    return met.withColumn("reason", _first_failing(F.col("_sub").isNotNull(), asked)).drop("_sub", "_filters")
 
 
 def chat_payloads(rumors: DataFrame) -> DataFrame:

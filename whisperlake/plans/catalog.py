@@ -92,21 +92,21 @@ def _(spark, sf):
 
 @query("s4_snapshot_files")
 def _(spark, sf):
-    """Customers as the stored history of their nation: one file for each, with all five sections."""
-    c = v.table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey")
-    n, k = F.col("c_custkey"), F.col("c_nationkey")
+    """A thousand customers at a time as one stored history, with all five sections: as many files as the table calls for, none large."""
+    c = v.table(spark, sf, "customer").select("c_custkey", "c_name", F.floor(F.col("c_custkey") / 1000).alias("history"))
+    n, k = F.col("c_custkey"), F.col("history")
     contact = F.struct(F.col("c_name").alias("Name"), (n % 3 == 0).alias("IsBlocked"))
     message = F.struct(
         F.concat(F.lit("m"), n.cast("string")).alias("Id"), v.H(n).alias("PeerPubKey"), F.col("c_name").alias("Text"),
         (v.EPOCH + n).alias("CreatedAt"), F.lit("Received").alias("Status"))
-    per = c.groupBy("c_nationkey").agg(
+    per = c.groupBy("history").agg(
         F.map_from_entries(F.collect_list(F.struct(v.H(n), contact))).alias("Contacts"), F.collect_list(message).alias("Messages"),
         F.collect_list(F.when(n % 7 == 0, v.H(n + 1))).alias("ProcessedWrapIds"))
     settings = F.when(k % 2 == 0, F.struct(F.array(F.lit("wss://relay.example")).alias("Relays")))
-    files = per.select("c_nationkey", F.to_json(F.struct(
+    files = per.select("history", F.to_json(F.struct(
         "Contacts", "Messages", "ProcessedWrapIds", F.when(k % 3 == 0, k).alias("LastSyncAt"), settings.alias("Settings"))).alias("value"))
     path = work_dir(spark, "histories")
-    files.write.partitionBy("c_nationkey").text(path)
+    files.write.partitionBy("history").text(path)
     t = snapshot.read_snapshot(spark, path)
     row = lambda part, *values: t[part].select(
         F.lit(part).alias("part"), F.concat_ws("|", *values).alias("value"))
@@ -343,6 +343,18 @@ def _(spark, sf):
     return validation.accept_events(e, wanted).select("event_id", F.coalesce("reason", F.lit("accepted")).alias("reason"))
 
 
+@query("f4_accept_events_table")
+def _(spark, sf):
+    """Thirty subscriptions are named, 25 are in the table."""
+    n = F.col("event_id")
+    e = (
+        v.events(spark, sf).withColumn("sub_id", F.concat(F.lit("s"), (n % 30).cast("string")))
+        .withColumn("sig", F.when(n % 10 != 0, F.concat(v.H(n), v.H(n + 1)))).withColumn("sig_ok", n % 7 != 0)
+    )
+    subs = v.subs(v.table(spark, sf, "nation"), "n_nationkey")
+    return validation.accept_events(e, subs).select("event_id", F.coalesce("reason", F.lit("accepted")).alias("reason"))
+
+
 @query("f5_chat_payloads")
 def _(spark, sf):
     texts = v.turns(spark, sf).select(

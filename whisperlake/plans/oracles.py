@@ -277,8 +277,8 @@ ORACLES["s4_snapshot_files"] = f"""select part, value, count(*) as n from (
     select 'contacts' as part, {H('c_custkey')} || '|' || c_name || '|' || case when c_custkey % 3 = 0 then 'true' else 'false' end as value from customer
     union all select 'messages', 'm' || c_custkey || '|' || {H('c_custkey')} || '|' || c_name || '|' || ({EPOCH} + c_custkey) from customer
     union all select 'processed', {H('c_custkey + 1')} from customer where c_custkey % 7 = 0
-    union all select 'settings', case when k % 2 = 0 then 'wss://relay.example' else {_RELAYS} end || '|' || {_SERVERS} from (select distinct c_nationkey as k from customer)
-    union all select 'last_sync', cast(case when k % 3 = 0 then k else 0 end as varchar) from (select distinct c_nationkey as k from customer)) group by part, value"""
+    union all select 'settings', case when k % 2 = 0 then 'wss://relay.example' else {_RELAYS} end || '|' || {_SERVERS} from (select distinct c_custkey // 1000 as k from customer)
+    union all select 'last_sync', cast(case when k % 3 = 0 then k else 0 end as varchar) from (select distinct c_custkey // 1000 as k from customer)) group by part, value"""
 ORACLES["s6_read_blobs"] = """select item_id, cast(strlen(text) + 1 as bigint) as length, sha256(text || chr(10)) as sha256 from benchmark"""
 ORACLES["s5_snapshot_round_trip"] = sql("raw v_messages v_contacts", """
     select 'message' as part, id as key, created_at as at_time from v_messages
@@ -418,14 +418,18 @@ ORACLES["f9_failed_messages"] = """select 'm' || event_id as id, case when event
 ORACLES["f10_find"] = f"""select 'm7' as id from events where event_id = 7
     union all select {H('c_custkey')} from customer where c_custkey in (select o_custkey from orders)"""
 
-ORACLES["j1_match_subscriptions"] = sql(EVENTS, f"""select 's' || n_nationkey as sub_id, e.id from nation n, v_events e
-    where (n_nationkey % 4 = 0 or (n_nationkey % 20 <> 19 and e.kind = {_KINDS}[n_nationkey % 5 + 1]))
+_ASKED = f"""(n_nationkey % 4 = 0 or (n_nationkey % 20 <> 19 and e.kind = {_KINDS}[n_nationkey % 5 + 1]))
       and (n_nationkey % 3 = 0 or (e.kind <> 10050 and (e.user_id * 7 + e.event_id) % 150 in (n_nationkey, n_nationkey + 20)))
       and (n_nationkey % 5 = 0 or e.created_at >= {EPOCH} + (n_nationkey % 20) * {DAY})
       and (n_nationkey % 7 <> 3 or e.created_at <= {EPOCH} + (n_nationkey % 20 + 12) * {DAY})
       and (n_nationkey % 6 <> 5 or e.user_id in (n_nationkey, n_nationkey + 5))
-      and (n_nationkey % 9 <> 4 or cast(regexp_extract(e.content, '"k": *([0-9]+)', 1) as integer) <= 60)
+      and (n_nationkey % 9 <> 4 or cast(regexp_extract(e.content, '"k": *([0-9]+)', 1) as integer) <= 60)"""
+ORACLES["j1_match_subscriptions"] = sql(EVENTS, f"""select 's' || n_nationkey as sub_id, e.id from nation n, v_events e
+    where {_ASKED}
       and n_nationkey <> 0""")
+ORACLES["f4_accept_events_table"] = sql(EVENTS, f"""select event_id, case when n_nationkey is null then 'unknown subscription'
+    when not ({_ASKED}) then 'not asked for' when event_id % 10 = 0 or event_id % 7 = 0 then 'bad signature' else 'accepted' end as reason
+    from v_events e left join nation n on n_nationkey = event_id % 30""")
 ORACLES["j1_match_all"] = "select 's0' as sub_id"
 ORACLES["j2_authenticate_layers"] = sql(EVENTS + " v_layers", "select wrap_id, reason, case when reason = 'ok' then id end as rumor_id from v_layers")
 ORACLES["j3_conversations"] = sql(CHATS, "select pubkey, id as last_id, created_at as last_at, unread_count from chats")

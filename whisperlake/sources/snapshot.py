@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,17 +90,32 @@ def write_snapshot(spark: SparkSession, tables: dict[str, DataFrame], path: str)
     """Writes all tables as one new version; readers take it from the moment its manifest is there.
 
     A version has folders of its own, never written again. Its manifest, the last thing written, is a one-row table whose success marker
-    appears when it is complete; nothing is renamed or replaced, so this holds on object stores too. There is one writer at a time.
+    appears when it is complete; nothing is renamed or replaced. Writers may run side by side: each claims its version once its tables are
+    written, by making a file that must not exist; who comes second takes the next number. So no version is lost, and the newest claim is what readers get.
     """
-    version = max(_versions(spark, path), default=0) + 1
     name = uuid.uuid4().hex
     for table, df in tables.items():
         df.write.parquet(f"{path}/versions/{name}/{table}")
+    version = max(_versions(spark, path), default=0) + 1
+    while not _claimed(spark, f"{path}/claims/{version}"):
+        version += 1
     manifest = spark.createDataFrame([(version, name, sorted(tables))], "version long, folder string, tables array<string>")
     manifest.coalesce(1).write.mode("append").parquet(f"{path}/manifests")
     return version
 
 
+def _claimed(spark: SparkSession, file: str) -> bool:
+    """Makes an empty file, unless it exists: of several writers one succeeds."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(file)
+    try:
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, False).close()
+    except Py4JJavaError as e:
+        if e.java_exception.getClass().getSimpleName() != "FileAlreadyExistsException":
+            raise
+        return False
+    return True
+
+
 def _manifests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("version long, folder string, tables array<string>").parquet(f"{path}/manifests")
 
