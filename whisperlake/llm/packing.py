@@ -152,7 +152,9 @@ def pack(docs: DataFrame, file: str = "word_bpe_49k.json", end_id: int = 2, capa
     """
     share_package(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    pieces = written(texts.mapInArrow(tidy(_tokenise(file, end_id, capacity, slack)), _DDL), "pieces")
+    # The encoder and its pieces are some hundred megabytes in each worker, which later stages need; loading it again takes a task under a second.
+    tokenised = texts.mapInArrow(tidy(_tokenise(file, end_id, capacity, slack), encoder.cache_clear), _DDL)
+    pieces = written(tokenised, "pieces")
     done = pieces.filter("sequence_id is not null")
     group = F.floor(F.col("worker") / _TOGETHER).cast("long").alias("fill_group")
     rest = pieces.filter("sequence_id is null").groupBy(group).applyInArrow(_fill_on(capacity), _DDL)
