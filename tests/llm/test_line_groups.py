@@ -1,28 +1,102 @@
-"""The pairs of one large group of near copies are dealt over several tasks."""
+"""Large groups of similar lines are compared in place and in parts, and give the links of the full comparison."""
 
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from whisperlake.llm import line_dedup
 from whisperlake.llm.store import written
 
 
-def test_pairs_of_one_word_are_split_by_a(spark):
-    pairs = written(spark.range(1000).select((F.col("id") % 100).alias("a"), (F.col("id") + 1000).alias("b"), F.lit(5).cast("long").alias("word")), "p")
-    got = line_dedup.in_buckets(pairs, 8, 100)
-    sizes = [r["count"] for r in got.groupBy("bucket").count().collect()]
-    assert len(sizes) > 4 and max(sizes) <= 300 and sum(sizes) == 1000
-    assert got.groupBy("a").agg(F.countDistinct("bucket").alias("n")).filter("n > 1").count() == 0
-    assert got.select("a", "b").exceptAll(pairs.select("a", "b")).count() == 0
-    assert line_dedup.in_buckets(pairs, 8, 1000).select("bucket").distinct().count() == 1
+def near_lines(seed: int, groups: int, size: int) -> list[str]:
+    """Groups of lines that differ in a few words, chains of lines that drift, and lines on their own."""
+    rng = random.Random(seed)
+    out = []
+    for g in range(groups):
+        base = [f"g{g}w{k}" if k % 3 else f"c{k}" for k in range(rng.randint(5, 30))]
+        for _ in range(size):
+            line = list(base)
+            for _ in range(rng.randint(0, 3)):
+                line[rng.randrange(len(line))] = f"x{rng.randint(0, 40)}"
+            out.append(" ".join(line))
+    chain = [f"d{k}" for k in range(20)]
+    for k in range(size):
+        chain = [*chain[1:], f"e{k}"]
+        out.append(" ".join(chain))
+    out += [" ".join(f"c{rng.randint(0, 60)}" for _ in range(rng.randint(1, 12))) for _ in range(size)]
+    rng.shuffle(out)
+    return out
 
 
-def test_split_buckets_give_the_same_links(spark, monkeypatch):
-    rng = random.Random(4)
-    base = [f"w{k}" for k in range(30)]
-    lines = [" ".join(base[:k] + [f"x{k}"] + base[k + 1:]) for k in rng.sample(range(30), 12)]
-    docs = written(spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string"), "near")
-    monkeypatch.setattr(line_dedup.in_buckets, "__defaults__", (7,))
+def brute(lines: list[str]) -> list[tuple[int, int, int, bool]]:
+    sets = [frozenset(x.lower().split()) for x in lines]
+    different = {s: sum(1 for t in set(sets) if t != s and 5 * len(s & t) >= 4 * len(s | t)) for s in set(sets)}
+    out = []
+    for i, s in enumerate(sets):
+        first = next(k for k, t in enumerate(sets) if 5 * len(s & t) >= 4 * len(s | t))
+        out.append((i, min(first, sets.index(s)), different[s], first < i))
+    return out
+
+
+@pytest.mark.parametrize("clump, word_sets", [(2048, 1 << 16), (10, 1 << 16), (7, 5)])
+def test_groups_give_the_links_of_all_pairs(spark, monkeypatch, clump, word_sets):
+    lines = near_lines(7, 4, 40)
+    docs = written(spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string").repartition(5), "near")
+    monkeypatch.setattr(line_dedup, "_CLUMP", clump)
+    monkeypatch.setattr(line_dedup, "_CLUMP_WORDS", 40 * clump)
+    monkeypatch.setattr(line_dedup.clumps, "__defaults__", (word_sets,))
     got = line_dedup.similar_lines(docs).collect()
-    assert sorted((r.doc_id, r.class_doc_id, r.n_links, r.removed) for r in got) == [(i, 0, 11, i > 0) for i in range(12)]
+    assert sorted((r.doc_id, r.class_doc_id, r.n_links, r.removed) for r in got) == brute(lines)
+
+
+def test_forest_connects_what_all_pairs_connect():
+    rng = np.random.default_rng(3)
+    m = 1500
+    n = rng.integers(5, 60, m)
+    of = line_dedup.Filters(rng.integers(0, 4, m).astype(np.uint64) << rng.integers(0, 9, m).astype(np.uint64), n, n)
+    starts, size = np.array([0, 1, 41, 341]), np.array([1, 40, 300, 1159])
+    a, b = line_dedup.forest(of, starts, size)
+    assert len(a) < m and len(set(a.tolist())) == len(a)
+    want = np.arange(m)
+    for s, k in zip(starts, size):
+        i, j = np.triu_indices(k, 1)
+        good = of.fit(s + i, s + j)
+        i, j = s + i[good], s + j[good]
+        while (want[i] != want[j]).any():
+            least = np.minimum(want[i], want[j])
+            np.minimum.at(want, i, least)
+            np.minimum.at(want, j, least)
+    got = np.arange(m)
+    got[a] = b
+    assert (got == want).all()
+
+
+@pytest.mark.parametrize("small, columns", [(64, 1024), (1, 3), (5, 2)])
+def test_shared_words_of_a_square(monkeypatch, small, columns):
+    monkeypatch.setattr(line_dedup, "_SMALL", small)
+    monkeypatch.setattr(line_dedup, "_COLUMNS", columns)
+    rng = random.Random(5)
+    sets = [set(rng.sample(range(30), rng.randint(1, 20))) for _ in range(90)]
+    owner = np.repeat(np.arange(90), [len(s) for s in sets])
+    word = np.array([w for s in sets for w in s], np.uint64)
+    got = line_dedup.shared_words(owner, word, 90)
+    assert all(got[i, j] == len(sets[i] & sets[j]) for i in range(90) for j in range(90) if i != j)
+
+
+def test_a_large_group_keeps_all_links(spark):
+    """Every line of a group of 600 near copies has 599 links."""
+    base = [f"w{k}" for k in range(30)]
+    lines = [" ".join([*base[:k], f"x{k}-{v}", *base[k + 1:]]) for k in range(30) for v in range(20)]
+    docs = written(spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string"), "copies")
+    got = line_dedup.similar_lines(docs)
+    assert got.agg(F.min("n_links"), F.max("n_links"), F.sum(F.col("removed").cast("int"))).first() == (599, 599, 599)
+
+
+def test_equal_rows_are_one_text(spark):
+    base = [f"w{k}" for k in range(12)]
+    rows = [(1, " ".join(base)), (1, " ".join(base)), (2, " ".join([*base, "more"])), (2, " ".join([*base, "more"])), (None, " ".join([*base, "else"]))] * 3
+    docs = written(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "equal")
+    got = {(r.doc_id, r.class_doc_id, r.n_links, r.removed) for r in line_dedup.similar_lines(docs).collect()}
+    assert got == {(None, None, 2, False), (1, None, 2, True), (2, None, 2, True)}

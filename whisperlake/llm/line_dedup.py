@@ -8,7 +8,10 @@ text, line number), stands for all: ids may be null or repeated, so a text is na
 * the sizes of similar sets differ by a quarter at most (length filter);
 * what can still follow the shared word in both sets must reach the overlap needed (positional filter);
 * a word of only one of the sets flips one of 64 parity bits, so similar sets differ in few of these bits (bitmap filter);
-* the pairs that are left are verified on the words themselves.
+* pairs that pass are not written out. The sets of one word are compared in place, and a spanning forest of those that pass is kept. The
+  components of all forests are clumps, outside of which no set has a similar one;
+* each set is sent once to its clump, where all pairs are verified on the words themselves, and leaves as the number of its links
+  and the first line that it is linked to. Clumps and words with very many sets are dealt in parts, each two of which meet in a task.
 
 A line goes if an earlier line has an equal or similar set. Rarity comes from a summary of the frequent words of all documents:
 each task reports the words that it has seen ``_OFTEN`` times or more, and the ``MOST_WORDS`` with the largest sums are kept. All other
@@ -17,6 +20,7 @@ words are rarer than those. The summary only orders the words; any order gives t
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -26,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from whisperlake.llm.arrays import hashes, mixed, ragged, slices, texts_of, words
+from whisperlake.llm.components import components
 from whisperlake.llm.store import sent_if_small, share_package, tidy, unused, written
 
 # Similarity as a fraction, so that all bounds are whole numbers.
@@ -34,10 +39,15 @@ MOST_WORDS = 1 << 17
 _OFTEN = 4
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 _SLICE = 4 << 20
-# Buckets of pairs for each shuffle partition of the session, and words of a bucket that are compared at a time.
-_BUCKETS = 4
-# Pairs of a bucket from which on it is dealt over several tasks.
-_BUCKET_PAIRS = 1 << 18
+# Sets of a run up to which its pairs are listed, and up to which they are compared as one square.
+_SMALL, _SQUARE = 64, 512
+# Sets of a word, and sets and words of a clump, from which on these are dealt in parts.
+_WORD_SETS = 1 << 16
+_CLUMP, _CLUMP_WORDS = 2048, 1 << 21
+# Hash classes in which words are counted first, and columns of a matrix of words.
+_CLASSES = 1 << 18
+_COLUMNS = 1024
+# Words that are compared at a time.
 _VERIFIED = 1 << 20
 
 
@@ -111,6 +121,7 @@ def line_sets(lines: pa.Array, frequent: Frequent) -> tuple[np.ndarray, np.ndarr
 
 _LINE = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("line_no", pa.int32()), ("n", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()),
                    ("parity", pa.int64()), ("prefix", pa.list_(pa.int32()))])
+_TOKEN_DDL = "root long, parts int, doc_id long, text_key long, line_no int, k1 long, k2 long, words array<long>"
 _LINE_DDL = "doc_id long, text_key long, line_no int, n int, k1 long, k2 long, parity long, prefix array<int>"
 
 
@@ -151,79 +162,265 @@ def _line_rows(frequent: Frequent):
 
 
 def _asked_lines(frequent: Frequent):
-    """Words of the lines that are asked for: rows (text, lines with the buckets that want them) to (bucket, k1, words)."""
+    """Words of the lines that are asked for: rows (doc_id, text_key, text, lines) to one row for each line."""
     def run(batches):
         for batch in batches:
-            for at, part in slices(texts_of(batch.column(0)), _SLICE):
+            # Equal rows are one text.
+            doc = batch.column(0)
+            key = [batch.column(1).to_numpy(), pc.fill_null(doc, 0).to_numpy(), pc.is_valid(doc).to_numpy(zero_copy_only=False)]
+            order = np.lexsort(key)
+            once = order[_runs([k[order] for k in key])[0]]
+            batch = batch.take(pa.array(np.sort(once))) if len(once) < len(order) else batch
+            for at, part in slices(texts_of(batch.column(2)), _SLICE):
                 lines, first = _split(part)
-                asked = batch.column(1).slice(at, len(part))
+                asked = batch.column(3).slice(at, len(part))
                 number = np.asarray(asked.value_lengths()).astype(np.int64)
                 rows = asked.flatten()
-                which = np.repeat(first[:-1], number) + np.asarray(rows.field("line_no")).astype(np.int64)
+                owner = np.repeat(np.arange(len(part)), number)
+                which = first[owner] + np.asarray(rows.field("line_no")).astype(np.int64)
                 value, starts = line_sets(lines.take(pa.array(which)), frequent)
-                k1, _ = set_keys(value, starts)
-                buckets = rows.field("buckets")
-                times = np.asarray(buckets.value_lengths()).astype(np.int64)
-                copy = np.repeat(np.arange(len(which)), times)
-                length = np.diff(starts)[copy]
-                ends = np.concatenate(([0], np.cumsum(length))).astype(np.int32)
-                found = value[ragged(starts[:-1][copy], length)].view(np.int64)
+                k1, k2 = set_keys(value, starts)
                 yield pa.RecordBatch.from_arrays(
-                    [buckets.flatten(), pa.array(k1[copy]), pa.ListArray.from_arrays(pa.array(ends), pa.array(found))],
-                    names=["bucket", "k1", "words"])
+                    [rows.field("root"), rows.field("parts"), *(batch.column(c).slice(at, len(part)).take(pa.array(owner)) for c in (0, 1)),
+                     rows.field("line_no"), pa.array(k1), pa.array(k2),
+                     pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(value.view(np.int64)))],
+                    names=["root", "parts", "doc_id", "text_key", "line_no", "k1", "k2", "words"])
 
     return run
 
 
-def _verify(sets: pa.Table, pairs: pa.Table) -> pa.Table:
-    """The pairs of one bucket that are similar."""
-    names, place = np.unique(sets.column("k1").to_numpy(), return_index=True)
-    lists = sets.column("words").combine_chunks()
-    starts, length = lists.offsets.to_numpy().astype(np.int64), np.asarray(lists.value_lengths()).astype(np.int64)
-    word = lists.values.to_numpy()
-    a, b = pairs.column("a").to_numpy(), pairs.column("b").to_numpy()
-    ia, ib = place[np.searchsorted(names, a)], place[np.searchsorted(names, b)]
-    keep = np.zeros(len(a), bool)
-    at, size = 0, np.cumsum(length[ia] + length[ib])
+def _whole_runs(batches, keys: int):
+    """Tables of whole runs of rows that are equal in the first ``keys`` columns; the rows are sorted by them."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = np.zeros(batch.num_rows, bool)
+        for c in range(keys):
+            column = batch.column(c).to_numpy()
+            new[1:] |= column[1:] != column[:-1]
+            new[0] |= not held or column[0] != held[-1].column(c)[-1].as_py()
+        last = np.flatnonzero(new)[-1:]
+        if len(last):
+            if held or last[0]:
+                yield pa.Table.from_batches([*held, batch.slice(0, last[0])]).combine_chunks()
+            held = []
+        held.append(batch.slice(last[0] if len(last) else 0))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _runs(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal rows begin, and their lengths."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    starts = np.flatnonzero(new)
+    return starts, np.diff(np.append(starts, len(new)))
+
+
+class Filters(NamedTuple):
+    """What the filters look at: parity bits, words of a set, words from the shared one on."""
+
+    parity: np.ndarray
+    n: np.ndarray
+    left: np.ndarray
+
+    def fit(self, a, b) -> np.ndarray:
+        """Whether the sets at ``a`` and ``b`` can be similar."""
+        total = self.n[a] + self.n[b]
+        # The symmetric difference of similar sets is at most total * (1 - s) / (1 + s), their overlap at least total * s / (1 + s).
+        bits = np.bitwise_count(self.parity[a] ^ self.parity[b]).astype(np.int64)
+        return (bits * (NUMERATOR + DENOMINATOR) <= total * (DENOMINATOR - NUMERATOR)) & (
+            np.minimum(self.n[a], self.n[b]) * DENOMINATOR >= np.maximum(self.n[a], self.n[b]) * NUMERATOR) & (
+            np.minimum(self.left[a], self.left[b]) * (NUMERATOR + DENOMINATOR) >= total * NUMERATOR)
+
+
+def small_pairs(starts: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of one run, for runs of up to ``_SMALL`` rows: one distance after the other."""
+    few = (size > 1) & (size <= _SMALL)
+    starts, size = starts[few], size[few]
+    for lag in range(1, int(size.max()) if len(size) else 0):
+        long = size > lag
+        starts, size = starts[long], size[long]
+        a = ragged(starts, size - lag)
+        yield a, a + lag
+
+
+def forest(of: Filters, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row, first row) that connect what the pairs passing the filters within the runs connect."""
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for a, b in small_pairs(starts, size):
+        good = of.fit(a, b)
+        left.append(a[good]), right.append(b[good])
+    for s, m in zip(starts[size > _SMALL], size[size > _SMALL]):
+        if m <= _SQUARE:
+            a, b = np.triu_indices(m, 1)
+            good = of.fit(s + a, s + b)
+            left.append(s + a[good]), right.append(s + b[good])
+            continue
+        rest, queue = np.arange(s, s + m), []
+        while len(rest):  # rows that were reached are compared with those that were not
+            if not queue:
+                queue, rest = [rest[0]], rest[1:]
+            row = queue.pop()
+            good = of.fit(row, rest)
+            left.append(np.full(int(good.sum()), row)), right.append(rest[good])
+            queue.extend(rest[good])
+            rest = rest[~good]
+    a, b = np.concatenate(left), np.concatenate(right)
+    root = np.arange(len(of.n))
+    while True:
+        least = np.minimum(root[a], root[b])
+        if (root[a] == root[b]).all():
+            break
+        np.minimum.at(root, root[a], least)
+        np.minimum.at(root, root[b], least)
+        root = root[root]
+    moved = np.unique(np.concatenate((a, b)))
+    moved = moved[root[moved] != moved]
+    return moved, root[moved]
+
+
+def _forests(batches):
+    """Rows (key, k1, parity, size) sorted by key to links of a spanning forest of each key."""
+    for t in _whole_runs(batches, 1):
+        key, k1, parity, size = (t.column(c).to_numpy() for c in range(4))
+        starts, number = _runs([key])
+        met = np.repeat(number > 1, number)
+        k1, size = k1[met], size[met]
+        starts, number = _runs([key[met]]) if len(k1) else (np.empty(0, np.int64),) * 2
+        a, b = forest(Filters(parity[met].view(np.uint64), size >> 32, size & 0xFFFFFFFF), starts, number)
+        yield pa.RecordBatch.from_arrays([pa.array(k1[a]), pa.array(k1[b])], names=["a", "b"])
+
+
+def clumps(sets: DataFrame, limit: int = _WORD_SETS) -> DataFrame:
+    """Rows (node, root): names k1 of ``sets`` (k1, n, parity, prefix) and the clump that they are in. Sets without a row have no similar set.
+
+    Sets that share k1 alone are in one clump. A word that more than ``limit`` sets index is dealt in parts.
+    """
+    # How many words the set has above, how many from this one on below.
+    rows = sets.select("k1", "parity", "n", F.posexplode("prefix").alias("at", "word")).select(
+        F.col("word").cast("long").alias("key"), "k1", "parity",
+        F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR((F.col("n") - F.col("at")).cast("long")).alias("size"))
+    # Only words whose hash class is large are counted one by one.
+    group = F.pmod(F.xxhash64("key"), F.lit(_CLASSES)).cast("int")
+    large = written(rows.groupBy(group.alias("class")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).select("class"), "large-classes")
+    if not large.isEmpty():
+        hot = rows.withColumn("class", group).join(sent_if_small(large, 16), "class", "left_semi").groupBy("key").agg(
+            F.count(F.lit(1)).alias("m")).filter(F.col("m") > limit)
+        hot = written(hot.select("key", F.ceil(F.col("m") / limit).cast("int").alias("parts")), "hot-words")
+        marked = rows.join(sent_if_small(hot, 24), "key", "left")
+        part = F.pmod(F.xxhash64("k1"), "parts").cast("int")
+        other = F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+        dealt = marked.select("*", part.alias("part"), F.explode(other).alias("other"))
+        rows = dealt.select(F.when(F.col("parts").isNull(), F.col("key")).otherwise(
+            F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))).alias("key"), "k1", "parity", "size")
+    links = rows.repartition("key").sortWithinPartitions("key", "k1").mapInArrow(tidy(_forests), "a long, b long")
+    # A set whose name k1 is another's as well is linked to itself.
+    links = written(links.distinct(), "clump-links")
+    roots = components(links)
+    alone = links.filter("a = b").select("a", "b").toDF("node", "root").join(roots, "node", "left_anti")
+    return written(roots.union(roots.select("root", "root").distinct()).union(alone).distinct(), "clumps")
+
+
+def _same_words(a: np.ndarray, b: np.ndarray, starts: np.ndarray, length: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """How many words the sets ``a`` and ``b`` share."""
+    shared = np.zeros(len(a), np.int64)
+    at, size = 0, np.cumsum(length[a] + length[b])
     while at < len(a):  # some pairs at a time
         stop = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + _VERIFIED, side="right")))
-        one, two = ia[at:stop], ib[at:stop]
+        one, two = a[at:stop], b[at:stop]
         pair = np.concatenate((np.repeat(np.arange(stop - at), length[one]), np.repeat(np.arange(stop - at), length[two])))
         words_of = word[np.concatenate((ragged(starts[one], length[one]), ragged(starts[two], length[two])))]
         # A word that both sets have stands twice.
         order = np.lexsort((words_of, pair))
         twice = (np.diff(words_of[order]) == 0) & (np.diff(pair[order]) == 0)
-        shared = np.bincount(pair[order][1:][twice], minlength=stop - at)
-        keep[at:stop] = shared * (NUMERATOR + DENOMINATOR) >= (length[one] + length[two]) * NUMERATOR
+        shared[at:stop] = np.bincount(pair[order][1:][twice], minlength=stop - at)
         at = stop
-    return pa.table({"a": a[keep], "b": b[keep]})
-
-
-def candidates(sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of set names that pass all filters, from ``sets`` (k1, n, parity, prefix), each once with the rarest
-    ``word`` that both index."""
-    # Three numbers a row besides the word: the name, the parity, and how many words the set has with those left from this one on.
-    rows = sets.select("k1", "n", "parity", F.posexplode("prefix").alias("at", "word")).select(
-        "k1", "parity", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR((F.col("n") - F.col("at")).cast("long")).alias("size"), "word")
-
-    def side(name: str) -> DataFrame:
-        return rows.toDF(name, f"p{name}", f"s{name}", "word")
-
-    a, b = side("a"), side("b")
-    na, nb = F.shiftright("sa", 32), F.shiftright("sb", 32)
-    least, most = F.least(na, nb), F.greatest(na, nb)
-    # Overlap of similar sets: at least (na + nb) * s / (1 + s).
-    low = F.lit((1 << 32) - 1)
-    # Near copies share their rarest words, so these gather a group's pairs in few places. Position above, word below.
-    behind = na + nb - F.col("sa").bitwiseAND(low) - F.col("sb").bitwiseAND(low)
-    rarest = F.shiftleft(behind, 32).bitwiseOR(F.col("word").cast("long").bitwiseAND(low))
-    reach = F.least(F.col("sa").bitwiseAND(low), F.col("sb").bitwiseAND(low))  # with the shared word itself
-    fits = (F.col("a") < F.col("b")) & (least * DENOMINATOR >= most * NUMERATOR) & (
-        reach * (NUMERATOR + DENOMINATOR) >= (na + nb) * NUMERATOR) & (
-        # The symmetric difference of similar sets: at most (na + nb) * (1 - s) / (1 + s).
-        F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) * (NUMERATOR + DENOMINATOR) <= (na + nb) * (DENOMINATOR - NUMERATOR))
-    return a.join(b, "word").filter(fits).groupBy("a", "b").agg(F.min(rarest).alias("rarest")).select(
-        "a", "b", F.col("rarest").bitwiseAND(low).alias("word"))
+    return shared
+
+
+def shared_words(owner: np.ndarray, word: np.ndarray, m: int) -> np.ndarray:
+    """Words that each two of ``m`` sets share, as a square, from the rows (set, word) of all sets."""
+    order = np.argsort(word, kind="stable")
+    owner, word = owner[order], word[order]
+    out = np.zeros((m, m), np.float32)
+    if not len(word):
+        return out
+    starts, size = _runs([word])
+    for a, b in small_pairs(starts, size):
+        np.add.at(out, (owner[a], owner[b]), 1)
+    out += out.T
+    often = np.flatnonzero(size > _SMALL)
+    for at in range(0, len(often), _COLUMNS):
+        some = often[at:at + _COLUMNS]
+        has = np.zeros((m, len(some)), np.float32)
+        has[owner[ragged(starts[some], size[some])], np.repeat(np.arange(len(some)), size[some])] = 1
+        out += has @ has.T
+    return out
+
+
+def _compare(batches):
+    """Rows (root, low, high, part, doc_id, text_key, line_no, k1, k2, words) sorted by clump, parts and name to (k1, k2, links, first linked line)."""
+    for t in _whole_runs(batches, 3):
+        # Equal rows of the table give a line more than once.
+        once, _ = _runs([t.column(c).to_numpy() for c in ("root", "low", "high", "k1", "k2")])
+        t = t.take(pa.array(once)).combine_chunks() if len(once) < t.num_rows else t
+        root, low, high, part = (t.column(c).to_numpy() for c in range(4))
+        lists = t.column("words").combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        length = np.asarray(lists.value_lengths()).astype(np.int64)
+        word = lists.flatten().to_numpy().view(np.uint64)
+        begin = np.cumsum(length) - length
+        parity = np.bitwise_xor.reduceat(np.uint64(1) << (word >> np.uint64(58)), begin)
+        of = Filters(parity, length, length)
+        doc = t.column("doc_id")
+        key = (t.column("line_no").to_numpy(), t.column("text_key").to_numpy(), pc.fill_null(doc, 0).to_numpy(), pc.is_valid(doc).to_numpy(zero_copy_only=False))
+        order = np.lexsort(key)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        links, least = np.zeros(len(root), np.int64), np.full(len(root), len(root), np.int64)
+        starts, size = _runs([root, low, high])
+        for a, b in small_pairs(starts, size):
+            met = of.fit(a, b) & ((low[a] == high[a]) | (part[a] != part[b]))
+            a, b = a[met], b[met]
+            good = _same_words(a, b, begin, length, word) * (NUMERATOR + DENOMINATOR) >= (length[a] + length[b]) * NUMERATOR
+            a, b = a[good], b[good]
+            for x, y in ((a, b), (b, a)):
+                np.add.at(links, x, 1)
+                np.minimum.at(least, x, rank[y])
+        for s, m in zip(starts[size > _SMALL], size[size > _SMALL]):
+            n, own = length[s:s + m], part[s:s + m]
+            words_of = word[begin[s]:begin[s] + n.sum()]
+            shared = shared_words(np.repeat(np.arange(m), n), words_of, m)
+            good = shared * (NUMERATOR + DENOMINATOR) >= (n[:, None] + n) * NUMERATOR
+            if low[s] == high[s]:
+                np.fill_diagonal(good, False)
+            else:
+                good &= own[:, None] != own
+            links[s:s + m] = good.sum(1)
+            least[s:s + m] = np.where(good, rank[s:s + m], len(root)).min(1)
+        some = np.flatnonzero(links)
+        linked = pa.array(order[least[some]])
+        yield pa.RecordBatch.from_arrays(
+            [*(t.column(c).combine_chunks().take(pa.array(some)) for c in ("k1", "k2")), pa.array(links[some]),
+             *(_flat(t.column(c).take(linked)) for c in ("doc_id", "text_key", "line_no"))],
+            names=["k1", "k2", "n_links", "doc_id", "text_key", "line_no"])
+
+
+def _flat(column: pa.ChunkedArray | pa.Array) -> pa.Array:
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+
+
+def verified(token: DataFrame) -> DataFrame:
+    """Rows (k1, k2, n_links, linked) for sets with similar ones, from ``token``: one row of a set of its clump, as ``_asked_lines`` gives them."""
+    part = F.pmod(F.xxhash64("k1", "k2"), F.col("parts")).cast("int")
+    dealt = token.select("*", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select(
+        "root", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part",
+        "doc_id", "text_key", "line_no", "k1", "k2", "words")
+    runs = dealt.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "k1", "k2")
+    found = runs.mapInArrow(tidy(_compare), "k1 long, k2 long, n_links long, doc_id long, text_key long, line_no int")
+    return found.groupBy("k1", "k2").agg(F.sum("n_links").alias("n_links"), F.min(_key()).alias("linked"))
 
 
 def _text_key(text: Column) -> Column:
@@ -235,21 +432,6 @@ def _key() -> Column:
     return F.struct("doc_id", "text_key", "line_no")
 
 
-def in_buckets(pairs: DataFrame, buckets: int, limit: int = _BUCKET_PAIRS) -> DataFrame:
-    """``pairs`` (a, b, word; stored) as (a, b, bucket): one bucket for a word, or, beyond about ``limit`` pairs, several by ``a``.
-
-    A group of near copies has its pairs in one word's bucket, which grows with the square of the group; a part of one grows with it.
-    """
-    bucket = F.pmod(F.xxhash64("word"), F.lit(buckets)).cast("int")
-    # At most ``buckets`` rows.
-    sizes = {r.bucket: r.n for r in pairs.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).collect()}
-    if sizes:
-        parts = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, -(-n // limit))))
-        part = F.pmod(F.xxhash64("a"), F.coalesce(parts[bucket], F.lit(1))).cast("int")
-        bucket = bucket + part * F.lit(buckets)
-    return pairs.select("a", "b", bucket.alias("bucket"))
-
-
 def similar_lines(docs: DataFrame) -> DataFrame:
     """One row for each line with a word of ``docs`` (doc_id, text; nothing else is read): doc_id, ``line_no`` (from 0),
     ``class_doc_id`` and ``class_line_no`` (the first line with an equal or similar set), ``n_links`` (different sets similar to its own) and
@@ -271,23 +453,19 @@ def _decided(docs: DataFrame) -> DataFrame:
     sets = written(lines.groupBy("k1", "k2").agg(
         F.min(_key()).alias("first"), F.first("n").alias("n"), F.first("parity").alias("parity"),
         F.first("prefix").alias("prefix")), "sets")
-    firsts = sets.select("k1", "k2", "first")
-    # Pairs are verified in buckets by a word that both sets share, so near copies meet in few of them.
-    buckets = _BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = in_buckets(written(candidates(sets.filter(f"n >= {NUMERATOR}")), "candidates"), buckets)
-    both = pairs.select(F.col("a").alias("k1"), "bucket").union(pairs.select("b", "bucket")).groupBy("k1").agg(
-        F.collect_set("bucket").alias("buckets"))
-    asked = written(firsts.join(both, "k1").groupBy("first.doc_id", "first.text_key").agg(
-        F.collect_set(F.struct(F.col("first.line_no").alias("line_no"), "buckets")).alias("lines")), "asked-lines")
+    nodes = clumps(sets.filter(f"n >= {NUMERATOR}").select("k1", "n", "parity", "prefix"))
+    members = sets.filter(f"n >= {NUMERATOR}").select("k1", "n", "first").join(nodes.toDF("k1", "root"), "k1")
+    sizes = written(members.groupBy("root").agg(
+        F.ceil(F.greatest(F.count(F.lit(1)) / _CLUMP, F.sum("n") / _CLUMP_WORDS)).cast("int").alias("parts")).filter("parts > 1"), "large-clumps")
+    members = members.join(sent_if_small(sizes, 24), "root", "left")
+    asked = written(members.groupBy("first.doc_id", "first.text_key").agg(F.collect_list(F.struct(
+        F.col("first.line_no").alias("line_no"), "root", F.coalesce("parts", F.lit(1)).alias("parts"))).alias("lines")), "asked-lines")
     few = sent_if_small(asked, 32 + 24 * F.size("lines"))
-    found = texts.join(few, texts.doc_id.eqNullSafe(few.doc_id) & (texts.text_key == few.text_key)).select("text", "lines")
-    token = found.mapInArrow(tidy(_asked_lines(frequent)), "bucket int, k1 long, words array<long>")
-    similar = token.groupBy("bucket").cogroup(pairs.groupBy("bucket")).applyInArrow(_verify, "a long, b long")
-    similar = written(similar, "similar-lines")
-    ends = similar.union(similar.select("b", "a")).toDF("k1", "other")
-    links = ends.join(firsts.select(F.col("k1").alias("other"), "first"), "other").groupBy("k1").agg(
-        F.count(F.lit(1)).alias("n_links"), F.min("first").alias("linked"))
-    classes = firsts.join(links, "k1", "left")
+    same = texts.doc_id.eqNullSafe(few.doc_id) & (texts.text_key == few.text_key)
+    found = texts.join(few, same).select(texts.doc_id, texts.text_key, "text", "lines")
+    token = found.mapInArrow(tidy(_asked_lines(frequent)), _TOKEN_DDL)
+    links = written(verified(token), "line-links")
+    classes = sets.select("k1", "k2", "first").join(links, ["k1", "k2"], "left")
     out = lines.select("doc_id", "text_key", "line_no", "k1", "k2").join(classes, ["k1", "k2"])
     top = F.when(F.col("linked") < F.col("first"), F.col("linked")).otherwise(F.col("first"))
     return out.select(
