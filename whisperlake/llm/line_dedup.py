@@ -316,11 +316,17 @@ def clumps(sets: DataFrame, limit: int = _WORD_SETS) -> DataFrame:
         rows = dealt.select(F.when(F.col("parts").isNull(), F.col("key")).otherwise(
             F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))).alias("key"), "k1", "parity", "size")
     links = rows.repartition("key").sortWithinPartitions("key", "k1").mapInArrow(tidy(_forests), "a long, b long")
-    # A set whose name k1 is another's as well is linked to itself.
-    links = written(links.distinct(), "clump-links")
-    roots = components(links)
-    alone = links.filter("a = b").select("a", "b").toDF("node", "root").join(roots, "node", "left_anti")
-    return written(roots.union(roots.select("root", "root").distinct()).union(alone).distinct(), "clumps")
+    # Each node with the first rows of its trees: at most one for each word of its prefix and part.
+    trees = written(links.groupBy("a").agg(F.collect_set("b").alias("firsts")).select(
+        F.col("a").alias("node"), F.array_min("firsts").alias("least"), "firsts"), "trees")
+    # Most nodes know one first row only. Components are those of the first rows, which are far fewer.
+    firsts = trees.select(F.explode("firsts").alias("node")).distinct()
+    between = trees.filter(F.size("firsts") > 1).select(F.explode("firsts").alias("a"), F.col("least").alias("b")).union(
+        trees.join(firsts, "node", "left_semi").select("node", "least"))
+    roots = written(components(between).toDF("least", "root"), "tree-roots")
+    of_node = trees.select("node", "least").union(firsts.select("node", "node"))
+    named = of_node.join(sent_if_small(roots, 16), "least", "left").select("node", F.coalesce("root", "least").alias("root"))
+    return written(named.groupBy("node").agg(F.min("root").alias("root")), "clumps")
 
 
 def _same_words(a: np.ndarray, b: np.ndarray, starts: np.ndarray, length: np.ndarray, word: np.ndarray) -> np.ndarray:
