@@ -114,7 +114,9 @@ def line_sets(lines: pa.Array, frequent: Frequent) -> tuple[np.ndarray, np.ndarr
     order = np.lexsort((value, frequent.of(value)))
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    keys = np.unique(w.owner * np.int64(len(order)) + rank[w.codes])
+    # Several times faster than np.unique.
+    keys = np.sort(w.owner * np.int64(len(order)) + rank[w.codes])
+    keys = keys[np.diff(keys, prepend=-1) != 0]
     starts = np.concatenate(([0], np.cumsum(np.bincount(keys // len(order), minlength=len(lines)))))
     return value[order[keys % len(order)]], starts
 
