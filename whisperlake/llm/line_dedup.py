@@ -9,8 +9,8 @@ text, line number), stands for all: ids may be null or repeated, so a text is na
 * what can still follow the shared word in both sets must reach the overlap needed (positional filter);
 * a word of only one of the sets flips one of 64 parity bits, so similar sets differ in few of these bits (bitmap filter);
 * pairs that pass are not written out. The sets of one word are compared in place, and a spanning forest of those that pass is kept. The
-  components of all forests are clumps, outside of which no set has a similar one;
-* each set is sent once to its clump, where all pairs are verified on the words themselves, and leaves as the number of its links
+  trees of all words that have the same first set are a clump; similar sets share one;
+* each set is sent to its few clumps, where all pairs are verified on the words themselves, and leaves as the number of its links
   and the first line that it is linked to. Clumps and words with very many sets are dealt in parts, each two of which meet in a task.
 
 A line goes if an earlier line has an equal or similar set. Rarity comes from a summary of the frequent words of all documents:
@@ -30,7 +30,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from whisperlake.llm.arrays import hashes, mixed, ragged, slices, texts_of, words
-from whisperlake.llm.components import components
 from whisperlake.llm.store import sent_if_small, share_package, tidy, unused, written
 
 # Similarity as a fraction, so that all bounds are whole numbers.
@@ -123,7 +122,7 @@ def line_sets(lines: pa.Array, frequent: Frequent) -> tuple[np.ndarray, np.ndarr
 
 _LINE = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("line_no", pa.int32()), ("n", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()),
                    ("parity", pa.int64()), ("prefix", pa.list_(pa.int32()))])
-_TOKEN_DDL = "root long, parts int, doc_id long, text_key long, line_no int, k1 long, k2 long, words array<long>"
+_TOKEN_DDL = "roots array<struct<root: long, parts: int, earlier: array<long>>>, doc_id long, text_key long, line_no int, k1 long, k2 long, words array<long>"
 _LINE_DDL = "doc_id long, text_key long, line_no int, n int, k1 long, k2 long, parity long, prefix array<int>"
 
 
@@ -183,10 +182,10 @@ def _asked_lines(frequent: Frequent):
                 value, starts = line_sets(lines.take(pa.array(which)), frequent)
                 k1, k2 = set_keys(value, starts)
                 yield pa.RecordBatch.from_arrays(
-                    [rows.field("root"), rows.field("parts"), *(batch.column(c).slice(at, len(part)).take(pa.array(owner)) for c in (0, 1)),
+                    [rows.field("roots"), *(batch.column(c).slice(at, len(part)).take(pa.array(owner)) for c in (0, 1)),
                      rows.field("line_no"), pa.array(k1), pa.array(k2),
                      pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(value.view(np.int64)))],
-                    names=["root", "parts", "doc_id", "text_key", "line_no", "k1", "k2", "words"])
+                    names=["roots", "doc_id", "text_key", "line_no", "k1", "k2", "words"])
 
     return run
 
@@ -296,9 +295,10 @@ def _forests(batches):
 
 
 def clumps(sets: DataFrame, limit: int = _WORD_SETS) -> DataFrame:
-    """Rows (node, root): names k1 of ``sets`` (k1, n, parity, prefix) and the clump that they are in. Sets without a row have no similar set.
+    """Rows (node, ``roots``): names k1 of ``sets`` (k1, n, parity, prefix) and the clumps that they are in. Sets without a row have no similar set.
 
-    Sets that share k1 alone are in one clump. A word that more than ``limit`` sets index is dealt in parts.
+    A clump is named by the first row of its trees. Similar sets share one; of the clumps that they share the first counts.
+    Sets that share k1 alone are in the same clumps. A word that more than ``limit`` sets index is dealt in parts.
     """
     # How many words the set has above, how many from this one on below.
     rows = sets.select("k1", "parity", "n", F.posexplode("prefix").alias("at", "word")).select(
@@ -318,17 +318,10 @@ def clumps(sets: DataFrame, limit: int = _WORD_SETS) -> DataFrame:
         rows = dealt.select(F.when(F.col("parts").isNull(), F.col("key")).otherwise(
             F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))).alias("key"), "k1", "parity", "size")
     links = rows.repartition("key").sortWithinPartitions("key", "k1").mapInArrow(tidy(_forests), "a long, b long")
-    # Each node with the first rows of its trees: at most one for each word of its prefix and part.
-    trees = written(links.groupBy("a").agg(F.collect_set("b").alias("firsts")).select(
-        F.col("a").alias("node"), F.array_min("firsts").alias("least"), "firsts"), "trees")
-    # Most nodes know one first row only. Components are those of the first rows, which are far fewer.
-    firsts = trees.select(F.explode("firsts").alias("node")).distinct()
-    between = trees.filter(F.size("firsts") > 1).select(F.explode("firsts").alias("a"), F.col("least").alias("b")).union(
-        trees.join(firsts, "node", "left_semi").select("node", "least"))
-    roots = written(components(between).toDF("least", "root"), "tree-roots")
-    of_node = trees.select("node", "least").union(firsts.select("node", "node"))
-    named = of_node.join(sent_if_small(roots, 16), "least", "left").select("node", F.coalesce("root", "least").alias("root"))
-    return written(named.groupBy("node").agg(F.min("root").alias("root")), "clumps")
+    trees = links.groupBy("a").agg(F.collect_set("b").alias("firsts")).select(F.col("a").alias("node"), F.explode("firsts").alias("first"))
+    trees = written(trees, "trees")
+    own = trees.select("first").distinct().select(F.col("first").alias("node"), "first")
+    return written(trees.union(own).groupBy("node").agg(F.sort_array(F.collect_set("first")).alias("roots")), "clumps")
 
 
 def _same_words(a: np.ndarray, b: np.ndarray, starts: np.ndarray, length: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -369,17 +362,15 @@ def shared_words(owner: np.ndarray, word: np.ndarray, m: int) -> np.ndarray:
 
 
 def _compare(batches):
-    """Rows (root, low, high, part, doc_id, text_key, line_no, k1, k2, words) sorted by clump, parts and name to (k1, k2, links, first linked line)."""
+    """Rows (root, low, high, part, doc_id, text_key, line_no, k1, k2, words, earlier) sorted by clump, parts and name to (k1, k2, links, first linked line)."""
     for t in _whole_runs(batches, 3):
         # Equal rows of the table give a line more than once.
         once, _ = _runs([t.column(c).to_numpy() for c in ("root", "low", "high", "k1", "k2")])
         t = t.take(pa.array(once)).combine_chunks() if len(once) < t.num_rows else t
         root, low, high, part = (t.column(c).to_numpy() for c in range(4))
-        lists = t.column("words").combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        length = np.asarray(lists.value_lengths()).astype(np.int64)
-        word = lists.flatten().to_numpy().view(np.uint64)
-        begin = np.cumsum(length) - length
+        begin, length, word = _lists(t.column("words"))
+        # Clumps that come before this one: a pair that shares one of them is counted there.
+        before, number, earlier = _lists(t.column("earlier"))
         parity = np.bitwise_xor.reduceat(np.uint64(1) << (word >> np.uint64(58)), begin)
         of = Filters(parity, length, length)
         doc = t.column("doc_id")
@@ -394,6 +385,8 @@ def _compare(batches):
             a, b = a[met], b[met]
             good = _same_words(a, b, begin, length, word) * (NUMERATOR + DENOMINATOR) >= (length[a] + length[b]) * NUMERATOR
             a, b = a[good], b[good]
+            new = _same_words(a, b, before, number, earlier) == 0
+            a, b = a[new], b[new]
             for x, y in ((a, b), (b, a)):
                 np.add.at(links, x, 1)
                 np.minimum.at(least, x, rank[y])
@@ -402,6 +395,9 @@ def _compare(batches):
             words_of = word[begin[s]:begin[s] + n.sum()]
             shared = shared_words(np.repeat(np.arange(m), n), words_of, m)
             good = shared * (NUMERATOR + DENOMINATOR) >= (n[:, None] + n) * NUMERATOR
+            e = number[s:s + m]
+            if e.any():
+                good &= shared_words(np.repeat(np.arange(m), e), earlier[before[s]:before[s] + e.sum()], m) == 0
             if low[s] == high[s]:
                 np.fill_diagonal(good, False)
             else:
@@ -416,16 +412,24 @@ def _compare(batches):
             names=["k1", "k2", "n_links", "doc_id", "text_key", "line_no"])
 
 
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each list begins, its length, and the values of all."""
+    lists = _flat(column)
+    length = np.asarray(lists.value_lengths()).astype(np.int64)
+    return np.cumsum(length) - length, length, lists.flatten().to_numpy().view(np.uint64)
+
+
 def _flat(column: pa.ChunkedArray | pa.Array) -> pa.Array:
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
 
 def verified(token: DataFrame) -> DataFrame:
-    """Rows (k1, k2, n_links, linked) for sets with similar ones, from ``token``: one row of a set of its clump, as ``_asked_lines`` gives them."""
+    """Rows (k1, k2, n_links, linked) for sets with similar ones, from ``token``: one row of a set, as ``_asked_lines`` gives them."""
     part = F.pmod(F.xxhash64("k1", "k2"), F.col("parts")).cast("int")
-    dealt = token.select("*", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select(
+    clump = token.select("*", F.inline("roots"))
+    dealt = clump.select("*", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select(
         "root", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part",
-        "doc_id", "text_key", "line_no", "k1", "k2", "words")
+        "doc_id", "text_key", "line_no", "k1", "k2", "words", "earlier")
     runs = dealt.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "k1", "k2")
     found = runs.mapInArrow(tidy(_compare), "k1 long, k2 long, n_links long, doc_id long, text_key long, line_no int")
     return found.groupBy("k1", "k2").agg(F.sum("n_links").alias("n_links"), F.min(_key()).alias("linked"))
@@ -462,13 +466,16 @@ def _decided(docs: DataFrame) -> DataFrame:
         F.min(_key()).alias("first"), F.first("n").alias("n"), F.first("parity").alias("parity"),
         F.first("prefix").alias("prefix")), "sets")
     nodes = clumps(sets.filter(f"n >= {NUMERATOR}").select("k1", "n", "parity", "prefix"))
-    members = sets.filter(f"n >= {NUMERATOR}").select("k1", "n", "first").join(nodes.toDF("k1", "root"), "k1")
-    sizes = written(members.groupBy("root").agg(
-        F.ceil(F.greatest(F.count(F.lit(1)) / _CLUMP, F.sum("n") / _CLUMP_WORDS)).cast("int").alias("parts")).filter("parts > 1"), "large-clumps")
-    members = members.join(sent_if_small(sizes, 24), "root", "left")
-    asked = written(members.groupBy("first.doc_id", "first.text_key").agg(F.collect_list(F.struct(
-        F.col("first.line_no").alias("line_no"), "root", F.coalesce("parts", F.lit(1)).alias("parts"))).alias("lines")), "asked-lines")
-    few = sent_if_small(asked, 32 + 24 * F.size("lines"))
+    members = sets.filter(f"n >= {NUMERATOR}").select("k1", "n", "first").join(nodes.withColumnRenamed("node", "k1"), "k1")
+    sizes = members.select("n", F.explode("roots").alias("root")).groupBy("root").agg(
+        F.ceil(F.greatest(F.count(F.lit(1)) / _CLUMP, F.sum("n") / _CLUMP_WORDS)).cast("int").alias("parts")).filter("parts > 1")
+    sizes = written(sizes, "large-clumps")
+    dealt = members.select("first", "roots", F.explode("roots").alias("root")).join(sent_if_small(sizes, 24), "root", "left")
+    earlier = F.filter("roots", lambda x: x < F.col("root"))
+    asked = written(dealt.groupBy("first").agg(F.collect_list(F.struct(
+        "root", F.coalesce("parts", F.lit(1)).alias("parts"), earlier.alias("earlier"))).alias("roots")).groupBy("first.doc_id", "first.text_key").agg(
+            F.collect_list(F.struct(F.col("first.line_no").alias("line_no"), "roots")).alias("lines")), "asked-lines")
+    few = sent_if_small(asked, 32 + 48 * F.size("lines"))
     same = texts.doc_id.eqNullSafe(few.doc_id) & (texts.text_key == few.text_key)
     found = texts.join(few, same).select(texts.doc_id, texts.text_key, "text", "lines")
     token = found.mapInArrow(tidy(_asked_lines(frequent)), _TOKEN_DDL)
