@@ -431,7 +431,11 @@ ORACLES["f4_accept_events_table"] = sql(EVENTS, f"""select event_id, case when n
     when not ({_ASKED}) then 'not asked for' when event_id % 10 = 0 or event_id % 7 = 0 then 'bad signature' else 'accepted' end as reason
     from v_events e left join nation n on n_nationkey = event_id % 30""")
 ORACLES["j1_match_all"] = "select 's0' as sub_id"
-ORACLES["j2_authenticate_layers"] = sql(EVENTS + " v_layers", "select wrap_id, reason, case when reason = 'ok' then id end as rumor_id from v_layers")
+# The seal of every 31st event is signed with the key of the number of the event, which is its author's own where the two numbers are the same.
+ORACLES["j2_authenticate_layers"] = sql(EVENTS, f"""select wrap_id, reason, case when reason = 'ok' then id end as rumor_id from (
+    select id, {H('event_id + 3000000')} as wrap_id, case when event_id % 23 = 0 or event_id % 29 = 0 then 'not a seal'
+      when event_id % 31 = 0 and {H('event_id')} <> pubkey then 'impersonation' when event_id % 37 = 0 then 'bad rumor id' else 'ok' end as reason
+    from v_events)""")
 ORACLES["j3_conversations"] = sql(CHATS, "select pubkey, id as last_id, created_at as last_at, unread_count from chats")
 ORACLES["j4_drop_blocked"] = sql("raw v_messages spans", """select id, peer, status from v_messages m where status <> 'Received' or not exists (
     select 1 from spans s where s.peer = m.peer and m.created_at >= s.a and (s.b is null or m.created_at < s.b))""")
