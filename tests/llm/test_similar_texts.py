@@ -37,3 +37,16 @@ def test_null_and_repeated_ids_keep_different_texts(spark):
 
 def test_empty_table(spark):
     assert corpus_pipeline.near_duplicates(spark, spark.createDataFrame([], "doc_id long, text string"), "").count() == 0
+
+
+def test_fingerprints_bring_candidates_that_are_verified(spark, monkeypatch):
+    """Without any key of minima, equal and linked fingerprints still find near copies; a pair with few common shingles is not taken for one."""
+    from pyspark.sql import functions as F
+    from whisperlake.llm import similar_texts
+
+    monkeypatch.setattr(similar_texts, "_bands", lambda text: F.array(F.xxhash64(text)))
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(5000)}" for _ in range(3000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-1] + ["end"])), (3, " ".join(reversed(words))), (4, "a b c d e"), (5, "a b c d")]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert {r.doc_id for r in got.collect()} == {1, 3, 4, 5}
