@@ -97,3 +97,15 @@ def is_hex(c: str | Column) -> Column:
 
 def hex_lower(c: str | Column) -> Column:
     return F.lower(F.hex(as_col(c)))
+
+
+def packed(c: str | Column) -> Column:
+    """A text as bytes in which 64 digits of lower-case hex, the form of ids and keys, take 33; different texts stay different. :func:`unpacked` is its inverse."""
+    c = as_col(c)
+    return F.when(is_lower_hex(c, 32), F.concat(F.lit(b"\1"), F.unhex(c))).otherwise(F.concat(F.lit(b"\0"), c.cast("binary")))
+
+
+def unpacked(c: str | Column) -> Column:
+    c = as_col(c)
+    rest = F.substring(c, F.lit(2), F.octet_length(c))
+    return F.when(F.substring(c, 1, 1) == F.lit(b"\1"), hex_lower(rest)).otherwise(rest.cast("string"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from whisperlake.functions.events import first_tag, has_valid_id, participants
 from whisperlake.functions.media import attachment_label
-from whisperlake.functions.text import as_col
+from whisperlake.functions.text import as_col, packed, unpacked
 from whisperlake.operators.ordered import in_buckets, with_last, with_neighbour
 from whisperlake.operators.validation import chat_payloads
 from whisperlake.schemas import KIND_GIFT_WRAP, KIND_SEAL, RECEIVED, SENT
@@ -55,6 +55,27 @@ def authenticate_layers(wraps: DataFrame, seals: DataFrame, rumors: DataFrame) -
     )
 
 
+def authentic_rumors(wraps: DataFrame, seals: DataFrame, rumors: DataFrame) -> DataFrame:
+    """The rows of :func:`authenticate_layers` without a failing ``reason``.
+
+    Each layer is tested where it is stored, so that only what passes is shuffled, with ids and keys in half the bytes.
+    """
+    passes = lambda fails: ~F.coalesce(fails, F.lit(False))
+    outer = wraps.filter(passes(F.col("kind") != KIND_GIFT_WRAP) & F.coalesce("wrap_ok", F.lit(False)))
+    inner = seals.filter(passes((F.col("kind") != KIND_SEAL) | (F.col("n_tags") != 0)) & F.coalesce("seal_ok", F.lit(False))).select(
+        packed("id").alias("seal_id"), packed("pubkey").alias("seal_pubkey"))
+    letters = rumors.filter(passes(~has_valid_id())).select(
+        packed("seal_id").alias("seal_id"), packed("id").alias("id"), packed("pubkey").alias("pubkey"), "created_at", "kind", "tags", "content")
+    sealed = inner.join(letters, "seal_id").filter(passes(F.col("pubkey") != F.col("seal_pubkey"))).select("seal_id", F.struct(
+        "id", "pubkey", "created_at", "kind", "tags", "content").alias("rumor"))
+    named = outer.withColumnsRenamed({"id": "wrap_id", "kind": "wrap_kind", "pubkey": "wrap_pubkey"})
+    kept = [c for c in named.columns if c.startswith("wrap_") or c in ("owner", "arrival")]
+    names = [c for c in ("wrap_id", "wrap_pubkey", "owner") if c in kept]
+    found = named.select(*kept, "seal_id").withColumns({c: packed(c) for c in (*names, "seal_id")}).join(sealed, "seal_id")
+    rumor = F.struct(unpacked("rumor.id").alias("id"), unpacked("rumor.pubkey").alias("pubkey"), *(F.col(f"rumor.{c}") for c in ("created_at", "kind", "tags", "content")))
+    return found.select(*(unpacked(c).alias(c) if c in names else c for c in kept), rumor.alias("rumor"))
+
+
 def block_intervals(block_log: DataFrame, keys: list[str]) -> DataFrame:
     """Blocked stretches [blocked_from, blocked_until) per key; the last one may be open (null end)."""
     log = block_log.groupBy(*keys, "changed_at").agg(F.bool_or("blocked").alias("blocked"))
@@ -138,10 +159,40 @@ class Fold(NamedTuple):
     contacts: DataFrame
 
 
+# What the fold reads of a wrap; anything else would only be shuffled along.
+_WRAP = ["owner", "id", "arrival", "kind", "wrap_ok", "seal_id"]
+
+
 def first_arrivals(wraps: DataFrame) -> DataFrame:
     """The earliest copy of each wrap in each inbox: later copies are never looked at."""
-    first = F.min_by(F.struct(*wraps.columns), F.struct("arrival", "id"))
-    return wraps.groupBy("owner", "id").agg(first.alias("w")).select("w.*")
+    rest = [c for c in wraps.columns if c not in ("owner", "id", "arrival")]
+    first = F.min(F.struct("arrival", *rest))
+    return wraps.groupBy("owner", "id").agg(first.alias("w")).select(*[c if c in ("owner", "id") else f"w.{c}" for c in wraps.columns])
+
+
+def unseen(wraps: DataFrame, *processed: DataFrame) -> DataFrame:
+    """First copies of the wraps that none of the tables ``processed`` has (id, and owner where ids are kept per owner)."""
+    names = ("owner", "id", "seal_id")
+    new = first_arrivals(wraps.select(*(packed(c).alias(c) if c in names else c for c in _WRAP)))
+    for p in sorted(processed, key=lambda p: "owner" not in p.columns):
+        known = ["owner", "id"] if "owner" in p.columns else ["id"]
+        new = new.join(p.select(*(packed(c).alias(c) for c in known)), known, "left_anti").select(*_WRAP)
+    return new.select(*(unpacked(c).alias(c) if c in names else c for c in _WRAP))
+
+
+def received(new: DataFrame, seals: DataFrame, rumors: DataFrame, block_log: DataFrame, block_keys: tuple[str, ...] | None = None) -> DataFrame:
+    """The messages that wraps bring, with ``arrival`` and ``wrap_id``, without those that came while their author was blocked."""
+    # Other rumors bring no message, so they aren't hashed.
+    letters = chat_payloads(rumors).select(rumors.columns)
+    return drop_blocked(rumors_to_messages(authentic_rumors(new, seals, letters)), block_log, "arrival", block_keys)
+
+
+def new_messages(kept: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """One row for each (owner, id) of the rows of :func:`received` that is not ``stored``: the one that arrived first."""
+    if stored is not None:
+        kept = kept.join(stored.select("owner", "id"), ["owner", "id"], "left_anti").select(kept.columns)
+    first = F.min_by(F.struct(*kept.columns), F.struct("arrival", "wrap_id"))
+    return kept.groupBy("owner", "id").agg(first.alias("m")).select("m.*")
 
 
 def fold_inbox(
@@ -155,18 +206,9 @@ def fold_inbox(
     is final. ``processed`` has id, and owner where ids are kept per owner. ``stored`` (owner, id)
     are messages that exist; they are not added again, but imply their contacts (:func:`implied_contacts`) like any other.
     """
-    known = ["owner", "id"] if "owner" in processed.columns else ["id"]
-    new = first_arrivals(wraps).join(processed.select(*known), known, "left_anti")
-    # Layers are cut down to this batch before anything is hashed.
-    asked = new.select("seal_id").distinct()
-    here = seals.join(asked, seals["id"] == asked["seal_id"], "left_semi")
-    good = authenticate_layers(new, here, rumors.join(asked, "seal_id", "left_semi")).filter("reason is null").drop("reason")
-    kept = drop_blocked(rumors_to_messages(good), block_log, "arrival", block_keys)
-    contacts = implied_contacts(kept)
-    if stored is not None:
-        kept = kept.join(stored.select("owner", "id"), ["owner", "id"], "left_anti").select(kept.columns)
-    first = F.min_by(F.struct(*kept.columns), F.struct("arrival", "wrap_id"))
-    return Fold(kept.groupBy("owner", "id").agg(first.alias("m")).select("m.*"), new.select("owner", "id"), contacts)
+    new = unseen(wraps, processed)
+    kept = received(new, seals, rumors, block_log, block_keys)
+    return Fold(new_messages(kept, stored), new.select("owner", "id"), implied_contacts(kept))
 
 
 def implied_contacts(messages: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from whisperlake.functions import keys, labels, media, padding, text, urls
 from whisperlake.functions.events import event_id, first_tag, participants, tag_values
@@ -743,12 +744,17 @@ def _(spark, sf):
 # --- streams -----------------------------------------------------------------------------
 
 
-def _slices(rows: DataFrame, number: Column, n: int, path: str) -> DataFrame:
-    """Writes ``rows`` to ``path`` in ``n`` appends by ``number``, so that a stream sees them one after another."""
+def _fed(rows: DataFrame, number: Column, n: int, path: str, start: Callable[[DataFrame], StreamingQuery]) -> None:
+    """Writes ``rows`` to ``path`` in ``n`` appends by ``number``; the stream that ``start`` makes takes each before the next comes, in one batch."""
     for i in range(n):
-        rows.filter(number == i).write.mode("append").parquet(path)
-    spark = rows.sparkSession
-    return feed.stream_events(spark, path, spark.read.parquet(path).schema, files_per_batch=4)
+        rows.filter(number == i).write.option("compression", "zstd").mode("append").parquet(path)
+        start(feed.stream_events(rows.sparkSession, path, rows.schema)).awaitTermination()
+
+
+def _stored(rows: DataFrame, path: str) -> DataFrame:
+    """``rows`` as a table, so that slices are taken from it without computing all rows for each."""
+    rows.write.option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 @query("t1_stream_dedup")
@@ -757,8 +763,7 @@ def _(spark, sf):
     path = work_dir(spark, "dedup")
     copies = v.copies(spark, sf)
     number = F.when(F.col("event_id") % 50 == 7, 3).otherwise(F.col("relay"))
-    source = _slices(copies, number, 4, f"{path}/in").select("id", "relay", "arrival")
-    dedup.stream_dedup(source, f"{path}/out", f"{path}/cp").awaitTermination()
+    _fed(copies, number, 4, f"{path}/in", lambda source: dedup.stream_dedup(source.select("id", "relay", "arrival"), f"{path}/out", f"{path}/cp"))
     return dedup.deduplicated(spark, f"{path}/out").select("id")
 
 
@@ -781,10 +786,8 @@ def _(spark, sf):
     again = v.repeated(wraps)
     half = (F.col("arrival") > v.EPOCH + 15 * v.DAY).cast("int")
     both = wraps.withColumn("slice", half).union(again.withColumn("slice", half + 2))
-    source = _slices(both, F.col("slice"), 4, f"{path}/in").drop("slice")
-    stream_inbox.stream_inbox(
-        source, lambda _: (seals, rumors), _processed(spark, sf), v.owner_block_log(spark, sf), f"{path}/store", f"{path}/cp",
-    ).awaitTermination()
+    _fed(both, F.col("slice"), 4, f"{path}/in", lambda source: stream_inbox.stream_inbox(
+        source.drop("slice"), lambda _: (seals, rumors), _processed(spark, sf), v.owner_block_log(spark, sf), f"{path}/store", f"{path}/cp"))
     return stream_inbox.current_messages(spark, f"{path}/store").select("owner", "id", "peer", "text", "status")
 
 
@@ -792,11 +795,9 @@ def _(spark, sf):
 def _(spark, sf):
     """The change log of c2 in four slices, as a stream."""
     path = work_dir(spark, "messages")
-    rows = v.message_log(spark, sf)
+    rows = _stored(v.message_log(spark, sf), f"{path}/log")
     number = F.floor(F.col("seq") * 4 / (rows.agg(F.max("seq")).scalar() + 1))
-    # As many files for a slice as a batch takes: batches follow the order of the log.
-    source = _slices(rows.repartition(4), number, 4, f"{path}/in")
-    stream_messages.stream_messages(source, f"{path}/store", f"{path}/cp").awaitTermination()
+    _fed(rows, number, 4, f"{path}/in", lambda source: stream_messages.stream_messages(source, f"{path}/store", f"{path}/cp"))
     return stream_messages.stored_messages(spark, f"{path}/store")
 
 
@@ -805,10 +806,10 @@ def _(spark, sf):
     """Sends and answers in four slices that follow neither their times nor each other."""
     path = work_dir(spark, "delivery")
     publishes = v.attempts(spark, sf).select("message_id", "relay", "attempt", "sent_at")
-    rows = stream_delivery.delivery_log(publishes, v.acks(spark, sf))
+    rows = _stored(stream_delivery.delivery_log(publishes, v.acks(spark, sf)), f"{path}/log")
     at = F.coalesce("sent_at", "acked_at")
-    source = _slices(rows, F.pmod(-F.floor(at / (200 * v.DAY)), F.lit(4)), 4, f"{path}/in")
-    stream_delivery.stream_delivery(source, f"{path}/store", f"{path}/cp").awaitTermination()
+    _fed(rows, F.pmod(-F.floor(at / (200 * v.DAY)), F.lit(4)), 4, f"{path}/in", lambda source: stream_delivery.stream_delivery(
+        source, f"{path}/store", f"{path}/cp"))
     return stream_delivery.delivery_states(spark, f"{path}/store", v.MID_SHIPPING)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from whisperlake.operators.changes import ADDED
-from whisperlake.operators.inbox import fold_inbox
+from whisperlake.operators.inbox import implied_contacts, new_messages, received, unseen
 from whisperlake.streaming import log
 
 _KEY = "owner string, id string"
@@ -31,29 +31,21 @@ def stream_inbox(
     stop; a processing time keeps it going).
     """
     def fold(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch = batch.persist()
-        try:
-            keys, person = ["owner", "id"], ["owner", "pubkey"]
-            seals, rumors = layers(batch)
-            own = processed.select(*[c for c in keys if c in processed.columns])
-            todo = batch.join(own, own.columns, "left_anti").select(batch.columns)
-            for table, schema, by in (("handled", _KEY, keys), ("contacts", _CONTACT, person)):
-                log.settle(spark, f"{path}/{table}", batch_id, schema, by)
-            handled = log.before(spark, f"{path}/handled", batch_id, _KEY, batch, keys).drop("batch")
-            # The messages that the batch can bring, by the rumors that its wraps hold.
-            asked = batch.select("owner", "seal_id").join(rumors.select("seal_id", "id"), "seal_id").select(*keys)
-            stored = log.before(spark, f"{path}/message-ids", batch_id, _KEY, asked, keys)
-            found = fold_inbox(todo, seals, rumors, handled, block_log, stored, block_keys)
-            added = log.append(found.messages, f"{path}/messages", batch_id)
-            log.settle(spark, f"{path}/message-ids", batch_id, _KEY, keys)
-            log.append(added.select(*keys), f"{path}/message-ids", batch_id)
-            people = found.contacts
-            there = log.before(spark, f"{path}/contacts", batch_id, "owner string, pubkey string", people, person)
-            log.append(people.join(there, person, "left_anti").select(people.columns), f"{path}/contacts", batch_id)
-            log.append(found.handled, f"{path}/handled", batch_id)
-        finally:
-            batch.unpersist()
+        spark, keys, person = batch.sparkSession, ["owner", "id"], ["owner", "pubkey"]
+        for table, schema, by in (("handled", _KEY, keys), ("message-ids", _KEY, keys), ("contacts", _CONTACT, person)):
+            log.settle(spark, f"{path}/{table}", batch_id, schema, by)
+        seen = log.before(spark, f"{path}/handled", batch_id, _KEY, batch, keys).drop("batch")
+        # Kept with what the fold reads of a wrap, so that messages and contacts come from these rows alone.
+        new = log.append(unseen(batch, seen, processed), f"{path}/handled", batch_id)
+        kept = received(new, *layers(batch), block_log, block_keys)
+        # Layers are not looked at where a batch brings nothing new.
+        kept = log.append(spark.createDataFrame([], kept.schema) if new.isEmpty() else kept, f"{path}/received", batch_id)
+        stored = log.before(spark, f"{path}/message-ids", batch_id, _KEY, kept, keys)
+        added = log.append(new_messages(kept, stored), f"{path}/messages", batch_id)
+        log.append(added.select(*keys), f"{path}/message-ids", batch_id)
+        people = implied_contacts(kept)
+        there = log.before(spark, f"{path}/contacts", batch_id, "owner string, pubkey string", people, person)
+        log.append(people.join(there, person, "left_anti").select(people.columns), f"{path}/contacts", batch_id)
         if on_change is not None:
             on_change(added.withColumn("change", F.lit(ADDED)), batch_id)
 

@@ -54,7 +54,7 @@ def _fresh(spark: SparkSession, path: str, schema: str, after: int, batch_id: in
 def append(rows: DataFrame, path: str, batch_id: int) -> DataFrame:
     """Writes a batch's rows and reads them again. A batch that runs again replaces what it wrote."""
     target = f"{path}/fresh/batch={batch_id}"
-    rows.write.mode("overwrite").parquet(target)
+    rows.write.option("compression", "zstd").mode("overwrite").parquet(target)
     return rows.sparkSession.read.schema(rows.schema).parquet(target)
 
 
@@ -79,7 +79,7 @@ def settle(spark: SparkSession, path: str, batch_id: int, schema: str, keys: lis
     parts = 1 << max(0, (n // PART_ROWS)).bit_length()
     name = uuid.uuid4().hex
     dealt = rows.withColumn("part", _part(keys, parts)).repartition(min(parts, 200), "part").sortWithinPartitions("part", *keys)
-    dealt.write.partitionBy("part").parquet(f"{path}/merged/{name}")
+    dealt.write.option("compression", "zstd").partitionBy("part").parquet(f"{path}/merged/{name}")
     kept = [(r.folder, r.last, r.parts, r.n) for r in folders] + [(name, batch_id - 1, parts, n)]
     version = uuid.uuid4().hex
     spark.createDataFrame([(batch_id, version, *r) for r in kept], _MANIFEST).coalesce(1).write.mode("append").parquet(f"{path}/manifests")
