@@ -2,7 +2,7 @@
 
 from conftest import SMALL
 from pyspark.sql import functions as F
-from test_streams import chain, write
+from test_streams import AUTHOR, chain, write
 
 from whisperlake.functions.text import packed, unpacked
 from whisperlake.operators import inbox
@@ -45,3 +45,16 @@ def test_a_batch_without_news_opens_no_layers(spark):
             feed.stream_events(spark, f"{path}/in", wraps.schema), lambda _: (seals, broken if again else rumors), none, log, f"{path}/store", f"{path}/cp",
             on_change=lambda df, n: read.append(df.count())).awaitTermination()
     assert read == [2, 0]
+
+
+def test_removals_are_sent_to_the_log(spark):
+    """Few removals are known to be few, so the log is not dealt by peer for them."""
+    from whisperlake.operators.messages import apply_message_changes
+
+    schema = "seq long, op string, id string, old_id string, peer string, status string"
+    log = spark.createDataFrame([(0, "add", "a", None, AUTHOR, "x"), (1, "remove", None, None, AUTHOR, None), (2, "add", "b", None, AUTHOR, "y"), (3, "add", "c", None, "P", "z")], schema)
+    state = spark.createDataFrame([("d", AUTHOR, "s")], "id string, peer string, status string")
+    folded = apply_message_changes(state, log)
+    assert sorted(map(tuple, folded.collect())) == [("b", AUTHOR, "y"), ("c", "P", "z")]
+    plan = folded._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 1

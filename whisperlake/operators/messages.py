@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from whisperlake.functions.events import first_tag
+from whisperlake.functions.text import packed, unpacked
 from whisperlake.operators.build import build_file_events
 from whisperlake.schemas import FAILED
+from whisperlake.session import work_dir
 
 
 def apply_message_changes(state: DataFrame, log: DataFrame) -> DataFrame:
@@ -19,15 +21,18 @@ def apply_message_changes(state: DataFrame, log: DataFrame) -> DataFrame:
     once and not used again.
 
     The row of an id is its first add or replacement after the last removal, overwritten by
-    later updates. That is a plain aggregation by id.
+    later updates. That is a plain aggregation by id. Peers that are hex travel in half the bytes.
     """
     cols = ["seq", "op", "id", "old_id", "peer", "status"]
     stored = state.select(
         F.lit(-1).cast("bigint").alias("seq"), F.lit("add").alias("op"), "id",
         F.lit(None).cast("string").alias("old_id"), "peer", "status")
-    ops = stored.unionByName(log.select(*cols))
-    removed = ops.filter("op = 'remove'").groupBy("peer").agg(F.max("seq").alias("removed_at"))
-    live = ops.filter("op <> 'remove'").join(removed, "peer", "left").filter(
+    # Removals are few; they are stored first, so that Spark knows their size before it plans how the log meets them.
+    removed = log.filter("op = 'remove'").groupBy("peer").agg(F.max("seq").alias("removed_at"))
+    path = work_dir(log.sparkSession, "removals")
+    removed.write.parquet(path)
+    removed = log.sparkSession.read.schema("peer string, removed_at long").parquet(path)
+    live = stored.unionByName(log.filter("op <> 'remove'").select(*cols)).join(removed, "peer", "left").filter(
         F.col("seq") > F.coalesce("removed_at", F.lit(-2))).select(*cols)
 
     seq, op = F.col("seq"), F.col("op")
@@ -36,7 +41,7 @@ def apply_message_changes(state: DataFrame, log: DataFrame) -> DataFrame:
         F.struct("id", op.alias("op"), F.lit(None).cast("string").alias("new_id")),
         F.when(op == "replace", F.struct(F.col("old_id").alias("id"), F.lit("gone").alias("op"), F.col("id").alias("new_id"))),
     ))
-    by_id = live.select("seq", "peer", "status", F.explode(sides).alias("s")).select("seq", "peer", "status", "s.*")
+    by_id = live.select("seq", packed("peer").alias("peer"), "status", F.explode(sides).alias("s")).select("seq", "peer", "status", "s.*")
     value = F.struct("seq", "peer", "status")
     per_id = by_id.groupBy("id").agg(
         F.min(F.when(op.isin("add", "replace"), value)).alias("first"),
@@ -51,7 +56,7 @@ def apply_message_changes(state: DataFrame, log: DataFrame) -> DataFrame:
     placed = F.when(handed, F.struct(
         F.col("gone.new_id").alias("id"), F.struct("gone.seq", "gone.peer", "gone.status").alias("value")))
     rows = per_id.select(F.explode(F.array_compact(F.array(own, placed))).alias("r"))
-    return rows.groupBy("r.id").agg(F.max("r.value").alias("v")).select("id", "v.peer", "v.status")
+    return rows.groupBy("r.id").agg(F.max("r.value").alias("v")).select("id", unpacked("v.peer").alias("peer"), "v.status")
 
 
 def pending_uploads(files: DataFrame, uploads: DataFrame) -> DataFrame:
