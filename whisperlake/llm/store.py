@@ -52,8 +52,10 @@ def give_back() -> None:
 def tidy(
     run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], forget: Callable[[], None] = lambda: None
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run`` (of ``mapInArrow``), with unused memory handed back at the end of each task, after ``forget``."""
+    """``run`` (of ``mapInArrow``), with unused memory handed back at the end of each task, after ``forget``, and before it: functions on columns
+    that the worker ran earlier hand back nothing themselves."""
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         try:
             yield from run(batches)
         finally:
