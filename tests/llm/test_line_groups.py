@@ -85,6 +85,42 @@ def test_shared_words_of_a_square(monkeypatch, small, columns):
     assert all(got[i, j] == len(sets[i] & sets[j]) for i in range(90) for j in range(90) if i != j)
 
 
+@pytest.mark.parametrize("m", [2, 9, 64])
+def test_small_squares_count_shared_words(monkeypatch, m):
+    monkeypatch.setattr(line_dedup, "_DENSE", 3 * m)
+    rng = random.Random(m)
+    sets = [set(rng.sample(range(50), rng.randint(0, 30))) for _ in range(m)]
+    length = np.array([len(s) for s in sets])
+    word = np.array([7, *(w for s in sets for w in s)], np.int64)
+    got = line_dedup.small_square(1 + np.cumsum(length) - length, length, word, np.empty(50, np.int64))
+    assert all(got[i, j] == len(sets[i] & sets[j]) for i in range(m) for j in range(m) if i != j)
+
+
+def test_ranks_travel_as_gaps_and_come_back():
+    lists = [[], [0], [5, 127, 128, 300], [131071], [], list(range(0, 131072, 129)), [0, 1 << 20], []]
+    starts = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
+    packed = line_dedup.gap_bytes(np.array([c for x in lists for c in x], np.int64), starts)
+    for first, some in ((0, packed), (2, packed.slice(2)), (3, packed.slice(3, 1))):
+        code, owner = line_dedup.of_gaps(some)
+        assert [code[owner == i].tolist() for i in range(len(some))] == lists[first:first + len(some)]
+    assert len(line_dedup.of_gaps(packed.slice(0, 1))[0]) == 0
+
+
+def test_words_travel_in_few_bytes(spark):
+    """Long lines that share their words: a frequent word is sent to its clumps in a byte or two, an indexed one in less than half a row."""
+    rng = random.Random(11)
+    lines = [" ".join(rng.sample([f"w{k}" for k in range(400)], 120)) for _ in range(300)]
+    docs = written(spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string"), "long")
+    frequent = line_dedup.frequent_words(docs)
+    rows = docs.selectExpr("array(struct(1L as root, 1 as parts, array(0L) as earlier)) as roots", "doc_id", "doc_id as text_key", "0 as line_no", "doc_id as id", "text")
+    asked = rows.selectExpr("doc_id", "text_key", "text", "array(struct(line_no, id, roots)) as lines")
+    got = asked.mapInArrow(line_dedup._asked_lines(frequent), line_dedup._TOKEN_DDL).selectExpr("length(often) as a", "size(rare) as b").collect()
+    assert len(got) == 300 and all(r.a <= 160 and r.b == 0 for r in got)
+    packed = [x for x in line_dedup._packed(np.zeros(line_dedup._CLASSES, bool), 3)(docs.selectExpr(
+        "doc_id as id", "5 as n", "doc_id as parity", "array(cast(doc_id as int), 7) as prefix").toArrow().to_batches())]
+    assert sum(len(r) for x in packed for r in x.column(1).to_pylist()) == 600 * 28 and sum(x.num_rows for x in packed) <= 3 * len(packed)
+
+
 def test_a_large_group_keeps_all_links(spark):
     """Every line of a group of 600 near copies has 599 links."""
     base = [f"w{k}" for k in range(30)]

@@ -9,9 +9,10 @@ text, line number), stands for all: ids may be null or repeated, so a text is na
 * what can still follow the shared word in both sets must reach the overlap needed (positional filter);
 * a word of only one of the sets flips one of 64 parity bits, so similar sets differ in few of these bits (bitmap filter);
 * pairs that pass are not written out. The sets of one word are compared in place, and a spanning forest of those that pass is kept. The
-  trees of all words that have the same first set are a clump; similar sets share one;
+  trees of all words that have the same first set are a clump; similar sets share one. What the filters need is sent in packed blocks of words;
 * each set is sent to its few clumps, where all pairs are verified on the words themselves, and leaves as the number of its links
-  and the first line that it is linked to. Clumps and words with very many sets are dealt in parts, each two of which meet in a task.
+  and the first line that it is linked to. Frequent words are sent as the gaps between their ranks, a byte or two for each. Clumps and
+  words with very many sets are dealt in parts, each two of which meet in a task.
 
 A line goes if an earlier line has an equal or similar set. Rarity comes from a summary of the frequent words of all documents:
 each task reports the words that it has seen ``_OFTEN`` times or more, and the ``MOST_WORDS`` with the largest sums are kept. All other
@@ -29,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from whisperlake.llm.arrays import hashes, mixed, ragged, slices, texts_of, words
+from whisperlake.llm.arrays import gathered, hashes, mixed, ragged, slices, texts_of, words
 from whisperlake.llm.store import sent_if_small, share_package, tidy, unused, written
 
 # Similarity as a fraction, so that all bounds are whole numbers.
@@ -43,11 +44,21 @@ _SMALL, _SQUARE = 64, 512
 # Sets of a word, and sets and words of a clump, from which on these are dealt in parts.
 _WORD_SETS = 1 << 16
 _CLUMP, _CLUMP_WORDS = 2048, 1 << 21
-# Hash classes in which words are counted first, and columns of a matrix of words.
+# Classes (by the last bits of their hashes) in which words are counted first, and columns of a matrix of words.
 _CLASSES = 1 << 18
+_CLASS_ROW = 1 << 12
 _COLUMNS = 1024
-# Words that are compared at a time.
+# Sets of a clump up to which pairs are compared one by one, and cells of a matrix for those of up to _SMALL.
+_LISTED = 8
+_DENSE = 1 << 20
+# Words that are compared at a time, and new words of a task from which on they are merged with those counted before.
 _VERIFIED = 1 << 20
+_MERGED = 1 << 20
+# Rows of indexed words in a block, about, and bytes of sets that are packed at a time.
+_BLOCK_ROWS = 1 << 17
+_PACKED = 8 << 20
+# A packed row: hash of the word, id and parity of the set, its words, and those from the shared one on.
+_ROW = [np.uint32, np.int64, np.uint64, np.uint32, np.uint32]
 
 
 class Frequent(NamedTuple):
@@ -63,6 +74,15 @@ class Frequent(NamedTuple):
         at = np.minimum(np.searchsorted(self.word, value), len(self.word) - 1)
         return np.where(self.word[at] == value, self.count[at], 0)
 
+    def codes(self, value: np.ndarray) -> np.ndarray:
+        """Places in the order from the most frequent word on; -1 for a word that is not frequent."""
+        if not len(self.word):
+            return np.full(len(value), -1)
+        place = np.empty(len(self.word), np.int64)
+        place[np.lexsort((self.word, -self.count))] = np.arange(len(self.word))
+        at = np.minimum(np.searchsorted(self.word, value), len(self.word) - 1)
+        return np.where(self.word[at] == value, place[at], -1)
+
 
 def needed(n: np.ndarray) -> np.ndarray:
     """ceil(n * similarity): the smallest overlap of a set of n words with a similar one."""
@@ -76,13 +96,22 @@ def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def _count_words(batches):
-    word, n = np.empty(0, np.uint64), np.empty(0, np.int64)
-    for batch in batches:
-        for _, part in slices(texts_of(batch.column(0)), _SLICE):
-            w = words(pc.ascii_lower(part))
-            word = np.concatenate((word, hashes(w.vocab)))
-            word, which = np.unique(word, return_inverse=True)
-            n = np.bincount(which, np.concatenate((n, np.bincount(w.codes, minlength=len(w.vocab))))).astype(np.int64)
+    word, n = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+
+    def merge():
+        order = np.argsort(np.concatenate(word))
+        values, counts = np.concatenate(word)[order], np.concatenate(n)[order]
+        starts = np.flatnonzero(np.concatenate((np.ones(min(len(values), 1), bool), values[1:] != values[:-1])))
+        word[:], n[:] = [values[starts]], [np.add.reduceat(counts, starts) if len(starts) else counts]
+
+    for table in gathered(batches, _SLICE):
+        for _, part in slices(texts_of(table.column(0)), 2 * _SLICE):
+            w = words(part)
+            word.append(hashes(pc.ascii_lower(w.vocab))), n.append(np.bincount(w.codes, minlength=len(w.vocab)))
+            if sum(map(len, word[1:])) > max(_MERGED, len(word[0])):
+                merge()
+    merge()
+    word, n = word[0], n[0]
     often = n >= _OFTEN
     yield pa.RecordBatch.from_arrays([pa.array(word[often].view(np.int64)), pa.array(n[often])], names=["word", "n"])
 
@@ -104,25 +133,66 @@ def frequent_words(docs: DataFrame) -> Frequent:
     return Frequent(word[order], top.column("n").to_numpy()[order])
 
 
-def line_sets(lines: pa.Array, frequent: Frequent) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct words of each line as hashes, rare ones first, and where each line begins."""
+def _line_words(lines: pa.Array, frequent: Frequent) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words; the distinct words of each line, as places among these, rare ones first; and where each line begins."""
     w = words(lines)
-    if not len(w.codes):
-        return np.empty(0, np.uint64), np.zeros(len(lines) + 1, np.int64)
     value = hashes(w.vocab)
-    order = np.lexsort((value, frequent.of(value)))
+    if not len(w.codes):
+        return value, np.empty(0, np.int64), np.zeros(len(lines) + 1, np.int64)
+    # Sorted values are looked up several times faster.
+    order = np.argsort(value)
+    order = order[np.argsort(frequent.of(value[order]), kind="stable")]
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     # Several times faster than np.unique.
-    keys = np.sort(w.owner * np.int64(len(order)) + rank[w.codes])
+    keys = np.sort(w.owner << 32 | rank[w.codes])
     keys = keys[np.diff(keys, prepend=-1) != 0]
-    starts = np.concatenate(([0], np.cumsum(np.bincount(keys // len(order), minlength=len(lines)))))
-    return value[order[keys % len(order)]], starts
+    starts = np.concatenate(([0], np.cumsum(np.bincount(keys >> 32, minlength=len(lines)))))
+    return value, order[keys & 0xFFFFFFFF], starts
+
+
+def line_sets(lines: pa.Array, frequent: Frequent) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words of each line as hashes, rare ones first, and where each line begins."""
+    value, which, starts = _line_words(lines, frequent)
+    return value[which], starts
+
+
+def gap_bytes(code: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """Lists of whole numbers under 2^21, each ascending, as the gaps between neighbours in one to three bytes."""
+    gap = np.diff(code, prepend=0)
+    heads = starts[:-1][np.diff(starts) > 0]
+    gap[heads] = code[heads]
+    size = 1 + (gap >= 1 << 7) + (gap >= 1 << 14)
+    ends = np.concatenate(([0], np.cumsum(size)))
+    out, at = np.empty(ends[-1], np.uint8), ends[:-1]
+    out[at] = (gap & 127) | (size > 1) * 128
+    for k in (1, 2):
+        long = size > k
+        out[at[long] + k] = (gap[long] >> 7 * k & 127) | (size[long] > k + 1) * 128
+    return pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(ends[starts].astype(np.int64)), pa.py_buffer(out)]).cast(pa.binary())
+
+
+def of_gaps(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of ``gap_bytes``, and the list of each."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
+    raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]].astype(np.int64)
+    end = np.flatnonzero(raw < 128)
+    size = np.diff(end, prepend=-1)
+    at = end - size + 1
+    gap = raw[at] & 127
+    for k in (1, 2):
+        long = size > k
+        gap[long] |= (raw[at[long] + k] & 127) << 7 * k
+    first = np.searchsorted(end, offsets - offsets[0])
+    total = np.concatenate(([0], np.cumsum(gap)))
+    owner = np.repeat(np.arange(len(column)), np.diff(first))
+    return total[1:] - total[first[owner]], owner
 
 
 _LINE = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("line_no", pa.int32()), ("n", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()),
                    ("parity", pa.int64()), ("prefix", pa.list_(pa.int32()))])
-_TOKEN_DDL = "roots array<struct<root: long, parts: int, earlier: array<long>>>, doc_id long, text_key long, line_no int, k1 long, k2 long, words array<long>"
+_TOKEN_DDL = "roots array<struct<root: long, parts: int, earlier: array<long>>>, doc_id long, text_key long, line_no int, id long, often binary, rare array<long>"
 _LINE_DDL = "doc_id long, text_key long, line_no int, n int, k1 long, k2 long, parity long, prefix array<int>"
 
 
@@ -179,13 +249,17 @@ def _asked_lines(frequent: Frequent):
                 rows = asked.flatten()
                 owner = np.repeat(np.arange(len(part)), number)
                 which = first[owner] + np.asarray(rows.field("line_no")).astype(np.int64)
-                value, starts = line_sets(lines.take(pa.array(which)), frequent)
-                k1, k2 = set_keys(value, starts)
+                value, word, starts = _line_words(lines.take(pa.array(which)), frequent)
+                code = frequent.codes(value)[word]
+                often = code >= 0
+                line = np.repeat(np.arange(len(which)), np.diff(starts))
+                sorted_codes = np.sort(line[often] << 32 | code[often]) & 0xFFFFFFFF
+                before = np.concatenate(([0], np.cumsum(often)))[starts]
                 yield pa.RecordBatch.from_arrays(
                     [rows.field("roots"), *(batch.column(c).slice(at, len(part)).take(pa.array(owner)) for c in (0, 1)),
-                     rows.field("line_no"), pa.array(k1), pa.array(k2),
-                     pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(value.view(np.int64)))],
-                    names=["roots", "doc_id", "text_key", "line_no", "k1", "k2", "words"])
+                     rows.field("line_no"), rows.field("id"), gap_bytes(sorted_codes, before),
+                     pa.ListArray.from_arrays(pa.array((starts - before).astype(np.int32)), pa.array(value[word[~often]].view(np.int64)))],
+                    names=["roots", "doc_id", "text_key", "line_no", "id", "often", "rare"])
 
     return run
 
@@ -228,17 +302,32 @@ class Filters(NamedTuple):
 
     def fit(self, a, b) -> np.ndarray:
         """Whether the sets at ``a`` and ``b`` can be similar."""
+        a, b = np.broadcast_arrays(a, b)
+        out = self._few_bits(self.parity[a] ^ self.parity[b], self.n[a] + self.n[b])
+        some = np.flatnonzero(out)
+        a, b = a[some], b[some]
         total = self.n[a] + self.n[b]
-        # The symmetric difference of similar sets is at most total * (1 - s) / (1 + s), their overlap at least total * s / (1 + s).
-        bits = np.bitwise_count(self.parity[a] ^ self.parity[b]).astype(np.int64)
-        return (bits * (NUMERATOR + DENOMINATOR) <= total * (DENOMINATOR - NUMERATOR)) & (
-            np.minimum(self.n[a], self.n[b]) * DENOMINATOR >= np.maximum(self.n[a], self.n[b]) * NUMERATOR) & (
+        out[some] = (np.minimum(self.n[a], self.n[b]) * DENOMINATOR >= np.maximum(self.n[a], self.n[b]) * NUMERATOR) & (
             np.minimum(self.left[a], self.left[b]) * (NUMERATOR + DENOMINATOR) >= total * NUMERATOR)
+        return out
+
+    @staticmethod
+    def _few_bits(flipped: np.ndarray, total: np.ndarray) -> np.ndarray:
+        # The symmetric difference of similar sets is at most total * (1 - s) / (1 + s), their overlap at least total * s / (1 + s).
+        return np.bitwise_count(flipped) <= total * (DENOMINATOR - NUMERATOR) // (NUMERATOR + DENOMINATOR)
+
+    def square(self, s: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs that fit of the ``m`` sets from ``s`` on."""
+        parity, n = self.parity[s:s + m], self.n[s:s + m]
+        a, b = np.nonzero(np.triu(self._few_bits(parity[:, None] ^ parity, n[:, None] + n), 1))
+        a, b = s + a, s + b
+        good = self.fit(a, b)
+        return a[good], b[good]
 
 
-def small_pairs(starts: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of rows of one run, for runs of up to ``_SMALL`` rows: one distance after the other."""
-    few = (size > 1) & (size <= _SMALL)
+def small_pairs(starts: np.ndarray, size: np.ndarray, most: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of one run, for runs of up to ``most`` (``_SMALL``) rows: one distance after the other."""
+    few = (size > 1) & (size <= (_SMALL if most is None else most))
     starts, size = starts[few], size[few]
     for lag in range(1, int(size.max()) if len(size) else 0):
         long = size > lag
@@ -253,11 +342,10 @@ def forest(of: Filters, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarra
     for a, b in small_pairs(starts, size):
         good = of.fit(a, b)
         left.append(a[good]), right.append(b[good])
-    for s, m in zip(starts[size > _SMALL], size[size > _SMALL]):
+    for s, m in zip(starts[size > _SMALL].tolist(), size[size > _SMALL].tolist()):
         if m <= _SQUARE:
-            a, b = np.triu_indices(m, 1)
-            good = of.fit(s + a, s + b)
-            left.append(s + a[good]), right.append(s + b[good])
+            a, b = of.square(s, m)
+            left.append(a), right.append(b)
             continue
         rest, queue = np.arange(s, s + m), []
         while len(rest):  # rows that were reached are compared with those that were not
@@ -282,42 +370,115 @@ def forest(of: Filters, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarra
     return moved, root[moved]
 
 
+def _links(key: np.ndarray, node: np.ndarray, of: Filters) -> pa.RecordBatch:
+    """Links of a spanning forest of each key, from rows sorted by key and id."""
+    starts, number = _runs([key]) if len(key) else (np.empty(0, np.int64),) * 2
+    met = np.repeat(number > 1, number)
+    of, node, number = Filters(*(x[met] for x in of)), node[met], number[number > 1]
+    a, b = forest(of, np.cumsum(number) - number, number)
+    return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
+
+
 def _forests(batches):
-    """Rows (key, k1, parity, size) sorted by key to links of a spanning forest of each key."""
+    """Rows (key, id, parity, size) sorted by key and id to links."""
     for t in _whole_runs(batches, 1):
-        key, k1, parity, size = (t.column(c).to_numpy() for c in range(4))
-        starts, number = _runs([key])
-        met = np.repeat(number > 1, number)
-        k1, size = k1[met], size[met]
-        starts, number = _runs([key[met]]) if len(k1) else (np.empty(0, np.int64),) * 2
-        a, b = forest(Filters(parity[met].view(np.uint64), size >> 32, size & 0xFFFFFFFF), starts, number)
-        yield pa.RecordBatch.from_arrays([pa.array(k1[a]), pa.array(k1[b])], names=["a", "b"])
+        key, node, parity, size = (t.column(c).to_numpy() for c in range(4))
+        yield _links(key, node, Filters(parity.view(np.uint64), size >> 32, size & 0xFFFFFFFF))
+
+
+def _class_sizes(batches):
+    """Rows (prefix) to (part, counts): how many words are in each class, 4096 classes a row."""
+    n = np.zeros(_CLASSES, np.int64)
+    for batch in batches:
+        n += np.bincount(batch.column(0).flatten().to_numpy().view(np.uint32) & np.uint32(_CLASSES - 1), minlength=_CLASSES)
+    parts = n.reshape(-1, _CLASS_ROW)
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([x.tobytes() for x in parts], pa.binary())], names=["part", "counts"])
+
+
+def _large_classes(limit: int):
+    """Rows (part, counts) sorted by part to the classes of more than ``limit`` words."""
+    def run(batches):
+        for t in _whole_runs(batches, 1):
+            first = t.column(0)[0].as_py() * _CLASS_ROW
+            n = sum(np.frombuffer(x, np.int64) for x in t.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array((first + np.flatnonzero(n > limit)).astype(np.int32))], names=["class"])
+
+    return run
+
+
+def _packed(large: np.ndarray, blocks: int):
+    """Rows (id, n, parity, prefix) to (block, rows): the indexed words that are in no large class, in blocks of neighbouring hashes.
+
+    Equal bytes of all rows of a block stand together, where most of them compress.
+    """
+    def run(batches):
+        for t in gathered(batches, _PACKED):
+            node, n, parity = (t.column(c).to_numpy() for c in range(3))
+            prefix = _flat(t.column(3))
+            length = np.asarray(prefix.value_lengths()).astype(np.int64)
+            key = prefix.flatten().to_numpy().view(np.uint32)
+            some = np.flatnonzero(~large[key & np.uint32(_CLASSES - 1)])
+            # By hash: a sort of whole numbers is several times faster than one of places.
+            some = some[np.sort(key[some].astype(np.uint64) << np.uint64(32) | np.arange(len(some), dtype=np.uint64)).astype(np.uint32)]
+            set_of = np.repeat(np.arange(len(node)), length)[some]
+            left = n[set_of] - (some - (np.cumsum(length) - length)[set_of])
+            key = key[some]
+            planes = np.concatenate([np.ascontiguousarray(c.astype(kind).view(np.uint8).reshape(len(some), -1).T) for c, kind in zip(
+                (key, node[set_of], parity[set_of].view(np.uint64), n[set_of], left), _ROW)])
+            block, number = np.unique((key.astype(np.uint64) * np.uint64(blocks) >> np.uint64(32)).astype(np.int32), return_counts=True)
+            ends = np.cumsum(number).tolist()
+            yield pa.RecordBatch.from_arrays([
+                pa.array(block), pa.array([planes[:, i:j].tobytes() for i, j in zip([0, *ends], ends)], pa.binary())], names=["block", "rows"])
+
+    return run
+
+
+def _packed_forests(batches):
+    """Rows (block, rows) sorted by block to links."""
+    for t in _whole_runs(batches, 1):
+        width = sum(np.dtype(kind).itemsize for kind in _ROW)
+        planes = np.concatenate([np.frombuffer(x, np.uint8).reshape(width, -1) for x in t.column(1).to_pylist()], axis=1)
+        columns, at = [], 0
+        for kind in _ROW:
+            size = np.dtype(kind).itemsize
+            columns.append(np.ascontiguousarray(planes[at:at + size].T).view(kind).ravel())
+            at += size
+        order = np.lexsort((columns[1], columns[0]))
+        key, node, parity, n, left = (c[order] for c in columns)
+        yield _links(key, node, Filters(parity, n.astype(np.int64), left.astype(np.int64)))
 
 
 def clumps(sets: DataFrame, limit: int = _WORD_SETS) -> DataFrame:
-    """Rows (node, ``roots``): names k1 of ``sets`` (k1, n, parity, prefix) and the clumps that they are in. Sets without a row have no similar set.
+    """Rows (node, ``roots``): ids of ``sets`` (id, n, parity, prefix) and the clumps that they are in. Sets without a row have no similar set.
 
     A clump is named by the first row of its trees. Similar sets share one; of the clumps that they share the first counts.
-    Sets that share k1 alone are in the same clumps. A word that more than ``limit`` sets index is dealt in parts.
+    Words travel in packed blocks but for those of classes with more than ``limit`` rows; a word that more than ``limit`` sets index is dealt in parts.
     """
+    sets = sets.select("id", "n", "parity", "prefix")
     # How many words the set has above, how many from this one on below.
-    rows = sets.select("k1", "parity", "n", F.posexplode("prefix").alias("at", "word")).select(
-        F.col("word").cast("long").alias("key"), "k1", "parity",
+    rows = sets.select("id", "parity", "n", F.posexplode("prefix").alias("at", "word")).select(
+        F.col("word").cast("long").alias("key"), "id", "parity",
         F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR((F.col("n") - F.col("at")).cast("long")).alias("size"))
-    # Only words whose hash class is large are counted one by one.
-    group = F.pmod(F.xxhash64("key"), F.lit(_CLASSES)).cast("int")
-    large = written(rows.groupBy(group.alias("class")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).select("class"), "large-classes")
-    if not large.isEmpty():
-        hot = rows.withColumn("class", group).join(sent_if_small(large, 16), "class", "left_semi").groupBy("key").agg(
-            F.count(F.lit(1)).alias("m")).filter(F.col("m") > limit)
+    # Only words whose class is large are counted one by one.
+    group = F.col("key").bitwiseAND(F.lit(_CLASSES - 1)).cast("int")
+    sizes = sets.select("prefix").mapInArrow(tidy(_class_sizes), "part int, counts binary")
+    large = written(sizes.repartition("part").sortWithinPartitions("part").mapInArrow(tidy(_large_classes(limit)), "class int"), "large-classes")
+    is_large = np.zeros(_CLASSES, bool)
+    is_large[[r["class"] for r in large.collect()]] = True  # at most _CLASSES
+    blocks = (sets.agg(F.sum(F.size("prefix"))).first()[0] or 0) // _BLOCK_ROWS + 1
+    packed = sets.mapInArrow(tidy(_packed(is_large, blocks)), "block int, rows binary")
+    links = packed.repartition("block").sortWithinPartitions("block").mapInArrow(tidy(_packed_forests), "a long, b long")
+    if is_large.any():
+        some = rows.withColumn("class", group).join(sent_if_small(large, 16), "class", "left_semi").drop("class")
+        hot = some.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > limit)
         hot = written(hot.select("key", F.ceil(F.col("m") / limit).cast("int").alias("parts")), "hot-words")
-        marked = rows.join(sent_if_small(hot, 24), "key", "left")
-        part = F.pmod(F.xxhash64("k1"), "parts").cast("int")
+        marked = some.join(sent_if_small(hot, 24), "key", "left")
+        part = F.pmod(F.xxhash64("id"), "parts").cast("int")
         other = F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
         dealt = marked.select("*", part.alias("part"), F.explode(other).alias("other"))
-        rows = dealt.select(F.when(F.col("parts").isNull(), F.col("key")).otherwise(
-            F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))).alias("key"), "k1", "parity", "size")
-    links = rows.repartition("key").sortWithinPartitions("key", "k1").mapInArrow(tidy(_forests), "a long, b long")
+        loose = dealt.select(F.when(F.col("parts").isNull(), F.col("key")).otherwise(
+            F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))).alias("key"), "id", "parity", "size")
+        links = links.union(loose.repartition("key").sortWithinPartitions("key", "id").mapInArrow(tidy(_forests), "a long, b long"))
     trees = links.groupBy("a").agg(F.collect_set("b").alias("firsts")).select(F.col("a").alias("node"), F.explode("firsts").alias("first"))
     trees = written(trees, "trees")
     own = trees.select("first").distinct().select(F.col("first").alias("node"), "first")
@@ -325,7 +486,7 @@ def clumps(sets: DataFrame, limit: int = _WORD_SETS) -> DataFrame:
 
 
 def _same_words(a: np.ndarray, b: np.ndarray, starts: np.ndarray, length: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """How many words the sets ``a`` and ``b`` share."""
+    """How many words (whole numbers under 2^32) the sets ``a`` and ``b`` share."""
     shared = np.zeros(len(a), np.int64)
     at, size = 0, np.cumsum(length[a] + length[b])
     while at < len(a):  # some pairs at a time
@@ -334,9 +495,8 @@ def _same_words(a: np.ndarray, b: np.ndarray, starts: np.ndarray, length: np.nda
         pair = np.concatenate((np.repeat(np.arange(stop - at), length[one]), np.repeat(np.arange(stop - at), length[two])))
         words_of = word[np.concatenate((ragged(starts[one], length[one]), ragged(starts[two], length[two])))]
         # A word that both sets have stands twice.
-        order = np.lexsort((words_of, pair))
-        twice = (np.diff(words_of[order]) == 0) & (np.diff(pair[order]) == 0)
-        shared[at:stop] = np.bincount(pair[order][1:][twice], minlength=stop - at)
+        key = np.sort(pair << 32 | words_of)
+        shared[at:stop] = np.bincount(key[1:][key[1:] == key[:-1]] >> 32, minlength=stop - at)
         at = stop
     return shared
 
@@ -361,17 +521,41 @@ def shared_words(owner: np.ndarray, word: np.ndarray, m: int) -> np.ndarray:
     return out
 
 
+def small_square(starts: np.ndarray, length: np.ndarray, word: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """``shared_words`` for few sets given by their lists of ``word``; ``place`` has a cell for each word."""
+    m = len(length)
+    owner, word = np.repeat(np.arange(m), length), word[ragged(starts, length)]
+    at = np.arange(len(word))
+    place[word] = at  # one place of each word
+    one = place[word]
+    column = np.cumsum(one == at)[one] - 1
+    often = np.bincount(column)[column] > 1  # the others are shared by nobody
+    owner, column = owner[often], column[often]
+    out = np.zeros((m, m), np.float32)
+    if not len(column):
+        return out
+    used = np.cumsum(np.bincount(column) > 0)
+    column, width = used[column] - 1, int(used[-1])
+    for first in range(0, width, _DENSE // m):
+        some = (column >= first) & (column < first + _DENSE // m)
+        has = np.zeros((m, min(width - first, _DENSE // m)), np.float32)
+        has[owner[some], column[some] - first] = 1
+        out += has @ has.T
+    return out
+
+
 def _compare(batches):
-    """Rows (root, low, high, part, doc_id, text_key, line_no, k1, k2, words, earlier) sorted by clump, parts and name to (k1, k2, links, first linked line)."""
+    """Rows (root, low, high, part, doc_id, text_key, line_no, id, often, rare, earlier) sorted by clump, parts and id to (id, links, first linked line)."""
     for t in _whole_runs(batches, 3):
         # Equal rows of the table give a line more than once.
-        once, _ = _runs([t.column(c).to_numpy() for c in ("root", "low", "high", "k1", "k2")])
+        once, _ = _runs([t.column(c).to_numpy() for c in ("root", "low", "high", "id")])
         t = t.take(pa.array(once)).combine_chunks() if len(once) < t.num_rows else t
         root, low, high, part = (t.column(c).to_numpy() for c in range(4))
-        begin, length, word = _lists(t.column("words"))
+        begin, length, word = _words_of(t)
         # Clumps that come before this one: a pair that shares one of them is counted there.
         before, number, earlier = _lists(t.column("earlier"))
-        parity = np.bitwise_xor.reduceat(np.uint64(1) << (word >> np.uint64(58)), begin)
+        earlier = np.unique(earlier, return_inverse=True)[1]
+        parity = np.bitwise_xor.reduceat(np.uint64(1) << (mixed(word.view(np.uint64)) >> np.uint64(58)), begin)
         of = Filters(parity, length, length)
         doc = t.column("doc_id")
         key = (t.column("line_no").to_numpy(), t.column("text_key").to_numpy(), pc.fill_null(doc, 0).to_numpy(), pc.is_valid(doc).to_numpy(zero_copy_only=False))
@@ -380,7 +564,8 @@ def _compare(batches):
         rank[order] = np.arange(len(order))
         links, least = np.zeros(len(root), np.int64), np.full(len(root), len(root), np.int64)
         starts, size = _runs([root, low, high])
-        for a, b in small_pairs(starts, size):
+        place, place_earlier = (np.empty(int(x.max()) + 1 if len(x) else 0, np.int64) for x in (word, earlier))
+        for a, b in small_pairs(starts, size, min(_LISTED, _SMALL)):
             met = of.fit(a, b) & ((low[a] == high[a]) | (part[a] != part[b]))
             a, b = a[met], b[met]
             good = _same_words(a, b, begin, length, word) * (NUMERATOR + DENOMINATOR) >= (length[a] + length[b]) * NUMERATOR
@@ -390,14 +575,21 @@ def _compare(batches):
             for x, y in ((a, b), (b, a)):
                 np.add.at(links, x, 1)
                 np.minimum.at(least, x, rank[y])
-        for s, m in zip(starts[size > _SMALL], size[size > _SMALL]):
+        more = size > min(_LISTED, _SMALL)
+        for s, m in zip(starts[more].tolist(), size[more].tolist()):
             n, own = length[s:s + m], part[s:s + m]
-            words_of = word[begin[s]:begin[s] + n.sum()]
-            shared = shared_words(np.repeat(np.arange(m), n), words_of, m)
-            good = shared * (NUMERATOR + DENOMINATOR) >= (n[:, None] + n) * NUMERATOR
             e = number[s:s + m]
+            if m <= _SMALL:
+                shared = small_square(begin[s:s + m], n, word, place)
+            else:
+                shared = shared_words(np.repeat(np.arange(m), n), word[begin[s]:begin[s] + n.sum()], m)
+            good = shared * (NUMERATOR + DENOMINATOR) >= (n[:, None] + n) * NUMERATOR
             if e.any():
-                good &= shared_words(np.repeat(np.arange(m), e), earlier[before[s]:before[s] + e.sum()], m) == 0
+                if m <= _SMALL:
+                    same = small_square(before[s:s + m], e, earlier, place_earlier)
+                else:
+                    same = shared_words(np.repeat(np.arange(m), e), earlier[before[s]:before[s] + e.sum()], m)
+                good &= same == 0
             if low[s] == high[s]:
                 np.fill_diagonal(good, False)
             else:
@@ -407,9 +599,19 @@ def _compare(batches):
         some = np.flatnonzero(links)
         linked = pa.array(order[least[some]])
         yield pa.RecordBatch.from_arrays(
-            [*(t.column(c).combine_chunks().take(pa.array(some)) for c in ("k1", "k2")), pa.array(links[some]),
+            [t.column("id").combine_chunks().take(pa.array(some)), pa.array(links[some]),
              *(_flat(t.column(c).take(linked)) for c in ("doc_id", "text_key", "line_no"))],
-            names=["k1", "k2", "n_links", "doc_id", "text_key", "line_no"])
+            names=["id", "n_links", "doc_id", "text_key", "line_no"])
+
+
+def _words_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each set begins, its length, and the words of all as numbers: places of frequent words, and numbers above for others."""
+    code, owner = of_gaps(_flat(t.column("often")))
+    _, number, rare = _lists(t.column("rare"))
+    key = np.sort(np.concatenate((owner << 32 | code, np.repeat(np.arange(len(number)), number) << 32 | (
+        MOST_WORDS + np.unique(rare, return_inverse=True)[1]))))
+    length = np.bincount(key >> 32, minlength=t.num_rows)
+    return np.cumsum(length) - length, length, key & 0xFFFFFFFF
 
 
 def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -424,15 +626,15 @@ def _flat(column: pa.ChunkedArray | pa.Array) -> pa.Array:
 
 
 def verified(token: DataFrame) -> DataFrame:
-    """Rows (k1, k2, n_links, linked) for sets with similar ones, from ``token``: one row of a set, as ``_asked_lines`` gives them."""
-    part = F.pmod(F.xxhash64("k1", "k2"), F.col("parts")).cast("int")
+    """Rows (id, n_links, linked) for sets with similar ones, from ``token``: one row of a set, as ``_asked_lines`` gives them."""
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     clump = token.select("*", F.inline("roots"))
     dealt = clump.select("*", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select(
         "root", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part",
-        "doc_id", "text_key", "line_no", "k1", "k2", "words", "earlier")
-    runs = dealt.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "k1", "k2")
-    found = runs.mapInArrow(tidy(_compare), "k1 long, k2 long, n_links long, doc_id long, text_key long, line_no int")
-    return found.groupBy("k1", "k2").agg(F.sum("n_links").alias("n_links"), F.min(_key()).alias("linked"))
+        "doc_id", "text_key", "line_no", "id", "often", "rare", "earlier")
+    runs = dealt.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "id")
+    found = runs.mapInArrow(tidy(_compare), "id long, n_links long, doc_id long, text_key long, line_no int")
+    return found.groupBy("id").agg(F.sum("n_links").alias("n_links"), F.min(_key()).alias("linked"))
 
 
 def _text_key(text: Column) -> Column:
@@ -464,23 +666,23 @@ def _decided(docs: DataFrame) -> DataFrame:
     lines = written(texts.mapInArrow(tidy(_line_rows(frequent)), _LINE_DDL), "lines")
     sets = written(lines.groupBy("k1", "k2").agg(
         F.min(_key()).alias("first"), F.first("n").alias("n"), F.first("parity").alias("parity"),
-        F.first("prefix").alias("prefix")), "sets")
-    nodes = clumps(sets.filter(f"n >= {NUMERATOR}").select("k1", "n", "parity", "prefix"))
-    members = sets.filter(f"n >= {NUMERATOR}").select("k1", "n", "first").join(nodes.withColumnRenamed("node", "k1"), "k1")
+        F.first("prefix").alias("prefix")).withColumn("id", F.monotonically_increasing_id()), "sets")
+    nodes = clumps(sets.filter(f"n >= {NUMERATOR}"))
+    members = sets.filter(f"n >= {NUMERATOR}").select("id", "n", "first").join(nodes.withColumnRenamed("node", "id"), "id")
     sizes = members.select("n", F.explode("roots").alias("root")).groupBy("root").agg(
         F.ceil(F.greatest(F.count(F.lit(1)) / _CLUMP, F.sum("n") / _CLUMP_WORDS)).cast("int").alias("parts")).filter("parts > 1")
     sizes = written(sizes, "large-clumps")
-    dealt = members.select("first", "roots", F.explode("roots").alias("root")).join(sent_if_small(sizes, 24), "root", "left")
+    dealt = members.select("id", "first", "roots", F.explode("roots").alias("root")).join(sent_if_small(sizes, 24), "root", "left")
     earlier = F.filter("roots", lambda x: x < F.col("root"))
-    asked = written(dealt.groupBy("first").agg(F.collect_list(F.struct(
+    asked = written(dealt.groupBy("id", "first").agg(F.collect_list(F.struct(
         "root", F.coalesce("parts", F.lit(1)).alias("parts"), earlier.alias("earlier"))).alias("roots")).groupBy("first.doc_id", "first.text_key").agg(
-            F.collect_list(F.struct(F.col("first.line_no").alias("line_no"), "roots")).alias("lines")), "asked-lines")
-    few = sent_if_small(asked, 32 + 48 * F.size("lines"))
+            F.collect_list(F.struct(F.col("first.line_no").alias("line_no"), "id", "roots")).alias("lines")), "asked-lines")
+    few = sent_if_small(asked, 32 + 56 * F.size("lines"))
     same = texts.doc_id.eqNullSafe(few.doc_id) & (texts.text_key == few.text_key)
     found = texts.join(few, same).select(texts.doc_id, texts.text_key, "text", "lines")
     token = found.mapInArrow(tidy(_asked_lines(frequent)), _TOKEN_DDL)
     links = written(verified(token), "line-links")
-    classes = sets.select("k1", "k2", "first").join(links, ["k1", "k2"], "left")
+    classes = sets.select("k1", "k2", "id", "first").join(links, "id", "left").drop("id")
     out = lines.select("doc_id", "text_key", "line_no", "k1", "k2").join(classes, ["k1", "k2"])
     top = F.when(F.col("linked") < F.col("first"), F.col("linked")).otherwise(F.col("first"))
     return out.select(
