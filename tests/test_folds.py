@@ -349,6 +349,24 @@ def test_contents_are_looked_up_by_few_keys(spark):
     assert both.count() - keys.count() == pairs.count()
 
 
+def test_long_texts_of_words_are_looked_up_by_words(spark):
+    """Texts cut anywhere out of contents with repeated, leading and trailing spaces; contents give a key for each word at most."""
+    rng = random.Random(13)
+    parts = ["", "a", "bb", "x\ny", "é𝒳", "longer-word"]
+    contents = [(i, " ".join(rng.choice(parts) for _ in range(rng.randrange(1, 80)))) for i in range(60)] + [(60, " " * 100), (61, ""), (62, None)]
+    known = [(1, " " * 40), (2, "a " * 30)]
+    for i in range(10, 60):
+        text = contents[i][1]
+        a = rng.randrange(len(text) + 1)
+        known.append((i, text[a:a + rng.choice([32, 40, 70])] + ("!" if i % 9 == 0 else "")))
+    want = {(i, k) for i, c in contents for k, t in known if t and t in (c or "")}
+    docs = spark.createDataFrame(contents, "id long, content string")
+    got = audit.plaintext_leaks(docs, spark.createDataFrame(known, "item_id long, plaintext string")).collect()
+    assert {(r.id, r.item_id) for r in got} == want and len(got) == len(want)
+    long = spark.createDataFrame([("some words of a long text that is known",)], "plaintext string")
+    assert audit.content_keys(docs, long).count() <= sum(len(c.split(" ")) for _, c in contents if c)
+
+
 def test_merge_keeps_the_earliest_copy(spark):
     rows = [("a", 1, 5), ("a", 2, 3), ("b", 1, 1)]
     df = spark.createDataFrame(rows, "id string, relay int, arrival int")
