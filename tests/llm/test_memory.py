@@ -1,6 +1,10 @@
 """Python workers hand back unused memory before a task and after it."""
 
-from whisperlake.llm import store
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from whisperlake.llm import store, tokens
 
 
 def test_memory_goes_back_before_and_after(monkeypatch):
@@ -8,3 +12,16 @@ def test_memory_goes_back_before_and_after(monkeypatch):
     monkeypatch.setattr(store, "give_back", lambda: seen.append("back"))
     run = store.tidy(lambda batches: (seen.append(b) or b for b in batches), lambda: seen.append("forget"))
     assert list(run(iter([1, 2]))) == [1, 2] and seen == ["back", 1, 2, "forget", "back"]
+
+
+@pytest.mark.parametrize("file", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_units_are_joined_once_for_each_piece(monkeypatch, file):
+    """Nothing in the joining of ids is longer than the pieces of the texts are many."""
+    e = tokens.Encoder(file)
+    texts = [" ".join(["some", "words,", "again", "Again!", "é."] * 200), "", "words, words"]
+    plain = [x.ids for x in e.as_it_is.encode_batch(texts, add_special_tokens=False)]
+    seen, ragged = [], tokens.ragged
+    monkeypatch.setattr(tokens, "ragged", lambda starts, lengths: seen.append(len(lengths)) or ragged(starts, lengths))
+    got = e.encode(pa.array(texts, pa.large_string()))
+    assert [x.tolist() for x in np.split(got.ids, got.starts[1:-1])] == plain
+    assert max(seen) <= sum(len(t.split(" ")) for t in texts)

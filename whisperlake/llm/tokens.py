@@ -74,11 +74,12 @@ class Encoder:
 
     def fresh(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the pieces, and the number for each; words of letters are encoded many at a time."""
-        first = " " if self.byte_level else ""
+        # Pieces of the byte level bring their own space.
+        between = "" if self.byte_level else " "
         simple = [p[:1] == " " and p[1:].isalpha() if self.byte_level else p.isalpha() for p in pieces]
-        simple = np.array([s and max(p) < "\u0250" and "\u0130" not in p for s, p in zip(simple, pieces)], bool)
+        simple = np.array([s and (p.isascii() or max(p) < "\u0250" and "\u0130" not in p) for s, p in zip(simple, pieces)], bool)
         some = [p for p, s in zip(pieces, simple) if s]
-        texts = [first + " ".join(x.strip() for x in some[i:i + JOINED]) for i in range(0, len(some), JOINED)]
+        texts = [between.join(some[i:i + JOINED]) for i in range(0, len(some), JOINED)]
         many = _flat(self.plain(texts))
         at = np.flatnonzero(self.edge[many])
         if len(at) != len(some):  # an unexpected token; the plain way is always right
@@ -169,12 +170,16 @@ class Encoder:
         both = np.full((len(used), 2), -1)
         both[:, 0] = number[:len(used)]
         both[two.to_numpy(zero_copy_only=False), 1] = number[len(used):]
-        both = both[renumber[codes]].ravel()
         # Nothing stands for a missing second unit, nor for an empty one.
         size, place = np.append(size, 0), np.append(place, 0)
-        lengths = size[both]
-        ids = flat[ragged(place[both], lengths)]
-        return Ids(ids, np.concatenate(([0], np.cumsum(lengths)))[starts * 2])
+        # Both units of each distinct piece are put together once, not at each of its occurrences.
+        flat = flat[ragged(place[both.ravel()], size[both.ravel()])]
+        size = size[both].sum(axis=1)
+        place = np.cumsum(size) - size
+        codes = renumber[codes]
+        lengths = size[codes]
+        ids = flat[ragged(place[codes], lengths)]
+        return Ids(ids, np.concatenate(([0], np.cumsum(lengths)))[starts])
 
 
 @lru_cache(maxsize=4)
