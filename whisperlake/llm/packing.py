@@ -28,7 +28,8 @@ from whisperlake.llm.tokens import encoder, with_end
 _TOGETHER = 16
 # A sequence id holds the task or group above, the bin below.
 _BIN_BITS = 40
-_SLICE = 8 << 20
+# Bytes of text at a time: ids, places and pieces of a slice take some forty times as much in a worker.
+_SLICE = 1 << 20
 
 _FIELDS = [
     ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()),

@@ -8,7 +8,7 @@ a cut might not be safe are encoded whole. ``tests/llm`` compares with plain enc
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 from typing import NamedTuple
 
@@ -57,10 +57,11 @@ class Encoder:
     def __init__(self, file: str) -> None:
         from tokenizers import Tokenizer
 
-        self.as_it_is, self.tokenizer = (Tokenizer.from_file(path_of(file)) for _ in range(2))
-        # Only whole texts go to the first; pieces of others may hold such marks in lower case, which are ordinary text.
+        self.path = path_of(file)
+        self.tokenizer = Tokenizer.from_file(self.path)
+        # Pieces may hold such marks in lower case, which are ordinary text.
         self.tokenizer.encode_special_tokens = True
-        self.added = "|".join(re.escape(t.content) for t in self.as_it_is.get_added_tokens_decoder().values())
+        self.added = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
         self.byte_level = self.tokenizer.normalizer is None
         self.known: dict[str, bytes] = {}
         self.room = KEPT_BYTES
@@ -69,6 +70,13 @@ class Encoder:
         self.edge = np.zeros(max(names.values()) + 1, bool)
         self.edge[[i for t, i in names.items() if (t[0] == "\u0120" if self.byte_level else t.endswith("</w>"))]] = True
 
+    @cached_property
+    def as_it_is(self):
+        """The file's own tokenizer, for whole texts only: most tasks have none, and it takes as much memory again."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
