@@ -108,13 +108,22 @@ def hashes(vocab: pa.Array) -> np.ndarray:
         return mixed(np.ones(len(vocab), np.uint64))
     raw = np.frombuffer(vocab.buffers()[2], np.uint8)[offsets[0]:offsets[-1]]
     starts, size = offsets[:-1] - offsets[0], np.diff(offsets)
-    at = np.arange(len(raw)) - np.repeat(starts, size)
-    value = _TABLE[(at & 63) << 8 | raw]
-    far = np.flatnonzero(at > 63)
-    if len(far):  # each further stretch of 64 bytes has a factor of its own
-        value[far] *= mixed((at[far] >> 6).astype(np.uint64)) | np.uint64(1)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)))
-    return mixed(total[starts + size] - total[starts] + (size.astype(np.uint64) + np.uint64(1)) * _M2)
+    # One position of all strings at a time, the long ones first.
+    order = np.argsort(-np.minimum(size, 65).astype(np.int8), kind="stable")
+    begin, sums = starts[order], np.zeros(len(size), np.uint64)
+    longer = len(size) - np.cumsum(np.bincount(np.minimum(size, 65), minlength=66))
+    for at in range(min(int(size.max()), 64)):
+        n = int(longer[at])
+        sums[:n] += _TABLE[at << 8:at + 1 << 8][raw[begin[:n] + at]]
+    if n := int(longer[64]):  # each further stretch of 64 bytes has a factor of its own
+        begin, rest = begin[:n], size[order[:n]] - 64
+        where = ragged(begin + 64, rest)
+        at = where - np.repeat(begin, rest)
+        value = _TABLE[(at & 63) << 8 | raw[where]] * (mixed((at >> 6).astype(np.uint64)) | np.uint64(1))
+        sums[:n] += np.add.reduceat(value, np.cumsum(rest) - rest)
+    total = np.empty(len(size), np.uint64)
+    total[order] = sums
+    return mixed(total + (size.astype(np.uint64) + np.uint64(1)) * _M2)
 
 
 def chained(parts: list[np.ndarray]) -> np.ndarray:

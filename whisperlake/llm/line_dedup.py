@@ -191,9 +191,10 @@ def of_gaps(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 _LINE = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("line_no", pa.int32()), ("n", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()),
-                   ("parity", pa.int64()), ("prefix", pa.list_(pa.int32()))])
+                   ("parity", pa.int64()), ("prefix", pa.list_(pa.int32())), ("lead", pa.bool_())])
 _TOKEN_DDL = "roots array<struct<root: long, parts: int, earlier: array<long>>>, doc_id long, text_key long, line_no int, id long, often binary, rare array<long>"
-_LINE_DDL = "doc_id long, text_key long, line_no int, n int, k1 long, k2 long, parity long, prefix array<int>"
+_LINE_DDL = "doc_id long, text_key long, line_no int, n int, k1 long, k2 long, parity long, prefix array<int>, lead boolean"
+_LEAD_DDL = "k1 long, k2 long, doc_id long, text_key long, line_no int, n int, parity long, prefix array<int>"
 
 
 def set_keys(value: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -205,7 +206,35 @@ def set_keys(value: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out[0], out[1]
 
 
+def _leads(batch: pa.RecordBatch, owner: np.ndarray, line_no: np.ndarray, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
+    """Whether a line is the first of its set among those of ``batch`` (doc_id, text, text_key)."""
+    doc = batch.column(0)
+    order = np.lexsort((batch.column(2).to_numpy(), pc.fill_null(doc, 0).to_numpy(), pc.is_valid(doc).to_numpy(zero_copy_only=False)))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    order = np.lexsort((rank[owner] << 32 | line_no, k2, k1))
+    out = np.zeros(len(order), bool)
+    if len(order):
+        out[order[_runs([k1[order], k2[order]])[0]]] = True
+    return out
+
+
+def _first_rows(batches):
+    """Of rows sorted by their first two columns the first of each run."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        a, b = (batch.column(c).to_numpy() for c in range(2))
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        new[0] = (a[0], b[0]) != last
+        last = a[-1], b[-1]
+        yield batch.filter(pa.array(new))
+
+
 def _line_rows(frequent: Frequent):
+    """Rows (doc_id, text, text_key) to one row for each line. The first line of a set in a slice is marked; only it has the set's prefix."""
     def run(batches):
         for batch in batches:
             for at, part in slices(texts_of(batch.column(1)), _SLICE):
@@ -214,20 +243,22 @@ def _line_rows(frequent: Frequent):
                 n = np.diff(starts)
                 filled = np.flatnonzero(n)
                 owner = np.repeat(np.arange(len(part)), np.diff(first))[filled]
-                k1, k2 = set_keys(value, starts)
+                line_no = filled - first[owner]
+                k1, k2 = (k[filled] for k in set_keys(value, starts))
+                lead = _leads(batch.slice(at, len(part)), owner, line_no, k1, k2)
                 # Sets of fewer words are only similar to equal ones.
-                join = n[filled] >= NUMERATOR
+                join = lead & (n[filled] >= NUMERATOR)
                 length = np.where(join, n[filled] - needed(n[filled]) + 1, 0)
                 bits = np.uint64(1) << (value >> np.uint64(58))
                 parity = np.bitwise_xor.reduceat(bits, starts[:-1][filled]) if len(filled) else bits
                 prefix = value[ragged(starts[:-1][filled], length)]
                 ends = np.concatenate(([0], np.cumsum(length))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
-                    *(batch.column(c).slice(at, len(part)).take(pa.array(owner)) for c in (0, 2)), pa.array((filled - first[owner]).astype(np.int32)),
-                    pa.array(n[filled].astype(np.int32)), pa.array(k1[filled]), pa.array(k2[filled]),
+                    *(batch.column(c).slice(at, len(part)).take(pa.array(owner)) for c in (0, 2)), pa.array(line_no.astype(np.int32)),
+                    pa.array(n[filled].astype(np.int32)), pa.array(k1), pa.array(k2),
                     pa.array(parity.view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array((prefix & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))],
-                    schema=_LINE)
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array((prefix & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))),
+                    pa.array(lead)], schema=_LINE)
 
     return run
 
@@ -664,9 +695,11 @@ def _decided(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _text_key(F.col("text")).alias("text_key"))
     frequent = frequent_words(texts)
     lines = written(texts.mapInArrow(tidy(_line_rows(frequent)), _LINE_DDL), "lines")
-    sets = written(lines.groupBy("k1", "k2").agg(
-        F.min(_key()).alias("first"), F.first("n").alias("n"), F.first("parity").alias("parity"),
-        F.first("prefix").alias("prefix")).withColumn("id", F.monotonically_increasing_id()), "sets")
+    # A line that is everywhere leads once in a slice. An aggregate of structs and lists would sort all rows before the shuffle, too.
+    order = ["k1", "k2", "doc_id", "text_key", "line_no"]
+    leads = lines.filter("lead").select(*order, "n", "parity", "prefix").repartition("k1", "k2").sortWithinPartitions(*order)
+    sets = written(leads.mapInArrow(tidy(_first_rows), _LEAD_DDL).select(
+        "k1", "k2", _key().alias("first"), "n", "parity", "prefix", F.monotonically_increasing_id().alias("id")), "sets")
     nodes = clumps(sets.filter(f"n >= {NUMERATOR}"))
     members = sets.filter(f"n >= {NUMERATOR}").select("id", "n", "first").join(nodes.withColumnRenamed("node", "id"), "id")
     sizes = members.select("n", F.explode("roots").alias("root")).groupBy("root").agg(
