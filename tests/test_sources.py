@@ -3,14 +3,17 @@
 import hashlib
 import json
 import os
+import re
 import tempfile
 
 import pytest
+from conftest import SMALL
 from pyspark.sql import functions as F
 
 from whisperlake.operators.attachments import decrypt_blobs
 from whisperlake.operators.filters import EventFilter
-from whisperlake.schemas import DEFAULT_MEDIA_SERVERS, DEFAULT_RELAYS, MAX_FRAME_BYTES
+from whisperlake.plans.catalog import QUERIES
+from whisperlake.schemas import DEFAULT_MEDIA_SERVERS, DEFAULT_RELAYS, EVENT, MAX_FRAME_BYTES
 from whisperlake.sources import blobs, frames, snapshot
 from whisperlake.session import work_dir
 
@@ -69,6 +72,35 @@ def test_frames(spark):
     assert sorted(r.reason for r in t["quarantine"]) == ["malformed answer", "malformed event", "not JSON", "too large"]
 
 
+def test_frames_are_read_by_compiled_code(spark):
+    """The JVM leaves methods of over 8,000 bytes of bytecode uncompiled, and they take most of the time of a large dump."""
+    plan = QUERIES["s1_parse_frames"](spark, SMALL)._jdf.queryExecution()
+    sizes = re.findall(r"maxMethodCodeSize:(\d+)", spark._jvm.PythonSQLUtils.explainString(plan, "codegen"))
+    assert sizes and max(map(int, sizes)) < 8000
+
+
+@pytest.mark.parametrize("text, expected", [
+    (event(content="null"), {"content": "null"}),
+    (event(tags=[], sig="s"), {"tags": [], "sig": "s"}),
+    (event(tags=[[]], sig=""), {"tags": [[]]}),
+    (event(tags=[["p", None]], sig="s"), {"tags": [["p", ""]], "sig": "s"}),
+    (json.dumps(dict(reversed(GOOD.items()))), {}),
+    (event(kind=2**31), None), (event(kind=-2**31 - 1, sig="s"), None), (event(tags=[["p"], None], sig="s"), None),
+])
+def test_plain_and_other_events_in_frames(spark, text, expected):
+    t = frames.parse_frames(lines(spark, [f'["EVENT","s",{text}]']))
+    found = [r.asDict() for r in t["events"].collect()]
+    assert found == ([] if expected is None else [{"sub_id": "s"} | GOOD | {"sig": None} | expected])
+    assert [r.reason for r in t["quarantine"].collect()] == (["malformed event"] if expected is None else [])
+
+
+def test_escapes_in_every_part_of_an_event(spark):
+    odd = {"id": "[\x1f]", "pubkey": "\\", "tags": [["\x0b", "\\u001F"], []], "content": "\\\x1e]", "sig": '"\x1a['}
+    row = spark.createDataFrame([(odd | {"created_at": 1, "kind": 2})], EVENT)
+    e = {"id": odd["id"], "pubkey": odd["pubkey"], "created_at": 1, "kind": 2} | {k: odd[k] for k in ("tags", "content", "sig")}
+    assert frames.events_to_json(row).first().json == json.dumps(e, separators=(",", ":"))
+
+
 def test_event_json_round_trip(spark):
     good, _ = frames.parse_events(spark.createDataFrame([(event(sig="s", content='é"\x07'),)], "json string"))
     assert frames.events_to_json(good).first().json == (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from whisperlake.functions.text import as_col, is_lower_hex, json_string, tags_json
+from whisperlake.functions.text import as_col, is_lower_hex, lower_escapes, quoted
 
 
 def tag_values(tags: str | Column, name: str | Column) -> Column:
@@ -20,10 +20,10 @@ def first_tag(tags: str | Column, name: str) -> Column:
 
 def canonical_json(pubkey, created_at, kind, tags, content) -> Column:
     """The array text an event id is hashed over."""
-    return F.concat(
-        F.lit("[0,"), json_string(pubkey), F.lit(","), as_col(created_at).cast("string"), F.lit(","),
-        as_col(kind).cast("string"), F.lit(","), tags_json(tags), F.lit(","), json_string(content), F.lit("]"),
-    )
+    return lower_escapes(F.concat(
+        F.lit("[0,"), quoted(pubkey), F.lit(","), as_col(created_at).cast("string"), F.lit(","),
+        as_col(kind).cast("string"), F.lit(","), F.to_json(as_col(tags)), F.lit(","), quoted(content), F.lit("]"),
+    ))
 
 
 def event_id(pubkey="pubkey", created_at="created_at", kind="kind", tags="tags", content="content") -> Column:
@@ -42,14 +42,14 @@ def has_valid_id() -> Column:
 def event_json(sig: bool = True) -> Column:
     """Compact JSON object in fixed field order; ``sig`` only where present."""
     parts = [
-        F.lit('{"id":'), json_string("id"), F.lit(',"pubkey":'), json_string("pubkey"),
+        F.lit('{"id":'), quoted("id"), F.lit(',"pubkey":'), quoted("pubkey"),
         F.lit(',"created_at":'), F.col("created_at").cast("string"),
         F.lit(',"kind":'), F.col("kind").cast("string"),
-        F.lit(',"tags":'), tags_json("tags"), F.lit(',"content":'), json_string("content"),
+        F.lit(',"tags":'), F.to_json("tags"), F.lit(',"content":'), quoted("content"),
     ]
     if sig:
-        parts.append(F.coalesce(F.concat(F.lit(',"sig":'), json_string("sig")), F.lit("")))
-    return F.concat(*parts, F.lit("}"))
+        parts.append(F.coalesce(F.concat(F.lit(',"sig":'), quoted("sig")), F.lit("")))
+    return lower_escapes(F.concat(*parts, F.lit("}")))
 
 
 def participants(tags: str | Column, pubkey: str | Column, me: str | Column) -> Column:

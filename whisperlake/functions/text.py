@@ -31,8 +31,10 @@ def staged(df: DataFrame, keep: list[str], cols: list[Column]) -> DataFrame:
 
     A filter on a projected column is pushed below the projection with the whole expression
     copied into it. It is not pushed through a generator, so costly parsing goes behind one.
+    The projection in front of the generator computes what the expressions have in common once.
     """
-    return df.select(*keep, F.explode(F.array(F.struct(*cols))).alias("_s")).select(*keep, "_s.*")
+    computed = df.select(*keep, F.struct(*cols).alias("_c"))
+    return computed.select(*keep, F.explode(F.array("_c")).alias("_s")).select(*keep, "_s.*")
 
 
 def trimmed(c: str | Column) -> Column:
@@ -44,11 +46,14 @@ def is_blank(c: str | Column) -> Column:
     return F.coalesce(trimmed(c) == "", F.lit(True))
 
 
-def _lower_escapes(written: Column) -> Column:
+def lower_escapes(written: Column) -> Column:
     """Lower-case hex digits in ``\\u00XX`` escapes, but not in texts that merely look like one.
 
     An escape starts at a backslash with an even number of backslashes in front of it. Only
     control characters are escaped this way, so the digit before the letter is 0 or 1.
+
+    Parts that are whole JSON values may be joined first and treated once: generated code with
+    these patterns for each part is more than the JVM compiles.
     """
     fixed = reduce(lambda acc, letter: F.regexp_replace(
         acc, rf"(?=\\)(?<!\\)((?:\\\\)*\\u00[01]){letter}", f"$1{letter.lower()}"), "ABCDEF", written)
@@ -57,19 +62,24 @@ def _lower_escapes(written: Column) -> Column:
 
 def json_string_array(c: str | Column) -> Column:
     """JSON of an array of strings without nulls, spelled as ``JSON.stringify`` does."""
-    return _lower_escapes(F.to_json(as_col(c)))
+    return lower_escapes(F.to_json(as_col(c)))
 
 
 def tags_json(tags: str | Column) -> Column:
     """JSON of a list of tags without nulls."""
-    return _lower_escapes(F.to_json(as_col(tags)))
+    return lower_escapes(F.to_json(as_col(tags)))
+
+
+def quoted(c: str | Column) -> Column:
+    """A quoted JSON string before :func:`lower_escapes`; null stays null."""
+    c = as_col(c)
+    # The quotes keep a bracket of the text itself from being trimmed.
+    return F.when(c.isNotNull(), F.btrim(F.to_json(F.array(c)), F.lit("[]")))
 
 
 def json_string(c: str | Column) -> Column:
     """A quoted JSON string; null stays null."""
-    c = as_col(c)
-    written = json_string_array(F.array(c))
-    return F.when(c.isNotNull(), F.substring(written, F.lit(2), F.length(written) - 2))
+    return lower_escapes(quoted(c))
 
 
 def json_escape(c: str | Column) -> Column:

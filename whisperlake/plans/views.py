@@ -380,7 +380,7 @@ def frames(spark: SparkSession, sf: str) -> DataFrame:
         .when(every == 4, '{"not":"array"}').when(every == 5, '["EVENT","inbox"]'))
     broken = F.when(n % 19 == 0, F.substring(event, F.lit(1), F.length(event) - 1)).when(
         n % 23 == 0, '["EVENT","inbox",{"id":"x"}]').otherwise(event)
-    return e.select("event_id", F.explode(F.array_compact(F.array(broken, answer, note))).alias("value"))
+    return e.select("event_id", F.explode(F.array(broken, answer, note)).alias("value")).filter("value is not null")
 
 
 @storable

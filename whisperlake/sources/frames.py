@@ -13,6 +13,13 @@ from whisperlake.schemas import MAX_FRAME_BYTES
 _TAG_TYPES = ("ARRAY<VOID>", "ARRAY<ARRAY<VOID>>", "ARRAY<ARRAY<STRING>>")
 
 
+# An event as it is read when every field has its type and no value is null, and the types that say so.
+_PLAIN_EVENT = "struct<id:string,pubkey:string,created_at:bigint,kind:int,tags:array<array<string>>,content:string,sig:string>"
+_PLAIN_TYPES = [
+    f"OBJECT<content: STRING, created_at: BIGINT, id: STRING, kind: BIGINT, pubkey: STRING, {sig}tags: {tags}>"
+    for sig in ("", "sig: STRING, ") for tags in _TAG_TYPES]
+
+
 def _field(v: Column, path: str) -> Column:
     return F.try_variant_get(v, path, "variant")
 
@@ -26,6 +33,11 @@ def _text(v: Column) -> Column:
     return F.when(F.is_variant_null(v), "").when(_type(v) == "STRING", F.try_variant_get(v, "$", "string"))
 
 
+def _typed_text(v: Column, kind: Column) -> Column:
+    """:func:`_text` of a value whose type is known."""
+    return F.when(kind == "VOID", "").when(kind == "STRING", F.try_variant_get(v, "$", "string"))
+
+
 def _whole(v: Column, kind: str) -> Column:
     """An integer in the range of ``kind``; a fraction or text gives null, unlike a plain cast."""
     return F.when(_type(v) == "BIGINT", F.try_variant_get(v, "$", kind))
@@ -57,10 +69,24 @@ def _event_struct(v: Column) -> Column:
     return let(let(fields, read), complete)
 
 
+def _with_event(df: DataFrame, keep: list[str], v: str, kind: Column, json_col: str) -> DataFrame:
+    """``keep`` plus ``event``: the event struct of the variant ``v`` of type ``kind``, found in the JSON text ``json_col``.
+
+    Events of the plain types are read in one go; a text without "null" has no null in it. All others are read field by field.
+    """
+    plain = kind.isin(*_PLAIN_TYPES) & ~F.contains(F.col(json_col), F.lit("null"))
+    read = staged(df, [*keep, v], [F.when(plain, F.try_variant_get(v, "$", _PLAIN_EVENT)).alias("_plain")])
+    e = F.col("_plain")
+    # A kind beyond its range was read as null.
+    event = F.when(e["kind"].isNotNull(), e.withField("sig", F.nullif(e["sig"], F.lit("")))).when(
+        F.col(v).isNotNull(), _event_struct(F.col(v)))
+    return staged(read, keep, [event.alias("event")])
+
+
 def read_events(df: DataFrame, json_col: str = "json", keep: list[str] = ()) -> DataFrame:
     """Adds ``event``: the event struct of a JSON text, or null when it is no well-formed event."""
-    event = let(F.try_parse_json(json_col), _event_struct).alias("event")
-    return staged(df, [*keep, json_col], [event])
+    read = staged(df, [*keep, json_col], [F.try_parse_json(json_col).alias("_v")])
+    return _with_event(read, [*keep, json_col], "_v", _type(F.col("_v")), json_col)
 
 
 def parse_events(df: DataFrame, json_col: str = "json", keep: list[str] = ()) -> tuple[DataFrame, DataFrame]:
@@ -95,24 +121,33 @@ def typed_frames(lines: DataFrame, keep: list[str] = ()) -> DataFrame:
     """
     big = F.octet_length("value") > MAX_FRAME_BYTES
     read = staged(lines, [*keep, "value"], [big.alias("big"), F.when(~big, F.try_parse_json("value")).alias("v")])
-    # An item is present only if the value is an array that reaches it.
-    item = lambda i: _field(F.col("v"), f"$[{i}]")
-    split = staged(read, [*keep, "value"], [
+    items = staged(read, [*keep, "value"], [
         F.when(F.col("big"), "too large").when(F.col("v").isNull(), "not JSON").alias("problem"),
-        F.when(item(1).isNotNull(), _text(item(0))).alias("verb"),
-        item(1).alias("a"), item(2).alias("b"), item(3).alias("c")])
+        F.try_variant_get("v", "$", "array<variant>").alias("items")])
+    # An item is present only if the value is an array that reaches it.
+    item = lambda i: F.get("items", F.lit(i))
+    # A verb of another type is written as no known verb.
+    split = staged(items, [*keep, "value", "problem"], [
+        F.when(item(1).isNotNull(), F.try_variant_get(item(0), "$", "string")).alias("verb"),
+        item(1).alias("a"), item(2).alias("b"), item(3).alias("c"),
+        *[_type(item(i)).alias(f"{name}_type") for i, name in ((1, "a"), (2, "b"), (3, "c"))]])
 
     verb = F.col("verb")
     three = F.col("b").isNotNull()
-    optional = lambda v: F.when(v.isNull(), "").otherwise(_text(v))
-    flag = F.when(_type(F.col("b")) == "BOOLEAN", F.try_variant_get("b", "$", "boolean"))
-    typed = staged(split, [*keep, "value", "problem", "verb", "b"], [
-        F.when(verb.isin("EVENT", "EOSE", "CLOSED"), _text(F.col("a"))).alias("sub_id"),
-        F.when(verb == "EVENT", _event_struct(F.col("b"))).alias("event"),
-        F.when(verb == "OK", _text(F.col("a"))).alias("message_id"),
-        F.when(verb == "OK", flag).alias("ack_ok"), F.when(verb == "OK", optional(F.col("c"))).alias("ack_text"),
-        F.when(verb == "CLOSED", optional(F.col("b"))).when(verb.isin("AUTH", "NOTICE"), _text(F.col("a"))).alias("text"),
+    text = lambda name: _typed_text(F.col(name), F.col(f"{name}_type"))
+    optional = lambda name: F.when(F.col(name).isNull(), "").otherwise(text(name))
+    flag = F.when(F.col("b_type") == "BOOLEAN", F.try_variant_get("b", "$", "boolean"))
+    parts = staged(split, [*keep, "value", "problem", "verb"], [
+        F.when(verb.isin("EVENT", "EOSE", "CLOSED"), text("a")).alias("sub_id"),
+        F.when(verb == "EVENT", F.col("b")).alias("_v"), F.when(verb == "EVENT", F.col("b_type")).alias("_type"),
+        F.when(verb == "OK", text("a")).alias("message_id"),
+        F.when(verb == "OK", flag).alias("ack_ok"), F.when(verb == "OK", optional("c")).alias("ack_text"),
+        F.when(verb == "CLOSED", optional("b")).when(verb.isin("AUTH", "NOTICE"), text("a")).alias("text"),
+        three.alias("three"),
     ])
+    names = [*keep, "value", "problem", "verb", "sub_id", "message_id", "ack_ok", "ack_text", "text", "three"]
+    typed = _with_event(parts, names, "_v", F.col("_type"), "value")
+    three = F.col("three")
     bad_event = (verb == "EVENT") & three & (F.col("event").isNull() | F.col("sub_id").isNull())
     bad_answer = (verb == "OK") & three & (
         F.col("message_id").isNull() | F.col("ack_ok").isNull() | F.col("ack_text").isNull())
@@ -124,7 +159,7 @@ def typed_frames(lines: DataFrame, keep: list[str] = ()) -> DataFrame:
     problem = F.coalesce("problem", F.when(bad_event, "malformed event"), F.when(bad_answer, "malformed answer"))
     return (
         typed.filter(problem.isNotNull() | F.coalesce(complete, F.lit(False)))
-        .withColumn("problem", problem).drop("b")
+        .select(*keep, "value", problem.alias("problem"), "verb", "sub_id", "event", "message_id", "ack_ok", "ack_text", "text")
     )
 
 
