@@ -35,6 +35,11 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return pc.fill_null(column.cast(pa.large_string()), "")
 
 
+def strings(column: pa.Array) -> list[str | None]:
+    """``to_pylist`` of a column of strings, several times faster."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
     """Consecutive parts (first row, texts) of about ``limit`` bytes each."""
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))

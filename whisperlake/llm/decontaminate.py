@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from whisperlake.llm.arrays import Words, drop_empty, hashes, ragged, slices, texts_of, windows, words
+from whisperlake.llm.arrays import Words, drop_empty, hashes, ragged, slices, strings, texts_of, windows, words
 from whisperlake.llm.store import share_package, written
 
 LEAST = 4
@@ -35,7 +35,7 @@ _FILTER_BITS = 22
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of each text, and where each text begins. Words of marks only are left out."""
     w: Words = words(texts)
-    plain = [v.strip(_MARKS).lower() for v in w.vocab.to_pylist()]
+    plain = [v.strip(_MARKS).lower() for v in strings(w.vocab)]
     value = hashes(pa.array(plain, pa.large_string()))
     codes = np.where(np.array([not p for p in plain], bool)[w.codes], -1, w.codes) if plain else w.codes
     codes, starts = drop_empty(codes + 1, w.starts, 0)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,7 +18,7 @@ COMMON = {
     "es": "de la que el en y a los se del las un por con una para es al lo como más no su sus".split(),
 }
 ALL_COMMON = sorted({w for ws in COMMON.values() for w in ws})
-_INDEX = {w: i for i, w in enumerate(ALL_COMMON)}
+_VALUES = pa.array(ALL_COMMON, pa.large_string())
 
 CLASSES = ["lower", "upper", "digit", "blank", "newline", "mark", "symbol", "other", "beyond_ascii"]
 SYMBOLS = "#*$%&|<>"
@@ -50,15 +52,20 @@ def class_counts(texts: pa.Array) -> np.ndarray:
     """Code points of each class in each text."""
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
     data = texts.buffers()[2]
-    raw = np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]] if data is not None else np.empty(0, np.uint8)
-    owner = np.repeat(np.arange(len(texts)), np.diff(offsets))
-    return histogram(owner, _CLASS_OF_BYTE[raw], len(texts), len(CLASSES) + 1)[:, :-1]
+    kind = _CLASS_OF_BYTE[np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]]] if data is not None else np.empty(0, np.uint8)
+    out = np.zeros((len(texts), len(CLASSES) + 1), np.int64)
+    for i, (a, b) in enumerate(pairwise((offsets - offsets[0]).tolist())):
+        out[i] = np.bincount(kind[a:b], minlength=len(CLASSES) + 1)
+    return out[:, :-1]
 
 
 def common_counts(w: Words) -> np.ndarray:
     """How often each common word occurs in each text; letter case and marks at the ends don't count."""
-    index = np.fromiter((_INDEX.get(v.strip(".,;:!?").lower(), -1) for v in w.vocab.to_pylist()), np.int64, len(w.vocab))
-    found = index[w.codes]
+    plain = pc.utf8_lower(pc.utf8_trim(w.vocab, characters=".,;:!?"))
+    index = pc.index_in(plain, value_set=_VALUES.cast(plain.type))
+    # A capital I with a dot is no letter of these words in Python's lower(); pyarrow makes a plain i of it.
+    index = pc.if_else(pc.match_substring(w.vocab, "\u0130"), -1, pc.fill_null(index, -1))
+    found = index.to_numpy(zero_copy_only=False).astype(np.int64)[w.codes]
     keep = found >= 0
     return histogram(w.owner[keep], found[keep], len(w.starts) - 1, len(ALL_COMMON))
 
@@ -92,17 +99,24 @@ def duplicate_lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return n, n - distinct
 
 
+def counts(texts: pa.Array, w: Words | None = None) -> dict[str, np.ndarray]:
+    """What the quality rules look at, for texts without nulls (``w``: their words): one array (or matrix) with a row for each text."""
+    w = words(texts) if w is None else w
+    return {
+        "n_words": np.diff(w.starts), "n_repeat_words": per_text(repeated_words(w, w.owner).astype(np.int64), w.starts),
+        "classes": class_counts(texts), "common": common_counts(w),
+    }
+
+
 def statistics(texts: pa.Array) -> dict[str, np.ndarray]:
-    """Counts for texts without nulls: one array (or matrix) with a row for each text."""
+    """``counts`` and all others."""
     w = words(texts)
-    owner = w.owner
-    classes = class_counts(texts)
+    out = counts(texts, w)
+    classes = out["classes"]
     n_lines, dup = duplicate_lines(texts)
-    pairs = np.unique(owner * np.int64(len(w.vocab) + 1) + w.codes)
-    return {
-        "n_words": np.diff(w.starts), "classes": classes,
+    pairs = np.unique(w.owner * np.int64(len(w.vocab) + 1) + w.codes)
+    return out | {
         "word_chars": classes.sum(axis=1) - classes[:, 3] - classes[:, 4], "n_symbols": classes[:, 6],
-        "n_lines": n_lines, "n_dup_lines": dup, "common": common_counts(w),
-        "n_repeat_words": per_text(repeated_words(w, owner).astype(np.int64), w.starts),
+        "n_lines": n_lines, "n_dup_lines": dup,
         "n_distinct": np.bincount(pairs // (len(w.vocab) + 1), minlength=len(texts)),
     }

@@ -728,7 +728,7 @@ def remove_lines(docs: DataFrame) -> DataFrame:
 
     Documents that lose nothing keep their text as it is, also a null one.
     """
-    found = written(_decided(docs), "line-decisions")
+    found = _decided(docs)
     loss = unused("loss", docs)
     gone = written(found.groupBy("doc_id", "text_key").agg(
         F.collect_set(F.when(F.col("removed"), F.col("line_no"))).alias("gone"), F.count(F.when(~F.col("removed"), 1)).alias("left")

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from whisperlake.llm.arrays import slices, texts_of
+from whisperlake.llm.arrays import slices, strings, texts_of
 from whisperlake.llm.components import components
 from whisperlake.llm.store import sent_if_small, share_package, unused, written
 
@@ -32,7 +32,7 @@ def fingerprints(texts: pa.Array) -> np.ndarray:
     digest = xxhash.xxh64_intdigest
     hashes: list[int] = []
     number = np.zeros(len(texts), np.int64)
-    for i, text in enumerate(texts.to_pylist()):
+    for i, text in enumerate(strings(texts)):
         # On bytes, lower() changes A-Z only and split() cuts at \\x20 and \\x09-\\x0D only.
         parts = text.encode().lower().split()
         joined = b" ".join(parts)

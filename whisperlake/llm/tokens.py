@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from whisperlake.llm.arrays import coded, ragged, words
+from whisperlake.llm.arrays import coded, ragged, strings, words
 
 # Marks that may end a word; not the apostrophe, which may begin a contraction.
 _MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
@@ -174,7 +174,7 @@ class Encoder:
         right = pc.replace_substring_regex(piece.filter(two), r"^\pL+", "")
         units = pa.chunked_array([left, right]).combine_chunks().dictionary_encode()
         number = units.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        flat, place, size = self.units(units.dictionary.to_pylist())
+        flat, place, size = self.units(strings(units.dictionary))
         both = np.full((len(used), 2), -1)
         both[:, 0] = number[:len(used)]
         both[two.to_numpy(zero_copy_only=False), 1] = number[len(used):]
